@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import licenses, packing, secrets, vectors, warc
+from . import licenses, packing, secrets, toxicity, vectors, warc
 
 QUERIES = {
     "op2_license_scan": licenses.op2_license_scan,
     "op3_embedding_dedup": vectors.op3_embedding_dedup,
     "op6_secret_scan": secrets.op6_secret_scan,
     "op7_top_products": vectors.op7_top_products,
+    "op8_toxicity": toxicity.op8_toxicity,
     "op9_best_fit": packing.op9_best_fit,
     "op10_warc": warc.op10_warc,
 }
