@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import licenses, packing, secrets, toxicity, vectors, warc
+from . import dedup, licenses, packing, secrets, toxicity, vectors, warc
 
 QUERIES = {
+    "op1_minhash_dedup": dedup.op1_minhash_dedup,
     "op2_license_scan": licenses.op2_license_scan,
     "op3_embedding_dedup": vectors.op3_embedding_dedup,
     "op6_secret_scan": secrets.op6_secret_scan,
