@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import json
+import sys
+import types
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,11 +17,10 @@ from pyspark.sql.window import Window
 
 from .common import materialize, table
 
-#: Fixed values of the byte-level vocabulary: its split pattern, its special token and its id.
+#: Fixed value: the split pattern of the byte-level vocabulary.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-SPECIAL, SPECIAL_ID = "<|endoftext|>", 50256
+PROBE = "It's 12  x\n\n<|endoftext|> \u00c9t\u00e9, \u4f60\u597d \t\u0000 don't  "
 END = 2
-CACHE = 400_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, nth long"
 
 
@@ -29,35 +30,43 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-class Encoder:
-    """Token ids of whole texts as little-endian bytes.
+def byte_signs() -> dict[str, int]:
+    """The sign that stands for each byte in a byte-level vocabulary: printable Latin-1 for itself, others from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
-    The vocabulary's merges never cross its split pattern, so a text's ids are those of its parts; parts
-    repeat, so their ids are kept (for CACHE parts at most) and only new parts go through the tokenizer.
+
+def load(path: str) -> Callable[[str], np.ndarray]:
+    """A function from text to ids, for a byte-level BPE file of the tokenizers library.
+
+    Where ids are ranks of merges, as in this vocabulary, the file's own vocabulary is run by a faster engine;
+    a probe of both is compared on loading, and the library itself encodes where they differ.
     """
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(path)
+    slow = lambda text: np.array(whole.encode(text, add_special_tokens=False).ids, np.uint32)
+    try:
+        import tiktoken
+
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        special, signs = {x["content"]: x["id"] for x in spec["added_tokens"]}, byte_signs()
+        ranks = {bytes(signs[c] for c in k): i for k, i in spec["model"]["vocab"].items() if k not in special}
+        engine = tiktoken.Encoding("file", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens=special)
+        fast = lambda text: engine.encode_to_numpy(text, allowed_special="all")
+        return fast if np.array_equal(fast(PROBE), slow(PROBE)) else slow
+    except (ImportError, KeyError, ValueError):
+        return slow
+
 
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
-        self.split, self.special = regex.compile(SPLIT), np.array([SPECIAL_ID], "<u4").tobytes()
-
-    def batch(self, texts: list[str]) -> list[bytes]:
-        known, split = self.known, self.split
-        out = []
-        if len(known) > CACHE:
-            known.clear()
-        for text in texts:
-            coded = []
-            for section in text.split(SPECIAL):
-                parts = split.findall(section)
-                new = [p for p in dict.fromkeys(parts) if p not in known]
-                if new:
-                    for p, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False)):
-                        known[p] = np.array(e.ids, "<u4").tobytes()
-                coded.append(b"".join(map(known.__getitem__, parts)))
-            out.append(self.special.join(coded))
-        return out
+def encoder(path: str) -> Callable[[str], np.ndarray]:
+    """load, once in each Python worker and not for each task."""
+    kept = sys.modules.setdefault("_sediment_worker", types.ModuleType("_sediment_worker")).__dict__
+    if path not in kept:
+        kept[path] = load(path)
+    return kept[path]
 
 
 def cut_points(n: int, capacity: int) -> list[tuple[int, int]]:
@@ -70,18 +79,16 @@ def tokenized_pieces(docs: DataFrame, capacity: int, vocabulary: str) -> DataFra
     """The pieces of each document's ids and end token; nth counts pieces of a length within the task."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part = Encoder(vocabulary), TaskContext.get().partitionId()
-        seen, end = np.zeros(capacity + 1, np.int64), np.array([END], "<u4").tobytes()
+        encode_text, part = encoder(vocabulary), TaskContext.get().partitionId()
+        seen, kinds = np.zeros(capacity + 1, np.int64), [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
         for b in batches:
-            for i in range(0, b.num_rows, 64):
-                rows: list[tuple] = []
-                s = b.slice(i, 64)
-                for doc, ids in zip(s.column("doc_id").to_pylist(), encoder.batch(s.column("text").to_pylist())):
-                    ids += end
-                    for k, (start, n) in enumerate(cut_points(len(ids) // 4, capacity)):
-                        rows.append((doc, k, start, n, zlib.crc32(ids[4 * start : 4 * (start + n)]), part, int(seen[n])))
-                        seen[n] += 1
-                kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
+            rows: list[tuple] = []
+            for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text")):
+                ids = np.append(encode_text(text.as_py()), END).astype("<u4")
+                for k, (start, n) in enumerate(cut_points(len(ids), capacity)):
+                    rows.append((doc, k, start, n, zlib.crc32(ids[start : start + n]), part, int(seen[n])))
+                    seen[n] += 1
+            if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], [x.split()[0] for x in PIECES.split(", ")])
 
     return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(encode, PIECES)
