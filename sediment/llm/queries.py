@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import dedup, language_model, licenses, packing, secrets, toxicity, vectors, warc
+from . import dedup, language_model, licenses, mixing, packing, secrets, toxicity, vectors, warc
 
 QUERIES = {
     "op1_minhash_dedup": dedup.op1_minhash_dedup,
     "op2_license_scan": licenses.op2_license_scan,
     "op3_embedding_dedup": vectors.op3_embedding_dedup,
+    "op4_mix_sources": mixing.op4_mix_sources,
     "op5_lm_score": language_model.op5_lm_score,
     "op6_secret_scan": secrets.op6_secret_scan,
     "op7_top_products": vectors.op7_top_products,
