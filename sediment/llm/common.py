@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,6 +64,28 @@ def attach(df: DataFrame, key: str, groups: DataFrame, count: str, salt: Column)
     return out.select(*[df[c] for c in df.columns], *[F.col(f"_v.{c}").alias(c) for c in cols])
 
 
+def by_key(key: str, work: Callable[[list[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable:
+    """A function for mapInArrow that hands the rows of each key, of partitions sorted by it, to work."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for b in batches:
+            keys = b.column(key).to_numpy()
+            if held and held[-1].column(key)[0].as_py() != keys[0]:
+                yield from work(held)
+                held = []
+            bounds = [0, *(np.flatnonzero(np.diff(keys)) + 1).tolist(), len(keys)]
+            for i, j in zip(bounds, bounds[1:]):
+                held.append(b.slice(i, j - i))
+                if j < len(keys):
+                    yield from work(held)
+                    held = []
+        if held:
+            yield from work(held)
+
+    return run
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of the undirected edges (u, v: long): node, component (its smallest node).
 

@@ -9,10 +9,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, materialize, table
+from .common import by_key, components, materialize, table
 
 SHINGLE, SIMILARITY = 5, 0.8
-BANDS, ROWS = 24, 6
+BANDS, ROWS = 32, 8
+#: Bits of the sketch that lets only texts with a candidate through; texts it lets through for nothing cost time only.
+SKETCH = 1 << 26
+#: Members of a bucket in a block, and how far below the similarity a pair's agreeing registers may stay.
+BLOCK, MARGIN = 128, 0.07
 #: Lower-cases A-Z and turns other ASCII than digits and letters into spaces.
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 C1, C2, C3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -76,7 +80,7 @@ def prob_minhash(doc: np.ndarray, element: np.ndarray, weight: np.ndarray, docs:
 
 
 def signatures(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, size: int = SHINGLE) -> DataFrame:
-    """doc_id, key (MD5 of the text), n (different shingles) and the hash of each band, none without shingles."""
+    """doc_id, key (MD5 of the text), n (different shingles), the hash of each band (none without shingles), and a byte of each register."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = Hashes()
@@ -91,15 +95,16 @@ def signatures(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, size: int
                     elements.append(e)
                     weights.append(1 + np.log(c))
                 sig = prob_minhash(np.concatenate(owner), np.concatenate(elements), np.concatenate(weights), s.num_rows, bands * rows).reshape(-1, bands, rows)
+                short = sig.reshape(s.num_rows, -1).astype(np.uint8)
                 h = np.broadcast_to(np.arange(1, bands + 1, dtype=np.uint64), sig.shape[:2]).copy()
                 for r in range(rows):
                     h = mix(h * C1 + sig[:, :, r])
                 h = h.astype(np.int64)
                 out = pa.array([x if k else x[:0] for x, k in zip(h, n)], pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([s.column("doc_id"), s.column("key"), pa.array(n), out], ["doc_id", "key", "n", "bands"])
+                yield pa.RecordBatch.from_arrays([s.column("doc_id"), s.column("key"), pa.array(n), out, pa.array([x.tobytes() for x in short], pa.binary())], ["doc_id", "key", "n", "bands", "sig"])
 
     text = F.coalesce("text", F.lit(""))
-    return docs.select("doc_id", F.md5(text).alias("key"), text.alias("text")).mapInArrow(sign, "doc_id long, key string, n int, bands array<long>")
+    return docs.select("doc_id", F.md5(text).alias("key"), text.alias("text")).mapInArrow(sign, "doc_id long, key string, n int, bands array<long>, sig binary")
 
 
 def similar(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
@@ -119,7 +124,62 @@ def similar(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return pairs.join(left, "u").join(right, "v").select("u", "v", "set_u", "set_v").mapInArrow(verify, "u long, v long")
 
 
-def classes(docs: DataFrame, least: float = SIMILARITY, size: int = SHINGLE, star_rounds: int = 6) -> DataFrame:
+def promising(members: DataFrame, sigs: DataFrame, least: float) -> DataFrame:
+    """Pairs (u, v) of members (bucket, gid, n, component, blocks) of one bucket and different components whose signatures and sizes allow a similarity of least."""
+    own = F.pmod(F.xxhash64("gid", "bucket"), F.col("blocks")).cast("int")
+    cells = members.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cells = cells.select("gid", "n", "component", "own", F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other")).alias("cell"), (F.col("own") == F.col("other")).alias("inner"))
+    cells = materialize(cells, "cells").join(sigs, "gid")
+    parts = max(1, int(members.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+    def compare(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(held)
+        if t.num_rows < 2:
+            return
+        gid, n, part, own = (t.column(c).to_numpy() for c in ("gid", "n", "component", "own"))
+        sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint8).reshape(len(gid), -1)
+        inner = t.column("inner")[0].as_py()
+        left = np.arange(len(gid)) if inner else np.flatnonzero(own == own.min())
+        right = left if inner else np.flatnonzero(own != own.min())
+        found = []
+        for i in left.tolist():
+            near = right[(part[right] != part[i]) & (np.minimum(n[right], n[i]) >= least * np.maximum(n[right], n[i]))]
+            if inner:
+                near = near[near > i]
+            if len(near):
+                near = near[(sig[near] == sig[i]).mean(axis=1) >= least - MARGIN]
+                found.append((np.minimum(gid[near], gid[i]), np.maximum(gid[near], gid[i])))
+        if found and sum(len(x[0]) for x in found):
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([x[k] for x in found])) for k in (0, 1)], ["u", "v"])
+
+    return cells.repartition(parts, "cell").sortWithinPartitions("cell").mapInArrow(by_key("cell", compare), "u long, v long")
+
+
+def sets_of(docs: DataFrame, ends: DataFrame, size: int) -> DataFrame:
+    """gid, set (sorted shingle hashes) for the texts of ends (gid, key). Only their sets are shuffled, no text is."""
+    position = lambda key: F.pmod(F.xxhash64(key), F.lit(SKETCH)) + 1
+    blocks = ends.select(position("key").alias("at")).groupBy(F.bitmap_bucket_number("at").alias("block")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits"))
+    sketch = np.zeros(SKETCH // 8, np.uint8)
+    for r in blocks.toLocalIterator():
+        sketch[(r["block"] - 1) * 4096 : r["block"] * 4096] = np.frombuffer(r["bits"], np.uint8)
+    shared = docs.sparkSession.sparkContext.broadcast(sketch)
+
+    def shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, bits = Hashes(), shared.value
+        for b in batches:
+            at = b.column("at").to_numpy() - 1
+            rows = np.flatnonzero(bits[at >> 3] >> (at & 7).astype(np.uint8) & 1)
+            for i in range(0, len(rows), 512):
+                pick = rows[i : i + 512]
+                out = [np.unique(shingles(b.column("text")[j].as_buffer().to_pybytes(), hashes, size)).tobytes() for j in pick.tolist()]
+                yield pa.RecordBatch.from_arrays([b.column("key").take(pa.array(pick)), pa.array(out, pa.binary())], ["key", "set"])
+
+    text = F.coalesce("text", F.lit(""))
+    found = docs.select(F.md5(text).alias("key"), text.alias("text")).select("key", position("key").alias("at"), "text").mapInArrow(shingle, "key string, set binary")
+    return found.groupBy("key").agg(F.first("set").alias("set")).join(ends, "key").select("gid", "set")
+
+
+def classes(docs: DataFrame, least: float = SIMILARITY, size: int = SHINGLE) -> DataFrame:
     """Near-duplicate classes of docs (doc_id, text): doc_id, key, class_id, kept.
 
     Two texts link if the sets of their five-word shingles (lower-cased words of letters, digits and
@@ -131,13 +191,13 @@ def classes(docs: DataFrame, least: float = SIMILARITY, size: int = SHINGLE, sta
     Other columns are ignored.
 
     Equal texts become one row first. Candidates share a band of a ProbMinHash signature (shingles weigh
-    1 + ln of their count). Every bucket first compares its members with one of them; members already in one
-    class need no comparison, so that a bucket of n copies costs n and not n*n. That is repeated with another
-    centre of the largest class while many pairs are left, and the pairs still between classes are all compared.
+    1 + ln of their count). Every bucket first compares its members with one of them, so that a bucket of n
+    copies costs n comparisons and not n*n. Pairs of a bucket that are then still in different classes meet in
+    cells of bounded size, where signatures tell apart those that may reach least; these are all compared.
     """
     spark = docs.sparkSession
     signed = materialize(signatures(docs, size=size), "signed")
-    groups = signed.groupBy("key").agg(F.min("doc_id").alias("least_id"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+    groups = signed.groupBy("key").agg(F.min("doc_id").alias("least_id"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
     groups = materialize(groups.withColumn("gid", F.monotonically_increasing_id()), "texts")
     rows = groups.select("gid", "n", F.explode("bands").alias("bucket"))
     buckets = rows.groupBy("bucket").agg(F.count("*").alias("c"), F.min(F.struct("gid", "n")).alias("m")).filter("c > 1")
@@ -145,49 +205,19 @@ def classes(docs: DataFrame, least: float = SIMILARITY, size: int = SHINGLE, sta
     members = materialize(rows.join(buckets, "bucket"), "members")
     ratio = lambda a, b: F.least(a, b) >= F.greatest(a, b) * F.lit(least)
 
-    ends = members.select("gid").distinct().join(groups.select("gid", "key"), "gid")
-    text = F.coalesce("text", F.lit(""))
-    picked = docs.select(F.md5(text).alias("key"), text.alias("text")).join(materialize(ends, "ends"), "key")
-
-    def shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = Hashes()
-        for b in batches:
-            for i in range(0, b.num_rows, 512):
-                s = b.slice(i, 512)
-                out = [np.unique(shingles(t.as_buffer().to_pybytes(), hashes, size)).tobytes() for t in s.column("text")]
-                yield pa.RecordBatch.from_arrays([s.column("gid"), pa.array(out, pa.binary())], ["gid", "set"])
-
-    once = picked.groupBy("gid").agg(F.first("text").alias("text"))
-    sets = materialize(once.mapInArrow(shingle, "gid long, set binary"), "sets")
+    ends = materialize(members.select("gid").distinct().join(groups.select("gid", "key"), "gid"), "ends")
+    sets = materialize(sets_of(docs, ends, size), "sets")
 
     pairs = members.filter(F.col("gid") != F.col("u")).filter(ratio(F.col("n"), F.col("nu"))).select("u", F.col("gid").alias("v")).distinct()
     edges = materialize(similar(materialize(pairs, "pairs"), sets, least), "edges")
     labels = components(edges)
-    members = members.select("bucket", "gid", "n")
-    for turn in range(star_rounds + 1):
-        named = members.join(labels.withColumnRenamed("node", "gid"), "gid", "left").withColumn("component", F.coalesce("component", "gid"))
-        named = materialize(named, "named")
-        order = F.xxhash64("gid", F.lit(turn))
-        within = named.groupBy("bucket", "component").agg(F.count("*").alias("c"), F.min_by(F.struct("gid", "n"), order).alias("m"))
-        open_ = within.groupBy("bucket").agg(F.count("*").alias("parts"), F.sum("c").alias("all"), F.sum(F.col("c") * F.col("c")).alias("squares"), F.max_by(F.struct("component", "m"), F.struct("c", "component")).alias("w")).filter("parts > 1")
-        open_ = materialize(open_.select("bucket", F.col("w.component").alias("main"), F.col("w.m.gid").alias("u"), F.col("w.m.n").alias("nu"), ((F.col("all") * F.col("all") - F.col("squares")) / 2).alias("left")), "open")
-        todo, count = open_.agg(F.sum("left"), F.count("*")).first()
-        if not count:
-            break
-        named = materialize(named.join(open_, "bucket"), "open")
-        last = turn == star_rounds or todo <= 4 * named.count()
-        if last:
-            a = named.select("bucket", F.col("gid").alias("u"), F.col("n").alias("nu"), F.col("component").alias("cu"))
-            b = named.select("bucket", F.col("gid").alias("v"), F.col("n").alias("nv"), F.col("component").alias("cv"))
-            new = materialize(a, "left").join(materialize(b, "right"), "bucket").filter(F.col("cu") < F.col("cv")).filter(ratio(F.col("nu"), F.col("nv"))).select("u", "v").distinct()
-        else:
-            new = named.filter(F.col("component") != F.col("main")).filter(ratio(F.col("n"), F.col("nu"))).select("u", F.col("gid").alias("v")).distinct()
-        found = materialize(similar(materialize(new, "pairs"), sets, least), "edges")
-        if not found.isEmpty():
-            edges = edges.union(found)
-            labels = components(edges)
-        if last:
-            break
+    named = members.select("bucket", "gid", "n").join(labels.withColumnRenamed("node", "gid"), "gid", "left").withColumn("component", F.coalesce("component", "gid"))
+    named = materialize(named, "named")
+    open_ = named.groupBy("bucket").agg(F.count("*").alias("c"), F.min("component").alias("a"), F.max("component").alias("b")).filter("a <> b").select("bucket", "c")
+    named = named.join(materialize(open_, "open"), "bucket").withColumn("blocks", F.ceil(F.col("c") / BLOCK).cast("int"))
+    pairs = materialize(promising(materialize(named, "open"), groups.select("gid", "sig"), least).distinct(), "pairs")
+    if not pairs.isEmpty():
+        labels = components(edges.union(materialize(similar(pairs, sets, least), "edges")))
     per_text = groups.select("key", "gid", "least_id").join(labels.withColumnRenamed("node", "gid"), "gid", "left").withColumn("component", F.coalesce("component", "gid"))
     per_text = materialize(per_text, "labels")
     smallest = materialize(per_text.groupBy("component").agg(F.min("least_id").alias("class_id")), "classes")
@@ -195,5 +225,18 @@ def classes(docs: DataFrame, least: float = SIMILARITY, size: int = SHINGLE, sta
     return signed.select("doc_id", "key").join(named, "key").select("doc_id", "key", "class_id", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"))
 
 
+def one_of_each(docs: DataFrame, least: float = SIMILARITY, size: int = SHINGLE) -> DataFrame:
+    """docs (doc_id, text and any others) with one row of each near-duplicate class: the one with the smallest doc_id.
+
+    Rows equal in doc_id and text count as one row, of which one stays.
+    """
+    found = materialize(classes(docs, least, size), "classes")
+    gone = found.filter("not kept").select(F.col("doc_id").alias("_id"), F.col("key").alias("_key")).distinct()
+    key = F.md5(F.coalesce("text", F.lit("")))
+    left = docs.join(materialize(gone, "gone"), (key == F.col("_key")) & docs["doc_id"].eqNullSafe(F.col("_id")), "left_anti")
+    again = found.filter("kept").groupBy("class_id").count().filter("count > 1")
+    return left if again.isEmpty() else left.withColumn("_key", key).dropDuplicates(["doc_id", "_key"]).drop("_key")
+
+
 def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "kept")

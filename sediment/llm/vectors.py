@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import components, materialize, table
+from .common import by_key, components, materialize, table
 
 BLOCK = 512
 
@@ -102,24 +102,7 @@ def near_embeddings(vectors: DataFrame, threshold: float = 0.93, miss: float = 0
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     cells = cells.repartition(parts, "cell").sortWithinPartitions("cell")
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        for b in batches:
-            keys = b.column("cell").to_numpy()
-            cuts = np.flatnonzero(np.diff(keys)) + 1
-            if held and held[-1].column("cell")[0].as_py() != keys[0]:
-                yield from links(held, threshold)
-                held = []
-            bounds = [0, *cuts.tolist(), len(keys)]
-            for i, j in zip(bounds, bounds[1:]):
-                held.append(b.slice(i, j - i))
-                if j < len(keys):
-                    yield from links(held, threshold)
-                    held = []
-        if held:
-            yield from links(held, threshold)
-
-    found = materialize(cells.mapInArrow(compare, "rid long, n long, root long"), "links")
+    found = materialize(cells.mapInArrow(by_key("cell", lambda held: links(held, threshold)), "rid long, n long, root long"), "links")
     counts = found.groupBy("rid").agg(F.sum("n").alias("n"))
     parts_of = components(found.filter("rid <> root").select(F.col("rid").alias("u"), F.col("root").alias("v")))
     labels = reps.select("rid", "weight", "least").join(parts_of.withColumnRenamed("node", "rid"), "rid", "left").withColumn("component", F.coalesce("component", "rid"))
@@ -228,23 +211,7 @@ def top_products(vectors: DataFrame, every: int = 50, k: int = 5, scale: float =
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(4096, qgroups * cgroups * len(counts)))
     both = both.repartition(tasks, "cell").sortWithinPartitions("cell", F.col("is_query").desc(), F.col("length").desc(), "vec_id")
 
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        for b in batches:
-            keys = b.column("cell").to_numpy()
-            bounds = [0, *(np.flatnonzero(np.diff(keys)) + 1).tolist(), len(keys)]
-            if held and held[-1].column("cell")[0].as_py() != keys[0]:
-                yield from best_of(held, bases, k, lead)
-                held = []
-            for i, j in zip(bounds, bounds[1:]):
-                held.append(b.slice(i, j - i))
-                if j < len(keys):
-                    yield from best_of(held, bases, k, lead)
-                    held = []
-        if held:
-            yield from best_of(held, bases, k, lead)
-
-    found = both.mapInArrow(search, "query_id long, vec_id long, score long, copy int")
+    found = both.mapInArrow(by_key("cell", lambda held: best_of(held, bases, k, lead)), "query_id long, vec_id long, score long, copy int")
     order = F.row_number().over(Window.partitionBy("query_id", "copy").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", order.cast("int")).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
