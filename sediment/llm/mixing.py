@@ -118,9 +118,9 @@ def solve(members: DataFrame, targets: dict[str, float], budget: float | None =
     return steps
 
 
-def plan(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], budget: float | None = None):
-    """The materialized members of docs (doc_id, tokens, p0, ...), the model and the steps."""
-    measured = materialize(with_features(docs.select("doc_id", "text")).drop("text"), "features")
+def plan(measured: DataFrame, labelled: DataFrame, targets: dict[str, float], budget: float | None = None):
+    """The materialized members of measured (doc_id, tokens, features), the model and the steps."""
+    measured = measured.select("doc_id", "tokens", *COLUMNS)
     model = learn(measured, labelled, list(targets))
     members = materialize(with_posteriors(measured, model, list(targets)), "members")
     return members, model, solve(members, targets, budget)
@@ -134,7 +134,8 @@ def rates(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] = TARG
     Without labelled rows all posteriors are equal; without tokens all rates are 1. Other columns are ignored.
     Targets that no nonnegative rates meet are met as nearly as the weighted least squares allow.
     """
-    members, _, steps = plan(docs, labelled, targets, budget)
+    measured = materialize(with_features(docs.select("doc_id", "text")).drop("text"), "features")
+    members, _, steps = plan(measured, labelled, targets, budget)
     return members.select("doc_id", "tokens", *[F.col(f"p{i}").alias(f"p_{d}") for i, d in enumerate(targets)], rate_of(steps).alias("rate"))
 
 
@@ -143,12 +144,13 @@ def mixed(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] = TARG
 
     A document of a rate of 1 or more is never lost. The columns are those of docs.
     """
-    _, model, steps = plan(docs, labelled, targets, budget)
-    chance = F.pmod(F.xxhash64("doc_id", "text", F.lit(97)), F.lit(1 << 30)) / F.lit(float(1 << 30))
     own = F.struct(*[F.col(c) for c in docs.columns]).alias("_own")
-    rows = with_posteriors(with_features(docs.select(own, "doc_id", "text")), model, list(targets))
-    rows = rows.withColumn("_n", F.floor(rate_of(steps) + chance).cast("int"))
-    return rows.filter("_n > 0").withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("_n")))).select("_own.*")
+    chance = F.pmod(F.xxhash64("doc_id", "text", F.lit(97)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    measured = materialize(with_features(docs.select(own, "doc_id", "text")).withColumn("_chance", chance).drop("text"), "features")
+    _, model, steps = plan(measured, labelled, targets, budget)
+    rows = with_posteriors(measured, model, list(targets))
+    rows = rows.withColumn("_n", F.floor(rate_of(steps) + F.col("_chance")).cast("int"))
+    return rows.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("_n")))).select("_own.*")
 
 
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
