@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -64,6 +65,17 @@ def attach(df: DataFrame, key: str, groups: DataFrame, count: str, salt: Column)
     return out.select(*[df[c] for c in df.columns], *[F.col(f"_v.{c}").alias(c) for c in cols])
 
 
+def slices(batch: pa.RecordBatch, column: str = "text", rows: int = 512, size: int = 1 << 21) -> Iterator[pa.RecordBatch]:
+    """The batch in runs of rows of at most about size bytes in the column, but of one row at least."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    start = 0
+    while start < len(ends):
+        most = (ends[start - 1] if start else 0) + size
+        stop = max(start + 1, min(start + rows, int(np.searchsorted(ends, most, "right"))))
+        yield batch.slice(start, stop - start)
+        start = stop
+
+
 def by_key(key: str, work: Callable[[list[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable:
     """A function for mapInArrow that hands the rows of each key, of partitions sorted by it, to work."""
 

@@ -9,14 +9,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import by_key, components, materialize, table
+from .common import by_key, components, materialize, slices, table
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 32, 8
 #: Bits of the sketch that lets only texts with a candidate through; texts it lets through for nothing cost time only.
 SKETCH = 1 << 26
 #: Members of a bucket in a block, and how far below the similarity a pair's agreeing registers may stay.
-BLOCK, MARGIN = 128, 0.07
+BLOCK, MARGIN = 256, 0.08
 #: Lower-cases A-Z and turns other ASCII than digits and letters into spaces.
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 C1, C2, C3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -35,7 +35,7 @@ class Hashes(dict):
     def __missing__(self, word: bytes) -> int:
         import xxhash
 
-        if len(self) > 500_000:
+        if len(self) > 200_000:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h
@@ -63,6 +63,9 @@ def prob_minhash(doc: np.ndarray, element: np.ndarray, weight: np.ndarray, docs:
     Jaccard similarity of their weights.
     """
     first, kept = np.full(docs * m, np.inf), np.zeros(docs * m, np.uint64)
+    alone = np.bincount(doc, minlength=docs)[doc] == 1
+    kept.reshape(docs, m)[doc[alone]] = element[alone][:, None]  # an only element gets every register
+    doc, element, weight = doc[~alone], element[~alone], weight[~alone]
     state, time = element.copy(), np.zeros(len(element))
     while len(element):
         state = state + C1
@@ -85,8 +88,7 @@ def signatures(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, size: int
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = Hashes()
         for b in batches:
-            for i in range(0, b.num_rows, 512):
-                s = b.slice(i, 512)
+            for s in slices(b):
                 owner, elements, weights, n = [], [], [], np.zeros(s.num_rows, np.int32)
                 for j, text in enumerate(s.column("text")):
                     e, c = np.unique(shingles(text.as_buffer().to_pybytes(), hashes, size), return_counts=True)
@@ -116,43 +118,82 @@ def similar(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
         for b in batches:
             keep = []
             for x, y in zip(b.column("set_u"), b.column("set_v")):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = len(x) + len(y) - len(np.union1d(x, y)) if min(len(x), len(y)) >= least * max(len(x), len(y)) else 0
-                keep.append(both >= least * (len(x) + len(y) - both))
+                keep.append(jaccard_reaches(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), least))
             yield pa.RecordBatch.from_arrays([b.column("u").filter(k := pa.array(keep, pa.bool_())), b.column("v").filter(k)], ["u", "v"])
 
     return pairs.join(left, "u").join(right, "v").select("u", "v", "set_u", "set_v").mapInArrow(verify, "u long, v long")
 
 
-def promising(members: DataFrame, sigs: DataFrame, least: float) -> DataFrame:
-    """Pairs (u, v) of members (bucket, gid, n, component, blocks) of one bucket and different components whose signatures and sizes allow a similarity of least."""
+def links_across(members: DataFrame, groups: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """Links (u, v) between members (bucket, gid, n, component, blocks) of one bucket and different components.
+
+    Members of a bucket meet in cells of two blocks. There, sizes and signatures leave the pairs that may reach
+    least, each in the first bucket that both share; they stay packed, as a list of partners with each member.
+    The members that have any then meet once more with their shingle sets. Of the links found in a cell those
+    that join more of it are returned: rows follow the members of a bucket, not its pairs.
+    """
     own = F.pmod(F.xxhash64("gid", "bucket"), F.col("blocks")).cast("int")
     cells = members.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    cells = cells.select("gid", "n", "component", "own", F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other")).alias("cell"), (F.col("own") == F.col("other")).alias("inner"))
-    cells = materialize(cells, "cells").join(sigs, "gid")
+    cells = cells.select("gid", "n", "component", "own", "bucket", F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other")).alias("cell"), (F.col("own") == F.col("other")).alias("inner"))
+    cells = materialize(cells, "cells").join(groups.select("gid", "sig", "bands"), "gid")
     parts = max(1, int(members.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
-    def compare(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def promising(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = pa.Table.from_batches(held)
         if t.num_rows < 2:
             return
         gid, n, part, own = (t.column(c).to_numpy() for c in ("gid", "n", "component", "own"))
         sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint8).reshape(len(gid), -1)
-        inner = t.column("inner")[0].as_py()
+        bands = t.column("bands").combine_chunks().flatten().to_numpy().reshape(len(gid), -1)
+        inner, bucket = t.column("inner")[0].as_py(), t.column("bucket")[0].as_py()
         left = np.arange(len(gid)) if inner else np.flatnonzero(own == own.min())
         right = left if inner else np.flatnonzero(own != own.min())
-        found = []
+        partners: dict[int, np.ndarray] = {}
         for i in left.tolist():
             near = right[(part[right] != part[i]) & (np.minimum(n[right], n[i]) >= least * np.maximum(n[right], n[i]))]
             if inner:
                 near = near[near > i]
             if len(near):
                 near = near[(sig[near] == sig[i]).mean(axis=1) >= least - MARGIN]
-                found.append((np.minimum(gid[near], gid[i]), np.maximum(gid[near], gid[i])))
-        if found and sum(len(x[0]) for x in found):
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([x[k] for x in found])) for k in (0, 1)], ["u", "v"])
+                near = near[bands[i][(bands[near] == bands[i]).argmax(axis=1)] == bucket] if len(near) else near
+            if len(near):
+                partners[i] = gid[near]
+                for j in near.tolist():
+                    partners.setdefault(j, gid[:0])
+        if partners:
+            at = np.array(sorted(partners))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), t.column("cell")[0].as_py())), pa.array(gid[at]), pa.array([partners[i] for i in at.tolist()], pa.list_(pa.int64()))], ["cell", "gid", "partners"])
+
+    def verify(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(held)
+        gid = t.column("gid").to_pylist()
+        own = {g: np.frombuffer(x.as_buffer(), np.uint64) for g, x in zip(gid, t.column("set"))}
+        root, found = {g: g for g in gid}, []
+
+        def top(x: int) -> int:
+            while root[x] != x:
+                root[x] = x = root[root[x]]
+            return x
+
+        for g, others in zip(gid, t.column("partners").to_pylist()):
+            for o in others:
+                if top(g) != top(o) and jaccard_reaches(own[g], own[o], least):
+                    root[top(g)] = top(o)
+                    found.append((g, o))
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], ["u", "v"])
+
+    meet = lambda rows, work, schema: rows.repartition(parts, "cell").sortWithinPartitions("cell").mapInArrow(by_key("cell", work), schema)
+    packed = materialize(meet(cells, promising, "cell long, gid long, partners array<long>"), "packed")
+    return meet(packed.join(sets, "gid"), verify, "u long, v long")
+
 
-    return cells.repartition(parts, "cell").sortWithinPartitions("cell").mapInArrow(by_key("cell", compare), "u long, v long")
+def jaccard_reaches(x: np.ndarray, y: np.ndarray, least: float) -> bool:
+    """Whether two sorted sets have a Jaccard similarity of least or more."""
+    if min(len(x), len(y)) < least * max(len(x), len(y)):
+        return False
+    both = len(x) + len(y) - len(np.union1d(x, y))
+    return both >= least * (len(x) + len(y) - both)
 
 
 def sets_of(docs: DataFrame, ends: DataFrame, size: int) -> DataFrame:
@@ -168,11 +209,10 @@ def sets_of(docs: DataFrame, ends: DataFrame, size: int) -> DataFrame:
         hashes, bits = Hashes(), shared.value
         for b in batches:
             at = b.column("at").to_numpy() - 1
-            rows = np.flatnonzero(bits[at >> 3] >> (at & 7).astype(np.uint8) & 1)
-            for i in range(0, len(rows), 512):
-                pick = rows[i : i + 512]
-                out = [np.unique(shingles(b.column("text")[j].as_buffer().to_pybytes(), hashes, size)).tobytes() for j in pick.tolist()]
-                yield pa.RecordBatch.from_arrays([b.column("key").take(pa.array(pick)), pa.array(out, pa.binary())], ["key", "set"])
+            hit = bits[at >> 3] >> (at & 7).astype(np.uint8) & 1
+            for s in slices(b.filter(pa.array(hit.astype(bool)))):
+                out = [np.unique(shingles(t.as_buffer().to_pybytes(), hashes, size)).tobytes() for t in s.column("text")]
+                yield pa.RecordBatch.from_arrays([s.column("key"), pa.array(out, pa.binary())], ["key", "set"])
 
     text = F.coalesce("text", F.lit(""))
     found = docs.select(F.md5(text).alias("key"), text.alias("text")).select("key", position("key").alias("at"), "text").mapInArrow(shingle, "key string, set binary")
@@ -215,9 +255,9 @@ def classes(docs: DataFrame, least: float = SIMILARITY, size: int = SHINGLE) ->
     named = materialize(named, "named")
     open_ = named.groupBy("bucket").agg(F.count("*").alias("c"), F.min("component").alias("a"), F.max("component").alias("b")).filter("a <> b").select("bucket", "c")
     named = named.join(materialize(open_, "open"), "bucket").withColumn("blocks", F.ceil(F.col("c") / BLOCK).cast("int"))
-    pairs = materialize(promising(materialize(named, "open"), groups.select("gid", "sig"), least).distinct(), "pairs")
-    if not pairs.isEmpty():
-        labels = components(edges.union(materialize(similar(pairs, sets, least), "edges")))
+    more = materialize(links_across(materialize(named, "open"), groups, sets, least), "edges")
+    if not more.isEmpty():
+        labels = components(edges.union(more))
     per_text = groups.select("key", "gid", "least_id").join(labels.withColumnRenamed("node", "gid"), "gid", "left").withColumn("component", F.coalesce("component", "gid"))
     per_text = materialize(per_text, "labels")
     smallest = materialize(per_text.groupBy("component").agg(F.min("least_id").alias("class_id")), "classes")
