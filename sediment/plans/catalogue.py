@@ -14,8 +14,10 @@ from pyspark.sql.window import Window
 
 from ..functions import scalar as S
 from ..functions import vocabulary as V
-from ..operators import correlation, machines, search
+from ..operators import chunking, correlation, machines, models, search
+from ..sources import extract
 from ..sources import standins as T
+from ..streaming import events as streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -134,10 +136,13 @@ def in_time(df: DataFrame) -> DataFrame:
     return df.withColumn("t", F.unix_timestamp("h"))
 
 
-ORDER = Window.orderBy("t")
-simple("win_velocity", lambda s, d: in_time(hourly(s, d)).select("t", F.round((F.col("n") - F.lag("n").over(ORDER)) / (F.col("t") - F.lag("t").over(ORDER)) * 60, 6).alias("rate")), f"select epoch(h)::bigint as t, round((n - lag(n) over (order by h)) / (epoch(h) - lag(epoch(h)) over (order by h)) * 60, 6) as rate from {MINUTES}")
-simple("win_velocity_avg", lambda s, d: in_time(hourly(s, d)).select("t", F.round(F.avg("n").over(ORDER.rowsBetween(-59, 0)), 6).alias("mean")), f"select epoch(h)::bigint as t, round(avg(n) over (order by h rows between 59 preceding and current row), 6) as mean from {MINUTES}")
-simple("win_disk_rate", lambda s, d: in_time(hourly(s, d)).select("t", F.round((F.col("n") - F.lag("n").over(ORDER)) / 1048576, 12).alias("mib")), f"select epoch(h)::bigint as t, round((n - lag(n) over (order by h)) / 1048576, 12) as mib from {MINUTES}")
+def order():
+    return Window.orderBy("t")
+
+
+simple("win_velocity", lambda s, d: in_time(hourly(s, d)).select("t", F.round((F.col("n") - F.lag("n").over(order())) / (F.col("t") - F.lag("t").over(order())) * 60, 6).alias("rate")), f"select epoch(h)::bigint as t, round((n - lag(n) over (order by h)) / (epoch(h) - lag(epoch(h)) over (order by h)) * 60, 6) as rate from {MINUTES}")
+simple("win_velocity_avg", lambda s, d: in_time(hourly(s, d)).select("t", F.round(F.avg("n").over(order().rowsBetween(-59, 0)), 6).alias("mean")), f"select epoch(h)::bigint as t, round(avg(n) over (order by h rows between 59 preceding and current row), 6) as mean from {MINUTES}")
+simple("win_disk_rate", lambda s, d: in_time(hourly(s, d)).select("t", F.round((F.col("n") - F.lag("n").over(order())) / 1048576, 12).alias("mib")), f"select epoch(h)::bigint as t, round((n - lag(n) over (order by h)) / 1048576, 12) as mib from {MINUTES}")
 simple("win_eta", lambda s, d: T.jobs(s, d).filter("completed_at is not null").withColumn("rn", F.row_number().over(Window.partitionBy("job_type").orderBy(F.desc("completed_at"), F.desc("job_id")))).filter("rn <= 10").groupBy("job_type").agg(F.round(F.avg(F.unix_timestamp("completed_at") - F.unix_timestamp("started_at")), 6).alias("mean_s")), f"select job_type, round(avg(floor(epoch(completed_at)) - floor(epoch(started_at))), 6) as mean_s from (select *, row_number() over (partition by job_type order by completed_at desc, job_id desc) as rn from {JOBS} where completed_at is not null) where rn <= 10 group by job_type")
 simple("win_first_n", lambda s, d: T.messages(s, d).withColumn("rn", F.row_number().over(Window.partitionBy("conv_id").orderBy("sequence"))).filter("rn <= 5").select("conv_id", "sequence", "role"), "select conv_id, turn as sequence, case role when 'user' then 'human' else role end as role from conversations qualify row_number() over (partition by conv_id order by turn) <= 5")
 simple("win_topk_per_group", lambda s, d: T.entities(s, d).groupBy("entity_type", "normalized").agg(F.count("*").alias("n")).withColumn("rk", F.row_number().over(Window.partitionBy("entity_type").orderBy(F.desc("n"), "normalized"))).filter("rk <= 5").select("entity_type", "normalized", "n"), f"select * from (select entity_type, normalized, count(*) as n from {ENTITIES} group by all) qualify row_number() over (partition by entity_type order by n desc, normalized) <= 5")
@@ -230,3 +235,21 @@ simple("xm_collab", lambda s, d: machines.collaboration(machines.index(T.machine
 simple("join_machine_pairs", lambda s, d: machines.collaboration(machines.index(T.machine_words(s, d)), 1).select("m1", "m2", "shared"), f"with i as {INDEX} select a.machine as m1, b.machine as m2, count(*) as shared from i a join i b using (entity) where a.machine < b.machine group by all")
 simple("xm_expertise", lambda s, d: machines.silos(machines.index(T.machine_words(s, d))).select("machine", "only_here", "entities", r6("confidence"), r6("uniqueness")), f"with i as {INDEX}, o as (select max(machine) as machine from i group by entity having count(*) = 1) select machine, count(*) as only_here, max(e) as entities, round(least(1.0::double, count(*) / 50.0::double), 6) as confidence, round(count(*) / max(e)::double, 6) as uniqueness from o join (select machine, count(*) as e from i group by machine) using (machine) group by machine having count(*) >= 10")
 simple("xm_summary", QUERIES["agg_cross_summary"], ORACLES["agg_cross_summary"])
+
+# Chunkers
+simple("chunk_lines", lambda s, d: chunking.line_blocks(T.chunks(s, d), 10), "select doc_id as file_id, (i // 10)::int as chunk_index, array_to_string(string_split(text, chr(10))[i + 1:i + 10], chr(10)) as content from (select doc_id, text, unnest(generate_series(0, greatest(len(string_split(text, chr(10))) - 1, 0), 10)) as i from documents)")
+simple("chunk_paragraph", lambda s, d: chunking.paragraphs(T.chunks(s, d)).select("file_id", "chunk_index", "chunk_type", F.length("content").alias("n")))
+simple("chunk_text", lambda s, d: chunking.chunk_text(T.chunks(s, d)))
+simple("chunk_words", lambda s, d: chunking.chunk_words(T.chunks(s, d)))
+
+# Extractors, models, streams in their batch form
+simple("src_html_text", lambda s, d: T.table(s, d, "pages").select("page_id", extract.html("html").alias("x")).select("page_id", "x.*"))
+simple("src_markdown", lambda s, d: T.table(s, d, "documents").select("doc_id", F.size(extract.markdown_headers(F.col("text"))).cast("long").alias("headers")), "select doc_id, len(list_filter(string_split(text, chr(10)), lambda x: starts_with(x, '#')))::bigint as headers from documents")
+simple("gpu_cluster", lambda s, d: models.cluster(T.table(s, d, "embeddings")))
+simple("gpu_reduce", lambda s, d: models.reduce(T.table(s, d, "embeddings")).select("vec_id", F.round(F.abs(F.get("reduced", F.lit(0))), 4).alias("x")))
+simple("vec_ivf", lambda s, d: models.InvertedFile.build(T.table(s, d, "embeddings"), 20).nearest(first_vector(s, d)).select("vec_id", F.round("distance", 5).alias("distance")))
+simple("vec_context", lambda s, d: models.context(T.table(s, d, "embeddings"), T.table(s, d, "documents").select(F.col("doc_id").alias("vec_id"), F.col("text").alias("content")), first_vector(s, d)))
+simple("embed_batch", lambda s, d: models.hashed_embeddings(T.table(s, d, "conversations"), ["conv_id", "turn"], "text", 32))
+simple("st_debounce", lambda s, d: streams.debounce_batch(T.table(s, d, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts")), "user_id", "ts", 43200.0).groupBy("user_id").agg(F.count("*").alias("accepted")), "with recursive e as (select user_id, ts, row_number() over (partition by user_id order by ts) as i from events), f as (select user_id, i, ts as last, true as hit from e where i = 1 union all select e.user_id, e.i, case when epoch(e.ts) - epoch(f.last) >= 43200 then e.ts else f.last end, epoch(e.ts) - epoch(f.last) >= 43200 from f join e on e.user_id = f.user_id and e.i = f.i + 1) select user_id, count(*) filter (where hit) as accepted from f group by user_id")
+simple("st_rates", lambda s, d: streams.rates(T.table(s, d, "events").select(F.col("ts").cast("timestamp").alias("ts")), "ts", "1 hour").select(F.unix_timestamp("start").alias("t"), "n"), "select floor(epoch(date_trunc('hour', ts)))::bigint as t, count(*) as n from events group by 1")
+simple("st_upsert", lambda s, d: streams.latest(T.jobs(s, d).select("job_type", "job_id", "priority").filter("priority < 3"), T.jobs(s, d).select("job_type", "job_id", "priority"), ["job_type", "priority"], "job_id"), f"select job_type, max(job_id) as job_id, priority from {JOBS} group by job_type, priority")

@@ -1,0 +1,144 @@
+"""Extractors over columns of text: Markdown, HTML, Python, YAML and conversation exports."""
+
+from __future__ import annotations
+
+import ast
+import json
+from collections.abc import Iterator
+from html.parser import HTMLParser
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+SKIPPED = {"script", "style", "nav", "footer"}
+MESSAGE = "success boolean, error string, provider string, conversation_id string, title string, sequence int, role string, content string, at double"
+
+
+def markdown_headers(content: Column) -> Column:
+    """Lines that start with #, as structs of level and text."""
+    lines = F.filter(F.split(content, "\n"), lambda x: x.startswith("#"))
+    return F.transform(lines, lambda x: F.struct(F.length(F.regexp_extract(x, "^#+", 0)).alias("level"), F.trim(F.regexp_replace(x, "^#+", "")).alias("text")))
+
+
+class Page(HTMLParser):
+    """Text outside skipped elements, title and links of a page."""
+
+    def __init__(self):
+        super().__init__()
+        self.parts, self.title, self.links, self.inside, self.hidden = [], "", 0, "", 0
+
+    def handle_starttag(self, tag, attrs):
+        self.links += tag == "a" and any(k == "href" for k, _ in attrs)
+        self.hidden += tag in SKIPPED
+        self.inside = tag
+
+    def handle_endtag(self, tag):
+        self.hidden -= tag in SKIPPED and self.hidden > 0
+        self.inside = ""
+
+    def handle_data(self, data):
+        if self.inside == "title":
+            self.title += data.strip()
+        elif not self.hidden and data.strip():
+            self.parts.append(data.strip())
+
+
+def read_pages(pages: pd.Series) -> pd.DataFrame:
+    rows = []
+    for text in pages:
+        page = Page()
+        page.feed(text or "")
+        rows.append(("\n".join(page.parts), page.title, page.links))
+    return pd.DataFrame(rows, columns=["content", "title", "link_count"])
+
+
+def html(pages: Column | str) -> Column:
+    """content (text lines outside script, style, nav and footer), title and link_count of a page."""
+    return F.pandas_udf(read_pages, "content string, title string, link_count int")(pages)
+
+
+def elements_of(code: str | None) -> list[dict]:
+    """Functions and classes of Python source, breadth first; none where it doesn't parse."""
+    try:
+        tree = ast.parse(code or "")
+    except (SyntaxError, ValueError):
+        return []
+    out = []
+    for node in ast.walk(tree):
+        if isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)):
+            name = {ast.FunctionDef: "function", ast.AsyncFunctionDef: "async_function", ast.ClassDef: "class"}[type(node)]
+            names = [x.name for x in node.body if isinstance(x, (ast.FunctionDef, ast.AsyncFunctionDef))] if name == "class" else [a.arg for a in node.args.args]
+            out.append({"element_type": name, "name": node.name, "line_start": node.lineno, "line_end": node.end_lineno, "docstring": ast.get_docstring(node), "members": names})
+    return out
+
+
+def all_elements(code: pd.Series) -> pd.Series:
+    return code.map(elements_of)
+
+
+def python_elements(code: Column | str) -> Column:
+    return F.pandas_udf(all_elements, "array<struct<element_type:string,name:string,line_start:int,line_end:int,docstring:string,members:array<string>>>")(code)
+
+
+def top_keys(text: pd.Series) -> pd.Series:
+    import yaml
+
+    def keys(t: str | None) -> list[str]:
+        try:
+            value = yaml.safe_load(t or "")
+        except yaml.YAMLError:
+            return []
+        return [str(k) for k in list(value)[:20]] if isinstance(value, dict) else []
+
+    return text.map(keys)
+
+
+def yaml_keys(text: Column | str) -> Column:
+    """The first 20 top keys; none where the text doesn't parse."""
+    return F.pandas_udf(top_keys, "array<string>")(text)
+
+
+def parse_export(text: str) -> Iterator[tuple]:
+    """Messages of one export, in rows of MESSAGE; one row that says why where there are none to give."""
+    try:
+        data = json.loads(text)
+    except ValueError as e:
+        yield False, f"Invalid JSON: {e}", None, None, None, None, None, None, None
+        return
+    first = data[0] if isinstance(data, list) and data and isinstance(data[0], dict) else {}
+    if {"uuid", "name", "created_at", "chat_messages"} <= first.keys():
+        for c in data:
+            for i, m in enumerate(c.get("chat_messages") or []):
+                said = m.get("text") or " ".join(b.get("text", "") for b in m.get("content") or [] if b.get("type") == "text")
+                at = pd.to_datetime(m.get("created_at"), utc=True, errors="coerce")
+                yield True, None, "blocks", c.get("uuid"), c.get("name"), i, "human" if m.get("sender") == "human" else "assistant", said, None if pd.isna(at) else at.timestamp()
+    elif {"mapping", "title"} <= first.keys():
+        for c in data:
+            rows = []
+            for node in (c.get("mapping") or {}).values():
+                m = node.get("message") or {}
+                role = (m.get("author") or {}).get("role")
+                said = "\n".join(p for p in (m.get("content") or {}).get("parts") or [] if isinstance(p, str) and p)
+                if role in ("user", "assistant", "system") and said.strip():
+                    rows.append((m.get("create_time"), "human" if role == "user" else role, said))
+            rows.sort(key=lambda r: (r[0] is not None, r[0] or 0))
+            for i, (at, role, said) in enumerate(rows):
+                yield True, None, "mapping", c.get("id"), c.get("title"), i, role, said, at
+    elif isinstance(data, dict) and {"conversations", "chats"} & data.keys():
+        yield True, "no parser for this provider yet", "chats", None, None, None, None, None, None
+    else:
+        yield False, "Could not detect provider", None, None, None, None, None, None, None
+
+
+def exports(files: DataFrame) -> DataFrame:
+    """Messages of export files (path, value: the whole text); a malformed file gives one row with success false."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = [(p, *r) for p, t in zip(b["path"], b["value"]) for r in parse_export(t or "")]
+            out = pd.DataFrame(rows, columns=["path", *[x.split()[0] for x in MESSAGE.split(", ")]])
+            out["sequence"] = out["sequence"].astype("Int32")
+            yield out
+
+    return files.select("path", "value").mapInPandas(run, f"path string, {MESSAGE}")
