@@ -29,7 +29,7 @@ def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents are repeated or left out by rates that bring the domains' tokens to the target shares."""
-    return mixing.mixed(docs, mixing.domains_of(table(spark, sf_dir, "labels")))
+    return mixing.mixed(docs, mixing.domains_of(table(spark, sf_dir, "labels")), keep="good")
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

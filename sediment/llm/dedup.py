@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import by_key, components, materialize, slices, table
@@ -196,13 +196,20 @@ def jaccard_reaches(x: np.ndarray, y: np.ndarray, least: float) -> bool:
     return both >= least * (len(x) + len(y) - both)
 
 
+def position(key: Column) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(SKETCH)) + 1
+
+
+def sketch_of(keys: DataFrame, key: str) -> DataFrame:
+    """_block, _bits: which of SKETCH positions the keys take; SKETCH / 8 bytes at most."""
+    return keys.select(position(F.col(key)).alias("at")).groupBy(F.bitmap_bucket_number("at").alias("_block")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("_bits"))
+
+
 def sets_of(docs: DataFrame, ends: DataFrame, size: int) -> DataFrame:
     """gid, set (sorted shingle hashes) for the texts of ends (gid, key). Only their sets are shuffled, no text is."""
-    position = lambda key: F.pmod(F.xxhash64(key), F.lit(SKETCH)) + 1
-    blocks = ends.select(position("key").alias("at")).groupBy(F.bitmap_bucket_number("at").alias("block")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits"))
     sketch = np.zeros(SKETCH // 8, np.uint8)
-    for r in blocks.toLocalIterator():
-        sketch[(r["block"] - 1) * 4096 : r["block"] * 4096] = np.frombuffer(r["bits"], np.uint8)
+    for r in sketch_of(ends, "key").toLocalIterator():
+        sketch[(r["_block"] - 1) * 4096 : r["_block"] * 4096] = np.frombuffer(r["_bits"], np.uint8)
     shared = docs.sparkSession.sparkContext.broadcast(sketch)
 
     def shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -215,7 +222,7 @@ def sets_of(docs: DataFrame, ends: DataFrame, size: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([s.column("key"), pa.array(out, pa.binary())], ["key", "set"])
 
     text = F.coalesce("text", F.lit(""))
-    found = docs.select(F.md5(text).alias("key"), text.alias("text")).select("key", position("key").alias("at"), "text").mapInArrow(shingle, "key string, set binary")
+    found = docs.select(F.md5(text).alias("key"), text.alias("text")).select("key", position(F.col("key")).alias("at"), "text").mapInArrow(shingle, "key string, set binary")
     return found.groupBy("key").agg(F.first("set").alias("set")).join(ends, "key").select("gid", "set")
 
 
@@ -268,12 +275,20 @@ def classes(docs: DataFrame, least: float = SIMILARITY, size: int = SHINGLE) ->
 def one_of_each(docs: DataFrame, least: float = SIMILARITY, size: int = SHINGLE) -> DataFrame:
     """docs (doc_id, text and any others) with one row of each near-duplicate class: the one with the smallest doc_id.
 
-    Rows equal in doc_id and text count as one row, of which one stays.
+    Rows equal in doc_id and text count as one row, of which one stays. A sketch of bounded size (broadcast)
+    tells which rows may have to go; only these are shuffled with their texts.
     """
     found = materialize(classes(docs, least, size), "classes")
     gone = found.filter("not kept").select(F.col("doc_id").alias("_id"), F.col("key").alias("_key")).distinct()
+    gone = materialize(gone, "gone")
     key = F.md5(F.coalesce("text", F.lit("")))
-    left = docs.join(materialize(gone, "gone"), (key == F.col("_key")) & docs["doc_id"].eqNullSafe(F.col("_id")), "left_anti")
+    rows = docs.withColumn("_doc_key", key).withColumn("_at", position(F.col("_doc_key")))
+    rows = rows.join(F.broadcast(sketch_of(gone, "_key")), F.bitmap_bucket_number("_at") == F.col("_block"), "left")
+    byte, bit = F.floor(F.bitmap_bit_position("_at") / 8).cast("int"), (F.bitmap_bit_position("_at") % 8).cast("int")
+    hit = F.coalesce(F.getbit(F.conv(F.hex(F.substring("_bits", byte + 1, F.lit(1))), 16, 10).cast("int"), bit) == 1, F.lit(False))
+    rows = rows.withColumn("_hit", hit)
+    held = rows.filter("_hit").join(gone, (F.col("_doc_key") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")
+    left = rows.filter("not _hit").select(*docs.columns).unionByName(held.select(*docs.columns))
     again = found.filter("kept").groupBy("class_id").count().filter("count > 1")
     return left if again.isEmpty() else left.withColumn("_key", key).dropDuplicates(["doc_id", "_key"]).drop("_key")
 

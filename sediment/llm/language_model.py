@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import materialize, slices, table
 from .dedup import C1, C2, Hashes, mix
 
 PRIOR = 0.1
@@ -21,7 +21,7 @@ BASE, BITS, SET, MOST_BYTES = 1.5, 16, 5, 1 << 29
 STRENGTH = 20.0
 #: Tokens whose exact counts are broadcast; the counts of rarer ones are joined.
 HEAD = 1 << 18
-FLUSH = 6_000_000
+FLUSH = 4_000_000
 
 
 def held_out(doc_id: Column) -> Column:
@@ -196,8 +196,7 @@ def score(docs: DataFrame, head: int = HEAD, most_bytes: int = MOST_BYTES, stren
             one, two, top_keys, top_counts = shared.value
             singles, pairs, hashes = Filter(*one), Filter(*two), Hashes()
             for b in batches:
-                for i in range(0, b.num_rows, 512):
-                    s = b.slice(i, 512)
+                for s in slices(b):
                     parts = [tokens(t.as_buffer().to_pybytes(), hashes) for t in s.column("text")]
                     n = np.array([len(p) for p in parts])
                     firsts, t = np.cumsum(n) - n, np.concatenate(parts)

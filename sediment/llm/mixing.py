@@ -18,6 +18,7 @@ FEATURES = ("length", "word", "line", *SIGNS)
 COLUMNS = [f"f{i}" for i in range(len(FEATURES))]
 FLOOR = 1e-3
 LEAST_VARIANCE = 1e-2
+KEPT = 1.05
 
 
 def occurrences(text: Column, signs: str) -> Column:
@@ -118,11 +119,14 @@ def solve(members: DataFrame, targets: dict[str, float], budget: float | None =
     return steps
 
 
-def plan(measured: DataFrame, labelled: DataFrame, targets: dict[str, float], budget: float | None = None):
+def plan(measured: DataFrame, labelled: DataFrame, targets: dict[str, float], budget: float | None = None, keep: str | None = None):
     """The materialized members of measured (doc_id, tokens, features), the model and the steps."""
     measured = measured.select("doc_id", "tokens", *COLUMNS)
     model = learn(measured, labelled, list(targets))
     members = materialize(with_posteriors(measured, model, list(targets)), "members")
+    if keep is not None:
+        own = members.agg(F.sum(F.col("tokens") * F.col(f"p{list(targets).index(keep)}"))).first()[0] or 0.0
+        budget = KEPT * own * sum(targets.values()) / targets[keep] or None
     return members, model, solve(members, targets, budget)
 
 
@@ -139,15 +143,16 @@ def rates(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] = TARG
     return members.select("doc_id", "tokens", *[F.col(f"p{i}").alias(f"p_{d}") for i, d in enumerate(targets)], rate_of(steps).alias("rate"))
 
 
-def mixed(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] = TARGETS, budget: float | None = None) -> DataFrame:
+def mixed(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] = TARGETS, budget: float | None = None, keep: str | None = None) -> DataFrame:
     """docs repeated by their rates: a rate's whole part for sure, and once more with its fraction's chance, by a hash of id and text.
 
-    A document of a rate of 1 or more is never lost. The columns are those of docs.
+    A document of a rate of 1 or more is never lost. With keep, the budget is such that documents of that domain
+    have rates of about KEPT, a little over 1. The columns are those of docs.
     """
     own = F.struct(*[F.col(c) for c in docs.columns]).alias("_own")
     chance = F.pmod(F.xxhash64("doc_id", "text", F.lit(97)), F.lit(1 << 30)) / F.lit(float(1 << 30))
     measured = materialize(with_features(docs.select(own, "doc_id", "text")).withColumn("_chance", chance).drop("text"), "features")
-    _, model, steps = plan(measured, labelled, targets, budget)
+    _, model, steps = plan(measured, labelled, targets, budget, keep)
     rows = with_posteriors(measured, model, list(targets))
     rows = rows.withColumn("_n", F.floor(rate_of(steps) + F.col("_chance")).cast("int"))
     return rows.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("_n")))).select("_own.*")
