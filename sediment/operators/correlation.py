@@ -73,8 +73,8 @@ def pmi_pairs(entities: DataFrame, least_pmi: float = 1.5, least_files: int = 2,
 
 def term_hits(chunks: DataFrame) -> DataFrame:
     """A row per chunk, domain and term that the chunk's text contains: one projection of flags, no nested loop."""
-    text = F.lower("content")
-    terms = [F.when(F.contains(text, F.lit(t)), F.struct(F.lit(d).alias("domain"), F.lit(t).alias("term"))) for d, words in V.DOMAINS.items() for t in words]
+    chunks = chunks.select("file_id", F.lower("content").alias("text"))  # once a row, not once a term
+    terms = [F.when(F.contains("text", F.lit(t)), F.struct(F.lit(d).alias("domain"), F.lit(t).alias("term"))) for d, words in V.DOMAINS.items() for t in words]
     return chunks.select("file_id", F.explode(F.array_compact(F.array(*terms))).alias("hit")).select("file_id", "hit.domain", "hit.term")
 
 

@@ -192,11 +192,11 @@ simple("fn_pmi", lambda s, d: correlation.pmi_pairs(T.entities(s, d), 0.1, 1, 20
 # Text
 simple("ent_tech", lambda s, d: T.tech_entities(s, d).select("file_id", "normalized", "entity_type"), f"select file_id, normalized, 'TECH' as entity_type from {TECH}")
 RULE = "select doc_id as file_id, '{k}' as entity_type, i - 1 as position, v as value from (select doc_id, unnest(regexp_extract_all(text, '{p}')[1:{n}]) as v, generate_subscripts(regexp_extract_all(text, '{p}')[1:{n}], 1) as i from documents)"
-simple("ent_regex", lambda s, d: T.text_entities(s, d).filter("entity_type in ('EMAIL', 'URL', 'DATE')"), " union all ".join(RULE.format(k=k, p=V.ENTITY_RULES[k][0], n=10).replace("i - 1", "(i - 1)::int") for k in ("EMAIL", "URL", "DATE")))
-simple("ent_store", lambda s, d: T.text_entities(s, d).filter("entity_type = 'EMAIL'").select(F.concat_ws("_", F.col("file_id").cast("string"), F.col("position").cast("string")).alias("id"), S.norm_basic(F.col("value")).alias("normalized")), f"select file_id || '_' || position as id, {NORM.format('value')} as normalized from ({RULE.format(k='EMAIL', p=V.ENTITY_RULES['EMAIL'][0], n=10)})")
+simple("ent_regex", lambda s, d: T.text_entities(s, d, ("EMAIL", "URL", "DATE")), " union all ".join(RULE.format(k=k, p=V.ENTITY_RULES[k][0], n=10).replace("i - 1", "(i - 1)::int") for k in ("EMAIL", "URL", "DATE")))
+simple("ent_store", lambda s, d: T.text_entities(s, d, ("EMAIL",)).select(F.concat_ws("_", F.col("file_id").cast("string"), F.col("position").cast("string")).alias("id"), S.norm_basic(F.col("value")).alias("normalized")), f"select file_id || '_' || position as id, {NORM.format('value')} as normalized from ({RULE.format(k='EMAIL', p=V.ENTITY_RULES['EMAIL'][0], n=10)})")
 
 # Correlation
-simple("corr_consolidate", lambda s, d: correlation.consolidate(T.text_entities(s, d).withColumn("normalized", F.lower("value")).withColumn("context", F.lit("")).withColumn("id", F.col("position").cast("string")).filter("entity_type = 'EMAIL'"), T.files(s, d)).select("id", "entity_type", "normalized", "occurrence_count", "file_count"), f"select 'cent_' || substring(sha256('EMAIL:' || lower(value)), 1, 12) as id, 'EMAIL' as entity_type, lower(value) as normalized, count(*) as occurrence_count, count(distinct file_id) as file_count from ({RULE.format(k='EMAIL', p=V.ENTITY_RULES['EMAIL'][0], n=10)}) group by lower(value)")
+simple("corr_consolidate", lambda s, d: correlation.consolidate(T.text_entities(s, d, ("EMAIL",)).withColumn("normalized", F.lower("value")).withColumn("context", F.lit("")).withColumn("id", F.col("position").cast("string")), T.files(s, d)).select("id", "entity_type", "normalized", "occurrence_count", "file_count"), f"select 'cent_' || substring(sha256('EMAIL:' || lower(value)), 1, 12) as id, 'EMAIL' as entity_type, lower(value) as normalized, count(*) as occurrence_count, count(distinct file_id) as file_count from ({RULE.format(k='EMAIL', p=V.ENTITY_RULES['EMAIL'][0], n=10)}) group by lower(value)")
 simple("corr_cooccurrence", lambda s, d: correlation.cooccurrence(T.entities(s, d)).select("e1", "e2", "count", r6("strength")), f"select e1, e2, count, round(strength, 6) as strength from {PAIRS}")
 simple("corr_strength", lambda s, d: correlation.cooccurrence(T.entities(s, d)).groupBy("count").agg(F.round(F.max("strength"), 6).alias("strength")), f"select count, round(max(strength), 6) as strength from {PAIRS} group by count")
 simple("corr_related", lambda s, d: correlation.related(correlation.cooccurrence(T.entities(s, d)), "PERSON:supplier#000000001", 0.1).select("other", r6("strength")), f"select other, round(strength, 6) as strength from {RELATED} where key = 'PERSON:supplier#000000001' and strength >= 0.1::double order by strength desc, other limit 20")
@@ -253,3 +253,64 @@ simple("embed_batch", lambda s, d: models.hashed_embeddings(T.table(s, d, "conve
 simple("st_debounce", lambda s, d: streams.debounce_batch(T.table(s, d, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts")), "user_id", "ts", 43200.0).groupBy("user_id").agg(F.count("*").alias("accepted")), "with recursive e as (select user_id, ts, row_number() over (partition by user_id order by ts) as i from events), f as (select user_id, i, ts as last, true as hit from e where i = 1 union all select e.user_id, e.i, case when epoch(e.ts) - epoch(f.last) >= 43200 then e.ts else f.last end, epoch(e.ts) - epoch(f.last) >= 43200 from f join e on e.user_id = f.user_id and e.i = f.i + 1) select user_id, count(*) filter (where hit) as accepted from f group by user_id")
 simple("st_rates", lambda s, d: streams.rates(T.table(s, d, "events").select(F.col("ts").cast("timestamp").alias("ts")), "ts", "1 hour").select(F.unix_timestamp("start").alias("t"), "n"), "select floor(epoch(date_trunc('hour', ts)))::bigint as t, count(*) as n from events group by 1")
 simple("st_upsert", lambda s, d: streams.latest(T.jobs(s, d).select("job_type", "job_id", "priority").filter("priority < 3"), T.jobs(s, d).select("job_type", "job_id", "priority"), ["job_type", "priority"], "job_id"), f"select job_type, max(job_id) as job_id, priority from {JOBS} group by job_type, priority")
+
+# More reads, predicates and statistics
+CONSOLIDATED = f"(select entity_type, normalized, count(*) as n from {ENTITIES} group by all)"
+DISCOVERED = f"(select 'disc_' || substring(sha256('expertise_' || domain), 1, 12) as id, domain as title, confidence from {EXPERTISE} where hits >= 5 and confidence >= 0.3::double)"
+
+
+def discovered(s: SparkSession, d: str) -> DataFrame:
+    p = correlation.expertise(T.chunks(s, d)).select(F.lit("expertise").alias("pattern_type"), F.col("domain").alias("title"), "confidence", F.col("files").alias("sources"))
+    return correlation.surface(p, 0.3, 1)
+
+
+def feedback(s: SparkSession, d: str) -> DataFrame:
+    """Every second expertise discovery, by its title's length, was dismissed."""
+    return discovered(s, d).filter(F.length("title") % 2 == 0).select("id", F.lit("dismissed").alias("status"), F.lit("no").alias("note"), F.lit(1).alias("at"))
+
+
+def hourly_text(s: SparkSession, d: str) -> DataFrame:
+    """Counts of each hour of a day as one of eight levels between the day's least and most."""
+    h = T.table(s, d, "events").select(F.hour("ts").alias("h")).groupBy("h").agg(F.count("*").alias("n"))
+    ends = h.agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
+    span = F.when(F.col("hi") > F.col("lo"), F.col("hi") - F.col("lo")).otherwise(1)
+    return h.crossJoin(F.broadcast(ends)).select("h", F.floor((F.col("n") - F.col("lo")) / span * 7).cast("int").alias("level"))
+
+
+simple("pred_entities", lambda s, d: T.entities(s, d).groupBy("entity_type", "normalized").agg(F.count("*").alias("n")).filter("entity_type = 'ORG' and n >= 2").orderBy(F.desc("n"), "normalized").limit(50).select("normalized", "n"), f"select normalized, n from {CONSOLIDATED} where entity_type = 'ORG' and n >= 2 order by n desc, normalized limit 50")
+simple("pred_patterns", lambda s, d: correlation.expertise(T.chunks(s, d)).filter("confidence >= 0.5").select("domain", r6("confidence")), f"select domain, round(confidence, 6) as confidence from {EXPERTISE} where hits >= 5 and confidence >= 0.5::double")
+simple("pred_discoveries", lambda s, d: correlation.merge_feedback(discovered(s, d), feedback(s, d)).filter("status <> 'dismissed'").select("id", "title", r6("confidence")), f"select id, title, round(confidence, 6) as confidence from {DISCOVERED} where length(title) % 2 = 1")
+simple("join_feedback", lambda s, d: correlation.merge_feedback(discovered(s, d), feedback(s, d)).select("id", "status", "user_feedback"), f"select id, case when length(title) % 2 = 0 then 'dismissed' else 'active' end as status, case when length(title) % 2 = 0 then 'no' end as user_feedback from {DISCOVERED}")
+simple("disc_feedback", QUERIES["join_feedback"], ORACLES["join_feedback"])
+simple("disc_merge", QUERIES["pred_discoveries"], ORACLES["pred_discoveries"])
+simple("agg_discoveries_by_type", lambda s, d: discovered(s, d).groupBy("discovery_type").agg(F.count("*").alias("n")), f"select 'expertise' as discovery_type, count(*) as n from {DISCOVERED}")
+simple("agg_discovery_stats", lambda s, d: correlation.merge_feedback(discovered(s, d), feedback(s, d)).agg(F.count("*").alias("n"), F.count_if(F.col("status") == "active").alias("active"), F.round(F.coalesce(F.avg("confidence"), F.lit(0.0)), 6).alias("mean")), f"select count(*) as n, count(*) filter (where length(title) % 2 = 1) as active, round(coalesce(avg(confidence), 0), 6) as mean from {DISCOVERED}")
+simple("topk_discoveries", lambda s, d: discovered(s, d).orderBy(F.desc("confidence"), "id").limit(5).select("id"), f"select id from {DISCOVERED} order by confidence desc, id limit 5")
+simple("topk_pmi", QUERIES["gpu_patterns"], ORACLES["gpu_patterns"])
+simple("graph_nodes", lambda s, d: discovered(s, d).select("id", F.lit("discovery").alias("type"), F.col("title").alias("label")), f"select id, 'discovery' as type, title as label from {DISCOVERED}")
+simple("corr_run", lambda s, d: correlation.cooccurrence(T.entities(s, d)).agg(F.count("*").alias("pairs")).crossJoin(T.entities(s, d).agg(F.countDistinct("key").alias("entities"))).crossJoin(discovered(s, d).agg(F.count("*").alias("discoveries"))), f"select (select count(*) from {PAIRS}) as pairs, (select count(distinct key) from {ENTITIES}) as entities, (select count(*) from {DISCOVERED}) as discoveries")
+simple("win_sparkline", hourly_text, "with h as (select hour(ts)::int as h, count(*) as n from events group by 1) select h, floor((n - (select min(n) from h)) / (case when (select max(n) from h) > (select min(n) from h) then (select max(n) from h) - (select min(n) from h) else 1 end) * 7)::int as level from h")
+simple("win_progress_eta", lambda s, d: T.jobs(s, d).groupBy("job_type").agg(F.count_if(F.col("status") == "completed").alias("done"), F.count("*").alias("total")).select("job_type", F.round((F.col("total") - F.col("done")) / F.greatest("done", F.lit(1)) * 60, 6).alias("eta")), f"select job_type, round((count(*) - count(*) filter (where status = 'completed')) / greatest(count(*) filter (where status = 'completed'), 1) * 60, 6) as eta from {JOBS} group by job_type")
+
+# More sinks in their query form, functions, media
+simple("sink_job_cleanup", lambda s, d: T.jobs(s, d).filter(~(F.col("status").isin("completed", "failed") & (F.col("completed_at") < F.lit("2024-01-20").cast("timestamp")))).groupBy("status").agg(F.count("*").alias("n")), f"select status, count(*) as n from {JOBS} where not (status in ('completed', 'failed') and completed_at < timestamp '2024-01-20') group by status")
+simple("sink_upsert", QUERIES["st_upsert"], ORACLES["st_upsert"])
+simple("sink_vec_delete", lambda s, d: T.table(s, d, "embeddings").filter(~(F.col("label") == 3)).select("vec_id"), "select vec_id from embeddings where label <> 3")
+simple("sink_job_status", lambda s, d: T.jobs(s, d).groupBy("job_type").agg(F.max_by("status", F.struct("created_at", "job_id")).alias("status")), f"select job_type, arg_max(status, job_id) as status from {JOBS} group by job_type")
+simple("fn_word_count", QUERIES["src_text"], ORACLES["src_text"])
+simple("fn_norm_sync", lambda s, d: T.table(s, d, "supplier").select("s_suppkey", F.lower("s_name").alias("v")), "select s_suppkey, lower(s_name) as v from supplier")
+simple("fn_canonical_key", lambda s, d: T.entities(s, d).select("key").distinct(), f"select distinct key from {ENTITIES}")
+simple("fn_title", lambda s, d: T.table(s, d, "part").select("p_partkey", S.title(F.lower("p_type")).alias("v")), "select p_partkey, array_to_string(list_transform(string_split(lower(p_type), ' '), lambda w: upper(w[1]) || w[2:]), ' ') as v from part")
+simple("fn_count_score", lambda s, d: T.table(s, d, "part").select("p_partkey", F.round(S.count_score(F.col("p_size")), 6).alias("v")), "select p_partkey, round(least(1.0::double, p_size / 10.0::double), 6) as v from part")
+simple("fn_pmi_conf", lambda s, d: T.table(s, d, "part").select("p_partkey", F.round(S.pmi_confidence(F.col("p_size") / 10.0, F.col("p_size")), 6).alias("v")), "select p_partkey, round(least(1.0::double, (p_size / 10.0::double) / 5 * p_size / 10), 6) as v from part")
+simple("fn_expertise_conf", QUERIES["pat_expertise"], ORACLES["pat_expertise"])
+simple("fn_format_bytes_time", lambda s, d: T.table(s, d, "documents").select("doc_id", S.format_bytes(F.col("n_chars")).alias("v")), "select doc_id, case when n_chars < 1024 then n_chars || ' B' else round(n_chars / 1024.0::double, 1)::varchar || ' KB' end as v from documents")
+simple("fn_exif_date", lambda s, d: T.table(s, d, "orders").select("o_orderkey", F.unix_timestamp(S.exif_time(F.date_format("o_orderdate", "yyyy:MM:dd HH:mm:ss"))).alias("t")), "select o_orderkey, floor(epoch(o_orderdate))::bigint as t from orders")
+simple("fn_year4", lambda s, d: T.table(s, d, "orders").select("o_orderkey", F.expr("try_cast(substring(cast(o_orderdate as string), 1, 4) as int)").alias("y")), "select o_orderkey, year(o_orderdate)::int as y from orders")
+simple("fn_json_encode", lambda s, d: T.table(s, d, "events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k")), "select event_id, (props ->> '$.k')::bigint as k from events")
+simple("fn_xml", lambda s, d: T.table(s, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", F.concat(F.lit("<m r='"), "role", F.lit("'/>")).alias("x")))).alias("a")).select("conv_id", F.array_join(F.transform("a", lambda v: v["x"]), "").alias("xml")), "select conv_id, string_agg('<m r=''' || role || '''/>', '' order by turn) as xml from conversations group by conv_id")
+simple("set_extensions_union", lambda s, d: T.files(s, d).select("extension").distinct(), f"select distinct extension from {FILES}")
+simple("embed_cache", lambda s, d: T.table(s, d, "documents").select(F.sha2("text", 256).alias("h")).distinct().agg(F.count("*").alias("texts")), "select count(distinct sha256(text)) as texts from documents")
+simple("mrg_result", lambda s, d: machines.merge_chunks(T.chunks(s, d).join(T.files(s, d).select("file_id", "machine"), "file_id")).groupBy("machine").agg(F.count("*").alias("chunks_added")), "select source as machine, count(*) as chunks_added from (select source from documents qualify row_number() over (partition by sha256(text) order by source, doc_id) = 1) group by source")
+simple("xm_insights", lambda s, d: machines.index(T.machine_words(s, d)).withColumn("m", F.count("*").over(Window.partitionBy("entity"))).filter("m > 1").groupBy("machine").agg(F.count("*").alias("shared")).orderBy(F.desc("shared"), "machine").limit(1), f"select machine, count(*) as shared from (select *, count(*) over (partition by entity) as m from {INDEX}) where m > 1 group by machine order by shared desc, machine limit 1")
+simple("st_queue", QUERIES["topk_priority"], ORACLES["topk_priority"])

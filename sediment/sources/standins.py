@@ -48,10 +48,10 @@ def numbered(kind: str, values: Column) -> Column:
     return F.transform(values, lambda v, i: F.struct(F.lit(kind).alias("entity_type"), i.cast("int").alias("position"), v.alias("value")))
 
 
-def text_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+def text_entities(spark: SparkSession, sf_dir: str, kinds: tuple[str, ...] = ("EMAIL", "URL", "DATE", "PROPER_NOUN")) -> DataFrame:
     """Entities found in documents by the fixed expressions: file_id, entity_type, position (from 0), value."""
     d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("file_id"), "text")
-    found = [numbered(k, F.slice(F.regexp_extract_all("text", F.lit(p), F.lit(0)), 1, n)) for k, (p, n) in V.ENTITY_RULES.items() if k != "PATH"]
+    found = [numbered(k, F.slice(F.regexp_extract_all("text", F.lit(p), F.lit(0)), 1, n)) for k, (p, n) in V.ENTITY_RULES.items() if k in kinds]
     return d.select("file_id", F.explode(F.concat(*found)).alias("e")).select("file_id", "e.*")
 
 
