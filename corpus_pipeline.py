@@ -1,7 +1,8 @@
 """A corpus made ready for training: toxic documents go, near-duplicates are reduced to one, secrets are masked, sources are mixed, sequences are packed.
 
 Every stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; all but the last return the
-columns of documents. Stages meet as Parquet in the shared folder.
+columns of documents. Stages meet as Parquet in the shared folder. A stage begins by dropping the tables that
+earlier ones wrote on their way, so a stage's result must be written before the next stage is called.
 """
 
 from __future__ import annotations
@@ -9,32 +10,37 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from sediment.llm import dedup, mixing, packing, secrets, toxicity
-from sediment.llm.common import materialize, table
+from sediment.llm.common import materialize, own_tables, table
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity score rejects go."""
-    return toxicity.without_toxic(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic"))
+    with own_tables(spark):
+        return toxicity.without_toxic(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic"))
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of near-duplicates one document stays."""
-    return dedup.one_of_each(docs)
+    with own_tables(spark):
+        return dedup.one_of_each(docs)
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets in texts are masked; every document stays."""
-    return secrets.redact(docs)
+    with own_tables(spark):
+        return secrets.redact(docs)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents are repeated or left out by rates that bring the domains' tokens to the target shares."""
-    return mixing.mixed(docs, mixing.domains_of(table(spark, sf_dir, "labels")), keep="good")
+    with own_tables(spark):
+        return mixing.mixed(docs, mixing.domains_of(table(spark, sf_dir, "labels")), keep="good")
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents are cut into pieces and packed into sequences."""
-    return packing.pack(docs)
+    with own_tables(spark):
+        return packing.pack(docs)
 
 
 STAGES = [("toxicity", toxicity_stage), ("minhash_dedup", dedup_stage), ("secret_scan", secrets_stage), ("mix_sources", mixing_stage), ("best_fit", packing_stage)]

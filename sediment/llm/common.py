@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -34,9 +36,38 @@ def new_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/sediment-{tag}-{uuid.uuid4().hex}"
 
 
+class Made(threading.local):
+    """The tables that this thread has written inside own_tables and not dropped."""
+
+    def __init__(self):
+        self.paths: list[str] = []
+        self.on = False
+
+
+MADE = Made()
+
+
+@contextmanager
+def own_tables(spark: SparkSession) -> Iterator[None]:
+    """First delete the tables written inside the last own_tables of this thread, then keep account of those written now.
+
+    What was built on the earlier ones must be written elsewhere by then. Tables of other queries are left alone.
+    """
+    while MADE.paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(MADE.paths.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    MADE.on = True
+    try:
+        yield
+    finally:
+        MADE.on = False
+
+
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write df as Parquet to the shared folder and read it back: cuts lineage, and survives lost executors."""
     path = new_path(df.sparkSession, tag)
+    if MADE.on:
+        MADE.paths.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
