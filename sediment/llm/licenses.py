@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from functools import lru_cache
+from itertools import groupby
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,11 +16,6 @@ BASE = {"gnu general public license": "gpl", "apache license": "apache", "cc by"
 
 SEPARATOR = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
 TOKEN = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-#: A cheap test of the raw text that every text with a base phrase, or with a match of some rule, passes.
-GATE = (
-    r"(?i)gnu" + SEPARATOR + r"+general|apache" + SEPARATOR + r"+license|cc" + SEPARATOR + r"+by|cc0|licen[cs]e|licensing|copyright|copyleft|spdx|gpl"
-    r"|rights" + SEPARATOR + r"+reserved|public" + SEPARATOR + r"+domain|unlicense|wtfpl|redistribution|permission" + SEPARATOR + r"+is"
-)
 
 #: Licenses: label, names in words, versions. A name of "=" is the label's own words. Names stand in lower case, as words do in the normalised text.
 FAMILIES = """
@@ -118,11 +114,12 @@ def rules() -> list[dict]:
 
     An expression matches whole words of the normalised text, in which one space stands before, between and
     after words; it begins at the space before its first word and ends before the one after its last.
+    needs are phrases of whole words; every match of the rule has one of them.
     """
     out = []
 
-    def add(priority: int, keyword: str, body: str, label: str, score: float) -> None:
-        out.append({"keyword": keyword, "regex": f" {body}(?= )", "label": label, "priority": priority, "score": score})
+    def add(priority: int, keyword: str, body: str, label: str, score: float, needs: list[str]) -> None:
+        out.append({"keyword": keyword, "regex": f" {body}(?= )", "label": label, "priority": priority, "score": score, "needs": needs})
 
     grant = "(?:licensed|released|distributed|available|provided|published|covered|made available) (?:under|by) (?:the )?(?:terms (?:and conditions )?of )?(?:the )?"
     for line in FAMILIES.splitlines():
@@ -131,21 +128,33 @@ def rules() -> list[dict]:
         spelled = "(?:" + "|".join(names) + ")"
         key = names[-1] if len(names) == 1 else min(names, key=len)
         keys = {n: n for n in names}
-        add(10, "spdx license identifier", f"spdx license identifier {label.replace('-', ' ')}(?: \\d+)*(?: only| or later)?", label, 1.0)
+        add(10, "spdx license identifier", f"spdx license identifier {label.replace('-', ' ')}(?: \\d+)*(?: only| or later)?", label, 1.0, ["spdx license identifier"])
         for v in versions:
-            add(20, f" {v} ", f"{grant}{spelled}(?: license)?(?: version| v)? {v}", f"{label}-{v.replace(' ', '.')}", 0.98)
-            add(40, f" {v} ", f"{spelled}(?: license)?(?: version| v)? {v}", f"{label}-{v.replace(' ', '.')}", 0.9)
+            add(20, f" {v} ", f"{grant}{spelled}(?: license)?(?: version| v)? {v}", f"{label}-{v.replace(' ', '.')}", 0.98, names)
+            add(40, f" {v} ", f"{spelled}(?: license)?(?: version| v)? {v}", f"{label}-{v.replace(' ', '.')}", 0.9, names)
         for n in keys:
-            add(30, n, f"{grant}{n}(?: license)?", label, 0.95)
+            add(30, n, f"{grant}{n}(?: license)?", label, 0.95, [n])
         spoken = [n for n in names if "licen" in n or len(n.split()) > 1]
         for n in spoken or [f"{key} license"]:
-            add(50, n, n, label, 0.8)
+            add(50, n, n, label, 0.8, [n])
     for line in TEXTS.splitlines():
         label, key, body, score = line.split("|", 2)[0], line.split("|", 2)[1], line.split("|", 2)[2].rpartition("|")[0], line.rpartition("|")[2]
-        add(60, key, body.replace("\\\\", "\\"), label, float(score))
+        add(60, key, body.replace("\\\\", "\\"), label, float(score), [key])
     return out
 
 
+@lru_cache(maxsize=1)
+def gate() -> str:
+    """A cheap test of the raw text that every text with a base phrase, or with a match of some rule, passes.
+
+    It looks for the phrases that the rules need, as whole words; the word license stands for all phrases with it.
+    """
+    phrases = sorted({"license" if "license" in n.split() else n for n in [*BASE, *(n for r in rules() for n in r["needs"])]})
+    spelled = lambda n: (SEPARATOR + "+").join(n.split())
+    heads = (head + "(?:" + "|".join(spelled(n)[1:] for n in group) + ")" for head, group in groupby(phrases, key=lambda n: n[0]))
+    return f"(?i)(?:^|{SEPARATOR})(?:" + "|".join(heads) + rf")(?={SEPARATOR}|\z)"
+
+
 def normalised(text: Column) -> Column:
     """The words of a text in lower case with single spaces before, between and after them."""
     return F.concat(F.lit(" "), F.trim(F.regexp_replace(lower_ascii(text), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " ")), F.lit(" "))
@@ -173,7 +182,7 @@ def scan(docs: DataFrame) -> DataFrame:
     A null or empty text has none. Columns of docs stay; the names _s and detections are taken over.
     """
     table_ = F.from_json(F.lit(json.dumps(rules())), WHOLE)
-    s = F.when(F.coalesce("text", F.lit("")).rlike(GATE), normalised(F.col("text")))
+    s = F.when(F.coalesce("text", F.lit("")).rlike(gate()), normalised(F.col("text")))
     out = docs.drop("_s", "detections").withColumn("_s", s)
     live = F.filter(table_, lambda r: F.contains(F.col("_s"), r["keyword"]))
     out = out.withColumn("detections", F.when(F.col("_s").isNotNull(), F.flatten(F.transform(live, lambda r: found_by(F.col("_s"), r)))))

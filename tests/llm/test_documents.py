@@ -184,6 +184,45 @@ def test_licenses(spark, tmp_path):
     assert len(licenses.rules()) > 300
 
 
+def sample(parsed, k):
+    """A text that the parsed expression matches: its k-th alternatives, optional parts left out if k is even."""
+    out = ""
+    for op, v in parsed:
+        name = str(op)
+        if name == "LITERAL":
+            out += chr(v)
+        elif name == "ANY":
+            out += "x"
+        elif name == "IN":
+            out += "1" if str(v[0][0]) == "CATEGORY" else chr(v[0][1])
+        elif name == "BRANCH":
+            out += sample(v[1][k % len(v[1])], k)
+        elif name == "SUBPATTERN":
+            out += sample(v[-1], k)
+        elif name == "MAX_REPEAT":
+            out += sample(v[2], k) * max(v[0], k % 2)
+        else:
+            assert name == "ASSERT"
+    return out
+
+
+def test_every_license_rule_is_reached(spark):
+    words = lambda t: f" {re.sub(r'[^0-9a-z\x80-\U0010ffff]+', ' ', t).strip()} "
+    rules = licenses.rules()
+    texts = [(i, sample(re._parser.parse(r["regex"]), k)) for i, r in enumerate(rules) for k in range(6)]
+    assert all(re.search(rules[i]["regex"], words(t)) for i, t in texts)
+    texts = [(i, re.sub("[a-z]", lambda m: m[0].upper(), t) if i % 2 else t.strip().replace(" ", "-\n")) for i, t in texts]
+    got = licenses.scan(frame(spark, texts)).select("text", F.size("detections").alias("n"), "_s").collect()
+    assert len(got) == len(texts) and [r["text"] for r in got if r["_s"] is None or r["n"] < 1] == []
+    said = ["Released under MPL 2.0", "Apache 2.0", "BSD 3-Clause", "EPL 2.0", "Creative Commons Attribution 4.0", "Tous droits réservés", "Alle Rechte vorbehalten", "Todos los derechos reservados", "Proprietary and confidential"]
+    said += ["This program is free software you can redistribute it and or modify it", "Permission to use, copy, modify, and distribute this software for any purpose"]
+    labels = {r["text"]: {d["label"] for d in r["detections"]} for r in licenses.scan(frame(spark, list(enumerate(said)))).collect()}
+    want = "mpl-2.0 apache-2.0 bsd-3-clause epl-2.0 cc-by-4.0 all-rights-reserved all-rights-reserved all-rights-reserved proprietary gpl isc".split()
+    assert all(w in labels[t] for w, t in zip(want, said)), labels
+    none = licenses.scan(frame(spark, [(1, "a simple example of a reply"), (2, "words without any"), (3, None)]))
+    assert [r["_s"] for r in none.collect()] == [None] * 3
+
+
 def labelled(n=400):
     rng = random.Random(9)
     bad = ["idiot", "moron", "trash", "scum", "loser"]
