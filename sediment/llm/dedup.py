@@ -83,20 +83,24 @@ def prob_minhash(doc: np.ndarray, element: np.ndarray, weight: np.ndarray, docs:
 
 
 def signatures(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, size: int = SHINGLE) -> DataFrame:
-    """doc_id, key (MD5 of the text), n (different shingles), the hash of each band (none without shingles), and a byte of each register."""
+    """doc_id, key (MD5 of the text), n (different shingles), the hash of each band (none without shingles), and a byte of each register.
+
+    All shingles weigh the same, so that two texts agree in a register with the probability Jaccard similarity
+    of their sets, which is what links are verified by.
+    """
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = Hashes()
         for b in batches:
             for s in slices(b):
-                owner, elements, weights, n = [], [], [], np.zeros(s.num_rows, np.int32)
+                owner, elements, n = [], [], np.zeros(s.num_rows, np.int32)
                 for j, text in enumerate(s.column("text")):
-                    e, c = np.unique(shingles(text.as_buffer().to_pybytes(), hashes, size), return_counts=True)
+                    e = np.unique(shingles(text.as_buffer().to_pybytes(), hashes, size))
                     n[j] = len(e)
                     owner.append(np.full(len(e), j, np.int64))
                     elements.append(e)
-                    weights.append(1 + np.log(c))
-                sig = prob_minhash(np.concatenate(owner), np.concatenate(elements), np.concatenate(weights), s.num_rows, bands * rows).reshape(-1, bands, rows)
+                elements = np.concatenate(elements)
+                sig = prob_minhash(np.concatenate(owner), elements, np.ones(len(elements)), s.num_rows, bands * rows).reshape(-1, bands, rows)
                 short = sig.reshape(s.num_rows, -1).astype(np.uint8)
                 h = np.broadcast_to(np.arange(1, bands + 1, dtype=np.uint64), sig.shape[:2]).copy()
                 for r in range(rows):
@@ -238,7 +242,7 @@ def classes(docs: DataFrame, least: float = SIMILARITY, size: int = SHINGLE) ->
     Other columns are ignored.
 
     Equal texts become one row first. Candidates share a band of a ProbMinHash signature (shingles weigh
-    1 + ln of their count). Every bucket first compares its members with one of them, so that a bucket of n
+    the same, however often they occur). Every bucket first compares its members with one of them, so that a bucket of n
     copies costs n comparisons and not n*n. Pairs of a bucket that are then still in different classes meet in
     cells of bounded size, where signatures tell apart those that may reach least; these are all compared.
     """

@@ -69,6 +69,20 @@ def test_near_duplicates(spark, corpus):
     assert sorted(str(r["doc_id"]) for r in kept.collect()) == sorted(str(v) for v in least.values())
 
 
+def test_near_copies_with_repeated_lines(spark):
+    rng, texts = random.Random(12), []
+    for i in range(48):
+        words = [f"{w}{rng.randrange(1000)}" for w in prose(rng, 104).split()]
+        copy = {0: words[:60] + words[40:], 1: words + words[:12] * 50, 2: words + words[:12] * 200, 3: words[:50] + words[38:50] * 1000 + words[50:]}[i % 4]
+        texts += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(copy))]
+    sets = [shingles(t) for _, t in texts]
+    reach = lambda a, b: len(a & b) >= 0.8 * len(a | b)
+    want = {i: min(j for j in range(len(sets)) if reach(sets[i], sets[j])) for i in range(len(sets))}
+    assert all(want[2 * i + 1] == want[2 * i] == 2 * i for i in range(48))
+    got = {r["doc_id"]: r["class_id"] for r in dedup.classes(frame(spark, texts)).collect()}
+    assert got == want
+
+
 def test_probability_jaccard():
     rng = np.random.default_rng(3)
     e = rng.integers(1, 2**63, 300).astype(np.uint64)
