@@ -23,6 +23,10 @@ PLAIN = re.compile(r"[^\W\d_]+")
 TRIPLE = re.compile(r"(\w)\1\1")
 SPACED = re.compile(r"(?<!\S)[a-zA-Z0-9@$!|+(<*](?:[ \t]+[a-zA-Z0-9@$!|+(<*]){2,}(?!\S)")
 CORE = re.compile(r"[^\W_]")
+#: Of tokens longer than MOST characters: further equal ones, and what separates words in them. What is still longer is decoded in pieces that overlap.
+LONG, BETWEEN = re.compile(r"(.)\1{3,}"), re.compile(r"[^\w@$!|+(<*€£¡]+|_+")
+MOST, OVERLAP = 60, 24
+TWICE, NO_LETTER = re.compile(r"(.)\1"), re.compile(r"[^a-z]")
 PREFIXES = (4, 5, 6, 7)
 LEVELS = (1, 2, 3)
 THRESHOLD = 0.7
@@ -35,8 +39,22 @@ class Channel:
     def __init__(self, lm: list[float]):
         self.lm = lm
 
-    def restore(self, token: str) -> str:
-        """The likeliest words of an obfuscated token, joined by spaces.
+    def whole(self, word: str) -> bool:
+        """Whether restore leaves a word of a-z without equal neighbours as it is: only breaks could change it."""
+        lm, x = self.lm, [ord(ch) - 96 for ch in word]
+        b = x[0]
+        a, inside, first, unbroken = 0, math.inf, -lm[b], -lm[b]  # cost where the last letter goes on a word, and where it begins one
+        for c in x[1:]:
+            at, start = (a * 27 + b) * 27, b * 27
+            unbroken -= lm[at + c]
+            ends = min(inside - lm[at], first - lm[start])
+            inside, first = min(inside - lm[at + c], first - lm[start + c]), ends + BREAK - lm[c]
+            a, b = b, c
+        at = (a * 27 + b) * 27
+        return unbroken - lm[at] <= min(inside - lm[at], first - lm[b * 27]) + 1e-9
+
+    def restore(self, token: str, gap: float = BREAK) -> str:
+        """The likeliest words of an obfuscated token, joined by spaces; gap is the cost of a word break.
 
         A letter stands for itself, a sign for the letters of LEET or for nothing, an asterisk also for any
         letter, a repeated letter for itself or for nothing more; a word break may fall between letters.
@@ -61,7 +79,7 @@ class Channel:
                     if total < new.get((b, c), (math.inf,))[0]:
                         new[b, c] = (total, (c, path))
                     if b:  # the word may end before this letter
-                        total = cost + paid + BREAK - lm[(a * 27 + b) * 27] - lm[c]
+                        total = cost + paid + gap - lm[(a * 27 + b) * 27] - lm[c]
                         if total < new.get((0, c), (math.inf,))[0]:
                             new[0, c] = (total, (c, (0, path)))
             states = new or states
@@ -85,21 +103,57 @@ class Reader:
         self.levels: dict[str, tuple] | None = None
         if wanted is not None:
             names = {f.partition("#")[0] for f in wanted}
+            self.starts = {f[2:i] for f in names if f[0] == "w" for i in range(3, len(f) + 1)}
             self.levels = {f: tuple(wanted.get(f if k == 1 else f"{f}#{k}", -1) for k in LEVELS) for f in names}
 
+    def decoded(self, token: str, gap: float = BREAK) -> list[str]:
+        """The words of a token by the channel; a long token is cut at separators, then into pieces that overlap."""
+        if len(token) <= MOST:
+            if gap == BREAK and PLAIN.fullmatch(token):  # other letters than a-z are dropped at the same cost everywhere
+                word = NO_LETTER.sub("", token.lower())
+                if word and not TWICE.search(token.lower()) and not TWICE.search(word) and self.channel.whole(word):
+                    return [word]
+            return self.channel.restore(token, gap).split()
+        out = []
+        for part in BETWEEN.split(LONG.sub(r"\1\1\1", token.lower())):
+            for i in range(0, max(1, len(part) - OVERLAP), MOST - OVERLAP):
+                piece = part[i : i + MOST]
+                if any("a" <= c <= "z" for c in piece):
+                    out += self.channel.restore(piece, gap).split()
+        return out
+
     def words(self, token: str) -> list[str]:
+        """The words that a token may stand for."""
+        return self.run(token[1:]) if token[0] == " " else self.words_of(token)
+
+    def run(self, token: str) -> list[str]:
+        """The words of a spaced-out run, joined to a token without its word breaks: those likeliest to follow each other, and any wanted one of 4 letters or more."""
+        out = self.words_of(token, 0.0)
+        if self.levels is not None:
+            token = token.lower()
+            for i in range(len(token)):
+                live = [""]
+                for ch in token[i:]:
+                    letters = LETTERS if ch == "*" else LEET.get(ch, ch)
+                    live = [p + x for p in live for x in letters if p + x in self.starts]
+                    if not live:
+                        break
+                    out += [w for w in live if len(w) > 3 and f"w:{w}" in self.levels]
+        return out
+
+    def words_of(self, token: str, gap: float = BREAK) -> list[str]:
         at = [m.start() for m in CORE.finditer(token)]
         core = token[at[0] : at[-1] + 1] if at else ""
-        if core and PLAIN.fullmatch(core) and not TRIPLE.search(core):
-            return [core.lower()]
-        if not any("a" <= c <= "z" for c in token.lower()):
+        plain = core.lower()
+        letters = any("a" <= c <= "z" for c in token.lower())
+        if core and PLAIN.fullmatch(core) and not TRIPLE.search(plain):
+            return [plain, *(self.decoded(core, gap) if letters else ())]
+        if not letters:
             return []  # no letter: a number or punctuation
         if "-" in core and all(len(x) > 2 and PLAIN.fullmatch(x) for x in core.split("-")):
-            return core.lower().split("-")
+            return [w for x in core.split("-") for w in self.words_of(x)]
         tidy = re.sub(r"[.,;:?\"')\]}]+$|^[\"'(\[{]+", "", token)
-        if len(tidy) > 60:
-            return []  # longer than an obfuscated word
-        return [*self.channel.restore(tidy).split(), *(self.channel.restore(core).split() if core != tidy else ())]
+        return [*self.decoded(tidy, gap), *(self.decoded(core, gap) if core != tidy else ())]
 
     def of_token(self, token: str) -> tuple:
         out = []
@@ -114,7 +168,7 @@ class Reader:
             known.clear()
         tokens = set(text.split())
         if sum(len(t) == 1 and t not in ".,;:-" for t in tokens) > 1:
-            tokens.update(re.sub(r"\s+", "", m[0]) for m in SPACED.finditer(text))
+            tokens.update(" " + re.sub(r"\s+", "", m[0]) for m in SPACED.finditer(text))
         for t in tokens:
             f = known.get(t)
             if f is None:

@@ -265,6 +265,21 @@ def test_toxicity(spark):
     assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == {k for k, v in p.items() if v == 0}
 
 
+def test_toxicity_in_joined_plain_and_long_tokens(spark):
+    rows = labelled()
+    lm = toxicity.character_model(frame(spark, [(i, t) for i, t, _ in rows]))
+    reader, channel = toxicity.Reader(lm), toxicity.Channel(lm)
+    for w in {w for _, t, _ in rows for w in t.split()} | {"thkingidiot", "bandlemoron", "xqzvk"}:
+        assert toxicity.TWICE.search(w) or channel.whole(w) == (channel.restore(w) == w), w
+    assert "idiot" in reader.words("IDIiIOT") and "idiot" in reader.words("idi" + "o" * 90 + "t") and "idiot" in reader.words("iddioott")
+    assert {"idiot", "loser", "trash"} <= set(reader.words(",".join(["banra", "idiot", "loser/trash"] * 5)))
+    hidden = ["y o u i d i o t", "y 0 u 1 d 1 0 t", "idi" + "o" * 90 + "t", "IDIiIOT", ",".join(["banra", "mosh", "lumes", "idiot", "touth"] * 4), " ".join("banramoshlumesidiottouthverralubandleshakingtimesreth")]
+    texts = [(900 + i, f"ban rera mos {t} lun tiking") for i, t in enumerate(hidden)] + [(950, "ban rera mos b a n r e r a lun"), (951, "banra," * 30)]
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    got = {r["doc_id"]: r["predicted"] for r in toxicity.score(frame(spark, [(i, t) for i, t, _ in rows] + texts), labels).collect()}
+    assert [got[i] for i, _ in texts] == [1] * len(hidden) + [0, 0]
+
+
 def test_toxicity_without_labels_or_documents(spark):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     assert [r["predicted"] for r in toxicity.score(frame(spark, [(1, "idiot")]), none).collect()] == [0]
