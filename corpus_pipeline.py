@@ -45,7 +45,8 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 STAGES = [("toxicity", toxicity_stage), ("minhash_dedup", dedup_stage), ("secret_scan", secrets_stage), ("mix_sources", mixing_stage), ("best_fit", packing_stage)]
 
-#: The stages learn, hash and pack: SQL can't say the same. tests/llm/test_pipeline.py holds them against plain Python.
+#: The stages learn, hash and pack: SQL can't say the same. tests/llm/test_pipeline.py compares only row
+#: counts, columns and the ids packed; no plain-Python version of run() exists. tests/llm/test_documents.py tests the operators alone.
 ORACLE_SQL = None
 
 
