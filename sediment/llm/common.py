@@ -24,8 +24,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none."""
+    """The folder that driver and executors share; a temporary one only where a local session, as in tests, names none."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder and not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("spark.checkpoint.dir is not set: it must name a folder that driver and executors share")
     if not folder:
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="sediment-"))
         folder = spark.sparkContext.getCheckpointDir()
@@ -54,8 +56,7 @@ def own_tables(spark: SparkSession) -> Iterator[None]:
     What was built on the earlier ones must be written elsewhere by then. Tables of other queries are left alone.
     """
     while MADE.paths:
-        path = spark._jvm.org.apache.hadoop.fs.Path(MADE.paths.pop())
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        delete(spark, MADE.paths.pop())
     MADE.on = True
     try:
         yield
@@ -63,13 +64,27 @@ def own_tables(spark: SparkSession) -> Iterator[None]:
         MADE.on = False
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write df as Parquet to the shared folder and read it back: cuts lineage, and survives lost executors."""
     path = new_path(df.sparkSession, tag)
     if MADE.on:
         MADE.paths.append(path)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that materialize wrote and that nothing reads any more; other frames are left alone."""
+    for t in tables:
+        if path := t.__dict__.pop("written_to", None):
+            delete(t.sparkSession, path)
 
 
 def lower_ascii(text: Column) -> Column:
@@ -77,6 +92,26 @@ def lower_ascii(text: Column) -> Column:
     return F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once, however often body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def sweep(items: Column, state: Column, kind: str, step: Callable[[Column, Column], tuple[Column, Column]], block: int = 64) -> Column:
+    """The outputs of a fold over an array: step(state, item) gives the new state and an array of outputs (of type kind).
+
+    Outputs are joined in blocks, so that a long array doesn't copy them all at every step.
+    """
+    none = F.array().cast(kind)
+    inner = lambda acc, x: (lambda new: F.struct(new[0].alias("s"), F.concat(acc["out"], new[1]).alias("out")))(step(acc["s"], x))
+
+    def outer(acc: Column, i: Column) -> Column:
+        return F.aggregate(F.slice(items, i * block + 1, F.lit(block)), F.struct(acc["s"].alias("s"), none.alias("out")), inner, lambda got: F.struct(got["s"].alias("s"), F.concat(acc["out"], got["out"]).alias("out")))
+
+    blocks = F.when(F.size(items) > 0, F.sequence(F.lit(0), ((F.size(items) - 1) / block).cast("int"))).otherwise(F.array().cast("array<int>"))
+    return F.aggregate(blocks, F.struct(state.alias("s"), none.alias("out")), outer, lambda acc: acc["out"])
+
+
 def attach(df: DataFrame, key: str, groups: DataFrame, count: str, salt: Column) -> DataFrame:
     """Left-join one row per key from groups (materialized, with the key's row count) to df, however hot a key is.
 
@@ -133,8 +168,9 @@ def components(edges: DataFrame) -> DataFrame:
     """Connected components of the undirected edges (u, v: long): node, component (its smallest node).
 
     Each round every component hooks to its smallest neighbour, pointers are doubled four times and the
-    edges are contracted, all as joins of written tables, which Spark can split where a node is a hub.
-    Nodes without an edge do not appear. No edges: no rows. Nulls and loops are ignored.
+    edges are contracted, all as joins of written tables, which Spark can split where a node is a hub; a
+    table is deleted when the next one is written. Nodes without an edge do not appear. No edges: no rows.
+    Nulls and loops are ignored.
     """
     spark = edges.sparkSession
     e = edges.filter("u is not null and v is not null and u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
@@ -148,16 +184,20 @@ def components(edges: DataFrame) -> DataFrame:
             up = hook.select(F.col("node").alias("to"), F.col("to").alias("upper"))
             nxt = materialize(hook.join(up, "to").select("node", F.col("upper").alias("to")), "hook")
             same = nxt.join(hook.select("node", F.col("to").alias("was")), "node").filter("to <> was").isEmpty()
+            discard(hook)
             hook = nxt
             if same:
                 break
         if labels is None:
-            labels = hook.select("node", F.col("to").alias("component"))
+            found = hook.select("node", F.col("to").alias("component"))
         else:
             step = hook.select(F.col("node").alias("component"), "to")
-            labels = materialize(labels.join(step, "component", "left").select("node", F.coalesce("to", "component").alias("component")), "labels")
+            found = labels.join(step, "component", "left").select("node", F.coalesce("to", "component").alias("component"))
+        found = materialize(found, "labels")
         hu, hv = hook.select(F.col("node").alias("u"), F.col("to").alias("cu")), hook.select(F.col("node").alias("v"), F.col("to").alias("cv"))
         half = materialize(e.join(hu, "u").select("cu", "v"), "half")
-        e = half.join(hv, "v").filter("cu <> cv").select(F.greatest("cu", "cv").alias("u"), F.least("cu", "cv").alias("v")).distinct()
-        e = materialize(e, "edges")
+        left = half.join(hv, "v").filter("cu <> cv").select(F.greatest("cu", "cv").alias("u"), F.least("cu", "cv").alias("v")).distinct()
+        left = materialize(left, "edges")
+        discard(hook, half, e, *([] if labels is None else [labels]))
+        e, labels = left, found
     return labels if labels is not None else spark.createDataFrame([], "node long, component long")

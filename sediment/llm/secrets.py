@@ -10,7 +10,7 @@ from functools import lru_cache
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import bound, sweep, table
 
 # The three base kinds, in order. A kind's gate is a cheap test that each of its matches passes.
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -108,13 +108,12 @@ def matches(text: Column, pattern: str, kind: int, body: int = 0) -> Column:
     """Leftmost non-overlapping matches with their places in code points; body is a group of the pattern."""
     between, found, inner = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.regexp_extract_all(text, F.lit(pattern), F.lit(body))
     parts = F.zip_with(F.slice(between, 1, F.size(found)), F.arrays_zip(found.alias("m"), inner.alias("g")), lambda b, x: F.struct(F.length(b).cast("long").alias("gap"), F.length(x["m"]).cast("long").alias("len"), x["g"].alias("g")))
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(SPANS).alias("out"))
 
-    def step(acc: Column, p: Column) -> Column:
-        one = F.struct((acc["at"] + p["gap"]).alias("start"), F.lit(kind).alias("kind"), (acc["at"] + p["gap"] + p["len"]).alias("end"), p["g"].alias("body"))
-        return F.struct((acc["at"] + p["gap"] + p["len"]).alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
+    def step(at: Column, p: Column) -> tuple[Column, Column]:
+        one = F.struct((at + p["gap"]).alias("start"), F.lit(kind).alias("kind"), (at + p["gap"] + p["len"]).alias("end"), p["g"].alias("body"))
+        return at + p["gap"] + p["len"], F.array(one)
 
-    return F.aggregate(parts, start, step, lambda acc: acc["out"])
+    return bound(parts, lambda x: sweep(x, F.lit(0).cast("long"), SPANS, step))
 
 
 def scan(docs: DataFrame, least_ratio: float = LEAST_RATIO) -> DataFrame:
@@ -122,7 +121,8 @@ def scan(docs: DataFrame, least_ratio: float = LEAST_RATIO) -> DataFrame:
 
     base_spans has the three fixed kinds, leftmost and non-overlapping within a kind; kinds may overlap.
     more_spans has candidates whose log-likelihood ratio reaches least_ratio and which overlap no base span.
-    A null or empty text has no spans. Every column of docs stays as it is; the two names are taken over.
+    A null or empty text has no spans; repeated rows are scanned each by itself, and an empty table gives no rows.
+    A text of any length is scanned whole. Every column of docs stays as it is; the two names are taken over.
     """
     text, empty = F.coalesce("text", F.lit("")), F.array().cast(SPANS)
     gated = lambda gate, spans: F.when(text.rlike(gate), spans).otherwise(empty)
