@@ -7,13 +7,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import by_key, components, materialize, table
 
 BLOCK = 512
+#: Numbers of the longest vectors that are broadcast.
+LEAD = 1 << 21
 
 
 def collision(distance: float, width: float) -> float:
@@ -164,26 +166,40 @@ def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_embeddings(table(spark, sf_dir, "embeddings"))
 
 
-def top_products(vectors: DataFrame, every: int = 50, k: int = 5, scale: float = 256.0, query_rows: int = 1024, block_rows: int = 4096, lead: int = 16) -> DataFrame:
+def top_products(vectors: DataFrame, every: int = 50, k: int = 5, scale: float = 256.0, query_rows: int = 8192, block_rows: int = 4096, stages: int = 8, ranges: int = 64) -> DataFrame:
     """For each row whose vec_id is divisible by every: the k largest integer inner products with all other rows.
 
     Components x become floor(scale * x). Returns query_id, rank (from 1), vec_id, score; ties go to the
     smaller vec_id. Vectors that are null, empty, or hold null or non-finite components take no part, nor do rows with a
     null vec_id; only vectors of equal length are compared. A zero vector is an ordinary candidate. "Every row but
     the query's own": rows that repeat the query's vec_id are the query's own too; other repeated rows rank
-    each by itself. Integers and products are exact up to 2**63 (scores beyond are clamped).
-
-    An eigenbasis of all vectors' second moments (a few numbers per task reach the driver) concentrates
-    length in the leading coordinates. Blocks of candidates, sorted by descending length, meet blocks of
-    queries. For a chunk of candidates the bound |q||c| stops a query, then the leading coordinates' product
-    plus the product of the residual lengths (Cauchy-Schwarz) prunes candidates; the rest are multiplied exactly.
+    each by itself. Integers and products are exact up to 2**63 (scores beyond are clamped). Other columns are
+    ignored. A vector of any length is read whole; a task holds query_rows + block_rows of them, and as many
+    lengths as there are get a plan of their own on the driver.
+
+    An eigenbasis of all vectors' second moments (a few numbers per task reach the driver) concentrates length in
+    the leading coordinates. First every query meets the block_rows longest vectors (broadcast): its k-th product
+    there (fewer vectors, if these have over LEAD numbers)
+    is a floor for the k-th of all, and floor / |q| the shortest candidate that can still matter. Candidates
+    then lie in ranges of descending length, queries in ranges of that shortest length, and blocks of the two
+    meet only where the longest candidate can matter to some query: others are never shuffled. In a cell, sums of
+    the leading coordinates in a few stages plus the product of the residual lengths (Cauchy-Schwarz) prune pairs,
+    and the pairs left after the last stage are multiplied exactly.
     """
+    found = products(vectors, every, k, scale, query_rows, block_rows, stages, ranges).filter("vec_id is not null")
+    order = F.row_number().over(Window.partitionBy("query_id", "copy").orderBy(F.desc("score"), "vec_id"))
+    return found.withColumn("rank", order.cast("int")).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def products(vectors: DataFrame, every: int, k: int, scale: float, query_rows: int, block_rows: int, stages: int, ranges: int) -> DataFrame:
+    """The k best of each cell for each of its queries (query_id, copy, vec_id, score), and a row without ids per cell: pairs met and multiplied."""
     spark = vectors.sparkSession
     v = F.col("embedding")
     fine = F.coalesce(v.isNotNull() & (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))), F.lit(False))
     whole = F.transform(v, lambda x: F.floor(x.cast("double") * F.lit(scale)).cast("long"))
     rows = vectors.filter(fine & F.col("vec_id").isNotNull()).select("vec_id", whole.alias("x"))
     rows = rows.withColumn("dim", F.size("x")).withColumn("length", F.sqrt(F.aggregate("x", F.lit(0.0), lambda a, y: a + y.cast("double") * y.cast("double"))))
+    rows = materialize(rows, "rows")
 
     def moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
@@ -197,23 +213,81 @@ def top_products(vectors: DataFrame, every: int = 50, k: int = 5, scale: float =
     bases: dict[int, np.ndarray] = {}
     for d, cells in parts.groupBy("dim").agg(F.sort_array(F.collect_list(F.struct("i", "y"))).alias("c")).collect():
         m = np.array([c["y"] for c in cells]).reshape(d, d)
-        scale_to = np.abs(m).max() or 1.0
-        bases[d] = np.linalg.eigh(m / scale_to)[1][:, ::-1]
-
-    counts = {r["dim"]: (r["n"], r["q"]) for r in rows.groupBy("dim").agg(F.count("*").alias("n"), F.count_if(F.col("vec_id") % every == 0).alias("q")).collect()}
-    n, nq = max((c[0] for c in counts.values()), default=0), max((c[1] for c in counts.values()), default=0)
-    qgroups, cgroups = max(1, -(-nq // query_rows)), max(1, -(-n // block_rows))
-    queries = rows.filter(F.col("vec_id") % every == 0).withColumn("qg", F.pmod(F.xxhash64("vec_id"), F.lit(qgroups)))
-    queries = queries.withColumn("cg", F.explode(F.sequence(F.lit(0), F.lit(cgroups - 1)))).withColumn("is_query", F.lit(True))
-    cands = rows.withColumn("cg", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(cgroups)).cast("int"))
-    cands = cands.withColumn("qg", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(qgroups - 1).cast("long")))).withColumn("is_query", F.lit(False))
-    both = queries.unionByName(cands).withColumn("cell", F.xxhash64("dim", "qg", "cg"))
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(4096, qgroups * cgroups * len(counts)))
-    both = both.repartition(tasks, "cell").sortWithinPartitions("cell", F.col("is_query").desc(), F.col("length").desc(), "vec_id")
+        bases[d] = np.linalg.eigh(m / (np.abs(m).max() or 1.0))[1][:, ::-1]
 
-    found = both.mapInArrow(by_key("cell", lambda held: best_of(held, bases, k, lead)), "query_id long, vec_id long, score long, copy int")
-    order = F.row_number().over(Window.partitionBy("query_id", "copy").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", order.cast("int")).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    longest = rows.withColumn("r", F.row_number().over(Window.partitionBy("dim").orderBy(F.desc("length"), "vec_id"))).filter(F.col("r") <= F.least(F.lit(block_rows), F.greatest(F.lit(k + 1), LEAD / F.col("dim"))))
+    lead: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    for d in bases:
+        t = longest.filter(F.col("dim") == d).select("vec_id", "x").toArrow()
+        lead[d] = t.column("vec_id").to_numpy(), t.column("x").combine_chunks().flatten().to_numpy().reshape(-1, d)
+    shared = spark.sparkContext.broadcast(lead)
+
+    def floors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids, floor = b.column("vec_id").to_numpy(), np.full(b.num_rows, np.nan)
+            for d, (at, _) in stack(b.column("x")).items():
+                cid, c = shared.value[d]
+                q = b.column("x").take(pa.array(at)).flatten().to_numpy().reshape(-1, d)
+                for i in range(0, len(at), 512):
+                    score = np.where(ids[at[i : i + 512]][:, None] == cid[None, :], -np.inf, exact(q[i : i + 512], c).astype(np.float64))
+                    if len(cid) >= k:
+                        floor[at[i : i + 512]] = np.partition(score, len(cid) - k, axis=1)[:, len(cid) - k]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("vec_id", "x", "dim", "length")), pa.array(np.where(np.isfinite(floor), floor - 1e-9 * np.abs(floor), -np.inf))], ["vec_id", "x", "dim", "length", "floor"])
+
+    queries = rows.filter(F.col("vec_id") % every == 0).mapInArrow(floors, "vec_id long, x array<long>, dim int, length double, floor double")
+    need = F.when(F.col("floor") <= 0, F.lit(0.0)).when(F.col("length") == 0, F.lit(float("inf"))).otherwise(F.col("floor") / F.col("length") * (1 - 1e-9))
+    queries = materialize(queries.withColumn("need", need).withColumn("copy", F.monotonically_increasing_id()), "queries")
+
+    def levels(df: DataFrame, value: str, sign: int, most: int) -> dict[int, list[tuple[float, int, int]]]:
+        """By dim: ranges of sign * value from the largest down, as (least sign * value, first block, blocks), of about most rows a block."""
+        out: dict[int, list[tuple[float, int, int]]] = {}
+        for d, n in df.groupBy("dim").count().collect():
+            here = df.filter(F.col("dim") == d).select((F.lit(sign) * F.col(value)).alias("v"))
+            cuts = min(ranges, -(-n // most))
+            ends = sorted(set(here.select(F.percentile_approx("v", [i / cuts for i in range(1, cuts)])).first()[0]), reverse=True) if cuts > 1 else []
+            sizes = dict(here.groupBy(F.size(F.filter(F.array(*map(F.lit, ends)).cast("array<double>"), lambda e: e > F.col("v"))).alias("r")).count().collect())
+            at, out[d] = 0, []
+            for r in range(len(ends) + 1):
+                blocks = max(1, -(-sizes.get(r, 0) // most))
+                out[d].append((ends[r] if r < len(ends) else -math.inf, at, blocks))
+                at += blocks
+        return out
+
+    by_length, by_need = levels(rows, "length", 1, block_rows), levels(queries, "need", -1, query_rows)
+    by_dim = lambda f: F.coalesce(*[F.when(F.col("dim") == d, f(d)) for d in by_need]) if by_need else F.lit(None).cast("int")
+    pick = lambda values, r: F.get(F.array(*map(F.lit, values)), r)
+    rank = lambda table, value: lambda d: F.size(F.filter(F.array(*[F.lit(e) for e, *_ in table[d][:-1]]).cast("array<double>"), lambda e: e > value))
+    block = lambda table, salt: by_dim(lambda d: pick([x[1] for x in table[d]], F.col("r")) + F.pmod(F.xxhash64("vec_id", F.lit(salt)), pick([x[2] for x in table[d]], F.col("r"))).cast("int"))
+
+    def ends_of(df: DataFrame, table: dict, value: Column, end: Column, none: float) -> dict[int, list[float]]:
+        """By dim: end over the rows of each range of the table, none for a range without rows."""
+        out = {}
+        for d in by_need:
+            got = dict(df.filter(F.col("dim") == d).groupBy(rank(table, value)(d).alias("r")).agg(end).collect())
+            out[d] = [got.get(r, none) for r in range(len(table[d]))]
+        return out
+
+    least_need, most_length = ends_of(queries, by_need, -F.col("need"), F.min("need"), math.inf), ends_of(rows, by_length, F.col("length"), F.max("length"), -math.inf)
+
+    def reach(d: int) -> tuple[list[int], list[int]]:
+        """For each range of queries how many candidate blocks it meets, the longest first, and for each range of candidates how many query blocks, those of the least need first."""
+        q, c = by_need[d], by_length[d]
+        needs, lengths = least_need[d], most_length[d]
+        to_c = [max([x[1] + x[2] for x, m in zip(c, lengths) if m * (1 + 1e-9) >= need], default=0) for need in needs]
+        to_q = [max([x[1] + x[2] for x, need in zip(q, needs) if m * (1 + 1e-9) >= need], default=0) for m in lengths]
+        return to_c, to_q
+
+    reached = {d: reach(d) for d in by_need}
+    queries = queries.withColumn("r", by_dim(rank(by_need, -F.col("need")))).withColumn("qb", block(by_need, 2))
+    queries = queries.withColumn("n", by_dim(lambda d: pick(reached[d][0], F.col("r")))).filter("n > 0").withColumn("cb", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    cands = rows.filter(F.col("dim").isin(list(by_need))).withColumn("r", by_dim(rank(by_length, F.col("length")))).withColumn("cb", block(by_length, 3))
+    cands = cands.withColumn("n", by_dim(lambda d: pick(reached[d][1], F.col("r")))).filter("n > 0").withColumn("qb", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    cell = F.xxhash64("dim", "qb", "cb").alias("cell")
+    both = queries.select("vec_id", "x", "dim", "length", "floor", "copy", F.lit(True).alias("is_query"), cell).unionByName(cands.select("vec_id", "x", "dim", "length", F.lit(0.0).alias("floor"), F.lit(0).cast("long").alias("copy"), F.lit(False).alias("is_query"), cell))
+    cells = sum(sum(x[2] for x in by_need[d]) * sum(x[2] for x in by_length[d]) for d in by_need)
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(4096, cells))
+    both = both.repartition(tasks, "cell").sortWithinPartitions("cell", F.col("is_query").desc(), F.col("length").desc(), "vec_id")
+    return both.mapInArrow(by_key("cell", lambda held: best_of(held, bases, k, stages)), "query_id long, vec_id long, score long, copy long, met long, multiplied long")
 
 
 def exact(q: np.ndarray, c: np.ndarray) -> np.ndarray:
@@ -226,8 +300,16 @@ def exact(q: np.ndarray, c: np.ndarray) -> np.ndarray:
     return np.clip(q.astype(object) @ c.astype(object).T, -(2**63), 2**63 - 1).astype(np.int64)
 
 
-def best_of(held: list[pa.RecordBatch], bases: dict[int, np.ndarray], k: int, lead: int, chunk: int = 512) -> Iterator[pa.RecordBatch]:
-    """The k best candidates of one cell for each of its queries."""
+def exact_pairs(q: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Integer inner products row by row, clamped to 64 bits."""
+    bound = np.abs(q).max(initial=0).astype(float) * np.abs(c).max(initial=0).astype(float) * q.shape[1]
+    if bound < 2**63:
+        return np.einsum("ij,ij->i", q, c)
+    return np.clip((q.astype(object) * c.astype(object)).sum(axis=1), -(2**63), 2**63 - 1).astype(np.int64)
+
+
+def best_of(held: list[pa.RecordBatch], bases: dict[int, np.ndarray], k: int, stages: int, chunk: int = 1024) -> Iterator[pa.RecordBatch]:
+    """The k best candidates of one cell for each of its queries that reach the query's floor."""
     t = pa.Table.from_batches(held)
     d = t.column("dim")[0].as_py()
     asks = t.column("is_query").to_numpy()
@@ -238,46 +320,52 @@ def best_of(held: list[pa.RecordBatch], bases: dict[int, np.ndarray], k: int, le
     x = t.column("x").combine_chunks().flatten().to_numpy().reshape(-1, d)
     q, c, qid, cid, qlen, clen = x[:nq], x[nq:], ids[:nq], ids[nq:], length[:nq], length[nq:]
     turned = x.astype(np.float64) @ bases[d]
-    rest = np.sqrt((turned[:, lead:] ** 2).sum(axis=1))
-    slack = 1e-9 * qlen * (clen.max(initial=0) + 1)
-    top = np.full((nq, 0), 0, np.int64)
-    top_id = np.full((nq, 0), 0, np.int64)
-    for i in range(0, len(c), chunk):
-        rows = slice(i, min(i + chunk, len(c)))
-        if top.shape[1] < k:
-            live, pick = np.arange(nq), None
-        else:
-            floor = top[:, -1].astype(np.float64)
-            live = np.flatnonzero(qlen * clen[i] + slack >= floor)
-            if not len(live):
-                break
-            r = slice(nq + rows.start, nq + rows.stop)
-            bound = turned[live, :lead] @ turned[r, :lead].T + rest[live][:, None] * rest[r][None, :] + slack[live][:, None]
-            pick = bound >= floor[live][:, None]
-            use = pick.any(axis=1)
-            live, pick = live[use], pick[use]
+    cuts = sorted({d * i // stages for i in range(1, stages)} - {0}) or [d]
+    rest = np.sqrt(np.maximum(0.0, np.cumsum((turned**2)[:, ::-1], axis=1)[:, ::-1]))  # of the coordinates from each one on
+    rest = np.append(rest, np.zeros((len(x), 1)), axis=1)
+    floor = t.column("floor").to_numpy()[:nq].copy()
+    qi, score, of = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)  # the best so far, k a query
+    met = multiplied = 0
+    for lo in range(0, nq, chunk):
+        mine = np.arange(lo, min(lo + chunk, nq))
+        best = (mine[:0], score[:0], of[:0])
+        for i in range(0, len(c), chunk):
+            rows = np.arange(i, min(i + chunk, len(c)))
+            live = mine[qlen[mine] * clen[i] * (1 + 1e-9) >= floor[mine]]  # the chunk's first is its longest
+            met += len(mine) * len(rows)
             if not len(live):
                 continue
-        cols = np.arange(rows.start, rows.stop) if pick is None else rows.start + np.flatnonzero(pick.any(axis=0))
-        score = exact(q[live], c[cols])
-        drop = qid[live][:, None] == cid[cols][None, :]
-        all_s = np.concatenate([top[live], score], axis=1)
-        all_i = np.concatenate([top_id[live], np.broadcast_to(cid[cols], score.shape)], axis=1)
-        gone = np.concatenate([np.zeros((len(live), top.shape[1]), bool) if top.shape[1] == 0 else top_id[live] == -(2**63), drop], axis=1)
-        order = np.lexsort((all_i, -all_s.astype(object) if all_s.min(initial=0) == -(2**63) else -all_s, gone), axis=1)[:, :k]
-        new_s, new_i = np.take_along_axis(all_s, order, 1), np.take_along_axis(all_i, order, 1)
-        lost = np.take_along_axis(gone, order, 1)
-        new_s[lost], new_i[lost] = -(2**63), -(2**63)
-        if top.shape[1] < new_s.shape[1]:
-            top, top_id = np.full((nq, new_s.shape[1]), -(2**63), np.int64), np.full((nq, new_s.shape[1]), -(2**63), np.int64)
-        top[live], top_id[live] = new_s, new_i
-    copies = np.zeros(nq, np.int32)
-    seen: dict[int, int] = {}
-    for a in range(nq):
-        copies[a] = seen[qid[a]] = seen.get(qid[a], -1) + 1
-    a, b = np.nonzero(top_id != -(2**63))
-    if len(a):
-        yield pa.RecordBatch.from_arrays([pa.array(qid[a]), pa.array(top_id[a, b]), pa.array(top[a, b]), pa.array(copies[a])], ["query_id", "vec_id", "score", "copy"])
+            slack = 1e-9 * (qlen[live][:, None] * clen[rows][None, :] + 1)
+            sums, at, a, b = np.zeros((len(live), len(rows))), 0, None, None
+            for cut in cuts:
+                if a is None:
+                    sums += turned[live, at:cut] @ turned[nq + rows, at:cut].T
+                    keep = sums + rest[live, cut][:, None] * rest[nq + rows, cut][None, :] + slack >= floor[live][:, None]
+                    if keep.mean() < 0.25 or cut == cuts[-1]:
+                        a, b = np.nonzero(keep)
+                        sums, slack = sums[a, b], slack[a, b]
+                else:
+                    sums = sums + np.einsum("ij,ij->i", turned[live[a], at:cut], turned[nq + rows[b], at:cut])
+                    keep = sums + rest[live[a], cut] * rest[nq + rows[b], cut] + slack >= floor[live[a]]
+                    a, b, sums, slack = a[keep], b[keep], sums[keep], slack[keep]
+                at = cut
+            a, b = live[a], rows[b]
+            other = qid[a] != cid[b]
+            a, b = a[other], b[other]
+            multiplied += len(a)
+            best = tuple(np.concatenate(z) for z in zip(best, (a, exact_pairs(q[a], c[b]), cid[b])))
+            order = np.lexsort((best[2], np.invert(best[1]), best[0]))  # the largest score first: ~x falls as x grows
+            first = np.searchsorted(best[0][order], best[0][order], "left")
+            order = order[np.arange(len(order)) - first < k]
+            best = tuple(z[order] for z in best)
+            last = np.flatnonzero(np.arange(len(order)) - np.searchsorted(best[0], best[0], "left") == k - 1)
+            floor[best[0][last]] = np.maximum(floor[best[0][last]], best[1][last].astype(np.float64) * (1 - 1e-12 * np.sign(best[1][last])))
+        qi, score, of = (np.concatenate(z) for z in zip((qi, score, of), best))
+    none = pa.nulls(len(qi), pa.int64())
+    names = ["query_id", "vec_id", "score", "copy", "met", "multiplied"]
+    yield pa.RecordBatch.from_arrays([pa.array(qid[qi]), pa.array(of), pa.array(score), pa.array(t.column("copy").to_numpy()[qi]), none, none], names)
+    one = pa.nulls(1, pa.int64())
+    yield pa.RecordBatch.from_arrays([one, one, one, one, pa.array([met]), pa.array([multiplied])], names)
 
 
 def op7_top_products(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -61,7 +61,7 @@ def test_top_products(spark):
     rows = [(i, (rng.standard_normal(8) * rng.uniform(0.1, 3)).astype(np.float32).tolist(), 0, 0, "") for i in range(400)]
     rows += [(400 + i, rows[5][1], 0, 0, "") for i in range(8)]  # ties
     rows += [(500, None, 0, 0, ""), (550, [float("nan")] * 8, 0, 0, ""), (None, rows[1][1], 0, 0, ""), (600, [0.0] * 8, 0, 0, ""), (650, [1.0, 2.0], 0, 0, ""), (700, [], 0, 0, "")]
-    got = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in vectors.top_products(frame(spark, rows), query_rows=4, block_rows=64, lead=3).collect())
+    got = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in vectors.top_products(frame(spark, rows), query_rows=4, block_rows=64, stages=3, ranges=4).collect())
     assert got == brute(rows, 50, 5)
 
 
@@ -69,3 +69,16 @@ def test_large_components_stay_exact(spark):
     rows = [(0, [3e5, -1e5], 0, 0, ""), (1, [2e5, 7e5], 0, 0, ""), (2, [1.0, 1.0], 0, 0, "")]
     got = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in vectors.top_products(frame(spark, rows)).collect())
     assert got == brute(rows, 50, 5)
+
+
+def test_most_products_are_pruned(spark):
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((3000, 64))
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    spread = unit * np.exp(rng.standard_normal((3000, 1)))
+    for rows, most in ((unit, 0.3), (spread, 0.05)):
+        df = frame(spark, [(i, v.astype(np.float32).tolist(), 0, 0, "") for i, v in enumerate(rows)])
+        r = vectors.products(df, 50, 5, 256.0, 8192, 512, 8, 64).agg({"met": "sum", "multiplied": "sum"}).first()
+        assert r["sum(multiplied)"] <= most * 60 * 3000, r
+        got = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in vectors.top_products(df, block_rows=512).collect())
+        assert got == brute([(i, v.astype(np.float32).tolist()) for i, v in enumerate(rows)], 50, 5)
