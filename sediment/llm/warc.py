@@ -106,29 +106,34 @@ def parse(data: bytes) -> tuple[dict[str, str], bytes] | None:
 
 
 def records_in(f, start: int, end: int) -> Iterator[tuple[int, dict[str, str], bytes]]:
-    """Records whose gzip member starts in [start, end) of the open file f; the last may reach beyond end."""
+    """Records whose gzip member starts in [start, end) of the open file f; the last may reach beyond end.
+
+    A member that begins as a record and then breaks off with the file raises an error.
+    """
     f.seek(start)
-    data = f.read(end - start + CHUNK)
+    data = bytearray(f.read(end - start + CHUNK))
     at = 0
     while at < end - start:
         at = data.find(MAGIC, at)
         if not 0 <= at < end - start:
             return
-        inflate, parts, fed, good = zlib.decompressobj(31), [], at, True
+        inflate, parts, fed, good, cut = zlib.decompressobj(31), [], at, True, False
         while good and not inflate.eof:
             if fed == len(data):
                 more = f.read(4 * CHUNK)
                 if not more:
-                    good = False
+                    good, cut = False, b"".join(parts[:2])[:7] == b"WARC/1."
                     break
                 data += more
-            piece = data[fed : fed + (1 << 12 if fed == at else 1 << 16)]
+            piece = bytes(data[fed : fed + (1 << 12 if fed == at else 1 << 16)])
             fed += len(piece)
             try:
                 parts.append(inflate.decompress(piece))
             except zlib.error:
                 good = False
             good = good and (len(parts) > 1 or b"WARC/1."[: len(parts[0])] == parts[0][:7])  # else compressed bytes that look like a member
+        if cut:
+            raise ValueError(f"the record at {start + at} breaks off at the end of the file")
         found = parse(b"".join(parts)) if good else None
         if found is None:
             at += 1
@@ -141,8 +146,12 @@ def read_warc(spark: SparkSession, archives: DataFrame, split_bytes: int = 1 <<
     """Read archives (archive, bytes) by byte ranges; one row per record (see RECORD).
 
     A task searches its range for gzip magic, accepts a candidate only if it inflates to a WARC header,
-    and owns the records that start inside its range. The payload's digest is computed again; a record
-    that doesn't match its header raises an error. Bytes between records that are no record are skipped.
+    and owns the records that start inside its range. The payload's digest is computed again; a record that
+    doesn't match its header raises an error, one whose header names no SHA-1 digest is taken as it is. The payload
+    of an HTTP record is its body, that of any other (warcinfo, metadata ...) its block; a revisit has the digest of its header
+    and the length that its HTTP head tells, null without one. Bytes between records that are no record are
+    skipped; a record that breaks off at the end of an archive raises an error. A task holds its range and the
+    longest record of it. No archives give no rows.
     """
     total = archives.agg(F.sum("bytes")).first()[0] or 0
     ranges = archives.filter("bytes > 0").select("archive", "bytes", F.explode(F.sequence(F.lit(0).cast("long"), F.col("bytes") - 1, F.lit(split_bytes).cast("long"))).alias("start"))
@@ -155,16 +164,18 @@ def read_warc(spark: SparkSession, archives: DataFrame, split_bytes: int = 1 <<
                 rows: list[tuple] = []
                 with store.open_input_file(path) as f:
                     for at, head, block in records_in(f, start, min(size, start + split_bytes)):
-                        kind, told = head["warc-type"], head.get("warc-payload-digest", "").removeprefix("sha1:")
-                        http, _, payload = block.partition(b"\r\n\r\n")
+                        kind, told = head["warc-type"], head.get("warc-payload-digest", "")
+                        told = told[5:] if told[:5].lower() == "sha1:" else ""
+                        http, _, payload = block.partition(b"\r\n\r\n") if block[:5] == b"HTTP/" else (b"", b"", block)
                         n = len(payload)
                         if kind == "revisit":
-                            n, digest = int(re.search(rb"(?i)content-length: *(\d+)", http)[1]), told
+                            size_of = re.search(rb"(?i)\ncontent-length: *(\d+)", http)
+                            n, digest = int(size_of[1]) if size_of else None, told or None
                         else:
                             digest = base64.b32encode(hashlib.sha1(payload).digest()).decode()
-                        if digest != told:
-                            raise ValueError(f"digest differs in {archive} at {at}")
-                        num = lambda k, head=head: int(head[k]) if k in head else None
+                            if told and digest != told.upper():
+                                raise ValueError(f"digest differs in {archive} at {at}")
+                        num = lambda k, head=head: int(head[k]) if re.fullmatch(r"-?\d+", head.get(k, "")) else None
                         rows.append((num("x-page-id"), head.get("warc-target-uri"), n, digest, kind, num("x-refers-to-page-id"), payload if payloads else None, archive, at))
                         if len(rows) >= 512:
                             yield batch(rows)

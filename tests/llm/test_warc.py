@@ -1,7 +1,9 @@
 import base64
+import gzip
 import hashlib
 
 import pyarrow.fs as fs
+import pytest
 
 from sediment.llm import warc
 
@@ -51,3 +53,19 @@ def test_bytes_between_records_are_skipped(spark, tmp_path):
         whole = [(at, head["x-page-id"]) for at, head, _ in warc.records_in(f, 0, len(data))]
         split = [(at, head["x-page-id"]) for i in range(0, len(data), 13) for at, head, _ in warc.records_in(f, i, min(i + 13, len(data)))]
     assert [x[1] for x in whole] == ["1", "2"] and split == whole
+
+
+def test_records_of_other_writers(spark, tmp_path):
+    info = b"WARC/1.1\r\nWARC-Type: warcinfo\r\nContent-Length: 9\r\n\r\nsoftware:\r\n\r\n"
+    bare = b"WARC/1.0\r\nWARC-Type: response\r\nWARC-Target-URI: http://x/\r\nX-Page-Id: none\r\nContent-Length: 24\r\n\r\nHTTP/1.1 200 OK\r\n\r\nbody!\r\n\r\n"
+    revisit = b"WARC/1.1\r\nWARC-Type: revisit\r\nContent-Length: 0\r\n\r\n\r\n\r\n"
+    big = warc.member(5, "u", b"0123456789abcdef" * 400_000, None, "d")
+    data = b"".join(gzip.compress(x) for x in (info, bare, revisit)) + big
+    (tmp_path / "a.warc.gz").write_bytes(data)
+    archives = spark.createDataFrame([(str(tmp_path / "a.warc.gz"), len(data))], "archive string, bytes long")
+    got = [(r["record_type"], r["payload_bytes"], r["page_id"], r["payload_digest"]) for r in warc.read_warc(spark, archives, split_bytes=100).orderBy("at").collect()]
+    digest = lambda x: base64.b32encode(hashlib.sha1(x).digest()).decode()
+    assert got == [("warcinfo", 9, None, digest(b"software:")), ("response", 5, None, digest(b"body!")), ("revisit", None, None, None), ("response", 6_400_000, 5, digest(b"0123456789abcdef" * 400_000))]
+    (tmp_path / "b.warc.gz").write_bytes(data[:-50])
+    with fs.LocalFileSystem().open_input_file(str(tmp_path / "b.warc.gz")) as f, pytest.raises(ValueError, match="breaks off"):
+        list(warc.records_in(f, 0, len(data)))
