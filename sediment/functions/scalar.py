@@ -45,7 +45,7 @@ def norm_basic(value: Column) -> Column:
 
 def norm_canonical(value: Column, kind: Column) -> Column:
     """norm_basic; a person's first name in its canonical form; then only a-z, 0-9 and blanks."""
-    alias = literal_map({a: c for c, names in V.ALIASES.items() for a in names.split()})
+    alias = literal_map({a: c for c, names in V.ALIASES.items() for a in names})
     basic = norm_basic(value)
     first = F.regexp_extract(basic, r"^\S+", 0)
     person = F.when((kind == "PERSON") & alias[first].isNotNull(), F.concat(alias[first], F.substring(basic, F.length(first) + 1, F.length(basic)))).otherwise(basic)
@@ -168,5 +168,120 @@ def title(text: Column) -> Column:
 
 
 def format_bytes(n: Column) -> Column:
+    """Bytes in the unit that fits, a tenth that is halfway goes to the even one."""
     kb = n / F.lit(1024.0)
-    return F.when(n < 1024, F.format_string("%d B", n)).when(kb < 1024, F.format_string("%.1f KB", kb)).when(kb < 1048576, F.format_string("%.1f MB", kb / 1024)).otherwise(F.format_string("%.1f GB", kb / 1048576))
+    shown = lambda v, unit: F.format_string(f"%.1f {unit}", F.bround(v, 1))
+    return F.when(n < 1024, F.format_string("%d B", n)).when(kb < 1024, shown(kb, "KB")).when(kb < 1048576, shown(kb / 1024, "MB")).otherwise(shown(kb / 1048576, "GB"))
+
+
+def places(text: Column, pattern: str) -> Column:
+    """Matches of an expression in a text: structs of start (characters from 0) and value."""
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    gaps = F.slice(F.split(text, pattern, -1), 1, F.size(found))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,value:string>>").alias("out"))
+    step = lambda a, p: F.struct((a["at"] + F.length(p["gap"]) + F.length(p["hit"])).alias("at"), F.concat(a["out"], F.array(F.struct((a["at"] + F.length(p["gap"])).alias("start"), p["hit"].alias("value")))).alias("out"))
+    return F.aggregate(F.zip_with(gaps, found, lambda g, h: F.struct(g.alias("gap"), h.alias("hit"))), start, step, lambda a: a["out"])
+
+
+def tech_places(text: Column) -> Column:
+    """Technology terms in a text, in the order of the list and then of the text: structs of value as written and start.
+
+    No letter or digit may stand before or after a term; an underscore may.
+    """
+    found = [F.when(F.contains(F.lower(text), F.lit(t.lower())), places(text, rf"(?i)(?<![\p{{L}}\p{{N}}]){t}(?![\p{{L}}\p{{N}}])")) for t in V.TECH_TERMS]
+    return F.flatten(F.array_compact(F.array(*found)))
+
+
+def uptime(seconds: Column) -> Column:
+    """Seconds as 42s, 7m or 3h 20m; halves go to the even number."""
+    whole = lambda c: F.rint(c).cast("long").cast("string")
+    hours = F.concat(F.floor(seconds / 3600).cast("string"), F.lit("h "), F.floor(F.pmod(seconds, F.lit(3600)) / 60).cast("string"), F.lit("m"))
+    return F.when(seconds < 60, F.concat(whole(seconds), F.lit("s"))).when(seconds < 3600, F.concat(whole(seconds / 60), F.lit("m"))).otherwise(hours)
+
+
+def elapsed(seconds: Column) -> Column:
+    """Whole seconds as 42s, 7.5m or 3.2h; ... for null. A tenth that is halfway goes to the even one."""
+    tenths = lambda unit: F.rint(seconds / unit).cast("long")
+    shown = lambda t, name: F.concat(F.floor(t / 10).cast("string"), F.lit("."), (t % 10).cast("string"), F.lit(name))
+    return F.when(seconds.isNull(), "...").when(seconds < 60, F.concat(F.rint(seconds).cast("long").cast("string"), F.lit("s"))).when(seconds < 3600, shown(tenths(6), "m")).otherwise(shown(tenths(360), "h"))
+
+
+def grouped(n: Column) -> Column:
+    """A whole number with commas."""
+    return F.format_number(n, 0)
+
+
+def bar(value: Column, most: Column, width: int = 20) -> Column:
+    """A bar of width signs; an empty one where most is 0."""
+    full = F.when(most == 0, 0).otherwise(F.floor(F.least(F.lit(1.0), value / F.when(most != 0, most)) * width)).cast("int")
+    return F.concat(F.repeat(F.lit("█"), full), F.repeat(F.lit("░"), F.lit(width) - full))
+
+
+def sparkline(values: Column, width: int = 20) -> Column:
+    """The last width values as signs of eight heights between the least and the most of all values, padded on the right."""
+    low, high = F.array_min(values), F.array_max(values)
+    span = F.when(high > low, high - low).otherwise(1)
+    last = F.slice(values, F.greatest(F.size(values) - width + 1, F.lit(1)), F.lit(width))
+    signs = F.transform(last, lambda v: F.substring(F.lit("▁▂▃▄▅▆▇█"), F.floor((v - low) / span * 7).cast("int") + 1, F.lit(1)))
+    return F.rpad(F.array_join(signs, ""), width, "▁")
+
+
+def parse_iso(value: Column, now: Column) -> Column:
+    """An ISO time, Z or an offset at its end; now for null and for what is none."""
+    return F.coalesce(F.try_to_timestamp(F.regexp_replace(value, "Z$", "+00:00")), now)
+
+
+def parse_epoch(value: Column, now: Column) -> Column:
+    """Seconds since 1970 as a time; now for null, zero and what is no number."""
+    seconds = value.try_cast("double")
+    fine = (seconds != 0) & ~F.isnan(seconds) & (F.abs(seconds) < 253402300800)
+    return F.coalesce(F.when(fine, F.timestamp_micros(F.round(F.when(fine, seconds) * 1_000_000).cast("long"))), now)
+
+
+def whole_number(text: Column) -> Column:
+    """A track number: the text as a number, null where it is none."""
+    return text.try_cast("int")
+
+
+def year4(text: Column) -> Column:
+    """The first four characters as a number, null where they are none."""
+    return F.substring(text, 1, 4).try_cast("int")
+
+
+def nested_get(config: Column, path: str) -> Column:
+    """The value at a dotted path of a JSON text; a number is an index of a list, or a key."""
+    steps = path.split(".")
+    listed = "$" + "".join(f"[{p}]" if p.isdigit() else f".{p}" for p in steps)
+    return F.coalesce(F.get_json_object(config, listed), F.get_json_object(config, "$" + "".join(f".{p}" for p in steps)))
+
+
+def aperture(f_number: Column) -> Column:
+    return F.when(f_number != 0, F.concat(F.lit("f/"), f_number.cast("string")))
+
+
+def shutter(seconds: Column) -> Column:
+    """1/n under a second, else the seconds."""
+    return F.when(seconds == 0, None).when(seconds < 1, F.concat(F.lit("1/"), F.floor(1 / seconds).cast("long").cast("string"))).otherwise(F.concat(seconds.cast("string"), F.lit("s")))
+
+
+def focal(mm: Column) -> Column:
+    return F.when(mm != 0, F.concat(mm.cast("string"), F.lit("mm")))
+
+
+def altitude(metres: Column, ref: Column) -> Column:
+    """Negative below the sea, where ref is 1; null for 0 and null."""
+    return F.when(metres != 0, F.when(F.coalesce(ref, F.lit(0)) == 1, -metres).otherwise(metres))
+
+
+def place_name(city: Column, town: Column, village: Column, municipality: Column, state: Column, country: Column) -> Column:
+    """The first of city, town, village and municipality, then state and country, joined by comma and blank; null without any."""
+    some = lambda c: F.when(c != "", c)
+    parts = F.array_compact(F.array(F.coalesce(*map(some, (city, town, village, municipality))), some(state), some(country)))
+    return F.when(F.size(parts) > 0, F.array_join(parts, ", "))
+
+
+def audio_text(title: Column, artist: Column, album: Column, name: Column) -> Column:
+    """The tags a file has, a line each, else its name."""
+    tag = lambda label, c: F.when(c != "", F.concat(F.lit(f"{label}: "), c))
+    lines = F.array_compact(F.array(tag("Title", title), tag("Artist", artist), tag("Album", album)))
+    return F.when(F.size(lines) > 0, F.array_join(lines, "\n")).otherwise(F.concat(F.lit("[Audio: "), name, F.lit("]")))

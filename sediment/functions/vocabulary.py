@@ -13,21 +13,53 @@ DOMAINS = {
 # Technology terms and the categories of some of them.
 TECH_TERMS = ["Python", "JavaScript", "TypeScript", "React", "FastAPI", "Django", "PostgreSQL", "SQLite", "ChromaDB", "Docker", "Kubernetes", "AWS", "GCP", "Azure", "Linux", "Windows", "macOS", "Git", "GitHub", "API", "REST", "GraphQL", "OAuth", "TensorFlow", "PyTorch", "spaCy", "NLTK", "LLM", "GPT", "Claude", "Anthropic", "OpenAI", "Gemini"]
 TECH_CATEGORIES = {
-    "languages": ["python", "javascript", "typescript"],
-    "frameworks": ["react", "vue", "angular", "fastapi", "django", "flask"],
-    "infrastructure": ["docker", "kubernetes"],
-    "cloud": ["aws", "gcp", "azure"],
-    "databases": ["postgresql", "sqlite", "mongodb"],
-    "tools": ["git", "github"],
-}
+    "python": "languages", "javascript": "languages", "typescript": "languages",
+    "react": "frameworks", "vue": "frameworks", "angular": "frameworks", "fastapi": "frameworks", "django": "frameworks", "flask": "frameworks",
+    "docker": "infrastructure", "kubernetes": "infrastructure",
+    "aws": "cloud", "gcp": "cloud", "azure": "cloud",
+    "postgresql": "databases", "sqlite": "databases", "mongodb": "databases",
+    "git": "tools", "github": "tools",
+}
 
 # Canonical first names and their short forms.
 ALIASES = {
-    "gabriel": "gabe gabi", "daniel": "dan danny", "michael": "mike mick", "robert": "rob bob bobby", "william": "will bill billy",
-    "richard": "rick dick", "christopher": "chris", "matthew": "matt", "anthony": "tony", "joseph": "joe joey", "benjamin": "ben",
-    "alexander": "alex", "nicholas": "nick", "jonathan": "jon", "stephen": "steve", "elizabeth": "liz beth lizzy",
-    "jennifer": "jen jenny", "katherine": "kate kathy katie", "margaret": "maggie meg", "patricia": "pat patty",
-}
+    "gabriel": ["gabe", "gabi"],
+    "daniel": ["dan", "danny"],
+    "michael": ["mike", "mick"],
+    "robert": ["rob", "bob", "bobby"],
+    "william": ["will", "bill", "billy"],
+    "richard": ["rick", "dick"],
+    "christopher": ["chris"],
+    "matthew": ["matt"],
+    "anthony": ["tony"],
+    "joseph": ["joe", "joey"],
+    "benjamin": ["ben"],
+    "alexander": ["alex"],
+    "nicholas": ["nick"],
+    "jonathan": ["jon"],
+    "stephen": ["steve"],
+    "elizabeth": ["liz", "beth", "lizzy"],
+    "jennifer": ["jen", "jenny"],
+    "katherine": ["kate", "kathy", "katie"],
+    "margaret": ["maggie", "meg"],
+    "patricia": ["pat", "patty"],
+}
+
+# Extractors and their extensions, and folders that a walk of a drive leaves out.
+EXTRACTORS = {
+    "pdf": ["pdf"],
+    "docx": ["docx"],
+    "markdown": ["md", "markdown"],
+    "text": ["txt", "text", "log"],
+    "html": ["html", "htm"],
+    "python": ["py", "pyw"],
+    "javascript": ["js", "jsx", "ts", "tsx", "mjs"],
+    "yaml": ["yaml", "yml"],
+    "json": ["json"],
+    "image": ["jpg", "jpeg", "png", "gif", "webp", "bmp", "tiff", "tif", "heic", "heif"],
+    "audio": ["mp3", "wav", "m4a", "flac", "ogg", "aac", "wma", "opus", "aiff"],
+}
+SKIPPED_FOLDERS = ["node_modules", "__pycache__", ".git", "venv", "env", ".venv", "Windows", "Program Files", "Program Files (x86)", "$Recycle.Bin", "System Volume Information", ".cache", ".local", ".config", "snap", "AppData", "ProgramData", ".npm", ".yarn", "site-packages", "dist-packages"]
 
 # Renamed entity labels, discovery types of patterns, file-name rules, excluded names.
 LABELS = {"PERSON": "PERSON", "ORG": "ORG", "GPE": "LOCATION", "LOC": "LOCATION", "DATE": "DATE", "TIME": "TIME", "MONEY": "MONEY", "PRODUCT": "PRODUCT", "WORK_OF_ART": "PROJECT", "LAW": "LEGAL", "EVENT": "EVENT"}

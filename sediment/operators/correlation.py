@@ -14,23 +14,38 @@ def consolidate(entities: DataFrame, files: DataFrame, alias_resolution: bool =
     """One row per (entity_type, normalized) of entities in files: occurrences, distinct files, variants, contexts, first and last sight.
 
     A stored normalized form wins unless alias_resolution; an empty one is derived. The first ten contexts
-    are those of the smallest (indexed_at, id). One shuffle, on the key.
+    are those of the smallest (indexed_at, id). Rows meet by (key, file) and by (key, value) first, so a frequent
+    key brings its files and its spellings, and ten contexts of each task, to one place, never its rows.
     """
     derived = S.norm_canonical(F.col("value"), F.col("entity_type"))
-    key = derived if alias_resolution else F.when(F.coalesce("normalized", F.lit("")) != "", F.col("normalized")).otherwise(derived)
-    rows = entities.join(files.select("file_id", "indexed_at"), "file_id").withColumn("normalized", key)
-    seen = F.slice(F.array_sort(F.collect_list(F.when(F.coalesce("context", F.lit("")) != "", F.struct("indexed_at", "id", "context")))), 1, 10)
-    out = rows.groupBy("entity_type", "normalized").agg(
-        F.count("*").alias("occurrence_count"),
-        F.countDistinct("file_id").alias("file_count"),
-        F.array_sort(F.collect_set("value")).alias("variants"),
-        F.transform(seen, lambda c: c["context"]).alias("contexts"),
-        F.min("indexed_at").alias("first_seen"),
-        F.max("indexed_at").alias("last_seen"),
-    )
+    own = derived if alias_resolution else F.when(F.coalesce("normalized", F.lit("")) != "", F.col("normalized")).otherwise(derived)
+    rows = entities.join(files.select("file_id", "indexed_at"), "file_id").withColumn("normalized", own)
+    key = ["entity_type", "normalized"]
+    per_file = rows.groupBy(*key, "file_id").agg(F.count("*").alias("n"), F.min("indexed_at").alias("a"), F.max("indexed_at").alias("b"))
+    out = per_file.groupBy(*key).agg(F.sum("n").alias("occurrence_count"), F.count("*").alias("file_count"), F.min("a").alias("first_seen"), F.max("b").alias("last_seen"))
+    variants = rows.select(*key, "value").distinct().groupBy(*key).agg(F.array_sort(F.collect_list("value")).alias("variants"))
+    first = F.row_number().over(Window.partitionBy(*key).orderBy("indexed_at", "id"))
+    seen = rows.filter(F.coalesce("context", F.lit("")) != "").withColumn("_n", first).filter("_n <= 10")
+    contexts = seen.groupBy(*key).agg(F.transform(F.array_sort(F.collect_list(F.struct("_n", "context"))), lambda c: c["context"]).alias("contexts"))
+    for name, found in (("variants", variants), ("contexts", contexts)):
+        found = found.select(*[F.col(k).alias(f"_{k}") for k in key], name)
+        out = out.join(found, (F.col("entity_type").eqNullSafe(F.col("_entity_type"))) & (F.col("normalized").eqNullSafe(F.col("_normalized"))), "left").drop("_entity_type", "_normalized")
+    out = out.withColumn("contexts", F.coalesce("contexts", F.array().cast("array<string>")))
     return out.withColumn("id", S.generate_id("cent", S.canonical_key(F.col("entity_type"), F.col("normalized"))))
 
 
+def all_pairs(entities: DataFrame, block: int = 512) -> DataFrame:
+    """e1 < e2 and cooc, the files that share them, for all keys of entities (file_id, key).
+
+    A file's keys meet in slices: a file of n keys is dealt to n / block tasks, each of which sees all its keys once.
+    """
+    e = entities.select("file_id", "key").distinct()
+    e = e.withColumn("slices", F.ceil(F.count("*").over(Window.partitionBy("file_id")) / block).cast("int"))
+    a = e.select("file_id", F.col("key").alias("e1"), F.pmod(F.xxhash64("key"), F.col("slices")).cast("int").alias("slice"))
+    b = e.select("file_id", F.col("key").alias("e2"), F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"))
+    return a.join(b, ["file_id", "slice"]).filter("e1 < e2").groupBy("e1", "e2").agg(F.count("*").alias("cooc"))
+
+
 def cooccurrence(entities: DataFrame, pairs_per_file: int = 500, most_pairs: int | None = None, most_entities: int | None = None) -> DataFrame:
     """Pairs of entity keys that share files: e1, e2, count, strength. entities has file_id and key.
 
@@ -59,16 +74,16 @@ def related(pairs: DataFrame, key: str, least: float = 0.3, n: int = 20) -> Data
     return both.filter(F.col("strength") >= least).orderBy(F.desc("strength"), "other").limit(n)
 
 
-def pmi_pairs(entities: DataFrame, least_pmi: float = 1.5, least_files: int = 2, n: int = 100) -> DataFrame:
-    """The n pairs of largest PMI confidence among those that share least_files files; sparse, and exact as other pairs can't pass."""
+def pmi_pairs(entities: DataFrame, least_pmi: float = 1.5, least_files: int = 2, n: int | None = 100) -> DataFrame:
+    """The n pairs of largest PMI confidence (all for None) among those that share least_files files; sparse, and exact as other pairs can't pass."""
     e = entities.select("file_id", "key").distinct()
     files = e.select(F.countDistinct("file_id").alias("files"))
     single = e.groupBy("key").agg(F.count("*").alias("c"))
-    a, b = e.withColumnRenamed("key", "e1"), e.withColumnRenamed("key", "e2")
-    both = a.join(b, "file_id").filter("e1 < e2").groupBy("e1", "e2").agg(F.count("*").alias("cooc")).filter(F.col("cooc") >= least_files)
+    both = all_pairs(entities).filter(F.col("cooc") >= least_files)
     out = both.join(single.withColumnRenamed("key", "e1").withColumnRenamed("c", "c1"), "e1").join(single.withColumnRenamed("key", "e2").withColumnRenamed("c", "c2"), "e2").crossJoin(F.broadcast(files))
     out = out.withColumn("pmi", S.pmi(F.col("cooc"), F.col("c1"), F.col("c2"), F.col("files"))).filter(F.col("pmi") >= least_pmi)
-    return out.withColumn("confidence", S.pmi_confidence(F.col("pmi"), F.col("cooc"))).orderBy(F.desc("confidence"), "e1", "e2").limit(n).select("e1", "e2", "cooc", "pmi", "confidence")
+    out = out.withColumn("confidence", S.pmi_confidence(F.col("pmi"), F.col("cooc"))).select("e1", "e2", "cooc", "pmi", "confidence")
+    return out if n is None else out.orderBy(F.desc("confidence"), "e1", "e2").limit(n)
 
 
 def term_hits(chunks: DataFrame) -> DataFrame:
@@ -107,7 +122,7 @@ def workflows(files: DataFrame, least_count: int = 3, least_confidence: float =
 
 def tech_stack(entities: DataFrame, top: int = 5) -> DataFrame:
     """Categories of TECH values with their most frequent names, each with occurrences and the stack's confidence."""
-    category = S.literal_map({t: c for c, terms in V.TECH_CATEGORIES.items() for t in terms})
+    category = S.literal_map(V.TECH_CATEGORIES)
     tech = entities.filter(F.col("entity_type") == "TECH").withColumn("category", F.coalesce(category[F.col("normalized")], F.lit("other")))
     stack = tech.agg(F.countDistinct("file_id").alias("files"), F.countDistinct("category").alias("categories"))
     names = tech.groupBy("category", "normalized").agg(F.count("*").alias("occurrences"))
@@ -117,6 +132,32 @@ def tech_stack(entities: DataFrame, top: int = 5) -> DataFrame:
     return out.filter((F.col("categories") >= 2) & (F.col("confidence") >= 0.3))
 
 
+def tech_categories(entities: DataFrame, top: int = 5) -> DataFrame:
+    """Per category of TECH values: occurrences, distinct files, and the most frequent names."""
+    category = F.coalesce(S.literal_map(V.TECH_CATEGORIES)[F.col("normalized")], F.lit("other"))
+    tech = entities.filter(F.col("entity_type") == "TECH").withColumn("category", category)
+    names = tech.groupBy("category", "normalized").agg(F.count("*").alias("n"))
+    rank = F.row_number().over(Window.partitionBy("category").orderBy(F.desc("n"), "normalized"))
+    first = F.collect_list(F.when(F.col("rank") <= top, F.struct("rank", "normalized")))
+    names = names.withColumn("rank", rank).groupBy("category").agg(F.sum("n").alias("occurrences"), F.transform(F.array_sort(first), lambda x: x["normalized"]).alias("top"))
+    return names.join(tech.groupBy("category").agg(F.countDistinct("file_id").alias("files")), "category")
+
+
+def consolidated_stats(consolidated: DataFrame, pairs: DataFrame, strong: float = 0.5) -> DataFrame:
+    """kind, name, n: entities by type and in all, pairs and strong pairs."""
+    types = consolidated.groupBy(F.col("entity_type").alias("name")).agg(F.count("*").alias("n")).select(F.lit("type").alias("kind"), "name", "n")
+    total = consolidated.agg(F.count("*").alias("n")).select(F.lit("total"), F.lit("entities"), "n")
+    both = pairs.agg(F.count("*").alias("all"), F.count_if(F.col("strength") >= strong).alias("strong"))
+    return types.union(total).union(both.select(F.lit("pairs"), F.lit("all"), "all")).union(both.select(F.lit("pairs"), F.lit("strong"), "strong"))
+
+
+def discovery_stats(discoveries: DataFrame) -> DataFrame:
+    """kind, name, value: discoveries by type and by status, and their mean confidence, 0 without any."""
+    count = lambda c, kind: discoveries.groupBy(F.col(c).alias("name")).agg(F.count("*").cast("double").alias("value")).select(F.lit(kind).alias("kind"), "name", "value")
+    mean = discoveries.agg(F.coalesce(F.avg("confidence"), F.lit(0.0)).alias("value")).select(F.lit("mean"), F.lit("confidence"), "value")
+    return count("discovery_type", "type").union(count("status", "status")).union(mean)
+
+
 def surface(patterns: DataFrame, least: float = 0.7, least_sources: int = 2) -> DataFrame:
     """Discoveries of patterns (pattern_type, title, confidence, sources) sure and wide enough."""
     kind = F.coalesce(S.literal_map(V.DISCOVERY_TYPES)[F.col("pattern_type")], F.col("pattern_type"))
@@ -124,7 +165,57 @@ def surface(patterns: DataFrame, least: float = 0.7, least_sources: int = 2) ->
     return rows.withColumn("id", S.generate_id("disc", F.concat_ws("_", "discovery_type", "title"))).withColumn("status", F.lit("active"))
 
 
-def merge_feedback(fresh: DataFrame, feedback: DataFrame) -> DataFrame:
-    """Discoveries with the latest feedback (id, status, note, at) in place; dismissed ones stay dismissed."""
-    last = feedback.groupBy("id").agg(F.max_by(F.struct("status", "note"), F.struct("at", "status")).alias("f")).select("id", F.col("f.status").alias("told"), F.col("f.note").alias("user_feedback"))
-    return fresh.join(last, "id", "left").withColumn("status", F.coalesce("told", "status")).drop("told")
+def latest_feedback(feedback: DataFrame) -> DataFrame:
+    """id, told, user_feedback: the last word of a log (id, status, note, at) about each discovery."""
+    return feedback.groupBy("id").agg(F.max_by(F.struct("status", "note"), F.struct("at", "status")).alias("f")).select("id", F.col("f.status").alias("told"), F.col("f.note").alias("user_feedback"))
+
+
+def merge_feedback(fresh: DataFrame, stored: DataFrame, feedback: DataFrame) -> DataFrame:
+    """Discoveries of this run and of the store, with the latest feedback in place.
+
+    A discovery that both have takes this run's values and the stored status; one that only the store has stays.
+    The feedback log wins over either: a dismissed one stays dismissed. Columns of fresh that the store lacks are null there.
+    """
+    kept = [c for c in fresh.columns if c not in ("id", "status")]
+    old = stored.select("id", F.col("status").alias("_status"), *[(F.col(c) if c in stored.columns else F.lit(None)).alias(f"_{c}") for c in kept])
+    out = fresh.join(old, "id", "full").join(latest_feedback(feedback), "id", "left")
+    return out.select("id", *[F.coalesce(c, f"_{c}").alias(c) for c in kept], F.coalesce("told", "_status", "status").alias("status"), "user_feedback")
+
+
+def give_feedback(discoveries: DataFrame, asked: DataFrame) -> DataFrame:
+    """asked (id, status) with found: whether there is such a discovery; only these belong in the log."""
+    return asked.join(discoveries.select("id", F.lit(True).alias("found")).distinct(), "id", "left").withColumn("found", F.coalesce("found", F.lit(False)))
+
+
+def patterns(chunks: DataFrame, pairs: DataFrame, files: DataFrame, tech: DataFrame, strength: float = 0.4) -> DataFrame:
+    """All patterns as one table: pattern_type, title, confidence, sources (files and entities behind it)."""
+    e = expertise(chunks).select(F.lit("expertise").alias("pattern_type"), F.col("domain").alias("title"), "confidence", F.col("files").alias("sources"))
+    r = relationships(pairs, strength).select(F.lit("relationship"), F.concat_ws(" ", "person", "relation", "other"), "confidence", F.col("count") + 2)
+    w = workflows(files).select(F.lit("workflow"), "rule", "confidence", "count")
+    t = tech_stack(tech).groupBy().agg(F.max("confidence").alias("confidence"), F.max("files").alias("files")).filter("files is not null").select(F.lit("heuristic"), F.lit("tech_stack"), "confidence", "files")
+    return e.union(r).union(w).union(t)
+
+
+PATTERN_TYPES = ["expertise", "relationship", "workflow", "heuristic"]
+
+
+def pattern_stats(found: DataFrame) -> DataFrame:
+    """Patterns by type, the four types also where there are none."""
+    counts = found.groupBy("pattern_type").agg(F.count("*").alias("n"))
+    kinds = found.sparkSession.createDataFrame([(k,) for k in PATTERN_TYPES], "pattern_type string")
+    return kinds.join(counts, "pattern_type", "left").select("pattern_type", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def run(entities: DataFrame, seen: DataFrame, chunks: DataFrame, tech: DataFrame, files: DataFrame, strength: float = 0.4, least: float = 0.7) -> tuple[DataFrame, DataFrame]:
+    """A whole correlation: its discoveries, and one audit row with the counts of each step.
+
+    seen (file_id, indexed_at) are the files of the entities, files (file_id, filename) those whose names are read.
+    """
+    pairs = cooccurrence(entities)
+    found = patterns(chunks, pairs, files, tech, strength)
+    discoveries = surface(found, least)
+    counts = [consolidate(entities, seen).agg(F.count("*").alias("entities")), pairs.agg(F.count("*").alias("pairs")), found.agg(F.count("*").alias("patterns")), discoveries.agg(F.count("*").alias("discoveries"))]
+    audit = counts[0]
+    for c in counts[1:]:
+        audit = audit.crossJoin(c)
+    return discoveries, audit

@@ -49,5 +49,40 @@ def silos(idx: DataFrame, least: int = 10) -> DataFrame:
     return alone.filter(F.col("only_here") >= least).join(size, "machine").select("machine", "only_here", "entities", F.least(F.lit(1.0), F.col("only_here") / F.lit(50.0)).alias("confidence"), (F.col("only_here") / F.col("entities")).alias("uniqueness"))
 
 
+def insights(idx: DataFrame, least_shared: int = 5, least_alone: int = 10) -> DataFrame:
+    """What stands out: id, subject, value, confidence. Which machine shares most; which pair shares most; how many are mostly alone."""
+    n = idx.agg(F.countDistinct("machine").alias("k"))
+    shared = idx.join(idx.groupBy("entity").agg(F.count("*").alias("m")).filter("m > 1"), "entity").groupBy("machine").agg(F.count("*").alias("shared"))
+    all_ = idx.select("machine").distinct().join(shared, "machine", "left").withColumn("shared", F.coalesce("shared", F.lit(0)))
+    hub = all_.orderBy(F.desc("shared"), "machine").limit(1).crossJoin(F.broadcast(n)).filter("k > 1").select(F.lit("insight_distribution").alias("id"), F.col("machine").alias("subject"), F.col("shared").cast("long").alias("value"), F.lit(0.8).alias("confidence"))
+    pair = collaboration(idx, least_shared).orderBy("m1", "m2").limit(1).select(F.lit("insight_collaboration"), F.concat_ws(" and ", "m1", "m2"), F.col("shared").cast("long"), "confidence")
+    alone = silos(idx, least_alone).filter("uniqueness > 0.5").agg(F.count("*").alias("c")).filter("c > 0").select(F.lit("insight_silos"), F.lit(None).cast("string"), F.col("c").cast("long"), F.lit(0.7))
+    return hub.union(pair).union(alone)
+
+
+def merge_result(files: DataFrame, chunks: DataFrame, entities: DataFrame, known_files: DataFrame, known_chunks: DataFrame, errors: DataFrame) -> DataFrame:
+    """Per machine what a merge did: files and chunks added, those that were there already, entities added and consolidated, errors joined.
+
+    files (id, machine), chunks (machine, file_id, chunk_index, content), entities (machine, file_id, i, value), errors (machine, error).
+    The first of equal chunks, and of equal entities by their organisation form, is by (machine, file, index).
+    """
+    new = files.join(known_files.select("id"), "id", "left_anti").groupBy("machine").agg(F.count("*").alias("files_added"))
+    old = files.join(known_files.select("id"), "id", "left_semi").groupBy("machine").agg(F.count("*").alias("files_known"))
+    kept = merge_chunks(chunks, known_chunks).groupBy("machine").agg(F.count("*").alias("chunks_added"))
+    all_ = chunks.groupBy("machine").agg(F.count("*").alias("chunks"))
+    first = F.row_number().over(Window.partitionBy("n").orderBy("machine", "file_id", "i"))
+    named = entities.withColumn("n", S.norm_org(F.col("value"))).withColumn("r", first).groupBy("machine").agg(F.count("*").alias("entities_added"), F.count_if(F.col("r") > 1).alias("entities_consolidated"))
+    told = errors.groupBy("machine").agg(F.array_join(F.array_sort(F.collect_list("error")), "; ").alias("errors"))
+    out = files.select("machine").distinct()
+    for x in (new, old, kept, all_, named, told):
+        out = out.join(x, "machine", "left")
+    z = lambda c: F.coalesce(c, F.lit(0)).cast("long")
+    return out.select("machine", z("files_added").alias("files_added"), (z("files_known") + z("chunks") - z("chunks_added")).alias("files_deduplicated"), z("chunks_added").alias("chunks_added"), z("entities_added").alias("entities_added"), z("entities_consolidated").alias("entities_consolidated"), F.coalesce("errors", F.lit("")).alias("errors"))
+
+
 def summary(idx: DataFrame) -> DataFrame:
-    return idx.agg(F.countDistinct("machine").alias("machines"), F.countDistinct("entity").alias("entities"), F.sum("n").alias("mentions"))
+    """Machines, entities, and patterns by type."""
+    out = idx.agg(F.countDistinct("machine").alias("machines"), F.countDistinct("entity").alias("entities"))
+    for name, df in (("topic", topics(idx)), ("collaboration", collaboration(idx)), ("expertise", silos(idx))):
+        out = out.crossJoin(F.broadcast(df.agg(F.count("*").alias(name))))
+    return out

@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from pyspark.ml.clustering import KMeans, KMeansModel
-from pyspark.ml.feature import PCA
+from pyspark.ml.feature import PCA, BucketedRandomProjectionLSH
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -42,26 +42,99 @@ class InvertedFile:
         model = KMeans(k=cells, seed=seed, predictionCol="cell").fit(rows.filter(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1))
         return cls(model, model.transform(rows).drop("features"))
 
+    def save(self, folder: str) -> None:
+        self.model.write().save(f"{folder}/model")
+        self.rows.write.partitionBy("cell").parquet(f"{folder}/rows")
+
+    @classmethod
+    def load(cls, spark: SparkSession, folder: str) -> InvertedFile:
+        """A search on a loaded index reads the folders of the probed cells only."""
+        return cls(KMeansModel.load(f"{folder}/model"), spark.read.parquet(f"{folder}/rows"))
+
+    def probed(self, query: str, probes: int):
+        """The cells of the nearest centroids of a column of queries, as an array."""
+        far = [F.struct(squared_l2(F.col(query), F.array(*[F.lit(float(x)) for x in c])).alias("d"), F.lit(i).alias("i")) for i, c in enumerate(self.model.clusterCenters())]
+        return F.transform(F.slice(F.array_sort(F.array(*far)), 1, probes), lambda x: x["i"])
+
+    def nearest_batch(self, queries: DataFrame, k: int = 10, probes: int = 10) -> DataFrame:
+        """The k nearest rows of the probed cells for each of queries (query_id, query); a cell's vectors meet only the queries that probe it."""
+        asked = queries.select("query_id", "query", F.explode(self.probed("query", probes)).alias("cell"))
+        pairs = self.rows.join(asked, "cell").withColumn("distance", cosine_distance(F.col("embedding"), F.col("query")))
+        rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "vec_id"))
+        return pairs.select("query_id", "vec_id", "distance").withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "distance")
+
     def nearest(self, query: list[float], k: int = 10, probes: int = 10) -> DataFrame:
         far = [(float(sum((a - b) ** 2 for a, b in zip(query, c))), i) for i, c in enumerate(self.model.clusterCenters())]
         q = F.array(*[F.lit(float(x)) for x in query])
         return self.rows.filter(F.col("cell").isin([i for _, i in sorted(far)[:probes]])).withColumn("distance", squared_l2(F.col("embedding"), q)).orderBy("distance", "vec_id").limit(k)
 
 
+def hashed_neighbours(vectors: DataFrame, queries: DataFrame, k: int = 10, tables: int = 4, width: float = 2.0, seed: int = 42) -> DataFrame:
+    """The approximate option: of the rows that share a bucket with a query in some table of random projections, the k nearest.
+
+    vectors (vec_id, embedding) and queries (query_id, query) of unit length. It stands in for a graph index, which Spark lacks.
+    """
+    as_vector = lambda c: array_to_vector(F.col(c).cast("array<double>"))
+    rows, asked = vectors.select("vec_id", "embedding", as_vector("embedding").alias("features")), queries.select("query_id", "query", as_vector("query").alias("features"))
+    model = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", bucketLength=width, numHashTables=tables, seed=seed).fit(rows)
+    buckets = lambda df, key, c: model.transform(df).select(key, c, F.posexplode("hashes").alias("t", "h")).withColumn("bucket", vector_to_array("h")[0]).drop("h")
+    meet = buckets(rows, "vec_id", "embedding").join(buckets(asked, "query_id", "query").select("query_id", "t", "bucket"), ["t", "bucket"]).select("query_id", "vec_id").distinct()
+    pairs = meet.join(vectors.select("vec_id", "embedding"), "vec_id").join(queries.select("query_id", "query"), "query_id").withColumn("distance", cosine_distance(F.col("embedding"), F.col("query")))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "vec_id"))
+    return pairs.select("query_id", "vec_id", "distance").withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "distance")
+
+
+def word_cell(word: Column, dims: int) -> Column:
+    """The dimension of a word: its MD5's first 32 bits modulo dims."""
+    return F.pmod(F.conv(F.substring(F.md5(word), 1, 8), 16, 10).cast("long"), F.lit(dims)).cast("int")
+
+
 def hashed_embeddings(rows: DataFrame, key: list[str], text: str, dims: int = 384) -> DataFrame:
     """key and v, a unit vector of hashed word counts of the text (zero without words): the offline stand-in for a sentence model."""
     words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    cells = rows.select(*key, F.explode_outer(words).alias("w")).select(*key, F.pmod(F.xxhash64("w"), F.lit(dims)).cast("int").alias("cell"), F.col("w").isNotNull().cast("double").alias("one"))
+    cells = rows.select(*key, F.explode_outer(words).alias("w")).select(*key, word_cell(F.col("w"), dims).alias("cell"), F.col("w").isNotNull().cast("double").alias("one"))
     counts = cells.groupBy(*key, "cell").agg(F.sum("one").alias("c"))
     sums = counts.groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct("cell", "c"))).alias("m"), F.sqrt(F.sum(F.col("c") * F.col("c"))).alias("norm"))
     return sums.select(*key, F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.coalesce(F.try_divide(F.try_element_at("m", i), "norm"), F.lit(0.0))).alias("v"))
 
 
-def context(vectors: DataFrame, chunks: DataFrame, query: list[float], k: int = 5) -> DataFrame:
-    """One row: the k nearest chunks (id, content) as numbered lines with similarities."""
-    q = F.array(*[F.lit(float(x)) for x in query])
-    top = vectors.withColumn("distance", cosine_distance(F.col("embedding"), q)).orderBy("distance", "vec_id").limit(k)
-    rank = F.row_number().over(Window.orderBy("distance", "vec_id"))  # over the k rows
-    rows = top.withColumn("rank", rank).join(chunks, "vec_id")
-    line = F.format_string("%d. [%.3f] %s", F.col("rank"), F.round(1 - F.col("distance"), 3), F.substring("content", 1, 200))
-    return rows.agg(F.array_sort(F.collect_list(F.struct("rank", line.alias("line")))).alias("x")).select(F.array_join(F.transform("x", lambda r: r["line"]), "\n").alias("context"))
+def embed_with_cache(rows: DataFrame, key: list[str], text: str, cache: DataFrame, dims: int = 384) -> DataFrame:
+    """key, cached, v: embeddings by the text's hash from the cache (text_hash, v), the others computed, each different text once."""
+    hashed = rows.withColumn("text_hash", F.sha2(F.coalesce(text, F.lit("")), 256))
+    found = hashed.select(*key, "text_hash").join(cache.select("text_hash", F.col("v").alias("_v")).dropDuplicates(["text_hash"]), "text_hash", "left")
+    new = hashed.select("text_hash", text).dropDuplicates(["text_hash"]).join(cache.select("text_hash"), "text_hash", "left_anti")
+    out = found.join(hashed_embeddings(new, ["text_hash"], text, dims), "text_hash", "left")
+    return out.select(*key, F.col("_v").isNotNull().alias("cached"), F.coalesce("_v", "v").alias("v"))
+
+
+def rendered(question: Column, chunks: Column, discoveries: Column, entities: Column, form: str = "xml", root: str = "context") -> Column:
+    """The text of a question's context from arrays of chunks (content, source, similarity, chunk_type), discoveries
+    (discovery_type, title, description, confidence) and entities (entity_type, canonical_value)."""
+    said = lambda items, line: F.array_join(F.transform(items, line), "")
+    two = lambda c: F.format_string("%.2f", c)
+    number = lambda i: (i + 1).cast("string")
+    if form == "xml":
+        chunk = lambda x, i: F.concat(F.lit('<chunk index="'), number(i), F.lit('" similarity="'), two(x["similarity"]), F.lit('" source="'), x["source"], F.lit('" type="'), x["chunk_type"], F.lit('">\n'), x["content"], F.lit("\n</chunk>\n\n"))
+        found = lambda x: F.concat(F.lit('<discovery type="'), x["discovery_type"], F.lit('" confidence="'), two(x["confidence"]), F.lit('">\n'), x["title"], F.lit(": "), F.coalesce(x["description"], F.lit("")), F.lit("\n</discovery>\n\n"))
+        named = lambda x: F.concat(F.lit('  <entity type="'), x["entity_type"], F.lit('">'), x["canonical_value"], F.lit("</entity>\n"))
+        parts = [F.lit(f"<{root}>\n<query>"), question, F.lit("</query>\n\n<relevant_content>\n"), said(chunks, chunk), F.lit("</relevant_content>\n")]
+        more = [("\n<discoveries>\n", discoveries, found, "</discoveries>\n"), ("\n<key_entities>\n", entities, named, "</key_entities>\n")]
+        end = f"</{root}>"
+    else:
+        cut = lambda c: F.when(F.length(c) > 500, F.concat(F.substring(c, 1, 500), F.lit("..."))).otherwise(c)
+        chunk = lambda x, i: F.concat(F.lit("**["), number(i), F.lit("]** _"), x["source"], F.lit("_ (similarity: "), two(x["similarity"]), F.lit(")\n\n> "), cut(x["content"]), F.lit("\n\n"))
+        found = lambda x: F.concat(F.lit("- **"), x["title"], F.lit("** ("), F.format_string("%.0f", F.rint(x["confidence"] * 100)), F.lit("%): "), F.coalesce(x["description"], F.lit("")), F.lit("\n"))
+        named = lambda x: F.concat(F.lit("- ["), x["entity_type"], F.lit("] "), x["canonical_value"], F.lit("\n"))
+        parts = [F.lit("## Context: "), question, F.lit("\n\n### Relevant Content\n\n"), said(chunks, chunk)]
+        more = [("### Discoveries\n\n", discoveries, found, ""), ("\n### Key Entities\n\n", entities, named, "")]
+        end = ""
+    for head, items, line, tail in more:
+        parts.append(F.when(F.size(items) > 0, F.concat(F.lit(head), said(items, line), F.lit(tail))).otherwise(""))
+    return F.concat(*parts, F.lit(end))
+
+
+def bundle(question: str, chunks: DataFrame, discoveries: DataFrame, entities: DataFrame, form: str = "xml", root: str = "context") -> DataFrame:
+    """One row with the text of a question's context, from the few rows of three top-k tables, each with a rank."""
+    few = lambda df, name, *columns: df.agg(F.array_sort(F.collect_list(F.struct("rank", *columns))).alias(name))
+    rows = few(chunks, "c", "content", "source", "similarity", "chunk_type").crossJoin(few(discoveries, "d", "discovery_type", "title", "description", "confidence")).crossJoin(few(entities, "e", "entity_type", "canonical_value"))
+    return rows.select(rendered(F.lit(question), F.col("c"), F.col("d"), F.col("e"), form, root).alias("context"))

@@ -27,9 +27,24 @@ def nearest(vectors: DataFrame, query: list[float], k: int = 10, metric: str = "
     return rows.withColumn("distance", d).orderBy("distance", "vec_id").limit(k)
 
 
-def nearest_batch(vectors: DataFrame, queries: DataFrame, k: int = 10, metric: str = "cosine") -> DataFrame:
-    """The k nearest rows for each of few queries (query_id, query); each task keeps its own k per query before the shuffle."""
+def nearest_batch(vectors: DataFrame, queries: DataFrame, k: int = 10, metric: str = "cosine", most: int = 4096) -> DataFrame:
+    """The k nearest rows for each of queries (query_id, query); each task keeps its own k per query before the shuffle.
+
+    Queries are broadcast in groups of about most, a pass over the vectors each; their number is counted first.
+    """
     d = cosine_distance(F.col("embedding"), F.col("query")) if metric == "cosine" else squared_l2(F.col("embedding"), F.col("query"))
-    pairs = vectors.crossJoin(F.broadcast(queries)).withColumn("distance", d)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "vec_id"))
-    return pairs.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "distance")
+    groups, out = max(1, -(-queries.count() // most)), None
+    for g in range(groups):
+        some = queries if groups == 1 else queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(groups)) == g)
+        pairs = vectors.select("vec_id", "embedding").crossJoin(F.broadcast(some.select("query_id", "query"))).withColumn("distance", d)
+        found = pairs.select("query_id", "vec_id", "distance").withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "distance")
+        out = found if out is None else out.union(found)
+    return out
+
+
+def hybrid(vectors: DataFrame, queries: DataFrame, k: int = 10, strategy: str = "auto", index=None, most: int = 1_000_000) -> DataFrame:
+    """A batch search by strategy: flat is exact; indexed reads the probed cells of an index; auto is flat up to most vectors or without an index."""
+    if strategy == "flat" or index is None or (strategy == "auto" and vectors.count() <= most):
+        return nearest_batch(vectors, queries, k)
+    return index.nearest_batch(queries, k)

@@ -6,8 +6,6 @@ it is the operator (a top-k, the first n of a group).
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -18,54 +16,17 @@ from ..operators import chunking, correlation, machines, models, search
 from ..sources import extract
 from ..sources import standins as T
 from ..streaming import events as streams
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-#: The derived tables of sources/standins.py once more, as SQL.
-FILES = "(select doc_id as file_id, '[' || source || '] ' || doc_id as path, source || '_v' || (doc_id % 7) || '.' || lang as filename, lang as extension, n_chars as size_bytes, case when doc_id % 10 = 0 then 'pending' when doc_id % 10 = 1 then 'failed' else 'indexed' end as status, doc_id as seconds, source as machine from documents)"
-ENTITIES = "(select l_orderkey as file_id, k as entity_type, v as value, lower(v) as normalized, k || ':' || lower(v) as key, o_orderdate as indexed_at from (select l_orderkey, o_orderdate, unnest(['PERSON', 'ORG', 'PROJECT']) as k, unnest([s_name, p_brand, p_type]) as v from lineitem join supplier on l_suppkey = s_suppkey join part on l_partkey = p_partkey join orders on l_orderkey = o_orderkey))"
-JOBS = "(select event_id as job_id, event_type as job_type, case event_id % 7 when 0 then 'failed' when 1 then 'pending' when 2 then 'running' else 'completed' end as status, event_id % 5 + 1 as priority, ts as created_at, case when event_id % 7 <> 1 then ts end as started_at, case when event_id % 7 not in (1, 2) then ts + to_seconds(event_id % 90) end as completed_at from events)"
-WORDS = "(select source as machine, w as entity from (select source, unnest(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+')) as w from documents) where length(w) >= 10)"
-INDEX = f"(select entity, machine, count(*) as n from {WORDS} group by all)"
-RANKED = f"(select *, row_number() over (partition by file_id order by key) - 1 as i, count(*) over (partition by file_id) as n from (select distinct file_id, key from {ENTITIES}))"
-PAIRS = f"(select e1, e2, c as count, 0.6::double * least(1.0::double, c / 10.0::double) + 0.4::double * least(1.0::double, c / 5.0::double) as strength from (select a.key as e1, b.key as e2, count(*) as c from {RANKED} a join {RANKED} b using (file_id) where a.i < b.i and a.i * (a.n - 1) - a.i * (a.i - 1) / 2 + b.i - a.i - 1 < 500 group by all))"
-TECH = "(select doc_id as file_id, w as normalized from (select doc_id, unnest(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+')) as w from documents) where w in (" + ", ".join(f"'{t.lower()}'" for t in V.TECH_TERMS) + "))"
-TERMS = "(values " + ", ".join(f"('{d}', '{t}')" for d, ts in V.DOMAINS.items() for t in ts) + ") v(domain, term)"
-HITS = f"(select doc_id as file_id, domain, term from documents join {TERMS} on contains(lower(text), term))"
-SIZES = "case domain " + " ".join(f"when '{d}' then {len(t)}" for d, t in V.DOMAINS.items()) + " end"
-EXPERTISE = f"(select *, 0.4::double * least(1.0::double, log10(hits + 1) / 2) + 0.3::double * least(1.0::double, files / 10.0::double) + 0.3::double * (terms / ({SIZES})::double) as confidence from (select domain, count(*) as hits, count(distinct file_id) as files, count(distinct term) as terms from {HITS} group by domain))"
-RELATED = f"(select e1 as key, e2 as other, strength from {PAIRS} union all select e2, e1, strength from {PAIRS})"
-COSINE = "list_cosine_similarity(a.embedding::double[], b.embedding::double[])"
-
-
-def register(name: str, sql: str | None = None):
-    """Register a query and its SQL under a name."""
-
-    def keep(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-        QUERIES[name] = f
-        if sql is not None:
-            ORACLES[name] = sql
-        return f
-
-    return keep
-
-
-def simple(name: str, f: Callable[[SparkSession, str], DataFrame], sql: str | None = None) -> None:
-    register(name, sql)(f)
-
+from . import archive, knowledge  # noqa: F401  their queries are registered by importing them
+from .fragments import COSINE, ENTITIES, EXPERTISE, FILES, FIRST, HITS, INDEX, JOBS, NORM, PAIRS, RELATED, TECH, WORDS
+from .registry import ORACLES, QUERIES, register, simple
 
 def r6(c: str):
     return F.round(c, 6).alias(c)
 
 
 # Scans and reads
-simple("src_registry", lambda s, d: T.files(s, d).groupBy("extension").agg(F.count("*").alias("files")).withColumn("known", F.col("extension").isin("en", "de")), f"select extension, count(*) as files, extension in ('en', 'de') as known from {FILES} group by extension")
-simple("src_text", lambda s, d: T.table(s, d, "documents").select("doc_id", (F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1).cast("long").alias("lines"), S.word_count(F.col("text")).cast("long").alias("words")), "select doc_id, length(text) - length(replace(text, chr(10), '')) + 1 as lines, len(list_filter(regexp_split_to_array(text, '[\\s\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]+'), lambda x: x <> ''))::bigint as words from documents")
-simple("src_html", lambda s, d: T.table(s, d, "pages").select("page_id", F.regexp_count("html", F.lit("(?i)<a [^>]*href")).cast("long").alias("links"), F.regexp_extract("html", "(?is)<title>(.*?)</title>", 1).alias("title")), "select page_id, len(regexp_extract_all(html, '(?i)<a [^>]*href'))::bigint as links, regexp_extract(html, '(?is)<title>(.*?)</title>', 1) as title from pages")
 simple("src_javascript", lambda s, d: T.table(s, d, "pages").select("page_id", ((F.length("html") - F.length(F.replace("html", F.lit("function "), F.lit("")))) / 9 + (F.length("html") - F.length(F.replace("html", F.lit("=> "), F.lit("")))) / 3).cast("long").alias("functions"), F.when(F.lower("html").contains("react"), "react").when(F.lower("html").contains("angular"), "angular").when(F.lower("html").contains("vue"), "vue").alias("framework")), "select page_id, ((length(html) - length(replace(html, 'function ', ''))) / 9 + (length(html) - length(replace(html, '=> ', ''))) / 3)::bigint as functions, case when contains(lower(html), 'react') then 'react' when contains(lower(html), 'angular') then 'angular' when contains(lower(html), 'vue') then 'vue' end as framework from pages")
 simple("src_json", lambda s, d: T.table(s, d, "events").select("event_id", F.array_join(F.slice(F.json_object_keys("props"), 1, 20), ",").alias("top_keys"), F.size(F.json_object_keys("props")).cast("long").alias("item_count")), "select event_id, array_to_string(json_keys(props)[1:20], ',') as top_keys, len(json_keys(props))::bigint as item_count from events")
-simple("src_catalog_read", lambda s, d: T.files(s, d).filter(F.col("status") == "pending").orderBy(F.desc("indexed_at"), "file_id").limit(25).select("file_id", "path"), f"select file_id, path from {FILES} where status = 'pending' order by seconds desc, file_id limit 25")
 
 # Predicates and projections
 simple("pred_exclude", lambda s, d: T.table(s, d, "pages").filter(S.included(F.col("url"), F.regexp_extract("url", "[^/]*$", 0))).select("page_id"), "select page_id from pages where not regexp_matches(url, '^(?:.*.*/node_modules/.*.*|.*.*/\\.git/.*.*|.*.*/venv/.*.*|.*.*/__pycache__/.*.*|.*.*/AppData/.*.*|.*.*/\\$RECYCLE\\.BIN/.*.*)$') and not regexp_matches(regexp_extract(url, '[^/]*$'), '^(?:.*\\.tmp|.*\\.log|.*\\.bak|Thumbs\\.db|desktop\\.ini|\\.DS_Store)$')")
@@ -83,12 +44,6 @@ def proj_conversation(s: SparkSession, d: str) -> DataFrame:
     return g.select("conv_id", "turns", F.array_join(F.transform("a", lambda x: x["line"]), "|").alias("head"))
 
 
-@register("proj_file_detail", f"select f.file_id, f.path, coalesce(e.n, 0) as entities, coalesce(e.head, '') as head from {FILES} f left join (select file_id, count(*) as n, string_agg(normalized, ',' order by normalized) filter (where rn <= 20) as head from (select *, row_number() over (partition by file_id order by normalized) as rn from {TECH}) group by file_id) e using (file_id)")
-def proj_file_detail(s: SparkSession, d: str) -> DataFrame:
-    e = T.tech_entities(s, d).groupBy("file_id").agg(F.count("*").alias("n"), F.array_join(F.slice(F.array_sort(F.collect_list("normalized")), 1, 20), ",").alias("h"))
-    return T.files(s, d).join(e, "file_id", "left").select("file_id", "path", F.coalesce("n", F.lit(0)).alias("entities"), F.coalesce("h", F.lit("")).alias("head"))
-
-
 # Joins
 simple("join_entities_files", lambda s, d: T.entities(s, d).join(T.order_files(s, d), "file_id").groupBy("entity_type").agg(F.count("*").alias("n"), F.countDistinct("file_id").alias("files")), f"select entity_type, count(*) as n, count(distinct file_id) as files from {ENTITIES} group by entity_type")
 simple("join_chunks_files", lambda s, d: T.chunks(s, d).join(T.files(s, d).filter("status = 'indexed'"), "file_id").select("file_id", F.length("content").cast("long").alias("n")), f"select file_id, length(text) as n from documents join {FILES} on doc_id = file_id where status = 'indexed'")
@@ -104,22 +59,15 @@ simple("join_pair_lookup", lambda s, d: correlation.relationships(correlation.co
 simple("agg_files_by_status", lambda s, d: T.files(s, d).groupBy("status").agg(F.count("*").alias("n")), f"select status, count(*) as n from {FILES} group by status")
 simple("agg_files_by_ext", lambda s, d: T.files(s, d).filter("extension is not null").groupBy("extension").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "extension").limit(10), f"select extension, count(*) as n from {FILES} where extension is not null group by extension order by n desc, extension limit 10")
 simple("agg_entities_by_type", lambda s, d: T.entities(s, d).groupBy("entity_type").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "entity_type").limit(10), f"select entity_type, count(*) as n from {ENTITIES} group by entity_type order by n desc, entity_type limit 10")
-simple("agg_totals", lambda s, d: T.files(s, d).agg(F.count("*").alias("files"), F.count_if(F.col("status") == "indexed").alias("indexed"), F.sum("size_bytes").alias("bytes")), f"select count(*) as files, count(*) filter (where status = 'indexed') as indexed, sum(size_bytes)::bigint as bytes from {FILES}")
 simple("agg_jobs", lambda s, d: T.jobs(s, d).groupBy("job_type", "status").agg(F.count("*").alias("n"), F.count_if((F.col("status") == "failed") & (F.col("created_at") >= F.lit("2024-01-29").cast("timestamp"))).alias("recent_failures")), f"select job_type, status, count(*) as n, count(*) filter (where status = 'failed' and created_at >= timestamp '2024-01-29') as recent_failures from {JOBS} group by all")
 simple("agg_consolidate", lambda s, d: correlation.consolidate(T.entities(s, d), T.order_files(s, d)).select("id", "entity_type", "normalized", "occurrence_count", "file_count", F.array_join("variants", ",").alias("variants")), f"select 'cent_' || substring(sha256(entity_type || ':' || normalized), 1, 12) as id, entity_type, normalized, count(*) as occurrence_count, count(distinct file_id) as file_count, string_agg(distinct value, ',' order by value) as variants from {ENTITIES} group by entity_type, normalized")
-simple("agg_consolidated_stats", lambda s, d: correlation.cooccurrence(T.entities(s, d)).agg(F.count("*").alias("pairs"), F.count_if(F.col("strength") >= 0.25).alias("strong")), f"select count(*) as pairs, count(*) filter (where strength >= 0.25::double) as strong from {PAIRS}")
 simple("agg_cooccurrence", lambda s, d: correlation.cooccurrence(T.entities(s, d)).groupBy("count").agg(F.count("*").alias("pairs")), f"select count, count(*) as pairs from {PAIRS} group by count")
 simple("agg_expertise", lambda s, d: correlation.term_hits(T.chunks(s, d)).groupBy("domain").agg(F.count("*").alias("hits"), F.countDistinct("file_id").alias("files"), F.countDistinct("term").alias("terms")), f"select domain, count(*) as hits, count(distinct file_id) as files, count(distinct term) as terms from {HITS} group by domain")
 simple("agg_naming", lambda s, d: correlation.workflows(T.files(s, d), 1, 0.0).select("rule", "count", F.array_join("examples", ",").alias("examples")), f"select 'versioned' as rule, count(*) as count, array_to_string(list_sort(list(distinct filename))[1:5], ',') as examples from {FILES} where regexp_matches(filename, '(?i)v\\d+|_v\\d+|version')")
-simple("agg_tech_stack", lambda s, d: T.tech_entities(s, d).groupBy("normalized").agg(F.count("*").alias("n"), F.countDistinct("file_id").alias("files")), f"select normalized, count(*) as n, count(distinct file_id) as files from {TECH} group by normalized")
-simple("agg_media_stats", lambda s, d: T.table(s, d, "part").agg(F.count("*").alias("total"), F.count_if(F.col("p_size") > 25).alias("large"), F.count_if(F.col("p_retailprice") > 1000).alias("dear"), F.countDistinct("p_brand").alias("brands")), "select count(*) as total, count(*) filter (where p_size > 25) as large, count(*) filter (where p_retailprice > 1000) as dear, count(distinct p_brand) as brands from part")
 simple("agg_machine_index", lambda s, d: machines.index(T.machine_words(s, d)), f"select * from {INDEX}")
-simple("agg_cross_summary", lambda s, d: machines.summary(machines.index(T.machine_words(s, d))), f"select count(distinct machine) as machines, count(distinct entity) as entities, sum(n)::bigint as mentions from {INDEX}")
 simple("agg_vector_stats", lambda s, d: T.table(s, d, "embeddings").rollup("label").agg(F.count("*").alias("n")), "select label, count(*) as n from embeddings group by rollup(label)")
 simple("agg_file_dates", lambda s, d: T.files(s, d).groupBy("machine").agg(F.min("indexed_at").alias("a"), F.max("indexed_at").alias("b")).select("machine", F.unix_timestamp("a").alias("first_seen"), F.unix_timestamp("b").alias("last_seen")), f"select machine, (1704067200 + min(seconds))::bigint as first_seen, (1704067200 + max(seconds))::bigint as last_seen from {FILES} group by machine")
-simple("agg_pattern_stats", lambda s, d: correlation.expertise(T.chunks(s, d)).agg(F.count("*").alias("expertise"), F.lit(0).cast("long").alias("relationship")), f"select count(*) as expertise, 0::bigint as relationship from {EXPERTISE} where hits >= 5 and confidence >= 0.3::double")
 simple("agg_commands", lambda s, d: T.table(s, d, "conversations").groupBy(F.split("text", " ")[0].alias("command")).agg(F.count("*").alias("n"), F.countDistinct("conv_id").alias("sessions")).orderBy(F.desc("n"), "command").limit(5), "select string_split(text, ' ')[1] as command, count(*) as n, count(distinct conv_id) as sessions from conversations group by 1 order by n desc, command limit 5")
-simple("agg_merge_result", lambda s, d: T.files(s, d).groupBy("machine").agg(F.count("*").alias("files_added"), F.count_if(F.col("status") == "failed").alias("errors")), f"select machine, count(*) as files_added, count(*) filter (where status = 'failed') as errors from {FILES} group by machine")
 simple("agg_merge_history", lambda s, d: T.jobs(s, d).orderBy(F.desc("created_at"), F.desc("job_id")).limit(20).select("job_id", "status"), f"select job_id, status from {JOBS} order by created_at desc, job_id desc limit 20")
 simple("agg_graph_status", lambda s, d: correlation.consolidate(T.entities(s, d), T.order_files(s, d)).groupBy("entity_type").agg(F.count("*").alias("nodes")), f"select entity_type, count(distinct normalized) as nodes from {ENTITIES} group by entity_type")
 
@@ -143,13 +91,11 @@ def order():
 simple("win_velocity", lambda s, d: in_time(hourly(s, d)).select("t", F.round((F.col("n") - F.lag("n").over(order())) / (F.col("t") - F.lag("t").over(order())) * 60, 6).alias("rate")), f"select epoch(h)::bigint as t, round((n - lag(n) over (order by h)) / (epoch(h) - lag(epoch(h)) over (order by h)) * 60, 6) as rate from {MINUTES}")
 simple("win_velocity_avg", lambda s, d: in_time(hourly(s, d)).select("t", F.round(F.avg("n").over(order().rowsBetween(-59, 0)), 6).alias("mean")), f"select epoch(h)::bigint as t, round(avg(n) over (order by h rows between 59 preceding and current row), 6) as mean from {MINUTES}")
 simple("win_disk_rate", lambda s, d: in_time(hourly(s, d)).select("t", F.round((F.col("n") - F.lag("n").over(order())) / 1048576, 12).alias("mib")), f"select epoch(h)::bigint as t, round((n - lag(n) over (order by h)) / 1048576, 12) as mib from {MINUTES}")
-simple("win_eta", lambda s, d: T.jobs(s, d).filter("completed_at is not null").withColumn("rn", F.row_number().over(Window.partitionBy("job_type").orderBy(F.desc("completed_at"), F.desc("job_id")))).filter("rn <= 10").groupBy("job_type").agg(F.round(F.avg(F.unix_timestamp("completed_at") - F.unix_timestamp("started_at")), 6).alias("mean_s")), f"select job_type, round(avg(floor(epoch(completed_at)) - floor(epoch(started_at))), 6) as mean_s from (select *, row_number() over (partition by job_type order by completed_at desc, job_id desc) as rn from {JOBS} where completed_at is not null) where rn <= 10 group by job_type")
 simple("win_first_n", lambda s, d: T.messages(s, d).withColumn("rn", F.row_number().over(Window.partitionBy("conv_id").orderBy("sequence"))).filter("rn <= 5").select("conv_id", "sequence", "role"), "select conv_id, turn as sequence, case role when 'user' then 'human' else role end as role from conversations qualify row_number() over (partition by conv_id order by turn) <= 5")
 simple("win_topk_per_group", lambda s, d: T.entities(s, d).groupBy("entity_type", "normalized").agg(F.count("*").alias("n")).withColumn("rk", F.row_number().over(Window.partitionBy("entity_type").orderBy(F.desc("n"), "normalized"))).filter("rk <= 5").select("entity_type", "normalized", "n"), f"select * from (select entity_type, normalized, count(*) as n from {ENTITIES} group by all) qualify row_number() over (partition by entity_type order by n desc, normalized) <= 5")
 simple("win_current_job", lambda s, d: T.jobs(s, d).filter("status = 'running'").orderBy(F.desc("started_at"), F.desc("job_id")).limit(1).select("job_id", "job_type"), f"select job_id, job_type from {JOBS} where status = 'running' order by started_at desc, job_id desc limit 1")
 DEDUP = "select doc_id, substring(sha256(text), 1, 16) as content_hash from documents qualify row_number() over (partition by sha256(text) order by source, doc_id) = 1"
 simple("win_dedup_first", lambda s, d: machines.merge_chunks(T.chunks(s, d).join(T.files(s, d).select("file_id", "machine"), "file_id")).select(F.col("file_id").alias("doc_id"), "content_hash"), DEDUP)
-simple("win_entity_dedup", lambda s, d: T.entities(s, d).select("entity_type", "normalized", "file_id").dropDuplicates().groupBy("entity_type").agg(F.count("*").alias("n")), f"select entity_type, count(*) as n from (select distinct entity_type, normalized, file_id from {ENTITIES}) group by entity_type")
 
 
 # Sorts and top-k
@@ -157,7 +103,6 @@ simple("topk_pending", lambda s, d: T.files(s, d).filter("status = 'pending'").o
 simple("topk_jobs_recent", lambda s, d: T.jobs(s, d).orderBy(F.coalesce("completed_at", "started_at", "created_at").desc(), "job_id").limit(20).select("job_id"), f"select job_id from {JOBS} order by coalesce(completed_at, started_at, created_at) desc, job_id limit 20")
 simple("topk_priority", lambda s, d: T.jobs(s, d).filter("status = 'pending'").orderBy("priority", "created_at", "job_id").limit(50).select("job_id", "priority"), f"select job_id, priority from {JOBS} where status = 'pending' order by priority, created_at, job_id limit 50")
 simple("topk_related", lambda s, d: correlation.related(correlation.cooccurrence(T.entities(s, d)), "ORG:brand#11", 0.1).select("other", r6("strength")), f"select other, round(strength, 6) as strength from {RELATED} where key = 'ORG:brand#11' and strength >= 0.1::double order by strength desc, other limit 20")
-simple("topk_entities_cap", lambda s, d: T.entities(s, d).groupBy("key").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "key").limit(100), f"select key, count(*) as n from {ENTITIES} group by key order by n desc, key limit 100")
 simple("topk_topics", lambda s, d: machines.topics(machines.index(T.machine_words(s, d))).select("entity", "machines", "mention_count", r6("confidence")), f"select entity, count(*) as machines, sum(n)::bigint as mention_count, round(least(1.0::double, (count(*) / 3.0::double) * (sum(n) / 10.0::double)), 6) as confidence from {INDEX} group by entity having count(*) > 1 and least(1.0::double, (count(*) / 3.0::double) * (sum(n) / 10.0::double)) > 0.3::double order by least(1.0::double, (count(*) / 3.0::double) * (sum(n) / 10.0::double)) desc, sum(n) desc, entity limit 50")
 simple("sort_messages", lambda s, d: T.messages(s, d).withColumn("at", F.row_number().over(Window.partitionBy("conv_id").orderBy(F.col("sequence").asc_nulls_first()))).select("conv_id", "at", "role"), "select conv_id, row_number() over (partition by conv_id order by turn nulls first)::int as at, case role when 'user' then 'human' else role end as role from conversations")
 
@@ -166,7 +111,6 @@ simple("set_shared", lambda s, d: T.machine_words(s, d).filter("machine = 'src0'
 simple("set_unique_to", lambda s, d: T.machine_words(s, d).filter("machine = 'src0'").select("entity").subtract(T.machine_words(s, d).filter("machine = 'src1'").select("entity")), f"select entity from {WORDS} where machine = 'src0' except select entity from {WORDS} where machine = 'src1'")
 simple("set_only_here", lambda s, d: machines.index(T.machine_words(s, d)).groupBy("entity").agg(F.count("*").alias("m"), F.max("machine").alias("machine")).filter("m = 1").select("entity", "machine"), f"select entity, max(machine) as machine from {INDEX} group by entity having count(*) = 1")
 simple("set_union_all_entities", lambda s, d: T.machine_words(s, d).select("entity").distinct().agg(F.count("*").alias("n")), f"select count(distinct entity) as n from {WORDS}")
-simple("set_merge_catalogs", lambda s, d: T.files(s, d).filter("machine = 'src0'").select("file_id", "path").unionByName(T.files(s, d).filter("machine = 'src1'").select("path", "file_id"), allowMissingColumns=True), f"select file_id, path from {FILES} where machine in ('src0', 'src1')")
 
 # Scalar functions
 simple("fn_generate_id", lambda s, d: T.table(s, d, "documents").select("doc_id", S.generate_id("file", F.col("text")).alias("id")), "select doc_id, 'file_' || substring(sha256(text), 1, 12) as id from documents")
@@ -174,44 +118,30 @@ simple("fn_hash_content", lambda s, d: T.table(s, d, "documents").select("doc_id
 simple("fn_content_hash16", lambda s, d: T.table(s, d, "documents").select("doc_id", S.content_hash16(F.col("text")).alias("h")), "select doc_id, substring(sha256(text), 1, 16) as h from documents")
 simple("fn_machine_id", lambda s, d: T.table(s, d, "supplier").select(S.machine_id(F.col("s_name")).alias("id")), "select s_name || '-' || substring(md5(s_name), 1, 8) as id from supplier")
 simple("fn_token_estimate", lambda s, d: T.table(s, d, "documents").select("doc_id", S.token_estimate(F.col("n_chars")).alias("t")), "select doc_id, trunc(n_chars * 1.3::double)::int as t from documents")
-NORM = "regexp_replace(regexp_replace(regexp_replace(trim(lower({0})), '^the ', ''), '^a ', ''), '^an ', '')"
 simple("fn_norm_basic", lambda s, d: T.table(s, d, "conversations").select("conv_id", "turn", S.norm_basic(F.col("text")).alias("v")), f"select conv_id, turn, {NORM.format('text')} as v from conversations")
 simple("fn_norm_canonical", lambda s, d: T.entities(s, d).select("value", "entity_type", S.norm_canonical(F.col("value"), F.col("entity_type")).alias("v")).distinct(), f"select distinct value, entity_type, regexp_replace({NORM.format('value')}, '[^a-z0-9\\s]', '', 'g') as v from {ENTITIES}")
-simple("fn_norm_org", lambda s, d: T.table(s, d, "supplier").select(S.norm_org(F.concat("s_name", F.lit(", Inc."))).alias("v")), "select translate(trim(regexp_replace(trim(lower(s_name || ', Inc.')), ' inc\\.$', '')), '.,', '') as v from supplier")
-simple("fn_label_map", lambda s, d: T.jobs(s, d).select("job_id", S.label_of(F.when(F.col("job_type") == "click", "GPE").otherwise(F.upper("job_type"))).alias("label")), f"select job_id, case job_type when 'click' then 'LOCATION' else upper(job_type) end as label from {JOBS}")
 simple("fn_context", lambda s, d: T.table(s, d, "documents").select("doc_id", S.context(F.col("text"), F.lit(60), F.lit(70)).alias("c")), "select doc_id, substring(text, 11, 110) as c from documents")
 simple("fn_naming_rules", lambda s, d: T.files(s, d).select("file_id", *[F.col("filename").rlike(p).alias(n) for n, p in V.NAMING.items()]), f"select file_id, regexp_matches(filename, '\\d{{4}}[-_]?\\d{{2}}[-_]?\\d{{2}}') as date_prefix, regexp_matches(filename, '(?i)v\\d+|_v\\d+|version') as versioned, regexp_matches(filename, '(?i)draft|final|wip') as status_suffix, regexp_matches(filename, '^[A-Z]{{2,5}}[-_]') as project_prefix from {FILES}")
 simple("fn_machine_of", lambda s, d: T.files(s, d).select("file_id", S.machine_of(F.col("path")).alias("machine")), f"select file_id, regexp_extract(path, '^\\[([^\\]]*)\\]', 1) as machine from {FILES}")
 simple("fn_similarity", lambda s, d: T.table(s, d, "lineitem").select("l_orderkey", "l_linenumber", S.similarity(F.col("l_discount")).alias("v")), "select l_orderkey, l_linenumber, round(1 - l_discount, 3) as v from lineitem")
-simple("fn_duration", lambda s, d: T.table(s, d, "orders").select("o_orderkey", S.duration(F.col("o_orderkey") % 9000).alias("v")), "select o_orderkey, case when o_orderkey % 9000 >= 3600 then format('{:d}:{:02d}:{:02d}', (o_orderkey % 9000) // 3600, (o_orderkey % 3600) // 60, o_orderkey % 60) else format('{:d}:{:02d}', (o_orderkey % 9000) // 60, o_orderkey % 60) end as v from (select o_orderkey % 9000 as k, o_orderkey from orders)".replace("(o_orderkey % 3600)", "(k % 3600)").replace("o_orderkey % 60)", "k % 60)"))
-simple("fn_gps", lambda s, d: T.table(s, d, "customer").select("c_custkey", S.decimal_degrees(F.col("c_custkey") % 90, F.col("c_custkey") % 60, F.col("c_custkey") % 59, F.when(F.col("c_custkey") % 2 == 0, "S").otherwise("N")).alias("v")), "select c_custkey, (case when c_custkey % 2 = 0 then -1 else 1 end) * round(c_custkey % 90 + (c_custkey % 60) / 60 + (c_custkey % 59) / 3600, 6) as v from customer")
-simple("fn_parse_epoch", lambda s, d: T.jobs(s, d).select("job_id", F.unix_timestamp(F.timestamp_seconds(F.unix_timestamp("created_at"))).alias("t")), f"select job_id, floor(epoch(created_at))::bigint as t from {JOBS}")
-simple("fn_pmi", lambda s, d: correlation.pmi_pairs(T.entities(s, d), 0.1, 1, 200).select("e1", "e2", "cooc", r6("pmi")), None)
 
 
 # Text
-simple("ent_tech", lambda s, d: T.tech_entities(s, d).select("file_id", "normalized", "entity_type"), f"select file_id, normalized, 'TECH' as entity_type from {TECH}")
 RULE = "select doc_id as file_id, '{k}' as entity_type, i - 1 as position, v as value from (select doc_id, unnest(regexp_extract_all(text, '{p}')[1:{n}]) as v, generate_subscripts(regexp_extract_all(text, '{p}')[1:{n}], 1) as i from documents)"
-simple("ent_regex", lambda s, d: T.text_entities(s, d, ("EMAIL", "URL", "DATE")), " union all ".join(RULE.format(k=k, p=V.ENTITY_RULES[k][0], n=10).replace("i - 1", "(i - 1)::int") for k in ("EMAIL", "URL", "DATE")))
-simple("ent_store", lambda s, d: T.text_entities(s, d, ("EMAIL",)).select(F.concat_ws("_", F.col("file_id").cast("string"), F.col("position").cast("string")).alias("id"), S.norm_basic(F.col("value")).alias("normalized")), f"select file_id || '_' || position as id, {NORM.format('value')} as normalized from ({RULE.format(k='EMAIL', p=V.ENTITY_RULES['EMAIL'][0], n=10)})")
 
 # Correlation
-simple("corr_consolidate", lambda s, d: correlation.consolidate(T.text_entities(s, d, ("EMAIL",)).withColumn("normalized", F.lower("value")).withColumn("context", F.lit("")).withColumn("id", F.col("position").cast("string")), T.files(s, d)).select("id", "entity_type", "normalized", "occurrence_count", "file_count"), f"select 'cent_' || substring(sha256('EMAIL:' || lower(value)), 1, 12) as id, 'EMAIL' as entity_type, lower(value) as normalized, count(*) as occurrence_count, count(distinct file_id) as file_count from ({RULE.format(k='EMAIL', p=V.ENTITY_RULES['EMAIL'][0], n=10)}) group by lower(value)")
 simple("corr_cooccurrence", lambda s, d: correlation.cooccurrence(T.entities(s, d)).select("e1", "e2", "count", r6("strength")), f"select e1, e2, count, round(strength, 6) as strength from {PAIRS}")
 simple("corr_strength", lambda s, d: correlation.cooccurrence(T.entities(s, d)).groupBy("count").agg(F.round(F.max("strength"), 6).alias("strength")), f"select count, round(max(strength), 6) as strength from {PAIRS} group by count")
 simple("corr_related", lambda s, d: correlation.related(correlation.cooccurrence(T.entities(s, d)), "PERSON:supplier#000000001", 0.1).select("other", r6("strength")), f"select other, round(strength, 6) as strength from {RELATED} where key = 'PERSON:supplier#000000001' and strength >= 0.1::double order by strength desc, other limit 20")
 simple("pat_expertise", lambda s, d: correlation.expertise(T.chunks(s, d)).select("id", "domain", "hits", "files", "terms", r6("confidence")), f"select 'exp_' || domain as id, domain, hits, files, terms, round(confidence, 6) as confidence from {EXPERTISE} where hits >= 5 and confidence >= 0.3::double")
 simple("pat_relationship", lambda s, d: correlation.relationships(correlation.cooccurrence(T.entities(s, d)), 0.2).select("id", r6("confidence")), f"select 'rel_cent_' || substring(sha256(person), 1, 12) || '_cent_' || substring(sha256(other), 1, 12) as id, round(strength, 6) as confidence from (select *, case when e1 like 'PERSON:%' then e1 else e2 end as person, case when e1 like 'PERSON:%' then e2 else e1 end as other from {PAIRS}) where strength >= 0.2::double and person like 'PERSON:%' and (other like 'ORG:%' or other like 'PROJECT:%')")
 simple("pat_workflow", lambda s, d: correlation.workflows(T.files(s, d)).select("id", "count", r6("confidence")), f"select 'wf_versioned' as id, count(*) as count, round(least(1.0::double, count(*) / 20.0::double), 6) as confidence from {FILES} where regexp_matches(filename, '(?i)v\\d+|_v\\d+|version') having count(*) >= 6")
-simple("pat_tech_stack", lambda s, d: correlation.tech_stack(T.tech_entities(s, d)).select("category", "normalized", "occurrences"), None)
-simple("disc_surface", lambda s, d: correlation.surface(correlation.expertise(T.chunks(s, d)).select(F.lit("expertise").alias("pattern_type"), F.col("domain").alias("title"), "confidence", F.col("files").alias("sources")), 0.5).select("id", "discovery_type", "title", r6("confidence"), "status"), f"select 'disc_' || substring(sha256('expertise_' || domain), 1, 12) as id, 'expertise' as discovery_type, domain as title, round(confidence, 6) as confidence, 'active' as status from {EXPERTISE} where hits >= 5 and confidence >= 0.5::double and files >= 2")
-simple("gpu_cooc", lambda s, d: correlation.cooccurrence(T.entities(s, d), pairs_per_file=10**9).select("e1", "e2", "count"), f"select a.key as e1, b.key as e2, count(*) as count from (select distinct file_id, key from {ENTITIES}) a join (select distinct file_id, key from {ENTITIES}) b using (file_id) where a.key < b.key group by all")
+simple("gpu_cooc", lambda s, d: correlation.all_pairs(T.entities(s, d)).select("e1", "e2", F.col("cooc").alias("count")), f"select a.key as e1, b.key as e2, count(*) as count from (select distinct file_id, key from {ENTITIES}) a join (select distinct file_id, key from {ENTITIES}) b using (file_id) where a.key < b.key group by all")
 PMI = f"with e as (select distinct file_id, key from {ENTITIES}), n as (select count(distinct file_id)::double as f from e), one as (select key, count(*) as c from e group by key), two as (select a.key as e1, b.key as e2, count(*) as cooc from e a join e b using (file_id) where a.key < b.key group by all having count(*) >= 2) select e1, e2, cooc, round(greatest(-10.0::double, least(10.0::double, ln((cooc / f + 1e-10::double) / ((x.c / f) * (y.c / f) + 1e-10::double)))), 6) as pmi from two join one x on x.key = e1 join one y on y.key = e2, n where greatest(-10.0::double, least(10.0::double, ln((cooc / f + 1e-10::double) / ((x.c / f) * (y.c / f) + 1e-10::double)))) > 0.3::double"
-simple("gpu_pmi", lambda s, d: correlation.pmi_pairs(T.entities(s, d), 0.3, n=2**31 - 1).select("e1", "e2", "cooc", r6("pmi")), PMI)
+simple("gpu_pmi", lambda s, d: correlation.pmi_pairs(T.entities(s, d), 0.3, n=None).select("e1", "e2", "cooc", r6("pmi")), PMI)
 simple("gpu_patterns", lambda s, d: correlation.pmi_pairs(T.entities(s, d), 0.3).select("e1", "e2", "cooc"), f"select e1, e2, cooc from ({PMI.replace('round(greatest', 'greatest').replace(', 6) as pmi', ' as pmi').replace('10.0::double, ln(', '10.0::double, ln(')}) order by least(1.0::double, pmi / 5 * cooc / 10) desc, e1, e2 limit 100")
 
 # Vectors
-FIRST = "(select embedding from embeddings where vec_id = (select min(vec_id) from embeddings))"
 
 
 def first_vector(s: SparkSession, d: str) -> list[float]:
@@ -222,95 +152,34 @@ simple("vec_query", lambda s, d: search.nearest(T.table(s, d, "embeddings"), fir
 simple("vec_flat", lambda s, d: search.nearest(T.table(s, d, "embeddings"), first_vector(s, d), metric="l2").select("vec_id", F.round("distance", 5).alias("distance")), f"select b.vec_id, round(list_distance(a.embedding::double[], b.embedding::double[]) ** 2, 5) as distance from {FIRST} a, embeddings b order by list_distance(a.embedding::double[], b.embedding::double[]), vec_id limit 10")
 simple("pred_vec_where", lambda s, d: search.nearest(T.table(s, d, "embeddings"), first_vector(s, d), where=F.col("label") == 3).select("vec_id", F.round("distance", 5).alias("distance")), f"select b.vec_id, round(1 - {COSINE}, 5) as distance from {FIRST} a, embeddings b where b.label = 3 order by 1 - {COSINE}, vec_id limit 10")
 simple("pred_similarity", lambda s, d: search.nearest(T.table(s, d, "embeddings"), first_vector(s, d), 50).filter(F.col("distance") <= 0.7).select("vec_id"), f"select vec_id from (select b.vec_id, 1 - {COSINE} as dist from {FIRST} a, embeddings b order by dist, vec_id limit 50) where dist <= 0.7::double")
-simple("vec_batch", lambda s, d: search.nearest_batch(T.table(s, d, "embeddings"), T.table(s, d, "embeddings").filter("vec_id < 20").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query")), 5).select("query_id", "rank", "vec_id"), f"select a.vec_id as query_id, row_number() over (partition by a.vec_id order by 1 - {COSINE}, b.vec_id)::int as rank, b.vec_id from embeddings a, embeddings b where a.vec_id < 20 qualify rank <= 5")
-simple("join_knn", QUERIES["vec_batch"], ORACLES["vec_batch"])
-simple("topk_knn", QUERIES["vec_query"], ORACLES["vec_query"])
 
 # Machines
-simple("mrg_files", lambda s, d: T.files(s, d).select(F.concat_ws("_", "machine", F.col("file_id").cast("string")).alias("id"), "path", F.lit("synced").alias("status")), f"select machine || '_' || file_id as id, path, 'synced' as status from {FILES}")
-simple("mrg_chunks", QUERIES["win_dedup_first"], DEDUP)
-simple("mrg_entities", lambda s, d: T.entities(s, d).filter("entity_type = 'ORG'").withColumn("n", S.norm_org(F.col("value"))).groupBy("n").agg(F.min_by("value", F.struct("file_id", "l_linenumber")).alias("canonical"), F.count("*").alias("mentions")), f"select lower(value) as n, max(value) as canonical, count(*) as mentions from {ENTITIES} where entity_type = 'ORG' group by 1")
-simple("xm_topics", QUERIES["topk_topics"], ORACLES["topk_topics"])
 simple("xm_collab", lambda s, d: machines.collaboration(machines.index(T.machine_words(s, d))).select("m1", "m2", "shared", "rows1", "rows2", "only1", "only2", r6("confidence")), f"with i as {INDEX}, c as (select machine, count(*) as c from i group by machine) select m1, m2, shared, rows1, rows2, x.c - shared as only1, y.c - shared as only2, round(least(1.0::double, shared / 20.0::double), 6) as confidence from (select a.machine as m1, b.machine as m2, count(*) as shared, sum(a.n)::bigint as rows1, sum(b.n)::bigint as rows2 from i a join i b using (entity) where a.machine < b.machine group by all having count(*) >= 5) join c x on x.machine = m1 join c y on y.machine = m2")
 simple("join_machine_pairs", lambda s, d: machines.collaboration(machines.index(T.machine_words(s, d)), 1).select("m1", "m2", "shared"), f"with i as {INDEX} select a.machine as m1, b.machine as m2, count(*) as shared from i a join i b using (entity) where a.machine < b.machine group by all")
 simple("xm_expertise", lambda s, d: machines.silos(machines.index(T.machine_words(s, d))).select("machine", "only_here", "entities", r6("confidence"), r6("uniqueness")), f"with i as {INDEX}, o as (select max(machine) as machine from i group by entity having count(*) = 1) select machine, count(*) as only_here, max(e) as entities, round(least(1.0::double, count(*) / 50.0::double), 6) as confidence, round(count(*) / max(e)::double, 6) as uniqueness from o join (select machine, count(*) as e from i group by machine) using (machine) group by machine having count(*) >= 10")
-simple("xm_summary", QUERIES["agg_cross_summary"], ORACLES["agg_cross_summary"])
 
 # Chunkers
 simple("chunk_lines", lambda s, d: chunking.line_blocks(T.chunks(s, d), 10), "select doc_id as file_id, (i // 10)::int as chunk_index, array_to_string(string_split(text, chr(10))[i + 1:i + 10], chr(10)) as content from (select doc_id, text, unnest(generate_series(0, greatest(len(string_split(text, chr(10))) - 1, 0), 10)) as i from documents)")
-simple("chunk_paragraph", lambda s, d: chunking.paragraphs(T.chunks(s, d)).select("file_id", "chunk_index", "chunk_type", F.length("content").alias("n")))
-simple("chunk_text", lambda s, d: chunking.chunk_text(T.chunks(s, d)))
-simple("chunk_words", lambda s, d: chunking.chunk_words(T.chunks(s, d)))
 
 # Extractors, models, streams in their batch form
-simple("src_html_text", lambda s, d: T.table(s, d, "pages").select("page_id", extract.html("html").alias("x")).select("page_id", "x.*"))
-simple("src_markdown", lambda s, d: T.table(s, d, "documents").select("doc_id", F.size(extract.markdown_headers(F.col("text"))).cast("long").alias("headers")), "select doc_id, len(list_filter(string_split(text, chr(10)), lambda x: starts_with(x, '#')))::bigint as headers from documents")
 simple("gpu_cluster", lambda s, d: models.cluster(T.table(s, d, "embeddings")))
 simple("gpu_reduce", lambda s, d: models.reduce(T.table(s, d, "embeddings")).select("vec_id", F.round(F.abs(F.get("reduced", F.lit(0))), 4).alias("x")))
-simple("vec_ivf", lambda s, d: models.InvertedFile.build(T.table(s, d, "embeddings"), 20).nearest(first_vector(s, d)).select("vec_id", F.round("distance", 5).alias("distance")))
-simple("vec_context", lambda s, d: models.context(T.table(s, d, "embeddings"), T.table(s, d, "documents").select(F.col("doc_id").alias("vec_id"), F.col("text").alias("content")), first_vector(s, d)))
-simple("embed_batch", lambda s, d: models.hashed_embeddings(T.table(s, d, "conversations"), ["conv_id", "turn"], "text", 32))
 simple("st_debounce", lambda s, d: streams.debounce_batch(T.table(s, d, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts")), "user_id", "ts", 43200.0).groupBy("user_id").agg(F.count("*").alias("accepted")), "with recursive e as (select user_id, ts, row_number() over (partition by user_id order by ts) as i from events), f as (select user_id, i, ts as last, true as hit from e where i = 1 union all select e.user_id, e.i, case when epoch(e.ts) - epoch(f.last) >= 43200 then e.ts else f.last end, epoch(e.ts) - epoch(f.last) >= 43200 from f join e on e.user_id = f.user_id and e.i = f.i + 1) select user_id, count(*) filter (where hit) as accepted from f group by user_id")
 simple("st_rates", lambda s, d: streams.rates(T.table(s, d, "events").select(F.col("ts").cast("timestamp").alias("ts")), "ts", "1 hour").select(F.unix_timestamp("start").alias("t"), "n"), "select floor(epoch(date_trunc('hour', ts)))::bigint as t, count(*) as n from events group by 1")
 simple("st_upsert", lambda s, d: streams.latest(T.jobs(s, d).select("job_type", "job_id", "priority").filter("priority < 3"), T.jobs(s, d).select("job_type", "job_id", "priority"), ["job_type", "priority"], "job_id"), f"select job_type, max(job_id) as job_id, priority from {JOBS} group by job_type, priority")
 
 # More reads, predicates and statistics
 CONSOLIDATED = f"(select entity_type, normalized, count(*) as n from {ENTITIES} group by all)"
-DISCOVERED = f"(select 'disc_' || substring(sha256('expertise_' || domain), 1, 12) as id, domain as title, confidence from {EXPERTISE} where hits >= 5 and confidence >= 0.3::double)"
-
-
-def discovered(s: SparkSession, d: str) -> DataFrame:
-    p = correlation.expertise(T.chunks(s, d)).select(F.lit("expertise").alias("pattern_type"), F.col("domain").alias("title"), "confidence", F.col("files").alias("sources"))
-    return correlation.surface(p, 0.3, 1)
-
-
-def feedback(s: SparkSession, d: str) -> DataFrame:
-    """Every second expertise discovery, by its title's length, was dismissed."""
-    return discovered(s, d).filter(F.length("title") % 2 == 0).select("id", F.lit("dismissed").alias("status"), F.lit("no").alias("note"), F.lit(1).alias("at"))
-
-
-def hourly_text(s: SparkSession, d: str) -> DataFrame:
-    """Counts of each hour of a day as one of eight levels between the day's least and most."""
-    h = T.table(s, d, "events").select(F.hour("ts").alias("h")).groupBy("h").agg(F.count("*").alias("n"))
-    ends = h.agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
-    span = F.when(F.col("hi") > F.col("lo"), F.col("hi") - F.col("lo")).otherwise(1)
-    return h.crossJoin(F.broadcast(ends)).select("h", F.floor((F.col("n") - F.col("lo")) / span * 7).cast("int").alias("level"))
 
 
 simple("pred_entities", lambda s, d: T.entities(s, d).groupBy("entity_type", "normalized").agg(F.count("*").alias("n")).filter("entity_type = 'ORG' and n >= 2").orderBy(F.desc("n"), "normalized").limit(50).select("normalized", "n"), f"select normalized, n from {CONSOLIDATED} where entity_type = 'ORG' and n >= 2 order by n desc, normalized limit 50")
-simple("pred_patterns", lambda s, d: correlation.expertise(T.chunks(s, d)).filter("confidence >= 0.5").select("domain", r6("confidence")), f"select domain, round(confidence, 6) as confidence from {EXPERTISE} where hits >= 5 and confidence >= 0.5::double")
-simple("pred_discoveries", lambda s, d: correlation.merge_feedback(discovered(s, d), feedback(s, d)).filter("status <> 'dismissed'").select("id", "title", r6("confidence")), f"select id, title, round(confidence, 6) as confidence from {DISCOVERED} where length(title) % 2 = 1")
-simple("join_feedback", lambda s, d: correlation.merge_feedback(discovered(s, d), feedback(s, d)).select("id", "status", "user_feedback"), f"select id, case when length(title) % 2 = 0 then 'dismissed' else 'active' end as status, case when length(title) % 2 = 0 then 'no' end as user_feedback from {DISCOVERED}")
-simple("disc_feedback", QUERIES["join_feedback"], ORACLES["join_feedback"])
-simple("disc_merge", QUERIES["pred_discoveries"], ORACLES["pred_discoveries"])
-simple("agg_discoveries_by_type", lambda s, d: discovered(s, d).groupBy("discovery_type").agg(F.count("*").alias("n")), f"select 'expertise' as discovery_type, count(*) as n from {DISCOVERED}")
-simple("agg_discovery_stats", lambda s, d: correlation.merge_feedback(discovered(s, d), feedback(s, d)).agg(F.count("*").alias("n"), F.count_if(F.col("status") == "active").alias("active"), F.round(F.coalesce(F.avg("confidence"), F.lit(0.0)), 6).alias("mean")), f"select count(*) as n, count(*) filter (where length(title) % 2 = 1) as active, round(coalesce(avg(confidence), 0), 6) as mean from {DISCOVERED}")
-simple("topk_discoveries", lambda s, d: discovered(s, d).orderBy(F.desc("confidence"), "id").limit(5).select("id"), f"select id from {DISCOVERED} order by confidence desc, id limit 5")
-simple("topk_pmi", QUERIES["gpu_patterns"], ORACLES["gpu_patterns"])
-simple("graph_nodes", lambda s, d: discovered(s, d).select("id", F.lit("discovery").alias("type"), F.col("title").alias("label")), f"select id, 'discovery' as type, title as label from {DISCOVERED}")
-simple("corr_run", lambda s, d: correlation.cooccurrence(T.entities(s, d)).agg(F.count("*").alias("pairs")).crossJoin(T.entities(s, d).agg(F.countDistinct("key").alias("entities"))).crossJoin(discovered(s, d).agg(F.count("*").alias("discoveries"))), f"select (select count(*) from {PAIRS}) as pairs, (select count(distinct key) from {ENTITIES}) as entities, (select count(*) from {DISCOVERED}) as discoveries")
-simple("win_sparkline", hourly_text, "with h as (select hour(ts)::int as h, count(*) as n from events group by 1) select h, floor((n - (select min(n) from h)) / (case when (select max(n) from h) > (select min(n) from h) then (select max(n) from h) - (select min(n) from h) else 1 end) * 7)::int as level from h")
-simple("win_progress_eta", lambda s, d: T.jobs(s, d).groupBy("job_type").agg(F.count_if(F.col("status") == "completed").alias("done"), F.count("*").alias("total")).select("job_type", F.round((F.col("total") - F.col("done")) / F.greatest("done", F.lit(1)) * 60, 6).alias("eta")), f"select job_type, round((count(*) - count(*) filter (where status = 'completed')) / greatest(count(*) filter (where status = 'completed'), 1) * 60, 6) as eta from {JOBS} group by job_type")
 
 # More sinks in their query form, functions, media
-simple("sink_job_cleanup", lambda s, d: T.jobs(s, d).filter(~(F.col("status").isin("completed", "failed") & (F.col("completed_at") < F.lit("2024-01-20").cast("timestamp")))).groupBy("status").agg(F.count("*").alias("n")), f"select status, count(*) as n from {JOBS} where not (status in ('completed', 'failed') and completed_at < timestamp '2024-01-20') group by status")
-simple("sink_upsert", QUERIES["st_upsert"], ORACLES["st_upsert"])
-simple("sink_vec_delete", lambda s, d: T.table(s, d, "embeddings").filter(~(F.col("label") == 3)).select("vec_id"), "select vec_id from embeddings where label <> 3")
-simple("sink_job_status", lambda s, d: T.jobs(s, d).groupBy("job_type").agg(F.max_by("status", F.struct("created_at", "job_id")).alias("status")), f"select job_type, arg_max(status, job_id) as status from {JOBS} group by job_type")
-simple("fn_word_count", QUERIES["src_text"], ORACLES["src_text"])
 simple("fn_norm_sync", lambda s, d: T.table(s, d, "supplier").select("s_suppkey", F.lower("s_name").alias("v")), "select s_suppkey, lower(s_name) as v from supplier")
 simple("fn_canonical_key", lambda s, d: T.entities(s, d).select("key").distinct(), f"select distinct key from {ENTITIES}")
 simple("fn_title", lambda s, d: T.table(s, d, "part").select("p_partkey", S.title(F.lower("p_type")).alias("v")), "select p_partkey, array_to_string(list_transform(string_split(lower(p_type), ' '), lambda w: upper(w[1]) || w[2:]), ' ') as v from part")
 simple("fn_count_score", lambda s, d: T.table(s, d, "part").select("p_partkey", F.round(S.count_score(F.col("p_size")), 6).alias("v")), "select p_partkey, round(least(1.0::double, p_size / 10.0::double), 6) as v from part")
 simple("fn_pmi_conf", lambda s, d: T.table(s, d, "part").select("p_partkey", F.round(S.pmi_confidence(F.col("p_size") / 10.0, F.col("p_size")), 6).alias("v")), "select p_partkey, round(least(1.0::double, (p_size / 10.0::double) / 5 * p_size / 10), 6) as v from part")
-simple("fn_expertise_conf", QUERIES["pat_expertise"], ORACLES["pat_expertise"])
-simple("fn_format_bytes_time", lambda s, d: T.table(s, d, "documents").select("doc_id", S.format_bytes(F.col("n_chars")).alias("v")), "select doc_id, case when n_chars < 1024 then n_chars || ' B' else round(n_chars / 1024.0::double, 1)::varchar || ' KB' end as v from documents")
 simple("fn_exif_date", lambda s, d: T.table(s, d, "orders").select("o_orderkey", F.unix_timestamp(S.exif_time(F.date_format("o_orderdate", "yyyy:MM:dd HH:mm:ss"))).alias("t")), "select o_orderkey, floor(epoch(o_orderdate))::bigint as t from orders")
 simple("fn_year4", lambda s, d: T.table(s, d, "orders").select("o_orderkey", F.expr("try_cast(substring(cast(o_orderdate as string), 1, 4) as int)").alias("y")), "select o_orderkey, year(o_orderdate)::int as y from orders")
-simple("fn_json_encode", lambda s, d: T.table(s, d, "events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k")), "select event_id, (props ->> '$.k')::bigint as k from events")
-simple("fn_xml", lambda s, d: T.table(s, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", F.concat(F.lit("<m r='"), "role", F.lit("'/>")).alias("x")))).alias("a")).select("conv_id", F.array_join(F.transform("a", lambda v: v["x"]), "").alias("xml")), "select conv_id, string_agg('<m r=''' || role || '''/>', '' order by turn) as xml from conversations group by conv_id")
 simple("set_extensions_union", lambda s, d: T.files(s, d).select("extension").distinct(), f"select distinct extension from {FILES}")
-simple("embed_cache", lambda s, d: T.table(s, d, "documents").select(F.sha2("text", 256).alias("h")).distinct().agg(F.count("*").alias("texts")), "select count(distinct sha256(text)) as texts from documents")
-simple("mrg_result", lambda s, d: machines.merge_chunks(T.chunks(s, d).join(T.files(s, d).select("file_id", "machine"), "file_id")).groupBy("machine").agg(F.count("*").alias("chunks_added")), "select source as machine, count(*) as chunks_added from (select source from documents qualify row_number() over (partition by sha256(text) order by source, doc_id) = 1) group by source")
-simple("xm_insights", lambda s, d: machines.index(T.machine_words(s, d)).withColumn("m", F.count("*").over(Window.partitionBy("entity"))).filter("m > 1").groupBy("machine").agg(F.count("*").alias("shared")).orderBy(F.desc("shared"), "machine").limit(1), f"select machine, count(*) as shared from (select *, count(*) over (partition by entity) as m from {INDEX}) where m > 1 group by machine order by shared desc, machine limit 1")
-simple("st_queue", QUERIES["topk_priority"], ORACLES["topk_priority"])

@@ -4,12 +4,18 @@ from __future__ import annotations
 
 import ast
 import json
-from collections.abc import Iterator
+import re
+import time
+from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from ..functions import scalar as S
 
 SKIPPED = {"script", "style", "nav", "footer"}
 MESSAGE = "success boolean, error string, provider string, conversation_id string, title string, sequence int, role string, content string, at double"
@@ -22,15 +28,15 @@ def markdown_headers(content: Column) -> Column:
 
 
 class Page(HTMLParser):
-    """Text outside skipped elements, title and links of a page."""
+    """Text outside skipped elements, the title as written, and links of a page."""
 
     def __init__(self):
         super().__init__()
         self.parts, self.title, self.links, self.inside, self.hidden = [], "", 0, "", 0
 
     def handle_starttag(self, tag, attrs):
-        self.links += tag == "a" and any(k == "href" for k, _ in attrs)
         self.hidden += tag in SKIPPED
+        self.links += not self.hidden and tag == "a" and any(k == "href" for k, _ in attrs)
         self.inside = tag
 
     def handle_endtag(self, tag):
@@ -39,8 +45,8 @@ class Page(HTMLParser):
 
     def handle_data(self, data):
         if self.inside == "title":
-            self.title += data.strip()
-        elif not self.hidden and data.strip():
+            self.title += data
+        if not self.hidden and data.strip():
             self.parts.append(data.strip())
 
 
@@ -49,6 +55,7 @@ def read_pages(pages: pd.Series) -> pd.DataFrame:
     for text in pages:
         page = Page()
         page.feed(text or "")
+        page.close()
         rows.append(("\n".join(page.parts), page.title, page.links))
     return pd.DataFrame(rows, columns=["content", "title", "link_count"])
 
@@ -69,7 +76,8 @@ def elements_of(code: str | None) -> list[dict]:
         if isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)):
             name = {ast.FunctionDef: "function", ast.AsyncFunctionDef: "async_function", ast.ClassDef: "class"}[type(node)]
             names = [x.name for x in node.body if isinstance(x, (ast.FunctionDef, ast.AsyncFunctionDef))] if name == "class" else [a.arg for a in node.args.args]
-            out.append({"element_type": name, "name": node.name, "line_start": node.lineno, "line_end": node.end_lineno, "docstring": ast.get_docstring(node), "members": names})
+            bases = [ast.unparse(x) for x in node.bases] if name == "class" else []
+            out.append({"element_type": name, "name": node.name, "line_start": node.lineno, "line_end": node.end_lineno, "docstring": ast.get_docstring(node), "members": names, "decorators": [ast.unparse(x) for x in node.decorator_list], "bases": bases})
     return out
 
 
@@ -78,7 +86,7 @@ def all_elements(code: pd.Series) -> pd.Series:
 
 
 def python_elements(code: Column | str) -> Column:
-    return F.pandas_udf(all_elements, "array<struct<element_type:string,name:string,line_start:int,line_end:int,docstring:string,members:array<string>>>")(code)
+    return F.pandas_udf(all_elements, "array<struct<element_type:string,name:string,line_start:int,line_end:int,docstring:string,members:array<string>,decorators:array<string>,bases:array<string>>>")(code)
 
 
 def top_keys(text: pd.Series) -> pd.Series:
@@ -99,46 +107,115 @@ def yaml_keys(text: Column | str) -> Column:
     return F.pandas_udf(top_keys, "array<string>")(text)
 
 
-def parse_export(text: str) -> Iterator[tuple]:
+def provider_of(data) -> str | None:
+    """The provider whose form an export has: a list of conversations, by the keys of the first, or an object with lists of them."""
+    if isinstance(data, list) and data and isinstance(data[0], dict):
+        if {"uuid", "name", "created_at", "chat_messages"} <= data[0].keys():
+            return "claude"
+        if {"mapping", "title"} <= data[0].keys():
+            return "chatgpt"
+    return "gemini" if isinstance(data, dict) and {"conversations", "chats"} & data.keys() else None
+
+
+def iso_seconds(value, now: float) -> float:
+    """An ISO time in seconds; now for none."""
+    at = pd.to_datetime(value, utc=True, errors="coerce") if value else pd.NaT
+    return now if pd.isna(at) else at.timestamp()
+
+
+def listed_messages(conversation: dict, now: float) -> list[tuple]:
+    """Messages (role, text, time) of a conversation with a list of them: the text, else its text blocks joined by blanks."""
+    out = []
+    for m in conversation.get("chat_messages") or []:
+        blocks = m.get("content") if isinstance(m.get("content"), list) else []
+        said = m.get("text") or " ".join(b.get("text", "") for b in blocks if isinstance(b, dict) and b.get("type") == "text")
+        out.append(("human" if m.get("sender") == "human" else "assistant", said, iso_seconds(m.get("created_at"), now)))
+    return out
+
+
+def mapped_messages(conversation: dict, now: float) -> list[tuple]:
+    """Messages of a conversation that is a map of nodes: those of a user, an assistant or the system that say something, by time; no time is now."""
+    out = []
+    for node in (conversation.get("mapping") or {}).values():
+        m = node.get("message") or {}
+        role = (m.get("author") or {}).get("role")
+        said = " ".join(str(p) for p in (m.get("content") or {}).get("parts") or [] if p)
+        if role in ("user", "assistant", "system") and said.strip():
+            out.append(("human" if role == "user" else role, said, m.get("create_time") or now))
+    return sorted(out, key=lambda r: r[2])
+
+
+def parse_export(text: str, now: float) -> Iterator[tuple]:
     """Messages of one export, in rows of MESSAGE; one row that says why where there are none to give."""
+    nothing = (None,) * 6
     try:
         data = json.loads(text)
     except ValueError as e:
-        yield False, f"Invalid JSON: {e}", None, None, None, None, None, None, None
+        yield False, f"Invalid JSON: {e}", "unknown", *nothing
         return
-    first = data[0] if isinstance(data, list) and data and isinstance(data[0], dict) else {}
-    if {"uuid", "name", "created_at", "chat_messages"} <= first.keys():
-        for c in data:
-            for i, m in enumerate(c.get("chat_messages") or []):
-                said = m.get("text") or " ".join(b.get("text", "") for b in m.get("content") or [] if b.get("type") == "text")
-                at = pd.to_datetime(m.get("created_at"), utc=True, errors="coerce")
-                yield True, None, "blocks", c.get("uuid"), c.get("name"), i, "human" if m.get("sender") == "human" else "assistant", said, None if pd.isna(at) else at.timestamp()
-    elif {"mapping", "title"} <= first.keys():
-        for c in data:
-            rows = []
-            for node in (c.get("mapping") or {}).values():
-                m = node.get("message") or {}
-                role = (m.get("author") or {}).get("role")
-                said = "\n".join(p for p in (m.get("content") or {}).get("parts") or [] if isinstance(p, str) and p)
-                if role in ("user", "assistant", "system") and said.strip():
-                    rows.append((m.get("create_time"), "human" if role == "user" else role, said))
-            rows.sort(key=lambda r: (r[0] is not None, r[0] or 0))
-            for i, (at, role, said) in enumerate(rows):
-                yield True, None, "mapping", c.get("id"), c.get("title"), i, role, said, at
-    elif isinstance(data, dict) and {"conversations", "chats"} & data.keys():
-        yield True, "no parser for this provider yet", "chats", None, None, None, None, None, None
-    else:
-        yield False, "Could not detect provider", None, None, None, None, None, None, None
-
-
-def exports(files: DataFrame) -> DataFrame:
-    """Messages of export files (path, value: the whole text); a malformed file gives one row with success false."""
+    provider = provider_of(data)
+    if provider is None:
+        yield False, "Could not detect provider format", "unknown", *nothing
+        return
+    try:
+        rows = []
+        if provider != "gemini":
+            read, key, name = (listed_messages, "uuid", "name") if provider == "claude" else (mapped_messages, "id", "title")
+            rows = [(True, None, provider, c.get(key, ""), c.get(name, "Untitled"), i, *m) for c in data for i, m in enumerate(read(c, now))]
+    except (AttributeError, TypeError, ValueError) as e:
+        yield False, f"Parse error: {e}", provider, *nothing
+        return
+    yield from rows or [(True, None, provider, *nothing)]
+
+
+def exports(files: DataFrame, now: float | None = None) -> DataFrame:
+    """Messages of export files (path, value: the whole text); a malformed file gives one row with success false.
+
+    An export without messages, or of a provider that has no parser yet, gives one row with success true and no message.
+    """
+    now = time.time() if now is None else now
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [(p, *r) for p, t in zip(b["path"], b["value"]) for r in parse_export(t or "")]
+            rows = [(p, *r) for p, t in zip(b["path"], b["value"]) for r in parse_export(t or "", now)]
             out = pd.DataFrame(rows, columns=["path", *[x.split()[0] for x in MESSAGE.split(", ")]])
             out["sequence"] = out["sequence"].astype("Int32")
             yield out
 
     return files.select("path", "value").mapInPandas(run, f"path string, {MESSAGE}")
+
+
+def gazetteer(rules: dict[str, str]) -> Callable[[str], list[tuple[str, str, int]]]:
+    """A recogniser by one expression for each label: (text, label, start) of their matches."""
+    compiled = {k: re.compile(p) for k, p in rules.items()}
+    return lambda text: [(m[0], k, m.start()) for k, p in compiled.items() for m in p.finditer(text)]
+
+
+def named(chunks: DataFrame, recogniser: Callable[[str], list[tuple[str, str, int]]], most: int = 100_000) -> DataFrame:
+    """Entities that a recogniser, any function from a text to (text, label, start), finds in the first most characters of chunks (file_id, content).
+
+    Labels are renamed, the first of those equal in lower-case text, label and start is kept, and 50 characters on either
+    side are the context. A model is loaded by the recogniser, once a worker.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for file_id, text in zip(b.column("file_id").to_pylist(), b.column("content").to_pylist()):
+                seen = set()
+                for said, label, start in recogniser((text or "")[:most]):
+                    if (key := (said.lower(), label, start)) not in seen:
+                        seen.add(key)
+                        rows.append((file_id, label, said, start, text[max(0, start - 50) : start + len(said) + 50]))
+            kinds = [b.column("file_id").type, pa.string(), pa.string(), pa.int32(), pa.string()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * 5, kinds)], ["file_id", "label", "value", "start", "context"])
+
+    kind = dict(chunks.dtypes)["file_id"]
+    found = chunks.select("file_id", "content").mapInArrow(run, f"file_id {kind}, label string, value string, start int, context string")
+    return found.withColumn("entity_type", S.label_of(F.col("label")))
+
+
+def first_entities(entities: DataFrame, order: str) -> DataFrame:
+    """Of entities equal in file, lower-case value, type and start the first."""
+    rank = F.row_number().over(Window.partitionBy("file_id", F.lower("value"), "entity_type", "start").orderBy(order))
+    return entities.withColumn("_n", rank).filter("_n = 1").drop("_n")

@@ -7,7 +7,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -16,13 +18,23 @@ from pyspark.sql.window import Window
 def debounce_batch(events: DataFrame, key: str, time: str, gap: float = 2.0) -> DataFrame:
     """Events of each key that come gap seconds or more after the last accepted one; rejected ones don't reset the clock.
 
-    A native fold over each key's sorted times. Ties in time are one event for the clock: the first is accepted.
+    Each key's events pass in the order of time, one accepted time in memory. Ties in time are one event for the
+    clock: the first is accepted. Null times are left out.
     """
-    t = F.col(time).cast("double")
-    start = F.struct(F.lit(None).cast("double").alias("last"), F.array().cast("array<double>").alias("out"))
-    step = lambda a, x: F.when(a["last"].isNull() | (x - a["last"] >= gap), F.struct(x.alias("last"), F.concat(a["out"], F.array(x)).alias("out"))).otherwise(a)
-    kept = events.groupBy(key).agg(F.array_sort(F.collect_list(t)).alias("ts")).select(key, F.explode(F.aggregate("ts", start, step, lambda a: a["out"])).alias("at"))
-    return kept.select(key, F.timestamp_micros(F.round(F.col("at") * 1_000_000).cast("long")).alias("accepted_at"))
+
+    def accept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, last = None, 0
+        for b in batches:
+            kept = np.zeros(b.num_rows, bool)
+            for i, (k, t) in enumerate(zip(b.column(key).to_pylist(), b.column("_t").to_pylist())):
+                if k != own or t - last >= gap * 1_000_000:
+                    own, last, kept[i] = k, t, True
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(kept)) for c in b.columns], [key, "_t"])
+
+    kind = dict(events.dtypes)[key]
+    rows = events.filter(F.col(time).isNotNull()).select(key, F.unix_micros(F.col(time).cast("timestamp")).alias("_t"))
+    rows = rows.repartition(key).sortWithinPartitions(F.col(key).asc_nulls_first(), "_t").mapInArrow(accept, f"{key} {kind}, _t long")
+    return rows.select(key, F.timestamp_micros("_t").alias("accepted_at"))
 
 
 def debounce(events: DataFrame, key: str, time: str, gap: float = 2.0, lateness: str = "10 minutes") -> DataFrame:
@@ -63,7 +75,8 @@ def once(events: DataFrame, columns: list[str], time: str, lateness: str = "10 m
     return events.withWatermark(time, lateness).dropDuplicatesWithinWatermark(columns)
 
 
-def latest(old: DataFrame, new: DataFrame, key: list[str], version: str) -> DataFrame:
-    """Rows of both, the latest version of each key."""
-    rank = F.row_number().over(Window.partitionBy(*key).orderBy(F.desc(version)))
-    return old.unionByName(new, allowMissingColumns=True).withColumn("_n", rank).filter("_n = 1").drop("_n")
+def latest(old: DataFrame, new: DataFrame, key: list[str], version: str | None = None) -> DataFrame:
+    """Rows of both, the latest version of each key; of equal versions (or without one) the new row wins."""
+    both = old.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)), allowMissingColumns=True)
+    order = ([F.desc(version)] if version else []) + [F.desc("_new")]
+    return both.withColumn("_n", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).filter("_n = 1").drop("_n", "_new")

@@ -49,10 +49,35 @@ def test_tech_stack_needs_two_categories_and_six_files(spark):
 
 
 def test_feedback_wins_and_stays(spark):
-    fresh = spark.createDataFrame([("a", "active"), ("b", "active")], "id string, status string")
-    log = spark.createDataFrame([("a", "confirmed", "x", 1), ("a", "dismissed", "y", 2)], "id string, status string, note string, at long")
-    got = {r["id"]: (r["status"], r["user_feedback"]) for r in correlation.merge_feedback(fresh, log).collect()}
-    assert got == {"a": ("dismissed", "y"), "b": ("active", None)}
+    fresh = spark.createDataFrame([("a", "t", 0.9, "active"), ("b", "u", 0.8, "active")], "id string, title string, confidence double, status string")
+    stored = spark.createDataFrame([("b", "old", "confirmed"), ("c", "gone", "active"), ("d", "gone", "dismissed")], "id string, title string, status string")
+    log = spark.createDataFrame([("a", "confirmed", "x", 1), ("a", "dismissed", "y", 2), ("c", "confirmed", "z", 1)], "id string, status string, note string, at long")
+    got = {r["id"]: (r["title"], r["confidence"], r["status"], r["user_feedback"]) for r in correlation.merge_feedback(fresh, stored, log).collect()}
+    assert got == {"a": ("t", 0.9, "dismissed", "y"), "b": ("u", 0.8, "confirmed", None), "c": ("gone", None, "confirmed", "z"), "d": ("gone", None, "dismissed", None)}
+    asked = spark.createDataFrame([("a", "confirmed"), ("q", "confirmed")], "id string, status string")
+    assert {r["id"]: r["found"] for r in correlation.give_feedback(fresh, asked).collect()} == {"a": True, "q": False}
+
+
+def test_consolidation_against_plain_python(spark):
+    rows = [(f % 7, k, v, "" if i % 5 == 0 else v.lower(), "c%d" % i if i % 3 else None, "%04d" % i) for i, (f, k, v) in enumerate((i * 13, "PERSON" if i % 2 else "ORG", ("Ann", "ann", "Bob", "The Bob")[i % 4]) for i in range(80))]
+    files = spark.createDataFrame([(f, 100 - f) for f in range(6)], "file_id long, t long").select("file_id", F.timestamp_seconds("t").alias("indexed_at"))
+    got = {(r["entity_type"], r["normalized"]): r for r in correlation.consolidate(spark.createDataFrame(rows, "file_id long, entity_type string, value string, normalized string, context string, id string"), files).collect()}
+    want = {}
+    for f, k, v, n, c, i in rows:
+        if f < 6:
+            key = (k, n or {"The Bob": "bob"}.get(v, v.lower()))
+            want.setdefault(key, []).append((100 - f, i, f, v, c))
+    assert set(got) == set(want)
+    for key, seen in want.items():
+        r = got[key]
+        assert (r["occurrence_count"], r["file_count"], r["variants"]) == (len(seen), len({x[2] for x in seen}), sorted({x[3] for x in seen}))
+        assert r["contexts"] == [x[4] for x in sorted(seen) if x[4]][:10]
+
+
+def test_pairs_of_a_large_file_meet_in_slices(spark):
+    e = entities(spark, {1: [f"k{i:03d}" for i in range(60)], 2: ["k001", "k002"]})
+    got = {(r["e1"], r["e2"]): r["cooc"] for r in correlation.all_pairs(e, block=8).collect()}
+    assert got == {p: 1 + (p == ("k001", "k002")) for p in combinations([f"k{i:03d}" for i in range(60)], 2)}
 
 
 def test_names(spark):

@@ -27,6 +27,25 @@ def test_text_chunks(spark):
     assert len(parts) > 2 and all(len(p.split()) <= 384 for p in parts)
     assert parts[1].startswith(" ".join(parts[0].split(". ")[-2:])[:20]) or parts[0].split(". ")[-2] in parts[1]
     assert {r["file_id"] for r in rows} == {0, 1}
+    two = chunking.chunk_text(docs(spark, "a b c d e\n\nf g h i j")).collect()
+    assert [(r["token_count"], r["start_char"], r["end_char"]) for r in two] == [(12, 0, 20)]  # 6 and 6, not 13
+
+
+def test_packed_sentences_lend_two(spark):
+    said = [" ".join(["w%d" % i] * 9) + "." for i in range(100)]
+    got = chunking.sentence_chunks(docs(spark, " ".join(said)), 130, 260).collect()
+    at, want = 0, []
+    now: list[str] = []
+    for x in said:  # 100 words a chunk
+        if now and 9 * (len(now) + 1) > 100:
+            want.append(now)
+            now = now[-2:]
+        now = [*now, x]
+    want.append(now)
+    assert [r["content"] for r in got] == [" ".join(x) for x in want]
+    for r, x, after in zip(got, want, want[1:]):
+        assert (r["start_char"], r["end_char"], r["token_count"]) == (at, at + len(" ".join(x)), int(9 * len(x) * 1.3))
+        at += len(" ".join(x)) - sum(map(len, after[:2]))
 
 
 def test_words_and_lines(spark):
@@ -44,7 +63,9 @@ def test_code_elements(spark):
 def test_html_and_markdown_and_yaml(spark):
     page = "<html><title>T</title><nav><a href='x'>no</a></nav><p>One</p><script>var x</script><p>Two</p></html>"
     r = docs(spark, page).select(extract.html("content").alias("x")).first()["x"]
-    assert (r["content"], r["title"], r["link_count"]) == ("One\nTwo", "T", 1)
+    assert (r["content"], r["title"], r["link_count"]) == ("T\nOne\nTwo", "T", 0)
+    r = docs(spark, "<p>One</p><a href='y'>AT&amp;T</a>AT&T").select(extract.html("content").alias("x")).first()["x"]
+    assert (r["content"], r["link_count"]) == ("One\nAT&T\nAT&T", 1)
     assert [tuple(h) for h in docs(spark, "# A\nx\n## B").select(extract.markdown_headers(F.col("content"))).first()[0]] == [(1, "A"), (2, "B")]
     assert docs(spark, "a: 1\nb: 2", ": [").select(extract.yaml_keys("content")).collect()[0][0] == ["a", "b"]
 
@@ -53,10 +74,13 @@ def test_exports(spark):
     one = [{"uuid": "u", "name": "n", "created_at": "2024-01-01T00:00:00Z", "chat_messages": [{"sender": "human", "text": "hi"}, {"sender": "assistant", "text": "", "content": [{"type": "text", "text": "a"}, {"type": "x"}, {"type": "text", "text": "b"}]}]}]
     node = lambda role, text, at: {"message": {"author": {"role": role}, "content": {"parts": [text]}, "create_time": at}}
     two = [{"id": "c", "title": "t", "mapping": {"a": node("assistant", "late", 5.0), "b": node("user", "early", 1.0), "c": node("tool", "skip", 2.0), "d": {"message": None}, "e": node("user", " ", None)}}]
-    files = spark.createDataFrame([("1", json.dumps(one)), ("2", json.dumps(two)), ("3", "not valid json"), ("4", '{"random": 1}'), ("5", '{"conversations": []}')], "path string, value string")
-    rows = sorted(extract.exports(files).collect(), key=lambda r: (r["path"], r["sequence"] or 0))
-    assert [(r["path"], r["role"], r["content"]) for r in rows[:4]] == [("1", "human", "hi"), ("1", "assistant", "a b"), ("2", "human", "early"), ("2", "assistant", "late")]
-    assert "Invalid JSON" in rows[4]["error"] and rows[5]["error"].startswith("Could not detect") and rows[6]["success"]
+    two[0]["mapping"]["f"] = {"message": {"author": {"role": "system"}, "content": {"parts": ["no", "", {"t": 1}, 2]}}}
+    odd = [{"uuid": "u", "name": "n", "created_at": "", "chat_messages": ["no message"]}]
+    files = spark.createDataFrame([("1", json.dumps(one)), ("2", json.dumps(two)), ("3", "not valid json"), ("4", '{"random": 1}'), ("5", '{"conversations": []}'), ("6", json.dumps(odd)), ("7", "[]")], "path string, value string")
+    rows = sorted(extract.exports(files, now=9.0).collect(), key=lambda r: (r["path"], r["sequence"] or 0))
+    assert [(r["path"], r["role"], r["content"], r["at"]) for r in rows[:5]] == [("1", "human", "hi", 9.0), ("1", "assistant", "a b", 9.0), ("2", "human", "early", 1.0), ("2", "assistant", "late", 5.0), ("2", "system", "no {'t': 1} 2", 9.0)]
+    assert "Invalid JSON" in rows[5]["error"] and rows[6]["error"] == "Could not detect provider format" and rows[7]["success"] and rows[7]["provider"] == "gemini"
+    assert rows[8]["error"].startswith("Parse error") and rows[9]["error"] == "Could not detect provider format"
 
 
 def test_catalog_snapshots(spark, tmp_path):
@@ -97,14 +121,38 @@ def test_stream_equals_batch(spark, tmp_path, form):
         assert set(got) <= want and got  # the last window stays open
 
 
-def test_inverted_file_recall(spark):
-    v = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet")
-    index = models.InvertedFile.build(v, 20)
-    hits = 0
-    for r in v.orderBy("vec_id").limit(5).collect():
-        want = {x["vec_id"] for x in search.nearest(v, r["embedding"], 10, "l2").collect()}
-        hits += len(want & {x["vec_id"] for x in index.nearest(r["embedding"], 10, 16).collect()})
-    assert hits >= 0.9 * 50
+def test_recall_of_the_approximate_searches(spark):
+    v = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    asked = v.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    pairs = lambda df: {(r["query_id"], r["vec_id"]) for r in df.collect()}
+    want = pairs(search.nearest_batch(v, asked, 5))
+    assert pairs(search.nearest_batch(v, asked, 5, most=7)) == want  # in groups of queries
+    for got in (models.InvertedFile.build(v, 20).nearest_batch(asked, 5, 16), models.hashed_neighbours(v, asked, 5)):
+        assert len(want & pairs(got)) >= 0.9 * len(want)
+
+
+def test_upsert_ties_and_inserts(spark, tmp_path):
+    store = catalog.Catalog(spark, str(tmp_path))
+    rows = lambda *x: spark.createDataFrame(list(x), "id string, v int, t string")
+    store.insert("x", rows(("a", 1, "old")), ["id"])
+    store.insert("x", rows(("b", 1, "old")), ["id"])
+    with pytest.raises(ValueError):
+        store.insert("x", rows(("b", 2, "new")), ["id"])
+    store.upsert("x", rows(("a", 1, "new")), ["id"], "v")
+    store.insert("x", rows(("c", 1, "late")))
+    assert sorted((r["id"], r["t"]) for r in store.read("x").collect()) == [("a", "new"), ("b", "old"), ("c", "late")]
+    store.delete_keys("x", spark.createDataFrame([("a",)], "id string"))
+    assert sorted(r["id"] for r in store.read("x").collect()) == ["b", "c"]
+
+
+def test_context_rendering(spark):
+    one = spark.range(1)
+    chunk = F.array(F.struct(F.lit("x" * 600).alias("content"), F.lit("s").alias("source"), F.lit(0.5).alias("similarity"), F.lit("t").alias("chunk_type")))
+    none = F.array().cast("array<struct<discovery_type:string,title:string,description:string,confidence:double>>")
+    names = F.array().cast("array<struct<entity_type:string,canonical_value:string>>")
+    got = one.select(models.rendered(F.lit("q"), chunk, none, names, "markdown")).first()[0]
+    assert got == "## Context: q\n\n### Relevant Content\n\n**[1]** _s_ (similarity: 0.50)\n\n> " + "x" * 500 + "...\n\n"
+    assert "<discoveries>" not in one.select(models.rendered(F.lit("q"), chunk, none, names)).first()[0]
 
 
 def test_machines(spark):
