@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import by_key, components, materialize, slices, table
+from .common import by_key, components, discard, materialize, slices, table
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 32, 8
@@ -113,16 +113,28 @@ def signatures(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, size: int
     return docs.select("doc_id", F.md5(text).alias("key"), text.alias("text")).mapInArrow(sign, "doc_id long, key string, n int, bands array<long>, sig binary")
 
 
+def packed(elements: np.ndarray) -> bytes:
+    """A set of hashes, sorted, by the upper six bytes of each: what shuffles carry."""
+    return np.unique(elements >> np.uint64(16)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def unpacked(data: pa.Scalar) -> np.ndarray:
+    bytes_ = np.frombuffer(data.as_buffer(), np.uint8).reshape(-1, 6)
+    out = np.zeros((len(bytes_), 8), np.uint8)
+    out[:, :6] = bytes_
+    return out.view("<u8").ravel()
+
+
 def similar(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """Of pairs (u, v) those whose shingle sets have a Jaccard similarity of least or more."""
-    left = sets.select(F.col("gid").alias("u"), F.col("set").alias("set_u"))
+    """Of pairs (u, v) those whose shingle sets have a Jaccard similarity of least or more; each u is marked as a centre in sets."""
+    left = sets.filter("centre").select(F.col("gid").alias("u"), F.col("set").alias("set_u"))
     right = sets.select(F.col("gid").alias("v"), F.col("set").alias("set_v"))
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keep = []
             for x, y in zip(b.column("set_u"), b.column("set_v")):
-                keep.append(jaccard_reaches(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), least))
+                keep.append(jaccard_reaches(unpacked(x), unpacked(y), least))
             yield pa.RecordBatch.from_arrays([b.column("u").filter(k := pa.array(keep, pa.bool_())), b.column("v").filter(k)], ["u", "v"])
 
     return pairs.join(left, "u").join(right, "v").select("u", "v", "set_u", "set_v").mapInArrow(verify, "u long, v long")
@@ -139,7 +151,8 @@ def links_across(members: DataFrame, groups: DataFrame, sets: DataFrame, least:
     own = F.pmod(F.xxhash64("gid", "bucket"), F.col("blocks")).cast("int")
     cells = members.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     cells = cells.select("gid", "n", "component", "own", "bucket", F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other")).alias("cell"), (F.col("own") == F.col("other")).alias("inner"))
-    cells = materialize(cells, "cells").join(groups.select("gid", "sig", "bands"), "gid")
+    placed = materialize(cells, "cells")
+    cells = placed.join(groups.select("gid", "sig", "bands"), "gid")
     parts = max(1, int(members.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
     def promising(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,7 +184,7 @@ def links_across(members: DataFrame, groups: DataFrame, sets: DataFrame, least:
     def verify(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = pa.Table.from_batches(held)
         gid = t.column("gid").to_pylist()
-        own = {g: np.frombuffer(x.as_buffer(), np.uint64) for g, x in zip(gid, t.column("set"))}
+        own = {g: unpacked(x) for g, x in zip(gid, t.column("set"))}
         root, found = {g: g for g in gid}, []
 
         def top(x: int) -> int:
@@ -188,8 +201,9 @@ def links_across(members: DataFrame, groups: DataFrame, sets: DataFrame, least:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], ["u", "v"])
 
     meet = lambda rows, work, schema: rows.repartition(parts, "cell").sortWithinPartitions("cell").mapInArrow(by_key("cell", work), schema)
-    packed = materialize(meet(cells, promising, "cell long, gid long, partners array<long>"), "packed")
-    return meet(packed.join(sets, "gid"), verify, "u long, v long")
+    partners = materialize(meet(cells, promising, "cell long, gid long, partners array<long>"), "partners")
+    discard(placed)
+    return meet(partners.join(sets, "gid"), verify, "u long, v long")
 
 
 def jaccard_reaches(x: np.ndarray, y: np.ndarray, least: float) -> bool:
@@ -204,17 +218,44 @@ def position(key: Column) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(SKETCH)) + 1
 
 
-def sketch_of(keys: DataFrame, key: str) -> DataFrame:
-    """_block, _bits: which of SKETCH positions the keys take; SKETCH / 8 bytes at most."""
-    return keys.select(position(F.col(key)).alias("at")).groupBy(F.bitmap_bucket_number("at").alias("_block")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("_bits"))
+def sketch_of(at: DataFrame) -> DataFrame:
+    """_block, _bits: which of SKETCH positions (at, from 1) are taken; SKETCH / 8 bytes at most."""
+    return at.groupBy(F.bitmap_bucket_number("at").alias("_block")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("_bits"))
 
 
-def sets_of(docs: DataFrame, ends: DataFrame, size: int) -> DataFrame:
-    """gid, set (sorted shingle hashes) for the texts of ends (gid, key). Only their sets are shuffled, no text is."""
+def broadcast_sketch(at: DataFrame):
+    """sketch_of as bytes in a broadcast."""
     sketch = np.zeros(SKETCH // 8, np.uint8)
-    for r in sketch_of(ends, "key").toLocalIterator():
+    for r in sketch_of(at).toLocalIterator():
         sketch[(r["_block"] - 1) * 4096 : r["_block"] * 4096] = np.frombuffer(r["_bits"], np.uint8)
-    shared = docs.sparkSession.sparkContext.broadcast(sketch)
+    return at.sparkSession.sparkContext.broadcast(sketch)
+
+
+def shared_bands(groups: DataFrame) -> DataFrame:
+    """gid, n, bucket for the bands of groups (gid, n, bands) that several texts may have: all such, and few others.
+
+    A count by bucket tells which are shared; a sketch of these (broadcast) then keeps a text's other bands
+    out of every later shuffle.
+    """
+    buckets = groups.select(F.explode("bands").alias("bucket")).groupBy("bucket").agg(F.count("*").alias("c")).filter("c > 1")
+    shared = broadcast_sketch(buckets.select((F.col("bucket").bitwiseAND(F.lit(SKETCH - 1)) + 1).alias("at")))
+
+    def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = shared.value
+        for b in batches:
+            bands = b.column("bands")
+            flat = bands.flatten().to_numpy()
+            at, owner = flat & (SKETCH - 1), np.repeat(np.arange(b.num_rows), np.diff(bands.offsets.to_numpy()))
+            hit = np.flatnonzero(bits[at >> 3] >> (at & 7).astype(np.uint8) & 1)
+            take = pa.array(owner[hit])
+            yield pa.RecordBatch.from_arrays([b.column("gid").take(take), b.column("n").take(take), pa.array(flat[hit])], ["gid", "n", "bucket"])
+
+    return groups.select("gid", "n", "bands").mapInArrow(hits, "gid long, n int, bucket long")
+
+
+def sets_of(docs: DataFrame, ends: DataFrame, size: int) -> DataFrame:
+    """gid, centre, set (packed) for the texts of ends (gid, key, centre). Only their sets are shuffled, no text is."""
+    shared = broadcast_sketch(ends.select(position(F.col("key")).alias("at")))
 
     def shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, bits = Hashes(), shared.value
@@ -222,12 +263,12 @@ def sets_of(docs: DataFrame, ends: DataFrame, size: int) -> DataFrame:
             at = b.column("at").to_numpy() - 1
             hit = bits[at >> 3] >> (at & 7).astype(np.uint8) & 1
             for s in slices(b.filter(pa.array(hit.astype(bool)))):
-                out = [np.unique(shingles(t.as_buffer().to_pybytes(), hashes, size)).tobytes() for t in s.column("text")]
+                out = [packed(shingles(t.as_buffer().to_pybytes(), hashes, size)) for t in s.column("text")]
                 yield pa.RecordBatch.from_arrays([s.column("key"), pa.array(out, pa.binary())], ["key", "set"])
 
     text = F.coalesce("text", F.lit(""))
     found = docs.select(F.md5(text).alias("key"), text.alias("text")).select("key", position(F.col("key")).alias("at"), "text").mapInArrow(shingle, "key string, set binary")
-    return found.groupBy("key").agg(F.first("set").alias("set")).join(ends, "key").select("gid", "set")
+    return found.groupBy("key").agg(F.first("set").alias("set")).join(ends, "key").select("gid", "centre", "set")
 
 
 def classes(docs: DataFrame, least: float = SIMILARITY, size: int = SHINGLE) -> DataFrame:
@@ -250,29 +291,34 @@ def classes(docs: DataFrame, least: float = SIMILARITY, size: int = SHINGLE) ->
     signed = materialize(signatures(docs, size=size), "signed")
     groups = signed.groupBy("key").agg(F.min("doc_id").alias("least_id"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
     groups = materialize(groups.withColumn("gid", F.monotonically_increasing_id()), "texts")
-    rows = groups.select("gid", "n", F.explode("bands").alias("bucket"))
+    rows = materialize(shared_bands(groups), "bands")
     buckets = rows.groupBy("bucket").agg(F.count("*").alias("c"), F.min(F.struct("gid", "n")).alias("m")).filter("c > 1")
     buckets = materialize(buckets.select("bucket", F.col("m.gid").alias("u"), F.col("m.n").alias("nu")), "buckets")
     members = materialize(rows.join(buckets, "bucket"), "members")
+    discard(rows, buckets)
     ratio = lambda a, b: F.least(a, b) >= F.greatest(a, b) * F.lit(least)
 
-    ends = materialize(members.select("gid").distinct().join(groups.select("gid", "key"), "gid"), "ends")
+    pairs = materialize(members.filter(F.col("gid") != F.col("u")).filter(ratio(F.col("n"), F.col("nu"))).select("u", F.col("gid").alias("v")).distinct(), "pairs")
+    ends = members.select("gid", F.lit(False).alias("centre")).union(pairs.select("u", F.lit(True))).groupBy("gid").agg(F.max("centre").alias("centre"))
+    ends = materialize(ends.join(groups.select("gid", "key"), "gid"), "ends")
     sets = materialize(sets_of(docs, ends, size), "sets")
-
-    pairs = members.filter(F.col("gid") != F.col("u")).filter(ratio(F.col("n"), F.col("nu"))).select("u", F.col("gid").alias("v")).distinct()
-    edges = materialize(similar(materialize(pairs, "pairs"), sets, least), "edges")
+    edges = materialize(similar(pairs, sets, least), "edges")
     labels = components(edges)
     named = members.select("bucket", "gid", "n").join(labels.withColumnRenamed("node", "gid"), "gid", "left").withColumn("component", F.coalesce("component", "gid"))
     named = materialize(named, "named")
+    discard(members, pairs, ends)
     open_ = named.groupBy("bucket").agg(F.count("*").alias("c"), F.min("component").alias("a"), F.max("component").alias("b")).filter("a <> b").select("bucket", "c")
-    named = named.join(materialize(open_, "open"), "bucket").withColumn("blocks", F.ceil(F.col("c") / BLOCK).cast("int"))
-    more = materialize(links_across(materialize(named, "open"), groups, sets, least), "edges")
+    still = named.join(open_ := materialize(open_, "open"), "bucket").withColumn("blocks", F.ceil(F.col("c") / BLOCK).cast("int"))
+    more = materialize(links_across(still := materialize(still, "open"), groups, sets, least), "edges")
+    discard(named, open_, still, sets)
     if not more.isEmpty():
+        discard(labels)
         labels = components(edges.union(more))
     per_text = groups.select("key", "gid", "least_id").join(labels.withColumnRenamed("node", "gid"), "gid", "left").withColumn("component", F.coalesce("component", "gid"))
     per_text = materialize(per_text, "labels")
     smallest = materialize(per_text.groupBy("component").agg(F.min("least_id").alias("class_id")), "classes")
     named = materialize(per_text.join(smallest, "component").select("key", "class_id"), "named")
+    discard(groups, labels, edges, more, per_text, smallest)
     return signed.select("doc_id", "key").join(named, "key").select("doc_id", "key", "class_id", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"))
 
 
@@ -287,7 +333,7 @@ def one_of_each(docs: DataFrame, least: float = SIMILARITY, size: int = SHINGLE)
     gone = materialize(gone, "gone")
     key = F.md5(F.coalesce("text", F.lit("")))
     rows = docs.withColumn("_doc_key", key).withColumn("_at", position(F.col("_doc_key")))
-    rows = rows.join(F.broadcast(sketch_of(gone, "_key")), F.bitmap_bucket_number("_at") == F.col("_block"), "left")
+    rows = rows.join(F.broadcast(sketch_of(gone.select(position(F.col("_key")).alias("at")))), F.bitmap_bucket_number("_at") == F.col("_block"), "left")
     byte, bit = F.floor(F.bitmap_bit_position("_at") / 8).cast("int"), (F.bitmap_bit_position("_at") % 8).cast("int")
     hit = F.coalesce(F.getbit(F.conv(F.hex(F.substring("_bits", byte + 1, F.lit(1))), 16, 10).cast("int"), bit) == 1, F.lit(False))
     rows = rows.withColumn("_hit", hit)
