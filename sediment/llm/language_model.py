@@ -3,25 +3,29 @@
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, slices, table
+from .common import delete, materialize, new_path, slices, table
 from .dedup import C1, C2, Hashes, mix
+from .warc import open_store
 
 PRIOR = 0.1
 START, END = np.uint64(0x243F6A8885A308D3), np.uint64(0x13198A2E03707344)
-#: Of the filter: growth of a count per level, bits per inserted level, bits set in a word, and its largest size to broadcast.
-BASE, BITS, SET, MOST_BYTES = 1.5, 16, 5, 1 << 29
+#: Of the filter: growth of a count per level, bits per inserted level, bits set in a word, and the size of the largest file of bigrams.
+BASE, BITS, SET, MOST_BYTES = 1.5, 16, 5, 1 << 32
 #: Weight of the unigram model in a bigram's probability, in counts.
 STRENGTH = 20.0
 #: Tokens whose exact counts are broadcast; the counts of rarer ones are joined.
 HEAD = 1 << 18
-FLUSH = 4_000_000
+#: Tokens that a task counts before it hands them on, text bytes whose n-grams share a shard, n-grams merged at once, and shards at most.
+FLUSH, SHARD_BYTES, MERGE, MOST_SHARDS = 1 << 20, 1 << 23, 1 << 21, 1 << 16
 
 
 def held_out(doc_id: Column) -> Column:
@@ -39,11 +43,23 @@ def tokens(text: bytes, hashes: Hashes) -> np.ndarray:
 
 
 def bigrams(t: np.ndarray, firsts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of (history, token) for tokens of many texts in a row, and the histories; firsts are where texts begin."""
+    """Keys of (history, token) for tokens of many texts in a row, 48 bits high in a word, and the histories; firsts are where texts begin."""
     history = np.empty_like(t)
     history[1:] = t[:-1]
     history[firsts] = START
-    return mix(history * C1 + (t ^ C2)), history
+    return mix(history * C1 + (t ^ C2)) >> np.uint64(16) << np.uint64(16), history
+
+
+def packed(kind: int, keys: np.ndarray) -> np.ndarray:
+    """Keys as rows of bytes: all eight of a token's, the six that a bigram's has."""
+    return keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 2 * (kind - 1) :]
+
+
+def unpacked(kind: int, data: bytes) -> np.ndarray:
+    rows = np.frombuffer(data, np.uint8).reshape(-1, 10 - 2 * kind)
+    out = np.zeros((len(rows), 8), np.uint8)
+    out[:, 2 * (kind - 1) :] = rows
+    return out.view("<u8").ravel()
 
 
 def levels_of(counts: np.ndarray) -> np.ndarray:
@@ -100,8 +116,24 @@ def build(keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return words
 
 
-def count_ngrams(docs: DataFrame, shards: int) -> DataFrame:
-    """Rows h, c for each token, and rows shard, kind, words: the filters of tokens (kind 1) and of bigrams (2)."""
+def summed(runs: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Runs of (keys, counts) as one of different, sorted keys."""
+    keys, counts = (np.concatenate([r[i] for r in runs]) if runs else np.zeros(0, t) for i, t in ((0, np.uint64), (1, np.int64)))
+    if not len(keys):
+        return keys, counts
+    order = np.argsort(keys, kind="stable")
+    keys, counts = keys[order], counts[order]
+    firsts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+    return keys[firsts], np.add.reduceat(counts, firsts)
+
+
+def count_ngrams(docs: DataFrame, shards: int, folder: str) -> DataFrame:
+    """Rows h, c for each token, and a row shard, kind, path, words, mass for the filter of a shard's tokens (kind 1) and bigrams (2).
+
+    A filter is a file of words in the shared folder; mass is the sum of its quantised counts. A task counts FLUSH
+    tokens at a time and hands on packed runs; a shard's runs arrive in a row and are merged as they come, so a task
+    holds the different n-grams of one shard and one kind at most.
+    """
     shift = np.uint64(64 - shards.bit_length() + 1)
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -110,13 +142,14 @@ def count_ngrams(docs: DataFrame, shards: int) -> DataFrame:
         def flush() -> Iterator[pa.RecordBatch]:
             t = np.concatenate(parts)
             sizes = np.array([len(p) for p in parts])
-            two, _ = bigrams(t, np.cumsum(sizes) - sizes)
-            for kind, keys in ((1, t), (2, two)):
-                u, c = np.unique(keys, return_counts=True)
-                shard = (u >> shift).astype(np.int64) if shards > 1 else np.zeros(len(u), np.int64)
-                cuts = np.searchsorted(shard, np.arange(shards + 1))
-                rows = [s for s in range(shards) if cuts[s] < cuts[s + 1]]
-                yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int32()), pa.array([kind] * len(rows), pa.int32()), pa.array([u[cuts[s] : cuts[s + 1]].tobytes() for s in rows], pa.binary()), pa.array([c[cuts[s] : cuts[s + 1]].astype(np.uint32).tobytes() for s in rows], pa.binary())], ["shard", "kind", "keys", "counts"])
+            parts.clear()
+            for kind in (1, 2):
+                keys, c = np.unique(t if kind == 1 else bigrams(t, np.cumsum(sizes) - sizes)[0], return_counts=True)
+                shard = (keys >> shift).astype(np.int64) if shards > 1 else np.zeros(len(keys), np.int64)
+                rows, cuts = np.unique(shard, return_index=True)
+                cuts = np.append(cuts, len(keys))
+                parts_of = [[x[i:j].tobytes() for i, j in zip(cuts, cuts[1:])] for x in (packed(kind, keys), c.astype(np.uint32))]
+                yield pa.RecordBatch.from_arrays([pa.array(rows.astype(np.int32)), pa.array(np.full(len(rows), kind, np.int32)), *(pa.array(x, pa.binary()) for x in parts_of)], ["shard", "kind", "keys", "counts"])
 
         for b in batches:
             for text in b.column("text"):
@@ -124,47 +157,100 @@ def count_ngrams(docs: DataFrame, shards: int) -> DataFrame:
                 n += len(parts[-1])
                 if n >= FLUSH:
                     yield from flush()
-                    parts, n = [], 0
+                    n = 0
         if parts:
             yield from flush()
 
-    def merge(group: pa.Table) -> pa.Table:
-        merged = {}
-        for kind in (1, 2):
-            rows = [i for i, k in enumerate(group.column("kind").to_pylist()) if k == kind]
-            keys = np.concatenate([np.frombuffer(group.column("keys")[i].as_buffer(), np.uint64) for i in rows] or [np.zeros(0, np.uint64)])
-            counts = np.concatenate([np.frombuffer(group.column("counts")[i].as_buffer(), np.uint32) for i in rows] or [np.zeros(0, np.uint32)]).astype(np.int64)
-            order = np.argsort(keys, kind="stable")
-            keys, counts = keys[order], counts[order]
-            firsts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
-            merged[kind] = keys[firsts], np.add.reduceat(counts, firsts) if len(keys) else counts
-        h, c = merged[1]
-        blobs, none = [build(*merged[k]).tobytes() for k in (1, 2)], [None] * len(h)
-        columns = {"shard": (none + [group.column("shard")[0].as_py()] * 2, pa.int32()), "kind": (none + [1, 2], pa.int32()), "h": (h.astype(np.int64).tolist() + [None] * 2, pa.int64()), "c": (c.tolist() + [None] * 2, pa.int64()), "words": (none + blobs, pa.binary())}
-        return pa.table({k: pa.array(*v) for k, v in columns.items()})
+    def finish(shard: int, kind: int, runs: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        keys, counts = summed(runs)
+        words = build(keys, counts)
+        path = f"{folder}/{kind}-{shard}-{uuid.uuid4().hex}"
+        store, at = open_store(path)
+        with store.open_output_stream(at, compression=None) as out:
+            out.write(words)
+        one = {"h": pa.nulls(1, pa.int64()), "c": pa.nulls(1, pa.int64()), "shard": pa.array([shard], pa.int32()), "kind": pa.array([kind], pa.int32()), "path": pa.array([path]), "words": pa.array([len(words)], pa.int64()), "mass": pa.array([float(middle(levels_of(counts)).sum())])}
+        yield pa.RecordBatch.from_pydict(one)
+        if kind == 1:
+            n = len(keys)
+            yield pa.RecordBatch.from_pydict({"h": pa.array(keys.astype(np.int64)), "c": pa.array(counts), **{k: pa.nulls(n, v.type) for k, v in one.items() if k not in "hc"}})
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, at = open_store(folder)
+        store.create_dir(at, recursive=True)
+        own, runs, loose = None, [], 0
+        for b in batches:
+            for shard, kind, keys, counts in zip(*(b.column(c) for c in ("shard", "kind", "keys", "counts"))):
+                now = shard.as_py(), kind.as_py()
+                if own is not None and now != own:
+                    yield from finish(*own, runs)
+                    runs, loose = [], 0
+                own = now
+                runs.append((unpacked(now[1], keys.as_py()), np.frombuffer(counts.as_py(), np.uint32).astype(np.int64)))
+                loose += len(runs[-1][0])
+                if loose > max(MERGE, 2 * len(runs[0][0])):
+                    runs = [summed(runs)]
+                    loose = len(runs[0][0])
+        if own is not None:
+            yield from finish(*own, runs)
 
     text = docs.select(F.coalesce("text", F.lit("")).alias("text"))
-    return text.mapInArrow(gather, "shard int, kind int, keys binary, counts binary").groupBy("shard").applyInArrow(merge, "shard int, kind int, h long, c long, words binary")
+    runs = text.mapInArrow(gather, "shard int, kind int, keys binary, counts binary")
+    return runs.repartition(shards, "shard").sortWithinPartitions("shard", "kind").mapInArrow(merge, "h long, c long, shard int, kind int, path string, words long, mass double")
+
+
+def one_file(spark: SparkSession, paths: list[str], name: str) -> str:
+    """One file of the bytes of others in their order, written by a task that streams them, and sent to every executor once."""
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for parts in b.column("paths").to_pylist():
+                path = new + uuid.uuid4().hex
+                store, at = open_store(path)
+                with store.open_output_stream(at, compression=None) as out:
+                    for p in parts:
+                        store, at = open_store(p)
+                        with store.open_input_stream(at, compression=None) as f:
+                            while data := f.read(1 << 22):
+                                out.write(data)
+                yield pa.RecordBatch.from_arrays([pa.array([path])], ["path"])
+
+    new = new_path(spark, name)
+    path = spark.createDataFrame([(paths,)], "paths array<string>").coalesce(1).mapInArrow(join, "path string").first()["path"]
+    spark.sparkContext.addFile(path)
+    return path.rsplit("/", 1)[-1]
+
+
+def mapped(name: str | None) -> np.ndarray:
+    """The words of a file that one_file sent, shared by the workers of an executor and not copied."""
+    return np.asarray(np.memmap(SparkFiles.get(name), np.uint64, "r")) if name else np.zeros(0, np.uint64)
 
 
-def score(docs: DataFrame, head: int = HEAD, most_bytes: int = MOST_BYTES, strength: float = STRENGTH) -> DataFrame:
+def score(docs: DataFrame, head: int = HEAD, most_bytes: int = MOST_BYTES, strength: float = STRENGTH, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """Scores of docs (doc_id, text) under models of the documents that are not held out.
 
     Returns doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row. A null or empty
     text is the end token alone. Repeated rows count and are scored each by itself. With no training document
-    every token is unknown (and a score is 0: one token type, never seen). Other columns are ignored.
+    every token is unknown (and a score is 0: one token type, never seen). Other columns are ignored, whatever
+    their names; an empty table gives no rows. A text of any length is tokenised whole, in the memory of its
+    tokens' hashes (8 bytes each, several times over).
 
     Counting works on 64-bit hashes of tokens. base_score uses exact counts: those of the most frequent tokens
     (head at most) are broadcast, the rest are joined by token with the few tokens of each document that are rarer.
     score is the log10 probability of a bigram model, each bigram drawn to the unigram model by strength counts;
-    all its counts are probed from the filters. These grow with the corpus. The bigrams' is broadcast in runs of
-    shards of most_bytes at most; if there are several runs, each scores the bigrams of its shards in a pass of
-    its own, and a document's score is the sum. The tokens' filter must fit into most_bytes; an error says if not.
+    all its counts are probed from log-frequency Bloom filters. These grow with the corpus, as files of the shared
+    folder that Spark sends to each executor once (SparkContext.addFile) and whose workers map them, so they take
+    no worker's memory and do not pass through the driver's. The filter of bigrams goes in runs of shards of
+    most_bytes at most; if there are several, each scores the bigrams of its shards in a pass of its own, and a
+    document's score is the sum. The unigram part is divided by the sum of the quantised counts, so it sums to 1
+    over the vocabulary up to false positives of the filter; a history's bigrams need not, as quantised counts of
+    bigrams and of their history are rounded apart from each other.
     """
     spark = docs.sparkSession
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("held_out", held_out(F.col("doc_id")))
-    shards = 1 << min(12, max(5, (rows.rdd.getNumPartitions() - 1).bit_length()))
-    counted = materialize(count_ngrams(rows.filter("not held_out"), shards), "ngrams")
+    trained, size = rows.filter("not held_out").agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    shards = 1 << (max(8, min(MOST_SHARDS, -(-size // shard_bytes))) - 1).bit_length()
+    folder = new_path(spark, "shards")
+    counted = materialize(count_ngrams(rows.filter("not held_out"), shards, folder), "ngrams")
     known = counted.filter("h is not null").select("h", "c")
     total, distinct = known.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     least, kept = 1, 0
@@ -176,25 +262,22 @@ def score(docs: DataFrame, head: int = HEAD, most_bytes: int = MOST_BYTES, stren
     top = known.filter(F.col("c") >= least).toArrow()
     order = np.argsort(keys := top.column("h").to_numpy().astype(np.uint64))
     top_keys, top_counts = keys[order], top.column("c").to_numpy()[order]
-    sizes = np.zeros((3, shards), np.int64)
-    for shard, kind, n in counted.filter("shard is not null").select("shard", "kind", F.length("words")).collect():
-        sizes[kind, shard] = n // 8
-    if 8 * sizes[1].sum() > most_bytes:
-        raise ValueError(f"the filter of tokens has {8 * sizes[1].sum()} bytes, more than most_bytes = {most_bytes}")
-    below = total + PRIOR * (distinct + 1)
-    trained = float(rows.filter("not held_out").count())
-
-    def read(kind: int, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]:
-        """The words of shards lo to hi, and where each shard's begin; other shards have none."""
-        some = counted.filter((F.col("kind") == kind) & F.col("shard").between(lo, hi - 1)).select("shard", "words").toArrow()
-        blobs = dict(zip(some.column("shard").to_pylist(), some.column("words")))
+    sizes, paths, mass = np.zeros((3, shards), np.int64), {}, 0.0
+    for shard, kind, path, words, own in counted.filter("shard is not null").select("shard", "kind", "path", "words", "mass").toLocalIterator():
+        sizes[kind, shard], paths[kind, shard] = words, path
+        mass += own if kind == 1 else 0.0
+    below, smooth = total + PRIOR * (distinct + 1), mass + PRIOR * (distinct + 1)
+
+    def sent(kind: int, lo: int, hi: int) -> tuple[str | None, np.ndarray]:
+        """The file of the words of shards lo to hi, and where each shard's begin; other shards have none."""
+        some = [paths[kind, s] for s in range(lo, hi) if sizes[kind, s]]
         held = np.where((np.arange(shards) >= lo) & (np.arange(shards) < hi), sizes[kind], 0)
-        return np.frombuffer(b"".join(blobs[s].as_py() for s in sorted(blobs)), np.uint64), np.concatenate([[0], np.cumsum(held)])
+        return one_file(spark, some, "filter") if some else None, np.concatenate([[0], np.cumsum(held)])
 
     def measure_with(shared, lo: int, hi: int):
         def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             one, two, top_keys, top_counts = shared.value
-            singles, pairs, hashes = Filter(*one), Filter(*two), Hashes()
+            singles, pairs, hashes = Filter(mapped(one[0]), one[1]), Filter(mapped(two[0]), two[1]), Hashes()
             for b in batches:
                 for s in slices(b):
                     parts = [tokens(t.as_buffer().to_pybytes(), hashes) for t in s.column("text")]
@@ -211,8 +294,8 @@ def score(docs: DataFrame, head: int = HEAD, most_bytes: int = MOST_BYTES, stren
                     mine = ((mine >= lo) & (mine < hi))[key_back]
                     both, single = pairs.counts(different)[key_back], singles.counts(u)
                     before = np.append(0.0, single[back][:-1])
-                    before[firsts] = trained
-                    p1 = (single + PRIOR)[back] / below
+                    before[firsts] = float(trained)
+                    p1 = (single + PRIOR)[back] / smooth
                     p = (np.minimum(both, before) + strength * p1) / (before + strength)
                     rare = np.flatnonzero(~in_head)
                     cut = np.searchsorted(rare, np.append(firsts, len(t))).astype(np.int32)
@@ -226,9 +309,11 @@ def score(docs: DataFrame, head: int = HEAD, most_bytes: int = MOST_BYTES, stren
         if hi == shards or 8 * sizes[2, lo : hi + 1].sum() > most_bytes:
             runs.append((lo, hi))
             lo = hi
-    tokens_filter, out = read(1, 0, shards), None
+    tokens_filter, out = sent(1, 0, shards), None
     for lo, hi in runs:
-        shared = spark.sparkContext.broadcast((tokens_filter, read(2, lo, hi), top_keys, top_counts))
+        shared = spark.sparkContext.broadcast((tokens_filter, sent(2, lo, hi), top_keys, top_counts))
+        if hi == shards:
+            delete(spark, folder)
         scored = rows.withColumn("rid", F.monotonically_increasing_id()).mapInArrow(measure_with(shared, lo, hi), "rid long, doc_id long, held_out boolean, n_tokens long, head_known long, head_score double, score double, rare array<long>")
         scored = materialize(scored, "scored")
         shared.destroy()

@@ -144,12 +144,25 @@ def test_language_model(spark, corpus):
     want = Counter((i, out(i), len(t), sum(c[w] > 0 for w in t), n, round(sum(math.log10((c[w] + 0.1) / (n + 0.1 * (v + 1))) for w in t), 4)) for i, t in tok)
     assert Counter((r["doc_id"], r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 4)) for r in got) == want
     assert all(r["score"] <= 0 for r in got)
+    two = Counter(p for i, t in tok if not out(i) for p in zip(["<start>", *t], t))
+    q = lambda k: float(language_model.middle(language_model.levels_of(np.array([k])))[0]) if k else 0.0
+    docs_in, smooth = sum(not out(i) for i, _ in tok), sum(q(k) for k in c.values()) + 0.1 * (v + 1)
+    brute = Counter()
+    for i, t in tok:
+        p = 0.0
+        for a, b in zip(["<start>", *t], t):
+            before = docs_in if a == "<start>" else q(c[a])
+            p += math.log10((min(q(two[a, b]), before) + 20 * (q(c[b]) + 0.1) / smooth) / (before + 20))
+        brute[i, len(t), round(p, 4)] += 1
+    assert sum((brute & Counter((r["doc_id"], r["n_tokens"], round(r["score"], 4)) for r in got)).values()) >= 0.4 * len(got)  # the others, mostly of many tokens, met a false positive
+    near = {(i, n): p for i, n, p in brute}
+    assert all(abs(r["score"] - near[r["doc_id"], r["n_tokens"]]) <= 0.05 * r["n_tokens"] + 2 for r in got)
 
 
 def test_language_model_in_several_runs(spark, corpus):
     docs = frame(spark, corpus).filter("doc_id is not null").dropDuplicates(["doc_id"])
-    one = {r["doc_id"]: r["score"] for r in language_model.score(docs).collect()}
-    many = {r["doc_id"]: r["score"] for r in language_model.score(docs, most_bytes=4000).collect()}
+    many = {r["doc_id"]: r["score"] for r in language_model.score(docs, most_bytes=4000, shard_bytes=2000).collect()}
+    one = {r["doc_id"]: r["score"] for r in language_model.score(docs, shard_bytes=2000).collect()}
     assert all(abs(one[k] - many[k]) < 1e-9 * max(1, abs(one[k])) for k in one) and len(one) == len(many)
 
 
