@@ -1,8 +1,17 @@
-"""The registered queries of this subpackage, and DuckDB SQL where SQL can say the same."""
+"""The registered queries of this subpackage, and DuckDB SQL where SQL can say the same.
+
+Beside the ten whole queries stand the columns of three of them that SQL can say: they run the same operators.
+"""
 
 from __future__ import annotations
 
 from . import dedup, language_model, licenses, mixing, packing, secrets, toxicity, vectors, warc
+from .common import LOWER, UPPER
+
+
+def base_of(query, *columns):
+    return lambda spark, sf_dir: query(spark, sf_dir).selectExpr(*columns)
+
 
 QUERIES = {
     "op1_minhash_dedup": dedup.op1_minhash_dedup,
@@ -15,6 +24,34 @@ QUERIES = {
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_best_fit": packing.op9_best_fit,
     "op10_warc": warc.op10_warc,
+    "license_base_columns": base_of(licenses.op2_license_scan, "doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels"),
+    "lm_base_columns": base_of(language_model.op5_lm_score, "doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "round(base_score, 4) as base_score"),
+    "secret_base_columns": base_of(secrets.op6_secret_scan, "doc_id", "n_assign", "n_access", "n_hex", "base_sha256"),
 }
 
-ORACLES: dict[str, str] = {}
+FINE = "embedding is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0"
+PLACES = ", ".join(f"list_filter(range(0, len(w)), lambda i: w[i + 1:i + {len(p.split())}] = {p.split()}) as p{k}" for k, p in enumerate(licenses.BASE))
+LABEL = ", ".join(f"case when len(p{k}) > 0 then '{v}' end" for k, v in enumerate(licenses.BASE.values()))
+# the CRC-32 of a short text, byte by byte
+CRC = "xor(list_reduce(list_prepend(4294967295::bigint, list_transform(string_split(i, ''), lambda c: ord(c)::bigint)), lambda a, b: xor(a >> 8, list_reduce(list_prepend(xor(a, b) & 255, [0::bigint, 0, 0, 0, 0, 0, 0, 0]), lambda c, z: case when c & 1 = 1 then xor(c >> 1, 3988292384::bigint) else c >> 1 end))), 4294967295::bigint)"
+TOKENS = f"(select doc_id, {CRC} % 10 = 0 as held_out, list_append(list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[\\x20\\x09-\\x0D]+'), lambda t: t <> ''), null) as ts from (select *, doc_id::varchar as i from documents))"
+
+
+def spans(kind: str, pattern: str, keep: str = "true") -> str:
+    """The matches of one kind as structs of start, kind and end; g is a match's second group."""
+    p = pattern.replace("'", "''")
+    group = "regexp_extract_all(t, '{}', 2)".format(p) if kind == "assign" else "ms"
+    return f"(select doc_id, list_filter(list_transform(range(1, len(ms) + 1), lambda k: {{'start': coalesce(list_sum(list_transform(gs[1:k], lambda x: length(x))), 0)::bigint + coalesce(list_sum(list_transform(ms[1:k - 1], lambda x: length(x))), 0)::bigint, 'kind': {secrets.KINDS.index(kind)}, 'size': length(ms[k])::bigint, 'g': vs[k]}}), lambda m: {keep}) as found from (select doc_id, regexp_extract_all(t, '{p}') as ms, regexp_split_to_array(t, '{p}') as gs, {group} as vs from (select doc_id, coalesce(text, '') as t from documents)))"
+
+
+ALL_SPANS = " union all ".join(f"select doc_id, unnest(found, recursive := true) from {x}" for x in (spans("assign", secrets.ASSIGN, f"length(m.g) >= {secrets.MIN_VALUE}"), spans("access", secrets.ACCESS), spans("hex", secrets.HEX)))
+DIGEST = " || ".join(f"substring('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substring(sha1(h), {5 * g + 1}, 5))::bigint >> {s}) & 31)::int + 1, 1)" for g in range(8) for s in (15, 10, 5, 0))
+
+ORACLES: dict[str, str] = {
+    "op3_embedding_dedup": f"with recursive v as (select vec_id, label, embedding::double[] as e from embeddings where {FINE} and label is not null and len(list_filter(embedding, lambda x: x <> 0)) > 0), l as (select a.vec_id as u, b.vec_id as w from v a join v b on a.label = b.label and a.vec_id <> b.vec_id and len(a.e) = len(b.e) and list_cosine_similarity(a.e, b.e) >= 0.93::double), r as (select vec_id as u, vec_id as w from embeddings union select r.u, l.w from r join l on l.u = r.w), n as (select u, count(*) as n from l group by u) select vec_id, coalesce(n.n, 0) as n_links, c as component_id, vec_id = c as kept from embeddings join (select u, min(w) as c from r group by u) x on x.u = vec_id left join n on n.u = vec_id",
+    "op7_top_products": f"with v as (select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)) as x from embeddings where vec_id is not null and {FINE}) select a.vec_id as query_id, row_number() over (partition by a.vec_id order by list_inner_product(a.x, b.x) desc, b.vec_id)::int as rank, b.vec_id, list_inner_product(a.x, b.x)::bigint as score from v a join v b on a.vec_id <> b.vec_id and len(a.x) = len(b.x) where a.vec_id % 50 = 0 qualify rank <= 5",
+    "op10_warc": f"select page_id, strlen(h) as payload_bytes, {DIGEST} as payload_digest, case when page_id = last then 'response' else 'revisit' end as record_type, case when page_id <> last then last end as refers_to from (select page_id, coalesce(html, '') as h, max(page_id) over (partition by coalesce(html, '')) as last from pages)",
+    "license_base_columns": f"select doc_id, len(w) as n_words, len(p) as n_base, list_min(p) as first_word, list_max(p) as last_word, array_to_string(list_sort(list_filter([{LABEL}], lambda x: x is not null)), ',') as base_labels from (select *, p0 || p1 || p2 || p3 as p from (select doc_id, w, {PLACES} from (select doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') as w from documents)))",
+    "lm_base_columns": f"with d as {TOKENS}, t as (select unnest(ts) as w from d where not held_out), c as (select coalesce(w, chr(0)) as w, count(*) as c from t group by 1), n as (select coalesce(sum(c), 0) as n, count(*) as v from c), o as (select row_number() over () as k, * from d), u as (select k, coalesce(w, chr(0)) as w from (select k, unnest(ts) as w from o)) select doc_id, held_out, s.n_tokens, s.n_known, n.n::bigint as train_tokens, s.base_score from o join (select k, count(*) as n_tokens, count(c.c) as n_known, round(sum(log10((coalesce(c.c, 0) + 0.1::double) / (n.n + 0.1::double * (n.v + 1)))), 4) as base_score from u left join c using (w), n group by k) s using (k), n",
+    "secret_base_columns": f"with s as ({ALL_SPANS}) select doc_id, coalesce(a, 0) as n_assign, coalesce(b, 0) as n_access, coalesce(c, 0) as n_hex, sha256(coalesce(line, '')) as base_sha256 from documents left join (select doc_id, count(*) filter (where kind = 0) as a, count(*) filter (where kind = 1) as b, count(*) filter (where kind = 2) as c, string_agg(case kind when 0 then 'assign' when 1 then 'access' else 'hex' end || ':' || start || ':' || (start + size), ',' order by start, kind) as line from s group by doc_id) using (doc_id)",
+}
