@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from sediment.llm import dedup, mixing, packing, secrets, toxicity
-from sediment.llm.common import materialize, own_tables, table
+from sediment.llm.common import discard, materialize, own_tables, table
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,13 +45,19 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 STAGES = [("toxicity", toxicity_stage), ("minhash_dedup", dedup_stage), ("secret_scan", secrets_stage), ("mix_sources", mixing_stage), ("best_fit", packing_stage)]
 
-#: The stages learn, hash and pack: SQL can't say the same. tests/llm/test_pipeline.py compares only row
-#: counts, columns and the ids packed; no plain-Python version of run() exists. tests/llm/test_documents.py tests the operators alone.
+#: The stages learn, hash and pack: SQL can't say the same. tests/llm/test_pipeline.py holds what each stage keeps,
+#: masks, repeats and packs against plain Python on its own input.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The packed pieces of the whole pipeline, as a written table; what the stages wrote on their way is deleted.
+
+    Nulls, repeated rows, empty tables and further columns are as each stage's operator says.
+    """
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name)
-    return STAGES[-1][1](spark, docs, sf_dir)
+    for name, stage in STAGES:
+        last, docs = docs, materialize(stage(spark, docs, sf_dir), name)
+        discard(last)
+    with own_tables(spark):
+        return docs
