@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import scalar as S
 from ..functions import vocabulary as V
 from ..operators import chunking, machines, models
-from ..sources import catalog, drives, extract
+from ..sources import catalog, drives, extract, pdf
 from ..sources import standins as T
 from ..streaming import jobs as J
 from .registry import register, simple
@@ -53,6 +53,17 @@ def src_docx(s: SparkSession, d: str) -> DataFrame:
     return drives.docx(files).select(F.col("file_id").alias("doc_id"), F.length("text").cast("long").alias("n"), F.md5("text").alias("digest"), F.col("paragraph_count").cast("long").alias("parts"))
 
 
+SHEETS = "list_transform(range(0, len(ls), 40), lambda i: regexp_replace(array_to_string(ls[i + 1:i + 40], chr(10)), '^\\n+|\\n+$', '', 'g'))"
+
+
+@register("src_pdf", f"select doc_id, md5(array_to_string(list_filter(ps, lambda p: trim(replace(p, chr(10), ' ')) <> ''), chr(10) || chr(10))) as digest, len(ps)::int as pages from (select doc_id, {SHEETS} as ps from (select doc_id, string_split(regexp_replace(text, '[^\\x00-\\x7F\\xA0-\\xFF]', '?', 'g'), chr(10)) as ls from documents))")
+def src_pdf(s: SparkSession, d: str) -> DataFrame:
+    """Documents as PDF files of forty lines a page, and back."""
+    build = F.udf(lambda lines: pdf.pdf_of(["\n".join(lines[i : i + 40]) for i in range(0, len(lines), 40)]), "binary")
+    files = docs(s, d).select(F.col("doc_id").alias("file_id"), build(F.split(F.regexp_replace("text", r"[^\x00-\x7F\xA0-\xFF]", "?"), "\n", -1)).alias("content"))
+    return pdf.pdf(files).select(F.col("file_id").alias("doc_id"), F.md5("text").alias("digest"), F.col("page_count").alias("pages"))
+
+
 HIDDEN = "html"
 for tag in ("script", "style", "nav", "footer"):
     HIDDEN = f"regexp_replace({HIDDEN}, '(?is)<{tag}[ >].*?</{tag}>', chr(1), 'g')"
@@ -226,6 +237,7 @@ simple("exp_parse_2", lambda s, d: extract.exports(T.export_text(s, d, "map")).f
 FORM = "case conv_id % 5 when 0 then 'claude' when 1 then 'chatgpt' when 2 then 'gemini' else 'unknown' end"
 simple("exp_detect", lambda s, d: extract.exports(T.mixed_exports(s, d)).select("path", "provider").distinct(), f"select distinct conv_id::varchar as path, {FORM} as provider from conversations")
 simple("exp_parse_3", lambda s, d: extract.exports(T.mixed_exports(s, d)).filter("provider = 'gemini'").groupBy("path").agg(F.count("sequence").alias("messages"), F.bool_and("success").alias("success")), "select distinct conv_id::varchar as path, 0::bigint as messages, true as success from conversations where conv_id % 5 = 2")
+simple("exp_parse_4", lambda s, d: extract.exports(T.mixed_exports(s, d)).filter("provider = 'grok'").select("path", "content"), "select conv_id::varchar as path, text as content from conversations where false")
 simple("exp_errors", lambda s, d: extract.exports(T.mixed_exports(s, d)).filter("not success").select("path", F.regexp_extract("error", "^[A-Za-z ]+", 0).alias("error")), "select distinct conv_id::varchar as path, case conv_id % 5 when 3 then 'Invalid JSON' else 'Could not detect provider format' end as error from conversations where conv_id % 5 >= 3")
 simple("src_exports", lambda s, d: extract.exports(T.mixed_exports(s, d)).groupBy("provider", "success").agg(F.countDistinct("path").alias("files"), F.count("sequence").alias("messages")), f"with x as (select conv_id, {FORM} as provider, conv_id % 5 < 3 as success, count(*) as n from conversations group by all) select provider, success, count(*) as files, coalesce(sum(n) filter (where provider in ('claude', 'chatgpt')), 0)::bigint as messages from x group by all")
 simple("fn_parse_iso", lambda s, d: T.jobs(s, d).select("job_id", F.unix_timestamp(S.parse_iso(F.when(F.col("job_id") % 3 == 0, F.concat(F.date_format("created_at", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("Z"))).when(F.col("job_id") % 3 == 1, F.concat(F.date_format("created_at", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+02:00"))).otherwise(F.when(F.col("job_id") % 2 == 0, "no time")), F.timestamp_seconds(F.lit(7)))).alias("t")), "select event_id as job_id, case event_id % 3 when 0 then floor(epoch(ts))::bigint when 1 then floor(epoch(ts))::bigint - 7200 else 7 end as t from events")

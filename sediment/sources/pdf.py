@@ -1,0 +1,128 @@
+"""Text of PDF files with the standard library: pages in order, Flate streams, object streams, the text operators.
+
+Fonts are read as Windows-1252; a font with a character map of its own gives what its codes are there. Encrypted
+files and other stream filters give an error, not a text.
+"""
+
+from __future__ import annotations
+
+import re
+import zlib
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
+
+OBJECT = re.compile(rb"(\d+)\s+\d+\s+obj\b")
+TOKEN = re.compile(rb"\((?:[^()\\]|\\.|\((?:[^()\\]|\\.)*\))*\)|<[0-9A-Fa-f\s]*>|\[|\]|/[^\s/<>\[\]()]*|[^\s/<>\[\]()]+", re.S)
+ESCAPES = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"\b", b"f": b"\f"}
+
+
+def stream_of(body: bytes) -> bytes:
+    """The bytes of an object's stream, inflated; none without a stream."""
+    at = re.search(rb"stream\r?\n", body)
+    if not at:
+        return b""
+    size = re.search(rb"/Length\s+(\d+)(?!\s+\d+\s+R)", body[: at.start()])
+    data = body[at.end() : at.end() + int(size[1])] if size else body[at.end() : body.rfind(b"endstream")]
+    filters = re.findall(rb"/(\w+Decode)\b", body[: at.start()])
+    if filters and filters != [b"FlateDecode"]:
+        raise ValueError(f"filters {filters} are not read")
+    return zlib.decompressobj().decompress(data) if filters else data
+
+
+def objects_of(data: bytes) -> dict[int, bytes]:
+    """Objects by number, those within object streams too."""
+    found = list(OBJECT.finditer(data))
+    out = {int(m[1]): data[m.end() : n.start() if n else len(data)] for m, n in zip(found, [*found[1:], None])}
+    for body in list(out.values()):
+        if re.search(rb"/Type\s*/ObjStm", body):
+            inner = stream_of(body)
+            first, n = int(re.search(rb"/First\s+(\d+)", body)[1]), int(re.search(rb"/N\s+(\d+)", body)[1])
+            heads = [int(x) for x in inner[:first].split()[: 2 * n]]
+            starts = heads[1::2]
+            for number, a, b in zip(heads[::2], starts, [*starts[1:], len(inner) - first]):
+                out.setdefault(number, inner[first + a : first + b])
+    return out
+
+
+def pages_of(objects: dict[int, bytes]) -> Iterator[bytes]:
+    """Page objects in the order of the page tree."""
+    kind = lambda b: (re.search(rb"/Type\s*/(\w+)", b) or [b"", b""])[1]
+    roots = [n for n, b in objects.items() if kind(b) == b"Pages" and not re.search(rb"/Parent\b", b)]
+    waiting, seen = roots[:1], set()
+    while waiting:
+        n = waiting.pop(0)
+        body = objects.get(n, b"")
+        if n in seen:
+            continue
+        seen.add(n)
+        if kind(body) == b"Page":
+            yield body
+        elif kids := re.search(rb"/Kids\s*\[([^\]]*)\]", body):
+            waiting = [int(x) for x in re.findall(rb"(\d+)\s+\d+\s+R", kids[1])] + waiting
+
+
+def said(token: bytes) -> str:
+    """The text of a string of either form."""
+    if token[:1] == b"<":
+        digits = re.sub(rb"\s", b"", token[1:-1])
+        return bytes.fromhex((digits + b"0" * (len(digits) % 2)).decode()).decode("cp1252", "replace")
+    plain = re.sub(rb"\\(\r?\n|[0-7]{1,3}|.)", lambda m: b"" if m[1][-1:] == b"\n" else bytes([int(m[1], 8) & 255]) if m[1][:1].isdigit() else ESCAPES.get(m[1], m[1]), token[1:-1], flags=re.S)
+    return plain.decode("cp1252", "replace")
+
+
+def text_of(content: bytes) -> str:
+    """The lines that a page's text operators show."""
+    lines, operands, inside = [""], [], False
+    for m in TOKEN.finditer(content):
+        t = m[0]
+        if t[:1] in b"(<" or t in (b"[", b"]") or t[:1] == b"/" or re.fullmatch(rb"[-+.\d]+", t):
+            operands.append(t)
+            continue
+        shown = "".join(said(x) for x in operands if x[:1] in b"(<")
+        numbers = [float(x) for x in operands if re.fullmatch(rb"[-+]?\d*\.?\d+", x)]
+        inside = t == b"BT" or (inside and t != b"ET")
+        if t in (b"T*", b"'", b'"', b"ET") or (t in (b"Td", b"TD") and numbers[1:] and numbers[-1] != 0):
+            lines.append("")
+        if inside and t in (b"Tj", b"TJ", b"'", b'"'):
+            lines[-1] += shown
+        operands = []
+    return "\n".join(lines).strip("\n")
+
+
+def pdf_text(data: bytes) -> tuple[str, int, str | None]:
+    """Text, pages and error of a PDF file: pages that have text, joined by blank lines."""
+    try:
+        if not data.startswith(b"%PDF-") or b"/Encrypt" in data:
+            raise ValueError("not a readable PDF")
+        objects, texts = objects_of(data), []
+        for page in pages_of(objects):
+            at = re.search(rb"/Contents\s*(\[[^\]]*\]|\d+\s+\d+\s+R)", page)
+            refs = [int(x) for x in re.findall(rb"(\d+)\s+\d+\s+R", at[1])] if at else []
+            texts.append(text_of(b"\n".join(stream_of(objects[n]) for n in refs)))
+        return "\n\n".join(t for t in texts if t.strip()), len(texts), None
+    except (ValueError, KeyError, TypeError, zlib.error) as e:
+        return "", 0, str(e) or type(e).__name__
+
+
+def pdf_of(pages: list[str]) -> bytes:
+    """A PDF file of pages of lines, in Windows-1252."""
+    show = lambda line: b"(" + re.sub(rb"([\\()])", rb"\\\1", line.encode("cp1252", "replace")) + b") Tj T*"
+    bodies = [b"<< /Type /Catalog /Pages 2 0 R >>", b"<< /Type /Pages /Kids [" + b" ".join(b"%d 0 R" % (3 + 2 * i) for i in range(len(pages))) + b"] /Count %d >>" % len(pages)]
+    for i, page in enumerate(pages):
+        data = zlib.compress(b"BT 12 TL 10 800 Td\n" + b"\n".join(map(show, page.split("\n"))) + b"\nET")
+        bodies += [b"<< /Type /Page /Parent 2 0 R /Contents %d 0 R >>" % (4 + 2 * i), b"<< /Length %d /Filter /FlateDecode >>\nstream\n" % len(data) + data + b"\nendstream"]
+    return b"%PDF-1.4\n" + b"".join(b"%d 0 obj\n" % (i + 1) + b + b"\nendobj\n" for i, b in enumerate(bodies)) + b"trailer << /Root 1 0 R >>\n%%EOF"
+
+
+def pdf(files: DataFrame, content: str = "content") -> DataFrame:
+    """Files (file_id and bytes) with text, page_count and error."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for file_id, data in zip(b.column(0), b.column(1)):
+                text, pages, error = pdf_text(data.as_py() or b"")
+                yield pa.RecordBatch.from_arrays([pa.array([file_id.as_py()], b.column(0).type), pa.array([text]), pa.array([pages], pa.int32()), pa.array([error], pa.string())], ["file_id", "text", "page_count", "error"])
+
+    return files.select("file_id", content).mapInArrow(run, f"file_id {dict(files.dtypes)['file_id']}, text string, page_count int, error string")

@@ -6,7 +6,7 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 from sediment.functions import scalar as S
-from sediment.sources import catalog, drives
+from sediment.sources import catalog, drives, pdf
 from sediment.streaming import jobs
 
 
@@ -32,6 +32,15 @@ def test_docx(spark):
     assert [(r["file_id"], r["text"][:3], r["error"] is None) for r in rows] == [(1, "One", True), (2, "", False), (3, "", False)]
 
 
+def test_pdf(spark):
+    data = pdf.pdf_of(["One (1)\nÉté \\ x", "", "Two"])
+    assert pdf.pdf_text(data) == ("One (1)\nÉté \\ x\n\nTwo", 3, None)
+    hexed = b"%PDF-1.4\n1 0 obj << /Type /Pages /Kids [2 0 R] >> endobj 2 0 obj << /Type /Page /Parent 1 0 R /Contents [3 0 R] >> endobj 3 0 obj << /Length 44 >>\nstream\nBT [(He) -20 <6C6C6F>] TJ 0 -14 Td (w\\157) ' ET\nendstream endobj"
+    assert pdf.pdf_text(hexed)[0].split() == ["Hello", "wo"]
+    rows = pdf.pdf(spark.createDataFrame([(1, data), (2, b"%PDF-1.4 /Encrypt"), (3, None)], "file_id long, content binary")).collect()
+    assert [(r["page_count"], r["error"] is None) for r in rows] == [(3, True), (0, False), (0, False)]
+
+
 def test_excavations_of_one_file_each(spark, tmp_path):
     for machine, file_id in (("m1", "f1"), ("m2", "f2")):
         for part in ("chunks", "metadata"):
