@@ -175,7 +175,7 @@ def plan(measured: DataFrame, labelled: DataFrame, targets: dict[str, float], co
     if keep is not None:
         own = members.agg(F.sum(F.col("tokens") * F.col(f"p{list(targets).index(keep)}"))).first()[0] or 0.0
         budget = KEPT * own * sum(targets.values()) / targets[keep] or None
-    return members, model, solve(members, targets, budget)
+    return members, model, solve(members, targets, budget) if model else []
 
 
 def rates(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] = TARGETS, budget: float | None = None) -> DataFrame:
@@ -183,7 +183,7 @@ def rates(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] = TARG
 
     labelled (doc_id, domain) gives the rows to learn from; domains without a target are not learned. A null
     text is empty, has no tokens, and gets the rate of its posteriors. Repeated rows weigh each by itself.
-    Without labelled rows all posteriors are equal; without tokens all rates are 1. Other columns are ignored,
+    Without labelled rows all posteriors are equal and say nothing, so all rates are 1; without tokens too. Other columns are ignored,
     whatever their names; an empty table gives no rows. A text of any length is read whole, by expressions of its row.
     Targets that no nonnegative rates meet are met as nearly as the weighted least squares allow.
     """

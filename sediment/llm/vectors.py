@@ -57,7 +57,8 @@ def near_embeddings(vectors: DataFrame, threshold: float = 0.93, miss: float = 0
     vec_id reachable), kept (vec_id = component_id). Vectors that are null, zero, or hold null or non-finite
     components, and rows with a null label, link with nothing. Vectors of different lengths never link.
     Repeated rows and equal vectors count as rows of their own. A null vec_id gives a null component_id
-    unless it links to others; kept is then false. Other columns are ignored; no rows give no rows.
+    unless it links to others; kept is then false. Other columns are ignored, whatever their names; no rows give
+    no rows. A vector of any length is hashed and compared whole; a task holds two blocks of BLOCK vectors.
 
     Equal vectors are joined into one weighted row first. Each table hashes a unit vector by k quantised
     Gaussian projections; rows that share a bucket meet in blocks of bounded size (a bucket of any size is

@@ -68,7 +68,7 @@ def write_warc(pages: DataFrame, folder: str, min_revisit_bytes: int = 0, max_fi
 
     Each task writes files of its own names; only those of tasks that succeeded are in the returned (and
     written) list, so a task that ran twice does no harm. A null html is an empty payload. Other columns
-    are ignored. No rows: an empty list.
+    are ignored. No rows: an empty list. A payload of any length is written whole; its task holds it a few times over.
     """
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

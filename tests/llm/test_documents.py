@@ -322,7 +322,8 @@ def test_mixing(spark):
 def test_mixing_without_rows_or_labels(spark):
     none = spark.createDataFrame([], "doc_id long, domain string")
     assert mixing.rates(frame(spark, []), none).count() == 0
-    assert [x["rate"] for x in mixing.rates(frame(spark, [(1, "a b")]), none).collect()][0] >= 0
+    assert [x["rate"] for x in mixing.rates(frame(spark, [(1, "a b")]), none).collect()] == [1.0]
+    assert mixing.mixed(frame(spark, [(1, "a b"), (1, "a b"), (None, None)]), none, keep="good").count() == 3
 
 
 def test_empty_tables(spark):
