@@ -14,31 +14,34 @@ from sediment.llm.common import discard, materialize, own_tables, table
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity score rejects go."""
+    """Documents that the toxicity score rejects go; null and empty texts stay, and each repeated row is judged alike."""
     with own_tables(spark):
         return toxicity.without_toxic(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic"))
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near-duplicates one document stays."""
+    """Of each class of near-duplicates one document stays: of equal rows one, of null and empty texts together one."""
     with own_tables(spark):
         return dedup.one_of_each(docs)
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets in texts are masked; every document stays."""
+    """Secrets in texts are masked and n_chars follows; every row stays, null texts as they are."""
     with own_tables(spark):
         return secrets.redact(docs)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents are repeated or left out by rates that bring the domains' tokens to the target shares."""
+    """Documents are repeated or left out by rates that bring the domains' tokens to the target shares.
+
+    Equal rows have equal rates and chances; without labels or tokens every row stays once.
+    """
     with own_tables(spark):
         return mixing.mixed(docs, mixing.domains_of(table(spark, sf_dir, "labels")), keep="good")
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents are cut into pieces and packed into sequences."""
+    """Documents are cut into pieces and packed into sequences; a null text is its end token, repeated rows are documents of their own."""
     with own_tables(spark):
         return packing.pack(docs)
 
