@@ -40,8 +40,9 @@ simple("proj_truncate", lambda s, d: T.table(s, d, "documents").select("doc_id",
 @register("proj_conversation", "select conv_id, count(*) as turns, string_agg(role || ':' || c, '|' order by sequence) filter (where rn <= 50) as head from (select conv_id, turn as sequence, case role when 'user' then 'human' else role end as role, case when length(text) > 500 then substring(text, 1, 500) || '...' else text end as c, row_number() over (partition by conv_id order by turn) as rn from conversations) group by conv_id")
 def proj_conversation(s: SparkSession, d: str) -> DataFrame:
     m = T.messages(s, d).withColumn("c", S.truncated(F.col("content"), 500))
-    g = m.groupBy("conv_id").agg(F.count("*").alias("turns"), F.slice(F.array_sort(F.collect_list(F.struct("sequence", F.concat_ws(":", "role", "c").alias("line")))), 1, 50).alias("a"))
-    return g.select("conv_id", "turns", F.array_join(F.transform("a", lambda x: x["line"]), "|").alias("head"))
+    first = m.withColumn("rn", F.row_number().over(Window.partitionBy("conv_id").orderBy("sequence"))).filter("rn <= 50")
+    head = first.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("rn", F.concat_ws(":", "role", "c").alias("line")))).alias("a"))
+    return m.groupBy("conv_id").agg(F.count("*").alias("turns")).join(head, "conv_id").select("conv_id", "turns", F.array_join(F.transform("a", lambda x: x["line"]), "|").alias("head"))
 
 
 # Joins

@@ -313,7 +313,7 @@ def queue_of(s: SparkSession, d: str) -> DataFrame:
     """Jobs put into a queue; what another process finds waiting there, in its order."""
     folder = catalog.scratch(s, "queue")
     J.Queue(s, folder).enqueue(T.jobs(s, d))
-    return J.places(J.Queue(s, folder).jobs()).select("job_id", "priority", "place")
+    return J.places(J.Queue(s, folder).jobs()).select("job_id", "priority", F.col("place").cast("int").alias("place"))
 
 
 @register("st_worker", f"select job_type, case job_type when 'error' then 'failed' when 'view' then 'failed' else 'completed' end as status, count(*) as n, max(case job_type when 'error' then 'it broke' when 'view' then 'no handler for view' end) as error from {JOBS} where status = 'pending' group by all")

@@ -22,9 +22,15 @@ def waiting(jobs: DataFrame) -> DataFrame:
 
 
 def places(jobs: DataFrame) -> DataFrame:
-    """Pending jobs with their place among those of their priority."""
-    order = Window.partitionBy("priority").orderBy("created_at", "job_id")
-    return jobs.filter("status = 'pending'").withColumn("place", F.row_number().over(order))
+    """Pending jobs with their place among those of their priority.
+
+    Jobs are numbered within an hour; the hours before it add their counts, so no task sorts a whole priority.
+    """
+    pending = jobs.filter("status = 'pending'").withColumn("_hour", F.coalesce(F.date_trunc("hour", "created_at"), F.timestamp_seconds(F.lit(0))))
+    earlier = Window.partitionBy("priority").orderBy("_hour").rowsBetween(Window.unboundedPreceding, -1)
+    before = pending.groupBy("priority", "_hour").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).drop("_n")
+    within = F.row_number().over(Window.partitionBy("priority", "_hour").orderBy("created_at", "job_id"))
+    return pending.withColumn("_in", within).join(before, ["priority", "_hour"]).withColumn("place", F.col("_in") + F.col("_before")).drop("_hour", "_in", "_before")
 
 
 class Queue:
