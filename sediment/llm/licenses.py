@@ -101,7 +101,8 @@ ntp|no representations about the suitability|makes no representations about the
 bsd|redistribution and use|redistribution and use in source and binary forms with or without modification|0.95
 bsd|redistributions of source code|redistributions of source code must retain the (above )?(original )?copyright notice|0.9
 bsd|redistributions in binary form|redistributions in binary form must reproduce the above copyright notice|0.9
-bsd-3-clause|neither the name|neither the names? of .{1,80} nor the names of (its|their|any) contributors|0.9
+bsd-3-clause|neither the name|neither the name of .{1,80} nor the names of (its|their|any) contributors|0.9
+bsd-3-clause|neither the names|neither the names of .{1,80} nor the names of (its|their|any) contributors|0.9
 bsd-3-clause|endorse or promote products|may be used to endorse or promote products derived from this software without (specific )?prior written permission|0.9
 bsd-4-clause|advertising materials|all advertising materials mentioning features or use of this software must display the following acknowledge?ment|0.95
 bsd-2-clause-views|views and conclusions|the views and conclusions contained in the software and documentation are those of the authors|0.9
@@ -160,7 +161,8 @@ zlib|origin of this software|the origin of this software must not be misrepresen
 zlib|altered source versions|altered source versions must be plainly marked as such|0.95
 zlib|provided as is|this software is provided as is without any express or implied warranty|0.8
 libpng|png reference library|the png reference library is supplied as is|0.95
-boost|boost org license|(boost org license 1 0 txt|see accompanying file license 1 0 txt)|0.95
+boost|boost org license|boost org license 1 0 txt|0.95
+boost|accompanying file license|see accompanying file license 1 0 txt|0.95
 boost|machine executable object code|in the form of machine executable object code generated by a source language processor|0.95
 unlicense|unencumbered|free and unencumbered software released into the public domain|0.95
 unlicense|benefit of the public at large|we make this dedication for the benefit of the public at large|0.95
