@@ -65,7 +65,7 @@ def test_consolidation_against_plain_python(spark):
     want = {}
     for f, k, v, n, c, i in rows:
         if f < 6:
-            key = (k, n or {"The Bob": "bob"}.get(v, v.lower()))
+            key = (k, n or {"The Bob": "robert"}.get(v, v.lower()))  # a person, by the short form's full name
             want.setdefault(key, []).append((100 - f, i, f, v, c))
     assert set(got) == set(want)
     for key, seen in want.items():
