@@ -25,6 +25,8 @@ BREAKS = "".join(chr(c) for c in (*range(9, 14), *range(33, 48), *range(58, 65),
 FLOOR = 1e-3
 LEAST_VARIANCE = 1e-2
 KEPT = 1.05
+#: The solver sees documents by cells of posteriors of this width.
+CELL = 1e-3
 
 
 def occurrences(text: Column, signs: str) -> Column:
@@ -167,6 +169,19 @@ def solve(members: DataFrame, targets: dict[str, float], budget: float | None =
     return steps
 
 
+def cells(members: DataFrame, k: int) -> DataFrame:
+    """The tokens of members (tokens, p0, p1, ...) and their token-weighted mean posteriors, by cells CELL wide.
+
+    For three domains there are half a million cells at most, however many members. A step is linear in the
+    posteriors but where it stops at 0, so the totals of a cell are exact unless its own members differ in that.
+    """
+    at = [F.round(F.col(f"p{i}") / CELL).cast("long").alias(f"_c{i}") for i in range(k)]
+    n = F.sum("tokens")
+    means = [(F.sum(F.col("tokens") * F.col(f"p{i}")) / n).alias(f"p{i}") for i in range(k)]
+    out = members.filter("tokens > 0").groupBy(*at).agg(n.alias("tokens"), *means)
+    return out.select("tokens", *[f"p{i}" for i in range(k)]).coalesce(members.sparkSession.sparkContext.defaultParallelism)
+
+
 def plan(measured: DataFrame, labelled: DataFrame, targets: dict[str, float], columns: list[str], budget: float | None = None, keep: str | None = None):
     """The materialized members of measured (doc_id, tokens, features), the model and the steps."""
     measured = measured.select("doc_id", "tokens", *columns)
@@ -175,7 +190,12 @@ def plan(measured: DataFrame, labelled: DataFrame, targets: dict[str, float], co
     if keep is not None:
         own = members.agg(F.sum(F.col("tokens") * F.col(f"p{list(targets).index(keep)}"))).first()[0] or 0.0
         budget = KEPT * own * sum(targets.values()) / targets[keep] or None
-    return members, model, solve(members, targets, budget) if model else []
+    if not model:
+        return members, model, []
+    met = materialize(cells(members, len(targets)), "cells")
+    steps = solve(met, targets, budget)
+    discard(met)
+    return members, model, steps
 
 
 def rates(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] = TARGETS, budget: float | None = None) -> DataFrame:
