@@ -21,6 +21,8 @@ KINDS = ("assign", "access", "hex", "markov")
 
 #: Of the Markov scan: the characters of a candidate and its least length, and the least log-likelihood ratio in nats.
 CANDIDATE, CANDIDATE_GATE = r"[A-Za-z0-9+/_-]{20,}={0,2}", r"[A-Za-z0-9+/_-]{20}"
+#: What may tell alone in a candidate that as a whole is ordinary, as a key at the end of a path.
+PART, PART_GATE = r"[A-Za-z0-9]{20,}", r"[A-Za-z0-9]{20}"
 LEAST_RATIO = 12.0
 ALPHABET = string.ascii_letters + string.digits + "+/_-="
 
@@ -120,7 +122,8 @@ def scan(docs: DataFrame, least_ratio: float = LEAST_RATIO) -> DataFrame:
     """docs (with text) and two arrays of spans (start, kind, end, body): base_spans and more_spans.
 
     base_spans has the three fixed kinds, leftmost and non-overlapping within a kind; kinds may overlap.
-    more_spans has candidates whose log-likelihood ratio reaches least_ratio and which overlap no base span.
+    more_spans has candidates whose log-likelihood ratio reaches least_ratio and, of the others, their runs of
+    letters and digits that reach it alone; none that lies within one base span, as that says no more.
     A null or empty text has no spans; repeated rows are scanned each by itself, and an empty table gives no rows.
     A text of any length is scanned whole. Every column of docs stays as it is; the two names are taken over.
     """
@@ -130,9 +133,11 @@ def scan(docs: DataFrame, least_ratio: float = LEAST_RATIO) -> DataFrame:
     assign = F.filter(matches(text, ASSIGN, 0, 2), lambda s: F.length(s["body"]) >= MIN_VALUE)
     base = F.concat(gated(ASSIGN_GATE, assign), gated(ACCESS_GATE, matches(text, ACCESS, 1)), gated(HEX_GATE, matches(text, HEX, 2)))
     out = out.withColumn("base_spans", F.array_sort(base))
-    free = lambda s: ~F.exists("base_spans", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-    more = F.filter(matches(text, CANDIDATE, 3), lambda s: free(s) & (markov_ratio(s["body"]) >= least_ratio))
-    return out.withColumn("more_spans", gated(CANDIDATE_GATE, more))
+    outside = lambda s, spans: ~F.exists(spans, lambda b: (b["start"] <= s["start"]) & (s["end"] <= b["end"]))
+    telling = lambda s: outside(s, F.col("base_spans")) & (markov_ratio(s["body"]) >= least_ratio)
+    out = out.withColumn("more_spans", gated(CANDIDATE_GATE, F.filter(matches(text, CANDIDATE, 3), telling)))
+    parts = F.filter(matches(text, PART, 3), lambda s: outside(s, F.col("more_spans")) & telling(s))
+    return out.withColumn("more_spans", F.array_sort(F.concat("more_spans", gated(PART_GATE, parts))))
 
 
 def joined(spans: Column) -> Column:
