@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions import scalar as S
 from ..functions import vocabulary as V
+from . import dictionary
 
 
 def consolidate(entities: DataFrame, files: DataFrame, alias_resolution: bool = False) -> DataFrame:
@@ -87,10 +88,10 @@ def pmi_pairs(entities: DataFrame, least_pmi: float = 1.5, least_files: int = 2,
 
 
 def term_hits(chunks: DataFrame) -> DataFrame:
-    """A row per chunk, domain and term that the chunk's text contains: one projection of flags, no nested loop."""
-    chunks = chunks.select("file_id", F.lower("content").alias("text"))  # once a row, not once a term
-    terms = [F.when(F.contains("text", F.lit(t)), F.struct(F.lit(d).alias("domain"), F.lit(t).alias("term"))) for d, words in V.DOMAINS.items() for t in words]
-    return chunks.select("file_id", F.explode(F.array_compact(F.array(*terms))).alias("hit")).select("file_id", "hit.domain", "hit.term")
+    """A row per chunk, domain and term that the chunk's text contains, all terms in one pass."""
+    entries = [(t, d) for d, words in V.DOMAINS.items() for t in words]
+    hits = dictionary.found(chunks.select("file_id", F.lower("content").alias("text")), "text", entries, whole_words=False, once=True)
+    return hits.select("file_id", F.col("label").alias("domain"), "term")
 
 
 def expertise(chunks: DataFrame, least_hits: int = 5, least_confidence: float = 0.3) -> DataFrame:

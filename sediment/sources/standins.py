@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar as S
 from ..functions import vocabulary as V
+from ..operators import dictionary
 
 
 #: Extensions of the stand-in archive: all known ones, one that no extractor has, and none.
@@ -61,8 +62,9 @@ def text_entities(spark: SparkSession, sf_dir: str, kinds: tuple[str, ...] = tup
 
 def tech_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Technology terms in documents: file_id, value as written, normalized, position, confidence; index counts those of a document."""
-    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("file_id"), F.posexplode(S.tech_places(F.col("text"))).alias("index", "e"))
-    return d.select("file_id", "index", F.col("e.value").alias("value"), F.lower("e.value").alias("normalized"), F.col("e.start").alias("position"), F.lit("TECH").alias("entity_type"), F.lit(0.9).alias("confidence"))
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("file_id"), "text")
+    hits = dictionary.found(d, "text", [(t, "TECH") for t in V.TECH_TERMS])
+    return hits.select("file_id", "index", "value", F.lower("value").alias("normalized"), F.col("start").alias("position"), F.col("label").alias("entity_type"), F.lit(0.9).alias("confidence"))
 
 
 def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
