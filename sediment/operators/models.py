@@ -3,17 +3,23 @@
 from __future__ import annotations
 
 from pyspark.ml.clustering import KMeans, KMeansModel
-from pyspark.ml.feature import PCA, BucketedRandomProjectionLSH
+from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .density import dbscan
+from .manifold import layout
 from .search import cosine_distance, squared_l2
 
 
-def cluster(vectors: DataFrame, most: int = 20, seed: int = 42) -> DataFrame:
-    """vec_id, cluster by k-means with min(most, n / 5) clusters; under 20 rows nothing is clustered."""
+def cluster(vectors: DataFrame, most: int = 20, seed: int = 42, algorithm: str = "kmeans") -> DataFrame:
+    """vec_id, cluster: by k-means with min(most, n / 5) clusters, where under 20 rows nothing is clustered, or by density (dbscan)."""
+    if algorithm == "dbscan":
+        return dbscan(vectors).select("vec_id", "cluster")
+    if algorithm != "kmeans":
+        raise ValueError(f"no such algorithm: {algorithm}")
     n = vectors.count()
     rows = vectors.withColumn("features", array_to_vector(F.col("embedding").cast("array<double>")))
     if n < 20:
@@ -22,7 +28,12 @@ def cluster(vectors: DataFrame, most: int = 20, seed: int = 42) -> DataFrame:
     return model.transform(rows).select("vec_id", "cluster")
 
 
-def reduce(vectors: DataFrame, k: int = 2) -> DataFrame:
+def reduce(vectors: DataFrame, k: int = 2, algorithm: str = "pca", seed: int = 42) -> DataFrame:
+    """vec_id, reduced: k coordinates, on the main axes (pca) or by a layout of the neighbourhoods (umap)."""
+    if algorithm == "umap":
+        return layout(vectors, k, seed=seed)
+    if algorithm != "pca":
+        raise ValueError(f"no such algorithm: {algorithm}")
     rows = vectors.withColumn("features", array_to_vector(F.col("embedding").cast("array<double>")))
     model = PCA(k=k, inputCol="features", outputCol="reduced").fit(rows)
     return model.transform(rows).select("vec_id", vector_to_array("reduced").alias("reduced"))
@@ -69,21 +80,6 @@ class InvertedFile:
         return self.rows.filter(F.col("cell").isin([i for _, i in sorted(far)[:probes]])).withColumn("distance", squared_l2(F.col("embedding"), q)).orderBy("distance", "vec_id").limit(k)
 
 
-def hashed_neighbours(vectors: DataFrame, queries: DataFrame, k: int = 10, tables: int = 4, width: float = 2.0, seed: int = 42) -> DataFrame:
-    """The approximate option: of the rows that share a bucket with a query in some table of random projections, the k nearest.
-
-    vectors (vec_id, embedding) and queries (query_id, query) of unit length. It stands in for a graph index, which Spark lacks.
-    """
-    as_vector = lambda c: array_to_vector(F.col(c).cast("array<double>"))
-    rows, asked = vectors.select("vec_id", "embedding", as_vector("embedding").alias("features")), queries.select("query_id", "query", as_vector("query").alias("features"))
-    model = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", bucketLength=width, numHashTables=tables, seed=seed).fit(rows)
-    buckets = lambda df, key, c: model.transform(df).select(key, c, F.posexplode("hashes").alias("t", "h")).withColumn("bucket", vector_to_array("h")[0]).drop("h")
-    meet = buckets(rows, "vec_id", "embedding").join(buckets(asked, "query_id", "query").select("query_id", "t", "bucket"), ["t", "bucket"]).select("query_id", "vec_id").distinct()
-    pairs = meet.join(vectors.select("vec_id", "embedding"), "vec_id").join(queries.select("query_id", "query"), "query_id").withColumn("distance", cosine_distance(F.col("embedding"), F.col("query")))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "vec_id"))
-    return pairs.select("query_id", "vec_id", "distance").withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "distance")
-
-
 def word_cell(word: Column, dims: int) -> Column:
     """The dimension of a word: its MD5's first 32 bits modulo dims."""
     return F.pmod(F.conv(F.substring(F.md5(word), 1, 8), 16, 10).cast("long"), F.lit(dims)).cast("int")

@@ -43,8 +43,10 @@ def nearest_batch(vectors: DataFrame, queries: DataFrame, k: int = 10, metric: s
     return out
 
 
-def hybrid(vectors: DataFrame, queries: DataFrame, k: int = 10, strategy: str = "auto", index=None, most: int = 1_000_000) -> DataFrame:
-    """A batch search by strategy: flat is exact; indexed reads the probed cells of an index; auto is flat up to most vectors or without an index."""
-    if strategy == "flat" or index is None or (strategy == "auto" and vectors.count() <= most):
+def hybrid(vectors: DataFrame, queries: DataFrame, k: int = 10, strategy: str = "auto", index=None) -> DataFrame:
+    """A batch search by the caller's strategy: flat and auto are exact at every size; indexed asks an index, which it needs."""
+    if strategy in ("auto", "flat"):
         return nearest_batch(vectors, queries, k)
+    if strategy != "indexed" or index is None:
+        raise ValueError("the strategy is auto, flat, or indexed with an index")
     return index.nearest_batch(queries, k)

@@ -12,7 +12,7 @@ from pyspark.sql.window import Window
 
 from ..functions import scalar as S
 from ..functions import vocabulary as V
-from ..operators import chunking, correlation, machines, models, search
+from ..operators import chunking, correlation, density, machines, models, search
 from ..sources import extract
 from ..sources import standins as T
 from ..streaming import events as streams
@@ -164,7 +164,10 @@ simple("chunk_lines", lambda s, d: chunking.line_blocks(T.chunks(s, d), 10), "se
 
 # Extractors, models, streams in their batch form
 simple("gpu_cluster", lambda s, d: models.cluster(T.table(s, d, "embeddings")))
+NEAR = "list_distance(a.embedding::double[], b.embedding::double[]) <= 1.15::double"
+simple("gpu_cluster_density", lambda s, d: density.dbscan(T.table(s, d, "embeddings"), 1.15), f"with recursive n as (select a.vec_id as u, b.vec_id as w from embeddings a join embeddings b on {NEAR}), c as (select u from n group by u having count(*) >= 5), l as (select n.u, n.w from n join c on c.u = n.u join c x on x.u = n.w), r as (select u, u as w from c union select r.u, l.w from r join l on l.u = r.w), k as (select u, min(w) as cluster from r group by u) select vec_id, coalesce(k.cluster, b.cluster, -1)::bigint as cluster, k.u is not null as core from embeddings left join k on k.u = vec_id left join (select n.u, min(k.cluster) as cluster from n join k on k.u = n.w group by n.u) b on b.u = vec_id")
 simple("gpu_reduce", lambda s, d: models.reduce(T.table(s, d, "embeddings")).select("vec_id", F.round(F.abs(F.get("reduced", F.lit(0))), 4).alias("x")))
+simple("gpu_reduce_manifold", lambda s, d: models.reduce(T.table(s, d, "embeddings"), algorithm="umap").select("vec_id", F.get("reduced", F.lit(0)).alias("x"), F.get("reduced", F.lit(1)).alias("y")))
 simple("st_debounce", lambda s, d: streams.debounce_batch(T.table(s, d, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts")), "user_id", "ts", 43200.0).groupBy("user_id").agg(F.count("*").alias("accepted")), "with recursive e as (select user_id, ts, row_number() over (partition by user_id order by ts) as i from events), f as (select user_id, i, ts as last, true as hit from e where i = 1 union all select e.user_id, e.i, case when epoch(e.ts) - epoch(f.last) >= 43200 then e.ts else f.last end, epoch(e.ts) - epoch(f.last) >= 43200 from f join e on e.user_id = f.user_id and e.i = f.i + 1) select user_id, count(*) filter (where hit) as accepted from f group by user_id")
 simple("st_rates", lambda s, d: streams.rates(T.table(s, d, "events").select(F.col("ts").cast("timestamp").alias("ts")), "ts", "1 hour").select(F.unix_timestamp("start").alias("t"), "n"), "select floor(epoch(date_trunc('hour', ts)))::bigint as t, count(*) as n from events group by 1")
 simple("st_upsert", lambda s, d: streams.latest(T.jobs(s, d).select("job_type", "job_id", "priority").filter("priority < 3"), T.jobs(s, d).select("job_type", "job_id", "priority"), ["job_type", "priority"], "job_id"), f"select job_type, max(job_id) as job_id, priority from {JOBS} group by job_type, priority")

@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 from ..functions import scalar as S
 from ..functions import vocabulary as V
 from ..operators import chunking, correlation, machines, models, search
+from ..operators.graph_index import GraphIndex
 from ..sources import catalog, extract
 from ..sources import standins as T
 from ..streaming import jobs as J
@@ -277,9 +278,9 @@ simple("vec_batch", lambda s, d: search.nearest_batch(vectors(s, d), asked(s, d)
 simple("join_knn", lambda s, d: search.nearest_batch(vectors(s, d), asked(s, d), 5, "l2").select("query_id", "rank", "vec_id"), NEAR.format(d="list_distance(a.query::double[], b.embedding::double[])", k=5))
 simple("topk_knn", lambda s, d: search.nearest_batch(vectors(s, d), asked(s, d), 10).select("query_id", "rank", "vec_id", F.abs(F.round("distance", 5)).alias("distance")), f"select query_id, rank, vec_id, abs(round({COS}, 5)) as distance from ({NEAR.format(d=COS, k=10)}) n join {QUERY_SET} a using (query_id) join embeddings b using (vec_id)")
 simple("topk_pmi", lambda s, d: correlation.pmi_pairs(T.entities(s, d), 0.3).select("e1", "e2", r6("confidence")), f"select e1, e2, round(least(1.0::double, pmi / 5 * cooc / 10), 6) as confidence from ({PMI_ALL}) where cooc >= 2 and pmi > 0.3::double order by least(1.0::double, pmi / 5 * cooc / 10) desc, e1, e2 limit 100")
-simple("vec_hybrid", lambda s, d: search.hybrid(vectors(s, d), asked(s, d), 5, "auto", models.InvertedFile.build(vectors(s, d), 20)).select("query_id", "rank", "vec_id"), NEAR.format(d=COS, k=5))
-simple("vec_ivf", lambda s, d: models.InvertedFile.build(vectors(s, d), 20).nearest_batch(asked(s, d), 5, 16).select("query_id", "rank", "vec_id"))
-simple("vec_hnsw", lambda s, d: models.hashed_neighbours(vectors(s, d), asked(s, d), 5).select("query_id", "rank", "vec_id"))
+simple("vec_hybrid", lambda s, d: search.hybrid(vectors(s, d), asked(s, d), 5).select("query_id", "rank", "vec_id"), NEAR.format(d=COS, k=5))
+simple("vec_ivf", lambda s, d: models.InvertedFile.build(vectors(s, d)).nearest_batch(asked(s, d), 5).select("query_id", "rank", "vec_id"))
+simple("vec_hnsw", lambda s, d: GraphIndex.build(vectors(s, d)).nearest_batch(asked(s, d), 5).select("query_id", "rank", "vec_id"))
 TALK = "(select conv_id * 1000 + turn as vec_id, text, conv_id, turn from conversations)"
 
 

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sediment.operators import chunking, machines, models, search
+from sediment.operators.graph_index import GraphIndex
 from sediment.sources import catalog, extract
 from sediment.streaming import events
 
@@ -127,7 +128,11 @@ def test_recall_of_the_approximate_searches(spark):
     pairs = lambda df: {(r["query_id"], r["vec_id"]) for r in df.collect()}
     want = pairs(search.nearest_batch(v, asked, 5))
     assert pairs(search.nearest_batch(v, asked, 5, most=7)) == want  # in groups of queries
-    for got in (models.InvertedFile.build(v, 20).nearest_batch(asked, 5, 16), models.hashed_neighbours(v, asked, 5)):
+    hybrid = lambda strategy, index=None: pairs(search.hybrid(v, asked, 5, strategy, index))
+    assert hybrid("auto") == hybrid("flat") == want and len(hybrid("indexed", GraphIndex.build(v))) == len(want)
+    with pytest.raises(ValueError):
+        hybrid("indexed")
+    for got in (models.InvertedFile.build(v, 20).nearest_batch(asked, 5, 16), GraphIndex.build(v).nearest_batch(asked, 5, 128)):
         assert len(want & pairs(got)) >= 0.9 * len(want)
 
 
