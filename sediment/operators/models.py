@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from .density import dbscan
@@ -62,15 +65,24 @@ class InvertedFile:
         """A search on a loaded index reads the folders of the probed cells only."""
         return cls(KMeansModel.load(f"{folder}/model"), spark.read.parquet(f"{folder}/rows"))
 
-    def probed(self, query: str, probes: int):
-        """The cells of the nearest centroids of a column of queries, as an array."""
-        far = [F.struct(squared_l2(F.col(query), F.array(*[F.lit(float(x)) for x in c])).alias("d"), F.lit(i).alias("i")) for i, c in enumerate(self.model.clusterCenters())]
-        return F.transform(F.slice(F.array_sort(F.array(*far)), 1, probes), lambda x: x["i"])
+    def probed(self, queries: DataFrame, probes: int) -> DataFrame:
+        """query_id, query, cell: each query with the cells of its nearest centroids."""
+        centres = np.array(self.model.clusterCenters())
+
+        def nearest(batches):
+            for b in batches:
+                if b.num_rows:
+                    x = b.column("query").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(b.num_rows, -1)
+                    far = ((x[:, None] - centres) ** 2).sum(2)
+                    cells = np.argsort(far, axis=1, kind="stable")[:, :probes].astype(np.int32)
+                    yield pa.RecordBatch.from_arrays([*b.take(pa.array(np.repeat(np.arange(b.num_rows), cells.shape[1]))).columns, pa.array(cells.ravel())], [*b.schema.names, "cell"])
+
+        some = queries.select("query_id", "query")
+        return some.mapInArrow(nearest, T.StructType([*some.schema.fields, T.StructField("cell", T.IntegerType())]))
 
     def nearest_batch(self, queries: DataFrame, k: int = 10, probes: int = 10) -> DataFrame:
         """The k nearest rows of the probed cells for each of queries (query_id, query); a cell's vectors meet only the queries that probe it."""
-        asked = queries.select("query_id", "query", F.explode(self.probed("query", probes)).alias("cell"))
-        pairs = self.rows.join(asked, "cell").withColumn("distance", cosine_distance(F.col("embedding"), F.col("query")))
+        pairs = self.rows.join(self.probed(queries, probes), "cell").withColumn("distance", cosine_distance(F.col("embedding"), F.col("query")))
         rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "vec_id"))
         return pairs.select("query_id", "vec_id", "distance").withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "distance")
 

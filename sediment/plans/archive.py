@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import scalar as S
 from ..functions import vocabulary as V
 from ..operators import chunking, machines, models
-from ..sources import catalog, drives, extract, pdf
+from ..sources import audio_bytes, catalog, drives, extract, image_bytes, media_files, pdf
 from ..sources import standins as T
 from ..streaming import jobs as J
 from .registry import register, simple
@@ -97,11 +97,19 @@ IMAGES = "(select p_partkey as file_id, case when p_partkey % 5 <> 0 then p_bran
 place = lambda: S.place_name(F.lit(None).cast("string"), F.col("town"), F.lit(""), F.lit(None).cast("string"), F.lit(""), F.col("country"))
 
 
+IMAGE_TAGS = ["make", "model", "iso", "f_number", "exposure", "focal", "latitude", "latitude_ref", "longitude", "longitude_ref", "altitude", "altitude_ref", "taken"]
+
+
+def image_files(s: SparkSession, d: str) -> DataFrame:
+    """An image file (JPEG, PNG or TIFF, of either byte order) for each part, and what no file has in it."""
+    return media_files.files_of(T.images(s, d), IMAGE_TAGS, media_files.image)
+
+
 def image_rows(s: SparkSession, d: str) -> DataFrame:
-    """Image metadata as the catalog keeps it."""
+    """Image metadata as the catalog keeps it, read from the bytes of files."""
     at = lambda c: S.decimal_degrees(F.col(c)[0], F.col(c)[1], F.col(c)[2], F.col(f"{c}_ref"))
     lat, lon = at("latitude"), at("longitude")
-    return T.images(s, d).select(
+    return image_bytes.described(image_files(s, d)).select(
         "file_id", F.trim("make").alias("camera_make"), F.trim("model").alias("camera_model"), F.when(F.col("iso") != 0, F.col("iso")).alias("iso"), S.aperture(F.col("f_number")).alias("aperture"), S.shutter(F.col("exposure")).alias("shutter_speed"), S.focal(F.col("focal")).alias("focal_length"),
         S.exif_time(F.col("taken")).alias("date_taken"), lat.alias("latitude"), lon.alias("longitude"), F.when(lat.isNotNull() & lon.isNotNull(), S.altitude(F.col("altitude"), F.col("altitude_ref"))).alias("altitude"), F.when(lat.isNotNull() & lon.isNotNull(), place()).alias("location_name"), "ocr_text", "ai_description",
     )
@@ -118,11 +126,19 @@ DURATION = "case when t >= 3600 then format('{:d}:{:02d}:{:02d}', t // 3600, t %
 AUDIO = "case when title is null and artist is null then '[Audio: s' || file_id || '.mp3]' else concat_ws(chr(10), 'Title: ' || title, 'Artist: ' || artist) end"
 
 
+def song_files(s: SparkSession, d: str) -> DataFrame:
+    """An audio file (MP3, FLAC, Ogg or MP4) for each customer."""
+    return media_files.files_of(T.songs(s, d), ["title", "artist", "album", "year", "track", "seconds"], media_files.audio)
+
+
 def song_rows(s: SparkSession, d: str) -> DataFrame:
-    return T.songs(s, d).select("file_id", S.audio_text(F.col("title"), F.col("artist"), F.col("album"), F.col("name")).alias("content"), S.duration(F.col("seconds")).alias("duration"), S.year4(F.col("year")).cast("long").alias("year"), S.whole_number(F.col("track")).cast("long").alias("track"), "transcription_status")
+    """Audio metadata as the catalog keeps it, read from the bytes of files."""
+    return audio_bytes.described(song_files(s, d)).select("file_id", S.audio_text(F.col("title"), F.col("artist"), F.col("album"), F.col("name")).alias("content"), S.duration(F.col("seconds")).alias("duration"), S.year4(F.col("year")).cast("long").alias("year"), S.whole_number(F.col("track")).cast("long").alias("track"), "transcription_status")
 
 
 simple("src_audio", lambda s, d: song_rows(s, d).select("file_id", "content", "duration", "year"), f"select file_id, {AUDIO} as content, {DURATION} as duration, year from {SONGS}")
+simple("src_image_size", lambda s, d: image_bytes.described(image_files(s, d)).select("file_id", "format", "width", "height"), "select p_partkey as file_id, ['JPEG', 'PNG', 'TIFF'][p_partkey % 3 + 1] as format, (100 + p_partkey % 900)::int as width, (50 + p_partkey % 700)::int as height from part")
+simple("src_audio_format", lambda s, d: audio_bytes.described(song_files(s, d)).select("file_id", "format", "sample_rate", "channels", F.floor("seconds").alias("seconds")), "select c_custkey as file_id, ['MP3', 'FLAC', 'OGG', 'MP4', 'MP3'][c_custkey % 5 + 1] as format, case when c_custkey % 5 in (0, 4) then 48000 else 44100 end as sample_rate, 2 as channels, case when c_custkey % 5 <> 1 or c_custkey * 37 % 9000 > 0 then c_custkey * 37 % 9000 end as seconds from customer")
 simple("fn_track", lambda s, d: song_rows(s, d).select("file_id", "track"), f"select file_id, track from {SONGS}")
 simple("fn_duration", lambda s, d: T.table(s, d, "orders").select("o_orderkey", S.duration(F.col("o_orderkey") % 9000).alias("v")), f"select o_orderkey, {DURATION} as v from (select o_orderkey, o_orderkey % 9000 as t from orders)")
 
