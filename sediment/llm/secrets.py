@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import random
+import re
 import string
 from functools import lru_cache
 
@@ -25,6 +26,10 @@ CANDIDATE, CANDIDATE_GATE = r"[A-Za-z0-9+/_-]{20,}={0,2}", r"[A-Za-z0-9+/_-]{20}
 PART, PART_GATE = r"[A-Za-z0-9]{20,}", r"[A-Za-z0-9]{20}"
 LEAST_RATIO = 12.0
 ALPHABET = string.ascii_letters + string.digits + "+/_-="
+#: Identifiers of a fixed form whose digits are random by design and tell nothing: they are cut out of a candidate before it is scored.
+UUID = r"(?i)[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}"
+#: The part of the ordinary sample that is no words: rulers, alphabets, dates and times, words and numbers in paths.
+OTHER_SHARE = 0.5
 
 #: Labelled sample of ordinary identifiers and words, joined to longer ones when the model is trained.
 IDENTIFIERS = """
@@ -65,6 +70,39 @@ def words_of(rng: random.Random) -> str:
     return rng.choice(["_", "-", "/", "", "", ""]).join(parts)
 
 
+def ruler_of(rng: random.Random) -> str:
+    """A run of one sign or of two in turn, as under a heading."""
+    unit = rng.choice([*ALPHABET, "-=", "_-", "=-", "/-", "xX", "ab", "01"])
+    return (unit * 80)[: rng.randint(20, 80)]
+
+
+def alphabet_of(rng: random.Random) -> str:
+    """A stretch of an alphabet or of the digits, again and again."""
+    signs = rng.choice([string.ascii_lowercase, string.ascii_uppercase, string.digits, string.ascii_lowercase + string.digits, string.ascii_uppercase + string.ascii_lowercase])
+    at = rng.randrange(len(signs))
+    return (signs * 4)[at : at + rng.randint(20, 60)]
+
+
+def stamp_of(rng: random.Random) -> str:
+    """A name with a date and a time."""
+    sign = lambda signs: rng.choice([*signs, ""])
+    name = rng.choice(["", "log_", "backup-", "run_", rng.choice(IDENTIFIERS) + rng.choice("_-/")])
+    day = f"{rng.randint(1990, 2035)}{sign('-_/')}{rng.randint(1, 12):02}{sign('-_/')}{rng.randint(1, 28):02}"
+    hour = f"{sign('T_-')}{rng.randint(0, 23):02}{sign('-_')}{rng.randint(0, 59):02}{sign('-_')}{rng.randint(0, 59):02}"
+    return name + day + hour + rng.choice(["", f"_{rng.randint(1, 9999)}", "-" + rng.choice(IDENTIFIERS)])
+
+
+def path_of(rng: random.Random) -> str:
+    """Words, of one case, and numbers between signs of one kind."""
+    case, sign = rng.choice([str, str, str.capitalize, str.upper]), rng.choice("-_/")
+    return rng.choice(["", sign]) + sign.join(rng.choice([case(rng.choice(IDENTIFIERS)), case(rng.choice(IDENTIFIERS)), str(rng.randint(0, 9999))]) for _ in range(rng.randint(3, 9)))
+
+
+def ordinary_of(rng: random.Random) -> str:
+    other = rng.random() < OTHER_SHARE
+    return rng.choice([ruler_of, alphabet_of, stamp_of, path_of])(rng) if other else words_of(rng)
+
+
 def random_of(rng: random.Random) -> str:
     signs = rng.choice([string.ascii_letters + string.digits, string.ascii_letters + string.digits + "+/", string.ascii_letters + string.digits + "_-", string.ascii_lowercase + string.digits, string.ascii_uppercase + string.digits, string.hexdigits[:16]])
     return "".join(rng.choices(signs, k=rng.randint(20, 64)))
@@ -85,19 +123,19 @@ def train(samples: list[str], prior: float = 0.5) -> list[list[float]]:
 def ratios(seed: int = 11, n: int = 20000) -> str:
     """The log-likelihood ratio, random over ordinary, of each pair of characters; in thousandths, comma-joined."""
     rng = random.Random(seed)
-    wild, tame = train([random_of(rng) for _ in range(n)]), train([words_of(rng) for _ in range(n)])
+    wild, tame = train([random_of(rng) for _ in range(n)]), train([ordinary_of(rng) for _ in range(n)])
     return ",".join(str(round(1000 * (a - b))) for x, y in zip(wild, tame) for a, b in zip(x, y))
 
 
 def log_ratio(s: str) -> float:
     """What markov_ratio computes, in plain Python."""
-    table_, at, n = [int(x) for x in ratios().split(",")], [ALPHABET.index(c) for c in s], len(ALPHABET)
+    table_, at, n = [int(x) for x in ratios().split(",")], [ALPHABET.index(c) for c in re.sub(UUID, "", s)], len(ALPHABET)
     return sum(table_[a * n + b] for a, b in zip(at, at[1:])) / 1000
 
 
 def markov_ratio(candidate: Column) -> Column:
     cells = F.split(F.lit(ratios()), ",").cast("array<int>")
-    codes = F.transform(F.filter(F.split(candidate, ""), lambda c: c != ""), lambda c: F.instr(F.lit(ALPHABET), c) - 1)
+    codes = F.transform(F.filter(F.split(F.regexp_replace(candidate, UUID, ""), ""), lambda c: c != ""), lambda c: F.instr(F.lit(ALPHABET), c) - 1)
     start = F.struct(F.lit(-1).alias("was"), F.lit(0).cast("long").alias("sum"))
     step = lambda acc, c: F.struct(c.alias("was"), F.when(acc["was"] < 0, acc["sum"]).otherwise(acc["sum"] + F.get(cells, acc["was"] * len(ALPHABET) + c)).alias("sum"))
     return F.aggregate(codes, start, step, lambda acc: acc["sum"]) / 1000
