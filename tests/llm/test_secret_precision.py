@@ -17,7 +17,7 @@ WORDS = "harbour lantern Fenster Wolke maison rivière ventana camino orchard th
 
 def ordinary():
     """Texts without a secret, of forms that corpora are full of."""
-    out = ["Title\n--------------------\nbody", "=" * 40, "_" * 30, "/" * 25, "A" * 24, "x" * 24, "-=" * 20, string.ascii_lowercase, string.ascii_uppercase, string.digits * 2, "xy" * 15]  # 24 hex digits and more are a base kind
+    out = ["Title\n--------------------\nbody", "=" * 40, "_" * 30, "/" * 25, "A" * 24, "x" * 24, "-=" * 20, string.ascii_lowercase, string.ascii_uppercase, string.digits * 2, "xX" * 15]  # 24 hex digits and more are a base kind
     out += [str(uuid.UUID(int=RNG.getrandbits(128))) for _ in range(200)] + [f"/objects/{uuid.UUID(int=RNG.getrandbits(128))}/{RNG.choice(WORDS)}".upper() for _ in range(50)]
     out += [f"log_20{RNG.randint(10, 30)}-{RNG.randint(10, 12)}-{RNG.randint(10, 28)}_{RNG.randint(10, 23)}-{RNG.randint(10, 59)}-{RNG.randint(10, 59)}_{RNG.randint(1000, 9999)}" for _ in range(200)]
     out += ["backups/2024/01/15/101530_final", "IMG_20240115_103322_4411.jpg", "1.2.3/2024-01-15T10-33-22-000123", "+49-170-1234567-89012"]
