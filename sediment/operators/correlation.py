@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -75,12 +77,25 @@ def related(pairs: DataFrame, key: str, least: float = 0.3, n: int = 20) -> Data
     return both.filter(F.col("strength") >= least).orderBy(F.desc("strength"), "other").limit(n)
 
 
+def may_pair(single: DataFrame, files: DataFrame, least_pmi: float, least_files: int) -> DataFrame:
+    """Of keys with counts c those that can be in a pair of least_pmi and least_files.
+
+    A pair shares no more files than either key has, so a key of fewer than least_files has none; and its PMI is at
+    most the logarithm of all files over those of the more frequent key, so a key above that has none of a positive least_pmi.
+    """
+    enough = single.filter(F.col("c") >= least_files)
+    if least_pmi <= 0:
+        return enough
+    most = F.col("files") * math.exp(-least_pmi) * (1 + 1e-9)
+    return enough.crossJoin(F.broadcast(files)).filter(F.col("c") <= most).drop("files")  # files is one row
+
+
 def pmi_pairs(entities: DataFrame, least_pmi: float = 1.5, least_files: int = 2, n: int | None = 100) -> DataFrame:
-    """The n pairs of largest PMI confidence (all for None) among those that share least_files files; sparse, and exact as other pairs can't pass."""
+    """The n pairs of largest PMI confidence (all for None) among those that share least_files files; keys that can't be in such a pair go before pairs are made."""
     e = entities.select("file_id", "key").distinct()
     files = e.select(F.countDistinct("file_id").alias("files"))
-    single = e.groupBy("key").agg(F.count("*").alias("c"))
-    both = all_pairs(entities).filter(F.col("cooc") >= least_files)
+    single = may_pair(e.groupBy("key").agg(F.count("*").alias("c")), files, least_pmi, least_files)
+    both = all_pairs(e.join(single.select("key"), "key", "left_semi")).filter(F.col("cooc") >= least_files)
     out = both.join(single.withColumnRenamed("key", "e1").withColumnRenamed("c", "c1"), "e1").join(single.withColumnRenamed("key", "e2").withColumnRenamed("c", "c2"), "e2").crossJoin(F.broadcast(files))
     out = out.withColumn("pmi", S.pmi(F.col("cooc"), F.col("c1"), F.col("c2"), F.col("files"))).filter(F.col("pmi") >= least_pmi)
     out = out.withColumn("confidence", S.pmi_confidence(F.col("pmi"), F.col("cooc"))).select("e1", "e2", "cooc", "pmi", "confidence")

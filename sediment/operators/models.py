@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.clustering import KMeans, KMeansModel
@@ -92,18 +95,33 @@ class InvertedFile:
         return self.rows.filter(F.col("cell").isin([i for _, i in sorted(far)[:probes]])).withColumn("distance", squared_l2(F.col("embedding"), q)).orderBy("distance", "vec_id").limit(k)
 
 
-def word_cell(word: Column, dims: int) -> Column:
+@lru_cache(maxsize=1 << 18)
+def word_cell(word: str, dims: int) -> int:
     """The dimension of a word: its MD5's first 32 bits modulo dims."""
-    return F.pmod(F.conv(F.substring(F.md5(word), 1, 8), 16, 10).cast("long"), F.lit(dims)).cast("int")
+    return int.from_bytes(hashlib.md5(word.encode()).digest()[:4], "big") % dims
 
 
 def hashed_embeddings(rows: DataFrame, key: list[str], text: str, dims: int = 384) -> DataFrame:
-    """key and v, a unit vector of hashed word counts of the text (zero without words): the offline stand-in for a sentence model."""
+    """key and v, a unit vector of hashed word counts of the text (zero without words): the offline stand-in for a sentence model.
+
+    A row's words are counted where the row is; nothing is shuffled.
+    """
     words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    cells = rows.select(*key, F.explode_outer(words).alias("w")).select(*key, word_cell(F.col("w"), dims).alias("cell"), F.col("w").isNotNull().cast("double").alias("one"))
-    counts = cells.groupBy(*key, "cell").agg(F.sum("one").alias("c"))
-    sums = counts.groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct("cell", "c"))).alias("m"), F.sqrt(F.sum(F.col("c") * F.col("c"))).alias("norm"))
-    return sums.select(*key, F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.coalesce(F.try_divide(F.try_element_at("m", i), "norm"), F.lit(0.0))).alias("v"))
+    some = rows.select(*key, words.alias("_words"))
+    names = list(key)
+
+    def count(batches):
+        for b in batches:
+            made = []
+            for ws in b.column("_words").to_pylist():
+                v = np.bincount([word_cell(w, dims) for w in ws], minlength=dims).astype(np.float64)
+                norm = np.sqrt((v * v).sum())
+                made.append(v / norm if norm else v)
+            flat = pa.array(np.concatenate(made) if made else np.zeros(0))
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, dims * len(made) + 1, dims, dtype=np.int32)), flat)
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in names], lists], [*names, "v"])
+
+    return some.mapInArrow(count, T.StructType([*[some.schema[c] for c in names], T.StructField("v", T.ArrayType(T.DoubleType()))]))
 
 
 def embed_with_cache(rows: DataFrame, key: list[str], text: str, cache: DataFrame, dims: int = 384) -> DataFrame:
