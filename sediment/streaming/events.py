@@ -15,26 +15,127 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def debounce_batch(events: DataFrame, key: str, time: str, gap: float = 2.0) -> DataFrame:
+def runs_of(keys: pa.Array, *more: pa.Array) -> np.ndarray:
+    """Where a new combination of values starts in columns of sorted rows, then the number of rows."""
+    cut = np.zeros(max(len(keys) - 1, 0), bool)
+    for c in (keys, *more):
+        code = c.dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+        cut |= code[1:] != code[:-1]
+    return np.concatenate([[0], np.flatnonzero(cut) + 1, [len(keys)]])
+
+
+def walk(times: np.ndarray, last: int | None, gap: int) -> list[int]:
+    """Positions in sorted times that are accepted after the last accepted time."""
+    out, i = [], 0 if last is None else int(np.searchsorted(times, last + gap))
+    while i < len(times):
+        out.append(i)
+        i = int(np.searchsorted(times, times[i] + gap))
+    return out
+
+
+def ways_out(times: np.ndarray, start: int, gap: int) -> tuple[np.ndarray, np.ndarray]:
+    """What a stretch of sorted, different times from start on makes of any clock that enters it.
+
+    A clock that accepts nothing before some time less than start + gap leaves with exits[i], i the first place of
+    ends that isn't before that time; where there is none, nothing of the stretch is accepted. Entries that leave alike
+    are one place, as later entries never leave earlier.
+    """
+    at = np.arange(min(int(np.searchsorted(times, start + gap)) + 1, len(times)))
+    ahead = np.searchsorted(times, times[at] + gap)
+    while (live := ahead < len(times)).any():
+        at[live] = ahead[live]
+        ahead = np.searchsorted(times, times[at] + gap)
+    last = np.append(np.flatnonzero(at[1:] != at[:-1]), len(at) - 1)
+    return times[last], times[at[last]]
+
+
+def debounce_batch(events: DataFrame, key: str, time: str, gap: float = 2.0, stretch: int = 256) -> DataFrame:
     """Events of each key that come gap seconds or more after the last accepted one; rejected ones don't reset the clock.
 
-    Each key's events pass in the order of time, one accepted time in memory. Ties in time are one event for the
-    clock: the first is accepted. Null times are left out.
+    Ties in time are one event for the clock: the first is accepted. Null times are left out, a null key is a key; a gap
+    of 0 accepts all.
+
+    No key is one task's work: its time is cut into stretches of some gaps each. A first pass says what each stretch makes
+    of any clock that enters it (only entries in its first gap can differ, so this is about a stretch-th of the rows), a
+    second one goes through these per key, a third lets each stretch begin with its clock. A task holds the times of one
+    stretch, eight bytes each, in the first pass; in the others one Arrow batch.
     """
+    kind, step = dict(events.dtypes)[key], int(gap * 1_000_000)
+    t = F.unix_micros(F.col(time).cast("timestamp"))
+    rows = events.filter(F.col(time).isNotNull()).select(F.struct(F.col(key).alias("key")).alias("_k"), t.alias("_t"))
+    if step <= 0:
+        return rows.select(F.col("_k.key").alias(key), F.timestamp_micros("_t").alias("accepted_at"))
+    rows = rows.withColumn("_b", F.col("_t") - F.pmod("_t", F.lit(stretch * step))).repartition("_k", "_b")
+    k_type = f"_k struct<key: {kind}>"
+
+    def summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, held = None, []
+
+        def ended(runs: list) -> pa.RecordBatch:
+            found = [ways_out(np.unique(ts), b, step) for _, b, ts in runs]
+            columns = [pa.concat_arrays([k for k, _, _ in runs]), pa.array([b for _, b, _ in runs], pa.int64())]
+            return pa.RecordBatch.from_arrays(columns + [pa.array([f[i] for f in found], pa.list_(pa.int64())) for i in (0, 1)], ["_k", "_b", "_ends", "_exits"])
+
+        for batch in (b for b in batches if b.num_rows):
+            keys, starts, times = batch.column("_k"), batch.column("_b"), batch.column("_t").to_numpy()
+            cuts, runs = runs_of(keys.field(0), starts), []
+            for i, j in zip(cuts[:-1], cuts[1:]):
+                name = (keys[i].as_py(), starts[i].as_py()) if i == 0 or j == len(keys) else None
+                if i == 0 and name == own:
+                    held.append(times[i:j])
+                else:
+                    if held:
+                        runs.append((head, own[1], np.concatenate(held)))
+                    held = []
+                    if j < len(keys):
+                        runs.append((keys.slice(i, 1), starts[i].as_py(), times[i:j]))
+                        continue
+                    own, head, held = name, keys.slice(i, 1), [times[i:j]]
+                if j < len(keys):
+                    runs.append((head, own[1], np.concatenate(held)))
+                    own, held = None, []
+            if runs:
+                yield ended(runs)
+        if held:
+            yield ended([(head, own[1], np.concatenate(held))])
+
+    def enter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, last = (), None
+        for batch in (b for b in batches if b.num_rows):
+            keys, out = batch.column("_k"), []
+            cuts = set(runs_of(keys.field(0))[:-1].tolist())
+            if keys[0].as_py() == own:
+                cuts.discard(0)
+            for i in range(len(keys)):
+                if i in cuts:
+                    last = None
+                out.append(last)
+                ends, exits = batch.column("_ends")[i].values.to_numpy(), batch.column("_exits")[i].values.to_numpy()
+                at = 0 if last is None else int(np.searchsorted(ends, last + step))
+                # Without a clock the first event is accepted, which is the first entry.
+                last = int(exits[at]) if at < len(ends) else last
+            own = keys[len(keys) - 1].as_py()
+            yield pa.RecordBatch.from_arrays([keys, batch.column("_b"), pa.array(out, pa.int64())], ["_k", "_b", "_last"])
 
     def accept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, last = None, 0
-        for b in batches:
-            kept = np.zeros(b.num_rows, bool)
-            for i, (k, t) in enumerate(zip(b.column(key).to_pylist(), b.column("_t").to_pylist())):
-                if k != own or t - last >= gap * 1_000_000:
-                    own, last, kept[i] = k, t, True
-            yield pa.RecordBatch.from_arrays([c.filter(pa.array(kept)) for c in b.columns], [key, "_t"])
-
-    kind = dict(events.dtypes)[key]
-    rows = events.filter(F.col(time).isNotNull()).select(key, F.unix_micros(F.col(time).cast("timestamp")).alias("_t"))
-    rows = rows.repartition(key).sortWithinPartitions(F.col(key).asc_nulls_first(), "_t").mapInArrow(accept, f"{key} {kind}, _t long")
-    return rows.select(key, F.timestamp_micros("_t").alias("accepted_at"))
+        own, last = None, None
+        for batch in (b for b in batches if b.num_rows):
+            keys, starts, lasts, times = batch.column("_k"), batch.column("_b"), batch.column("_last"), batch.column("_t").to_numpy()
+            cuts, kept = runs_of(keys.field(0), starts), []
+            for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+                if i or (keys[0].as_py(), starts[0].as_py()) != own:
+                    last = lasts[i].as_py()
+                got = walk(times[i:j], last, step)
+                kept += [i + x for x in got]
+                last = int(times[i + got[-1]]) if got else last
+            own = (keys[len(keys) - 1].as_py(), starts[len(keys) - 1].as_py())
+            kept = pa.array(kept, pa.int64())
+            yield pa.RecordBatch.from_arrays([keys.take(kept), batch.column("_t").take(kept)], ["_k", "_t"])
+
+    sums = rows.sortWithinPartitions("_k", "_b", "_t").mapInArrow(summarise, f"{k_type}, _b long, _ends array<long>, _exits array<long>")
+    clocks = sums.repartition("_k").sortWithinPartitions("_k", "_b").mapInArrow(enter, f"{k_type}, _b long, _last long")
+    entered = rows.join(clocks, ["_k", "_b"]).select("_k", "_b", "_last", "_t").sortWithinPartitions("_k", "_b", "_t")
+    return entered.mapInArrow(accept, f"{k_type}, _t long").select(F.col("_k.key").alias(key), F.timestamp_micros("_t").alias("accepted_at"))
 
 
 def debounce(events: DataFrame, key: str, time: str, gap: float = 2.0, lateness: str = "10 minutes") -> DataFrame:
