@@ -319,9 +319,9 @@ def queue_of(s: SparkSession, d: str) -> DataFrame:
 
 @register("st_worker", f"select job_type, case job_type when 'error' then 'failed' when 'view' then 'failed' else 'completed' end as status, count(*) as n, max(case job_type when 'error' then 'it broke' when 'view' then 'no handler for view' end) as error from {JOBS} where status = 'pending' group by all")
 def st_worker(s: SparkSession, d: str) -> DataFrame:
-    """All pending jobs are worked off: one type's handler raises, one type has none."""
-    q = J.Queue(s, catalog.scratch(s, "worker"))
-    pending = T.jobs(s, d).filter("status = 'pending'").withColumn("job_id", F.col("job_id").cast("string")).withColumn("error", F.lit(None).cast("string"))
+    """All pending jobs are worked off by a stream: one type's handler raises, one type has none."""
+    q = J.JobLog(s, catalog.scratch(s, "worker"))
+    pending = T.jobs(s, d).filter("status = 'pending'")
     q.enqueue(pending)
 
     def broken(jobs: DataFrame) -> None:
@@ -329,7 +329,7 @@ def st_worker(s: SparkSession, d: str) -> DataFrame:
 
     kinds = [r["job_type"] for r in pending.select("job_type").distinct().collect()]
     handlers = {k: (lambda jobs: None) for k in kinds if k != "view"} | {"error": broken}
-    q.work(handlers, F.timestamp_seconds(F.lit(9)), 1 << 20)
+    q.work(handlers).trigger(availableNow=True).start().awaitTermination()
     return q.jobs().groupBy("job_type", "status").agg(F.count("*").alias("n"), F.max("error").alias("error"))
 
 
