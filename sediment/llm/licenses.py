@@ -101,8 +101,8 @@ ntp|no representations about the suitability|makes no representations about the
 bsd|redistribution and use|redistribution and use in source and binary forms with or without modification|0.95
 bsd|redistributions of source code|redistributions of source code must retain the (above )?(original )?copyright notice|0.9
 bsd|redistributions in binary form|redistributions in binary form must reproduce the above copyright notice|0.9
-bsd-3-clause|neither the name|neither the name of .{1,80} nor the names of (its|their|any) contributors|0.9
-bsd-3-clause|neither the names|neither the names of .{1,80} nor the names of (its|their|any) contributors|0.9
+bsd-3-clause|neither the name|neither the name of .{1,400} nor the names of (its|their|any) contributors|0.9
+bsd-3-clause|neither the names|neither the names of .{1,400} nor the names of (its|their|any) contributors|0.9
 bsd-3-clause|endorse or promote products|may be used to endorse or promote products derived from this software without (specific )?prior written permission|0.9
 bsd-4-clause|advertising materials|all advertising materials mentioning features or use of this software must display the following acknowledge?ment|0.95
 bsd-2-clause-views|views and conclusions|the views and conclusions contained in the software and documentation are those of the authors|0.9
@@ -261,12 +261,17 @@ shareware|evaluation copy|(this is an )?evaluation copy|0.6
 freeware|freeware|freeware|0.5
 shareware|shareware|shareware|0.5
 dual-license|dual licensed|dual licensed (under|with)|0.6
-dual-license|your option|licensed under either of .{1,120} at your option|0.7
+dual-license|your option|licensed under either of .{1,400} at your option|0.7
 copyleft|copyleft|copyleft|0.4
 royalty-free|royalty free|(perpetual )?(worldwide )?(non exclusive )?(no charge )?royalty free( irrevocable)?( copyright| patent)? licen[cs]e|0.5
-patent-grant|patent license|hereby grants (to )?you a perpetual worldwide non exclusive no charge royalty free irrevocable .{0,60}patent license|0.8
+patent-grant|patent license|hereby grants (to )?you a perpetual worldwide non exclusive no charge royalty free irrevocable .{0,400}patent license|0.8
 """.strip()
 
+# Labels that people say with "licensed" behind them or "license" before them.
+SHORT = ("mit", "apache", "gpl", "lgpl", "agpl", "mpl", "epl", "isc", "bsd", "zlib", "unlicense")
+# Names of one word up to this length are joined with their version (gplv3); longer ones mean other things then.
+LONGEST_ACRONYM = 5
+
 WHOLE = "array<struct<keyword:string,regex:string,label:string,priority:int,score:double>>"
 
 
@@ -292,8 +297,20 @@ def rules() -> list[dict]:
         keys = {n: n for n in names}
         add(10, "spdx license identifier", f"spdx license identifier {label.replace('-', ' ')}(?: \\d+)*(?: only| or later)?", label, 1.0, ["spdx license identifier"])
         for v in versions:
-            add(20, f" {v} ", f"{grant}{spelled}(?: license)?(?: version| v)? {v}", f"{label}-{v.replace(' ', '.')}", 0.98, names)
-            add(40, f" {v} ", f"{spelled}(?: license)?(?: version| v)? {v}", f"{label}-{v.replace(' ', '.')}", 0.9, names)
+            spoken_v = f"(?: version| v)? v?{v}"
+            add(20, f"{v} ", f"{grant}{spelled}(?: license)?{spoken_v}", f"{label}-{v.replace(' ', '.')}", 0.98, names)
+            add(40, f"{v} ", f"{spelled}(?: license)?{spoken_v}", f"{label}-{v.replace(' ', '.')}", 0.9, names)
+            for n in (n for n in names if " " not in n and len(n) <= LONGEST_ACRONYM):
+                joined = [f"{n}v{v}", f"{n}{v}"]
+                add(20, n, f"{grant}{n}v?{v}", f"{label}-{v.replace(' ', '.')}", 0.98, joined)
+                add(40, n, f"{n}v?{v}", f"{label}-{v.replace(' ', '.')}", 0.9, joined)
+            whole, zero = [n for n in names if "license" in n.split()], v.removesuffix(" 0")
+            if whole and zero not in versions:
+                add(40, f"{zero} ", f"(?:{'|'.join(whole)})(?: version v?| v ?){zero}", f"{label}-{v.replace(' ', '.')}", 0.85, whole)
+        if label in SHORT:
+            short = label.replace("-", " ")
+            add(30, f"{short} licen", f"{short} licen[cs]ed", label, 0.9, [f"{short} licensed", f"{short} licenced"])
+            add(50, f"e {short}", f"licen[cs]e {short}", label, 0.8, [f"license {short}", f"licence {short}"])
         for n in keys:
             add(30, n, f"{grant}{n}(?: license)?", label, 0.95, [n])
         spoken = [n for n in names if "licen" in n or len(n.split()) > 1]
