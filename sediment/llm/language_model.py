@@ -12,7 +12,7 @@ from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import delete, materialize, new_path, slices, table
+from .common import delete, discard, materialize, new_path, slices, table
 from .dedup import C1, C2, Hashes, mix
 from .warc import open_store
 
@@ -310,14 +310,19 @@ def score(docs: DataFrame, head: int = HEAD, most_bytes: int = MOST_BYTES, stren
             runs.append((lo, hi))
             lo = hi
     tokens_filter, out = sent(1, 0, shards), None
+    numbered = rows.withColumn("rid", F.monotonically_increasing_id())
+    if len(runs) > 1:
+        # Passes are joined by these numbers, so they are given once.
+        numbered = materialize(numbered, "numbered")
     for lo, hi in runs:
         shared = spark.sparkContext.broadcast((tokens_filter, sent(2, lo, hi), top_keys, top_counts))
         if hi == shards:
             delete(spark, folder)
-        scored = rows.withColumn("rid", F.monotonically_increasing_id()).mapInArrow(measure_with(shared, lo, hi), "rid long, doc_id long, held_out boolean, n_tokens long, head_known long, head_score double, score double, rare array<long>")
+        scored = numbered.mapInArrow(measure_with(shared, lo, hi), "rid long, doc_id long, held_out boolean, n_tokens long, head_known long, head_score double, score double, rare array<long>")
         scored = materialize(scored, "scored")
         shared.destroy()
         out = scored if out is None else materialize(out.join(scored.select("rid", F.col("score").alias("more")), "rid").withColumn("score", F.col("score") + F.col("more")).drop("more"), "scored")
+    discard(numbered)
     rare = out.select("rid", F.explode("rare").alias("h")).groupBy("rid", "h").agg(F.count("*").alias("tf"))
     found = rare.join(known.filter(F.col("c") < least), "h", "left")
     c = F.coalesce("c", F.lit(0))
