@@ -24,29 +24,29 @@ def runs_of(keys: pa.Array, *more: pa.Array) -> np.ndarray:
     return np.concatenate([[0], np.flatnonzero(cut) + 1, [len(keys)]])
 
 
-def walk(times: np.ndarray, last: int | None, gap: int) -> list[int]:
-    """Positions in sorted times that are accepted after the last accepted time."""
-    out, i = [], 0 if last is None else int(np.searchsorted(times, last + gap))
-    while i < len(times):
-        out.append(i)
-        i = int(np.searchsorted(times, times[i] + gap))
-    return out
+def next_allowed(run: np.ndarray, times: np.ndarray, gap: int) -> np.ndarray:
+    """For each event of sorted runs the place of the first one of its run that comes gap or more later, or their number."""
+    n = len(times)
+    order = np.lexsort((np.repeat([1, 0], n), np.concatenate([times, times + gap]), np.concatenate([run, run])))
+    is_event, out = order < n, np.empty(n, np.int64)
+    out[order[~is_event] - n] = np.cumsum(is_event)[~is_event]
+    return np.where((out < n) & (run[np.minimum(out, n - 1)] == run), out, n)
 
 
-def ways_out(times: np.ndarray, start: int, gap: int) -> tuple[np.ndarray, np.ndarray]:
-    """What a stretch of sorted, different times from start on makes of any clock that enters it.
+def ways_out(run: np.ndarray, times: np.ndarray, start: np.ndarray, gap: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What stretches (runs of sorted times from their start on) make of any clock that enters them: run, end, exit.
 
-    A clock that accepts nothing before some time less than start + gap leaves with exits[i], i the first place of
-    ends that isn't before that time; where there is none, nothing of the stretch is accepted. Entries that leave alike
-    are one place, as later entries never leave earlier.
+    A clock that accepts nothing before some time less than start + gap leaves with the exit of the run's first end that
+    isn't before that time; where there is none, nothing of the stretch is accepted. Entries that leave alike are one
+    row, as later entries never leave earlier.
     """
-    at = np.arange(min(int(np.searchsorted(times, start + gap)) + 1, len(times)))
-    ahead = np.searchsorted(times, times[at] + gap)
-    while (live := ahead < len(times)).any():
-        at[live] = ahead[live]
-        ahead = np.searchsorted(times, times[at] + gap)
-    last = np.append(np.flatnonzero(at[1:] != at[:-1]), len(at) - 1)
-    return times[last], times[at[last]]
+    new = np.append(True, run[1:] != run[:-1])
+    first = np.flatnonzero(new | (np.append(0, times[:-1]) < start + gap))
+    ahead, at = np.append(next_allowed(run, times, gap), len(times)), first.copy()
+    while (live := (then := ahead[at]) < len(times)).any():
+        at[live] = then[live]
+    last = np.append((run[first][1:] != run[first][:-1]) | (at[1:] != at[:-1]), True)
+    return run[first[last]], times[first[last]], times[at[last]]
 
 
 def debounce_batch(events: DataFrame, key: str, time: str, gap: float = 2.0, stretch: int = 256) -> DataFrame:
@@ -68,36 +68,35 @@ def debounce_batch(events: DataFrame, key: str, time: str, gap: float = 2.0, str
     rows = rows.withColumn("_b", F.col("_t") - F.pmod("_t", F.lit(stretch * step))).repartition("_k", "_b")
     k_type = f"_k struct<key: {kind}>"
 
+    def runs(batch: pa.RecordBatch) -> np.ndarray:
+        return runs_of(batch.column("_k").field(0), batch.column("_b"))
+
+    def name(batch: pa.RecordBatch, i: int) -> tuple:
+        return batch.column("_k")[i].as_py(), batch.column("_b")[i].as_py()
+
     def summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, held = None, []
+        held: list[pa.RecordBatch] = []  # the stretch that the next batch may go on with
 
-        def ended(runs: list) -> pa.RecordBatch:
-            found = [ways_out(np.unique(ts), b, step) for _, b, ts in runs]
-            columns = [pa.concat_arrays([k for k, _, _ in runs]), pa.array([b for _, b, _ in runs], pa.int64())]
-            return pa.RecordBatch.from_arrays(columns + [pa.array([f[i] for f in found], pa.list_(pa.int64())) for i in (0, 1)], ["_k", "_b", "_ends", "_exits"])
+        def summed(batch: pa.RecordBatch, cuts: np.ndarray) -> pa.RecordBatch:
+            which = np.repeat(np.arange(len(cuts) - 1), np.diff(cuts))
+            own, ends, exits = ways_out(which, batch.column("_t").to_numpy(), batch.column("_b").to_numpy(), step)
+            offsets = pa.array(np.searchsorted(own, np.arange(len(cuts))).astype(np.int32))
+            at = pa.array(cuts[:-1])
+            lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (ends, exits)]
+            return pa.RecordBatch.from_arrays([batch.column("_k").take(at), batch.column("_b").take(at), *lists], ["_k", "_b", "_ends", "_exits"])
 
         for batch in (b for b in batches if b.num_rows):
-            keys, starts, times = batch.column("_k"), batch.column("_b"), batch.column("_t").to_numpy()
-            cuts, runs = runs_of(keys.field(0), starts), []
-            for i, j in zip(cuts[:-1], cuts[1:]):
-                name = (keys[i].as_py(), starts[i].as_py()) if i == 0 or j == len(keys) else None
-                if i == 0 and name == own:
-                    held.append(times[i:j])
-                else:
-                    if held:
-                        runs.append((head, own[1], np.concatenate(held)))
-                    held = []
-                    if j < len(keys):
-                        runs.append((keys.slice(i, 1), starts[i].as_py(), times[i:j]))
-                        continue
-                    own, head, held = name, keys.slice(i, 1), [times[i:j]]
-                if j < len(keys):
-                    runs.append((head, own[1], np.concatenate(held)))
-                    own, held = None, []
-            if runs:
-                yield ended(runs)
+            if held and name(held[0], 0) == name(batch, batch.num_rows - 1):
+                held.append(batch)
+                continue
+            both = pa.Table.from_batches([*held, batch]).combine_chunks().to_batches()[0]
+            cuts = runs(both)
+            if len(cuts) > 2:
+                yield summed(both.slice(0, int(cuts[-2])), cuts[:-1])
+            held = [both.slice(int(cuts[-2]))]
         if held:
-            yield ended([(head, own[1], np.concatenate(held))])
+            both = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            yield summed(both, np.array([0, both.num_rows]))
 
     def enter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, last = (), None
@@ -120,17 +119,21 @@ def debounce_batch(events: DataFrame, key: str, time: str, gap: float = 2.0, str
     def accept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, last = None, None
         for batch in (b for b in batches if b.num_rows):
-            keys, starts, lasts, times = batch.column("_k"), batch.column("_b"), batch.column("_last"), batch.column("_t").to_numpy()
-            cuts, kept = runs_of(keys.field(0), starts), []
-            for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
-                if i or (keys[0].as_py(), starts[0].as_py()) != own:
-                    last = lasts[i].as_py()
-                got = walk(times[i:j], last, step)
-                kept += [i + x for x in got]
-                last = int(times[i + got[-1]]) if got else last
-            own = (keys[len(keys) - 1].as_py(), starts[len(keys) - 1].as_py())
-            kept = pa.array(kept, pa.int64())
-            yield pa.RecordBatch.from_arrays([keys.take(kept), batch.column("_t").take(kept)], ["_k", "_t"])
+            times, cuts = batch.column("_t").to_numpy(), runs(batch)
+            lasts = batch.column("_last").take(pa.array(cuts[:-1])).to_pylist()
+            if name(batch, 0) == own:
+                lasts[0] = last
+            begin = [i if x is None else i + int(np.searchsorted(times[i:j], x + step)) for i, j, x in zip(cuts[:-1], cuts[1:], lasts)]
+            at, kept = np.array(begin)[np.array(begin) < cuts[1:]], []
+            ahead = next_allowed(np.repeat(np.arange(len(cuts) - 1), np.diff(cuts)), times, step)
+            while len(at):
+                kept.append(at)
+                at = ahead[at]
+                at = at[at < len(times)]
+            kept = np.sort(np.concatenate(kept)) if kept else np.zeros(0, np.int64)
+            own, last = name(batch, batch.num_rows - 1), int(times[kept[-1]]) if len(kept) and kept[-1] >= cuts[-2] else lasts[-1]
+            kept = pa.array(kept)
+            yield pa.RecordBatch.from_arrays([batch.column("_k").take(kept), batch.column("_t").take(kept)], ["_k", "_t"])
 
     sums = rows.sortWithinPartitions("_k", "_b", "_t").mapInArrow(summarise, f"{k_type}, _b long, _ends array<long>, _exits array<long>")
     clocks = sums.repartition("_k").sortWithinPartitions("_k", "_b").mapInArrow(enter, f"{k_type}, _b long, _last long")

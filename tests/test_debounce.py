@@ -37,13 +37,17 @@ def test_random_events_equal_the_fold(spark):
 def test_ways_out_hold_for_each_entry():
     r = np.random.default_rng(3)
     for _ in range(200):
-        gap, start = int(r.integers(1, 40)), 1000
-        times = np.unique(r.integers(start, start + 300, r.integers(1, 80)))
-        ends, exits = events.ways_out(times, start, gap)
-        for last in range(start - 60, start):
-            got = events.walk(times, last, gap)
-            at = int(np.searchsorted(ends, last + gap))
-            assert (int(exits[at]) if at < len(ends) else None) == (int(times[got[-1]]) if got else None)
+        gap = int(r.integers(1, 40))
+        runs = [np.sort(r.integers(s, s + 300, r.integers(1, 80))) for s in (1000, 5000)]
+        run = np.repeat([0, 1], [len(x) for x in runs])
+        of, ends, exits = events.ways_out(run, np.concatenate(runs), np.repeat([1000, 5000], [len(x) for x in runs]), gap)
+        for i, start in enumerate((1000, 5000)):
+            for last in range(start - 60, start):
+                clock = last
+                for t in runs[i]:
+                    clock = t if t >= clock + gap else clock
+                at = int(np.searchsorted(ends[of == i], last + gap))
+                assert (int(exits[of == i][at]) if at < (of == i).sum() else last) == clock
 
 
 def test_one_path_uses_many_tasks(spark):
@@ -63,3 +67,14 @@ def test_empty_and_gapless(spark):
     empty = spark.createDataFrame([], "path string, t long")
     assert through(spark, [("a", 1)], 0.0, 8) == [("a", 1)]
     assert events.debounce_batch(empty.select("path", F.timestamp_micros("t").alias("ts")), "path", "ts").count() == 0
+
+
+def test_stretches_longer_than_a_batch(spark):
+    r = random.Random(8)
+    pairs = [("hot", r.randrange(0, 300_000_000)) for _ in range(2500)] + [(f"k{i % 40}", r.randrange(0, 9_000_000)) for i in range(400)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "60")
+    try:
+        for gap, stretch in ((2.0, 100), (0.1, 3000), (400.0, 1)):
+            assert through(spark, pairs, gap, stretch) == fold(pairs, int(gap * 1_000_000))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
