@@ -25,6 +25,21 @@ def test_walk_and_discover(spark, tmp_path):
     assert drives.export_files(files).count() == 0
 
 
+def test_tables_of_parts_are_one_file(spark, tmp_path):
+    """A table that Spark wrote is a folder of parts; the catalogue's queries list it by the folder's name."""
+    from sediment.plans import archive, catalogue
+
+    for name in ("region.parquet", "documents.parquet/part-0.parquet", "documents.parquet/part-1.parquet", "deep/pages.PARQUET/k=1/part-0.parquet", "deep/x.parquet"):
+        at = tmp_path / name
+        at.parent.mkdir(parents=True, exist_ok=True)
+        at.write_text("x" * 5)
+    rows = {r["path"]: (r["name"], r["extension"], r["size_bytes"]) for r in drives.tables_whole(drives.listing(spark, str(tmp_path))).collect()}
+    assert rows == {"region.parquet": ("region.parquet", "parquet", 5), "documents.parquet": ("documents.parquet", "parquet", 10), "deep/pages.PARQUET": ("pages.PARQUET", "parquet", 5), "deep/x.parquet": ("x.parquet", "parquet", 5)}
+    found = archive.src_discover(spark, str(tmp_path)).collect()
+    assert sorted((r["source"], r["name"]) for r in found) == [("all", "documents.parquet"), ("all", "region.parquet"), ("typed", "documents.parquet"), ("typed", "region.parquet")]
+    assert {r["name"] for r in catalogue.QUERIES["src_walk_drive"](spark, str(tmp_path)).collect()} == {"documents.parquet", "region.parquet"}
+
+
 def test_docx(spark):
     data = drives.docx_of(["One", "  ", "Two"], [[["a", "b"], ["c", ""]]])
     assert drives.docx_text(data) == ("One\n\nTwo\n\n[Tables]\na | b\nc | ", 2, 1, None)
