@@ -71,6 +71,12 @@ def test_html_and_markdown_and_yaml(spark):
     assert docs(spark, "a: 1\nb: 2", ": [").select(extract.yaml_keys("content")).collect()[0][0] == ["a", "b"]
 
 
+def test_references_without_semicolon_stay(spark):
+    """A title cut at a length may end within a reference; what is left of it is text as written."""
+    r = docs(spark, "<title>a&amp;&amp</title><p>x &lt; y &ltz &#39;q&#39 &copy; &copy 2 & &amp;lt;</p>").select(extract.html("content").alias("x")).first()["x"]
+    assert (r["title"], r["content"]) == ("a&&amp", "a&&amp\nx < y &ltz 'q&#39 © &copy 2 & &lt;")
+
+
 def test_exports(spark):
     one = [{"uuid": "u", "name": "n", "created_at": "2024-01-01T00:00:00Z", "chat_messages": [{"sender": "human", "text": "hi"}, {"sender": "assistant", "text": "", "content": [{"type": "text", "text": "a"}, {"type": "x"}, {"type": "text", "text": "b"}]}]}]
     node = lambda role, text, at: {"message": {"author": {"role": role}, "content": {"parts": [text]}, "create_time": at}}
