@@ -1,6 +1,7 @@
 """Chunkers, extractors, catalog and streams, against plain Python and against their batch twins."""
 
 import json
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -175,3 +176,44 @@ def test_machines(spark):
     master = spark.createDataFrame([("x",)], "content string").select(F.substring(F.sha2("content", 256), 1, 16).alias("content_hash"))
     chunks = spark.createDataFrame([("b", 1, 0, "same"), ("a", 2, 0, "same"), ("a", 3, 0, "x")], "machine string, file_id long, chunk_index int, content string")
     assert [(r["machine"], r["content"]) for r in machines.merge_chunks(chunks, master).collect()] == [("a", "same")]
+
+
+def test_batch_search_of_copies_and_odd_vectors(spark):
+    """Copies tie by vec_id, near copies are told apart, vectors without a distance come last; blocks and groups don't matter."""
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(300, 8)).astype(np.float32)
+    x[100:220] = x[100]
+    x[150] = np.nextafter(x[100], np.float32(9))
+    rows = [(i, [float(c) for c in v]) for i, v in enumerate(x)] + [(300, None), (301, [0.0] * 8), (302, [float("nan")] * 8), (303, [1.0, 2.0])]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    asked = v.filter("vec_id % 10 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    for metric in ("cosine", "l2"):
+        want = []
+        for q, a in rows:
+            if q % 10 == 0:
+                far = []
+                for i, b in rows:
+                    if a is None or b is None or len(a) != len(b) or not np.isfinite(b).all():
+                        far.append((1, 0.0, i))
+                        continue
+                    dot = lambda m, n: sum(s * t for s, t in zip(m, n))
+                    d = sum((s - t) * (s - t) for s, t in zip(a, b)) if metric == "l2" else 1 - dot(a, b) / np.sqrt(dot(a, a) * dot(b, b)) if any(b) else None
+                    far.append((d is None, d or 0.0, i))
+                want += [(q, r + 1, y[2]) for r, y in enumerate(sorted(far)[:12])]
+        for most, block in ((4096, 8192), (7, 50)):
+            got = search.nearest_batch(v, asked, 12, metric, most, block).select("query_id", "rank", "vec_id").collect()
+            assert sorted(map(tuple, got)) == sorted(want), metric
+
+
+def test_batch_search_multiplies_matrices(spark):
+    """Pairs of a large batch are no rows of a plan: 200 queries against 40,000 vectors within seconds of task time."""
+    import numpy as np
+
+    from sediment.operators.search import nearest_rows
+
+    rng = np.random.default_rng(1)
+    a, start = rng.normal(size=(40_000, 64)), time.process_time()
+    i, j, d = nearest_rows(a, a[::200], 5, "cosine")
+    assert time.process_time() - start < 20 and (j[::5] == np.arange(0, 40_000, 200)).all() and len(d) == 1000
