@@ -217,3 +217,19 @@ def test_batch_search_multiplies_matrices(spark):
     a, start = rng.normal(size=(40_000, 64)), time.process_time()
     i, j, d = nearest_rows(a, a[::200], 5, "cosine")
     assert time.process_time() - start < 20 and (j[::5] == np.arange(0, 40_000, 200)).all() and len(d) == 1000
+
+
+def test_parts_read_by_python_are_dealt_to_all_cores(spark, tmp_path):
+    """One small file of many parts: every core reads YAML and Python of some of them."""
+    from sediment.plans import catalogue
+
+    spark.range(20_000).select(F.col("id").alias("p_partkey")).coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    for name in ("src_yaml", "src_python", "chunk_code"):
+        key = "file_id" if name == "chunk_code" else "p_partkey"
+        rows = catalogue.QUERIES[name](spark, str(tmp_path)).groupBy(F.spark_partition_id().alias("task")).agg(F.countDistinct(key).alias("n")).collect()
+        assert len(rows) >= spark.sparkContext.defaultParallelism and max(r["n"] for r in rows) < 5_000, name
+
+
+def test_yaml_by_either_reader():
+    for text, keys in (("a: 1\nb: [1, 2]\n1: x", ["a", "b", "1"]), (": [k: 1", []), ("- a\n- b", []), ("", []), (None, []), ("a: !!python/object:os.system x", []), ("&x a: 1\n'b': *x\n", ["a", "b"])):
+        assert extract.keys_of(text) == keys, text
