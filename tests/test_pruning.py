@@ -7,9 +7,12 @@ import random
 import re
 from collections import Counter
 
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from sediment.operators import correlation, models
+from sediment.sources import pdf
 
 
 @pytest.mark.parametrize("least_pmi,least_files", [(0.3, 2), (1.5, 3), (0.0, 1), (-1.0, 2)])
@@ -47,3 +50,18 @@ def test_embeddings_are_counted_in_their_rows(spark):
         norm = math.sqrt(sum(v * v for v in c.values())) or 1.0
         assert r["v"] == pytest.approx([c[i] / norm for i in range(64)], abs=1e-15)
     assert models.hashed_embeddings(rows.limit(0), ["id"], "text").count() == 0
+
+
+def test_python_answers_in_slices(spark, monkeypatch):
+    """The embedder and the PDF reader hold a slice of a batch as Python objects at a time, never the whole of a large batch."""
+    ran = []
+    text = spark.createDataFrame([(1, "a")], "id long, text string")
+    monkeypatch.setattr(type(text), "mapInArrow", lambda self, f, *a, **k: ran.append(f))
+    models.hashed_embeddings(text, ["id"], "text", 16)
+    pdf.pdf(text.select(F.col("id").alias("file_id"), F.encode("text", "UTF-8").alias("content")))
+    cells = pa.RecordBatch.from_arrays([pa.array(range(2000)), pa.array([[i % 16, 3] for i in range(2000)], pa.list_(pa.int32()))], ["id", "_cells"])
+    files = pa.RecordBatch.from_arrays([pa.array(range(2000)), pa.array([pdf.pdf_of([f"n{i}"]) for i in range(2000)])], ["file_id", "content"])
+    for f, batch in zip(ran, (cells, files)):
+        got = list(f(iter([batch])))
+        assert max(b.num_rows for b in got) <= 256 and [x for b in got for x in b.column(0).to_pylist()] == list(range(2000))
+    assert [x for b in got for x in b.column("text").to_pylist()] == [f"n{i}" for i in range(2000)]
