@@ -93,3 +93,41 @@ def test_empty_inputs(spark):
     none = entities(spark, {1: []}) if False else spark.createDataFrame([], "file_id long, key string")
     assert correlation.cooccurrence(none).count() == 0
     assert correlation.pmi_pairs(none).count() == 0
+
+
+def plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_pairs_come_of_one_row_of_keys(spark):
+    """Files of repeated keys, below and above the limit of pairs; pairs are made without a join."""
+    files = {f: [f"k{(f * 7 + i * i) % 23:02d}" for i in range(f % 19)] * 2 for f in range(60)}
+    for limit in (1, 10, 50, 500):
+        want = {}
+        for keys in files.values():
+            for pair in list(combinations(sorted(set(keys)), 2))[:limit]:
+                want[pair] = want.get(pair, 0) + 1
+        df = correlation.cooccurrence(entities(spark, files), pairs_per_file=limit)
+        assert {(r["e1"], r["e2"]): r["count"] for r in df.collect()} == want and "Join" not in plan(df) and "Window" not in plan(df)
+    everything = {}
+    for keys in files.values():
+        for pair in combinations(sorted(set(keys)), 2):
+            everything[pair] = everything.get(pair, 0) + 1
+    for block in (4, 512):
+        assert {(r["e1"], r["e2"]): r["cooc"] for r in correlation.all_pairs(entities(spark, files), block).collect()} == everything
+
+
+def test_pairs_are_counted_once_for_all_that_read_them(spark):
+    """The audit of a run and the statistics read written pairs: neither plan makes pairs again."""
+    rows = [(f, "PERSON" if i % 2 else "ORG", f"V{i}", "" if i == 3 else f"v{i}") for f in range(8) for i in range(4)]
+    e = spark.createDataFrame(rows, "file_id long, entity_type string, value string, normalized string").withColumn("key", F.concat_ws(":", "entity_type", "value")).withColumn("context", F.lit(None).cast("string")).withColumn("id", F.col("key"))
+    seen = spark.createDataFrame([(f, 10) for f in range(7)], "file_id long, t long").select("file_id", F.timestamp_seconds("t").alias("indexed_at"))
+    chunks = spark.createDataFrame([(i, "we tune docker and kubernetes") for i in range(5)], "file_id long, content string")
+    tech = spark.createDataFrame([(1, "python", "TECH")], "file_id long, normalized string, entity_type string")
+    names = spark.createDataFrame([(i, f"report_v{i}") for i in range(8)], "file_id long, filename string")
+    audit = correlation.run(e, seen, chunks, tech, names, 0.2, 0.5)[1]
+    assert "Generate" not in plan(audit) and audit.collect() == [(4, 6, 6, 4)]  # one expertise and one workflow are less sure
+    stats = correlation.consolidated_stats(correlation.consolidated_keys(e, seen), correlation.cooccurrence(e))
+    assert "Generate" not in plan(stats) and sorted(map(tuple, stats.collect())) == [("pairs", "all", 6), ("pairs", "strong", 6), ("total", "entities", 4), ("type", "ORG", 2), ("type", "PERSON", 2)]
+    keys = lambda df: sorted((r["entity_type"], r["normalized"]) for r in df.collect())
+    assert keys(correlation.consolidated_keys(e, seen)) == keys(correlation.consolidate(e, seen))
