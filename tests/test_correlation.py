@@ -131,3 +131,34 @@ def test_pairs_are_counted_once_for_all_that_read_them(spark):
     assert "Generate" not in plan(stats) and sorted(map(tuple, stats.collect())) == [("pairs", "all", 6), ("pairs", "strong", 6), ("total", "entities", 4), ("type", "ORG", 2), ("type", "PERSON", 2)]
     keys = lambda df: sorted((r["entity_type"], r["normalized"]) for r in df.collect())
     assert keys(correlation.consolidated_keys(e, seen)) == keys(correlation.consolidate(e, seen))
+
+
+def test_pairs_are_counted_as_codes(spark):
+    """Codes order as keys do over several partitions, pairs of codes are those of keys, and no key is shuffled with a pair."""
+    odd = ["é", "Z", "a", "ab", "", "￿", "\U0001f600", *(f"k{i}" for i in range(60))]
+    files = {f: [odd[(f * 7 + i * i) % len(odd)] for i in range(f % 19)] for f in range(60)}
+    e = entities(spark, files).union(spark.createDataFrame([(99, None), (None, "a"), (7, None)], "file_id long, key string"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        lists, names = correlation.coded(e)
+        assert names.filter("code >= 1L << 33").count() > 0
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    held = [r["key"] for r in names.orderBy("code").collect()]
+    assert held == sorted({k for ks in files.values() for k in ks}, key=lambda k: k.encode())
+    assert {r["file_id"]: len(r["keys"]) for r in lists.collect()} == {f: len(set(ks)) for f, ks in files.items() if ks} | {99: 0}
+    pairs, names = correlation.coded_cooccurrence(e, 10)
+    assert dict(pairs.dtypes)["e1"] == dict(pairs.dtypes)["e2"] == "bigint"
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    assert rows(correlation.named(pairs, names)) == rows(correlation.cooccurrence(e, 10))
+
+
+def test_keys_of_consolidated_entities_meet_few_files(spark):
+    """A key whose smallest or largest file is there needs no join of all rows; one that is in a middle file only is found too."""
+    rows = [(f, k, v, "" if v == "Bob" else v.lower()) for f, k, v in [(0, "ORG", "A"), (9, "ORG", "A"), (0, "ORG", "M"), (4, "ORG", "M"), (9, "ORG", "M"), (0, "ORG", "Gone"), (9, "PERSON", "Gone"), (5, "PERSON", "Bob"), (4, None, "N"), (9, None, "N"), (None, "ORG", "Q")]]
+    e = spark.createDataFrame(rows, "file_id long, entity_type string, value string, normalized string")
+    has = lambda *ids: spark.createDataFrame([(i,) for i in ids], "file_id long")
+    got = lambda ids: {tuple(r) for r in correlation.consolidated_keys(e, has(*ids)).collect()}
+    assert got([4, 5]) == {("ORG", "m"), ("PERSON", "robert"), (None, "n")}
+    assert got([]) == set() and got([0, 5, 9, 5]) == {("ORG", "a"), ("ORG", "m"), ("ORG", "gone"), ("PERSON", "gone"), ("PERSON", "robert"), (None, "n")}
+    assert "Join" not in plan(correlation.consolidated_keys(e, has(0, 5, 9)))
