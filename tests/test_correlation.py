@@ -162,3 +162,12 @@ def test_keys_of_consolidated_entities_meet_few_files(spark):
     assert got([4, 5]) == {("ORG", "m"), ("PERSON", "robert"), (None, "n")}
     assert got([]) == set() and got([0, 5, 9, 5]) == {("ORG", "a"), ("ORG", "m"), ("ORG", "gone"), ("PERSON", "gone"), ("PERSON", "robert"), (None, "n")}
     assert "Join" not in plan(correlation.consolidated_keys(e, has(0, 5, 9)))
+
+
+def test_keys_are_gathered_again_only_if_some_go(spark, monkeypatch):
+    calls, gather = [], correlation.keys_of_files
+    monkeypatch.setattr(correlation, "keys_of_files", lambda e: calls.append(1) or gather(e))
+    e = entities(spark, {f: ["a", "b"] if f % 2 else ["c", "d"] for f in range(8)})
+    assert [(r["e1"], r["e2"], r["cooc"]) for r in correlation.pmi_pairs(e, 0.3).collect()] == [("a", "b", 4), ("c", "d", 4)] and len(calls) == 1
+    more = e.union(entities(spark, {f: ["every"] for f in range(8)}))
+    assert [(r["e1"], r["e2"], r["cooc"]) for r in correlation.pmi_pairs(more, 0.3).collect()] == [("a", "b", 4), ("c", "d", 4)] and len(calls) == 3
