@@ -2,10 +2,12 @@
 
 from itertools import combinations
 
+import duckdb
 from pyspark.sql import functions as F
 
 from sediment.functions import scalar as S
 from sediment.operators import correlation
+from sediment.plans import catalogue
 
 
 def entities(spark, files):
@@ -171,3 +173,22 @@ def test_keys_are_gathered_again_only_if_some_go(spark, monkeypatch):
     assert [(r["e1"], r["e2"], r["cooc"]) for r in correlation.pmi_pairs(e, 0.3).collect()] == [("a", "b", 4), ("c", "d", 4)] and len(calls) == 1
     more = e.union(entities(spark, {f: ["every"] for f in range(8)}))
     assert [(r["e1"], r["e2"], r["cooc"]) for r in correlation.pmi_pairs(more, 0.3).collect()] == [("a", "b", 4), ("c", "d", 4)] and len(calls) == 3
+
+
+def test_join_cooc_self_has_all_pairs_of_a_file(spark, tmp_path):
+    """Orders of 3, 43 and 603 keys (3, 903 and 181,503 pairs, the last of them made in slices): no pair is left out."""
+    lines = [(1, 5, 5), (1, 5, 5), *((2, i, i) for i in range(38)), (2, 7, 1), *((3, i, i) for i in range(598))]
+    parts = [(i, f"Brand#{i % 3}", f"TYPE {i % 2}") for i in range(598)]
+    con = duckdb.connect()
+    for name, rows, columns in (("lineitem", lines, "l_orderkey long, l_suppkey long, l_partkey long"), ("part", parts, "p_partkey long, p_brand string, p_type string"), ("supplier", [(i, f"Supplier#{i:04d}") for i in range(598)], "s_suppkey long, s_name string"), ("orders", [(k, 0) for k in (1, 2, 3)], "o_orderkey long, o_orderdate long")):
+        rows = [(*r, n) for n, r in enumerate(rows)] if name == "lineitem" else rows
+        spark.createDataFrame(rows, columns + ", l_linenumber int" * (name == "lineitem")).write.parquet(f"{tmp_path}/{name}.parquet")
+        con.execute(f"create view {name} as select * from read_parquet('{tmp_path}/{name}.parquet/*.parquet')")
+    want = {}
+    for order in (1, 2, 3):
+        keys = {k for o, i, p in lines if o == order for k in (f"PERSON:supplier#{i:04d}", f"ORG:brand#{p % 3}", f"PROJECT:type {p % 2}")}
+        assert len(keys) == {1: 3, 2: 43, 3: 603}[order]
+        for pair in combinations(sorted(keys), 2):
+            want[pair] = want.get(pair, 0) + 1
+    assert {(r["e1"], r["e2"]): r["count"] for r in catalogue.QUERIES["join_cooc_self"](spark, str(tmp_path)).collect()} == want
+    assert {(a, b): n for a, b, n in con.execute(catalogue.ORACLES["join_cooc_self"]).fetchall()} == want
